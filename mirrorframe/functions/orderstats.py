@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL = 2_000_000
-COLLECT = 20_000
+COLLECT = 100_000
 ACCURACY = 10_000
+TARGETS_PER_JOB = 32
 
 
 @dataclass
@@ -61,12 +62,12 @@ def order_statistics(
             raise ValueError(f"rank {t.rank} outside 0..{t.inside - 1} of {t.col}")
     open_targets = targets
     while open_targets:
-        few = [t for t in open_targets if t.inside <= collect_limit]
-        many = [t for t in open_targets if t.inside > collect_limit]
-        if few:
-            _finish(df, few)
-        if many:
-            _narrow(df, many, accuracy)
+        # A job reads only the columns of its own targets, so splitting wide tables
+        # over several jobs reads no column twice and keeps each plan small.
+        for part in _parts([t for t in open_targets if t.inside <= collect_limit]):
+            _finish(df, part)
+        for part in _parts([t for t in open_targets if t.inside > collect_limit]):
+            _narrow(df, part, accuracy)
         open_targets = [t for t in targets if t.value is None]
     out: dict[str, dict[int, float]] = {}
     for t in targets:
@@ -74,6 +75,10 @@ def order_statistics(
     return out
 
 
+def _parts(targets):
+    return [targets[k:k + TARGETS_PER_JOB] for k in range(0, len(targets), TARGETS_PER_JOB)]
+
+
 def _brackets(targets):
     groups: dict[tuple, list[_Target]] = {}
     for t in targets:

@@ -34,22 +34,13 @@ def drop_incomplete(df: DataFrame, features: Features) -> DataFrame:
 
 
 def vectorize(df: DataFrame, features: Features, keep: Sequence[str] = (), out: str = "x") -> DataFrame:
-    """Project to ``keep`` columns plus the feature vector."""
-    if isinstance(features, str):
-        x = F.transform(F.col(features), checked)
-        x = F.when(F.col(features).isNull(), F.raise_error(F.lit("null feature vector"))).otherwise(x)
-    else:
-        x = F.array(*[checked(F.col(f)) for f in features])
-    return df.select(*keep, x.alias(out))
-
+    """Project to ``keep`` columns plus the feature vector.
 
-def feature_columns(features: Features, p: int | None = None) -> list[Column]:
-    """One checked DOUBLE column per feature (``p`` is required for an array column)."""
-    if isinstance(features, str):
-        if p is None:
-            raise ValueError("the number of features is required for an array column")
-        return [checked(F.element_at(F.col(features), j + 1)) for j in range(p)]
-    return [checked(F.col(f)) for f in features]
+    An array column passes through as it is (a FLOAT array travels at half the
+    size of a DOUBLE one); ``batch_matrix`` converts and checks it in the task.
+    """
+    x = F.col(features) if isinstance(features, str) else F.array(*[checked(F.col(f)) for f in features])
+    return df.select(*keep, x.alias(out))
 
 
 def width(df: DataFrame, features: Features) -> int:
@@ -63,18 +54,20 @@ def width(df: DataFrame, features: Features) -> int:
 
 
 def batch_matrix(column: pa.Array, p: int | None = None) -> np.ndarray:
-    """An Arrow list column as an n x p array; ragged rows are an error."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+    """An Arrow list column as an n x p array; ragged rows, nulls and NaN are errors."""
     n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    values = column.flatten()
+    if column.null_count or values.null_count:
+        raise ValueError("null or NaN feature value")
+    flat = values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if n == 0:
         return np.empty((0, p or 0))
     if p is None:
         p = flat.size // n
-    lengths = np.diff(column.offsets.to_numpy())
-    if flat.size != n * p or (lengths != p).any():
+    if flat.size != n * p or (np.diff(column.offsets.to_numpy()) != p).any():
         raise ValueError("feature vectors differ in length")
+    if np.isnan(flat).any():
+        raise ValueError("null or NaN feature value")
     return flat.reshape(n, p)
 
 

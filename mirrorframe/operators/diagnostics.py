@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorframe.functions import draws
-from mirrorframe.operators.moments import mean_and_cov
-from mirrorframe.operators.sample import ROWS_PER_RANGE, with_position
+from mirrorframe.functions.vectors import batch_matrix
+from mirrorframe.operators.moments import mean_and_cov, merge_tasks, vector_table
+from mirrorframe.operators.sample import ROWS_PER_RANGE, neighbour_pairs
 
 # Default kernel widths of the distance.
 ALPHAS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
@@ -30,10 +32,60 @@ def second_order_gap(pairs: DataFrame, x: str = "x", xk: str = "xk") -> DataFram
     return pairs.sparkSession.createDataFrame([tuple(float(v) for v in row)], "mean_gap DOUBLE, cov_gap DOUBLE, cross_gap DOUBLE")
 
 
+def _paired_moments(pairs: DataFrame, x: str, xk: str) -> dict[str, np.ndarray]:
+    """Per-feature means, variances and covariance of x and xk (times n), in one scan and O(p) state."""
+    fields = ("ma", "mb", "aa", "bb", "ab")
+    schema = pa.schema([("n", pa.float64())] + [(f, pa.list_(pa.float64())) for f in fields])
+
+    def merge(acc, new):
+        if acc is None:
+            return new
+        n0, n1 = acc["n"], new["n"]
+        da, db, w = new["ma"] - acc["ma"], new["mb"] - acc["mb"], n0 * n1 / (n0 + n1)
+        return {
+            "n": n0 + n1, "ma": acc["ma"] + da * n1 / (n0 + n1), "mb": acc["mb"] + db * n1 / (n0 + n1),
+            "aa": acc["aa"] + new["aa"] + da * da * w, "bb": acc["bb"] + new["bb"] + db * db * w, "ab": acc["ab"] + new["ab"] + da * db * w,
+        }
+
+    def emit(acc):
+        if acc is not None:
+            yield pa.RecordBatch.from_pylist([acc], schema=schema)
+
+    def fold(batches):
+        acc = None
+        for batch in batches:
+            a, b = batch_matrix(batch.column("a")), batch_matrix(batch.column("b"))
+            if a.shape[0]:
+                ma, mb = a.mean(axis=0), b.mean(axis=0)
+                ca, cb = a - ma, b - mb
+                acc = merge(acc, {"n": float(a.shape[0]), "ma": ma, "mb": mb, "aa": (ca * ca).sum(axis=0),
+                                  "bb": (cb * cb).sum(axis=0), "ab": (ca * cb).sum(axis=0)})
+        yield from emit(acc)
+
+    def unpack(row):
+        return {"n": row["n"], **{f: np.asarray(row[f]) for f in fields}}
+
+    def combine(batches):
+        acc = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                acc = merge(acc, unpack(row))
+        yield from emit(acc)
+
+    ddl = "n DOUBLE, " + ", ".join(f"{f} ARRAY<DOUBLE>" for f in fields)
+    partials = pairs.select(F.col(x).alias("a"), F.col(xk).alias("b")).mapInArrow(fold, ddl)
+    total = None
+    for row in partials.repartition(merge_tasks(pairs.sparkSession)).mapInArrow(combine, ddl).collect():
+        total = merge(total, unpack(row))
+    if total is None:
+        raise ValueError("no rows")
+    return total
+
+
 def decorrelation_gap(pairs: DataFrame, target_corr: DataFrame, x: str = "x", xk: str = "xk") -> DataFrame:
     """``corr(x_j, xk_j)`` against its target, per feature."""
-    both = pairs.select(F.posexplode(F.arrays_zip(F.col(x).alias("a"), F.col(xk).alias("b"))).alias("i", "s"))
-    seen = both.groupBy("i").agg(F.corr(F.col("s.a"), F.col("s.b")).alias("corr"))
+    m = _paired_moments(pairs, x, xk)
+    seen = vector_table(pairs.sparkSession, m["ab"] / np.sqrt(m["aa"] * m["bb"]), "corr")
     target = target_corr.select("i", F.col("v").alias("target"))
     return seen.join(target, "i").select("i", "corr", "target", (F.col("corr") - F.col("target")).alias("gap"))
 
@@ -47,13 +99,7 @@ def mmd(pairs: DataFrame, key: str, alphas: Sequence[float] = ALPHAS, seed: int
     evaluations.  ``full_swap`` exchanges every feature with its knockoff,
     ``partial_swap`` a hash-chosen half of them.
     """
-    placed = with_position(pairs, key, rows_per_range=rows_per_range)
-    even = F.col("position") % 2 == 0
-    row = F.struct(F.col(x).alias("x"), F.col(xk).alias("k"))
-    two = placed.groupBy(F.expr("position div 2").alias("pair")).agg(
-        F.first(F.when(even, row), ignorenulls=True).alias("a"),
-        F.first(F.when(~even, row), ignorenulls=True).alias("b"),
-    ).where("b is not null")
+    two = neighbour_pairs(pairs.select(key, F.col(x).alias("x"), F.col(xk).alias("k")), key, ["x", "k"], rows_per_range)
 
     def squares(u, w):
         return F.zip_with(u, w, lambda s, t: (s - t) * (s - t))

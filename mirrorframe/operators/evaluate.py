@@ -92,8 +92,9 @@ def _cumulated(df: DataFrame, prob: str, observed: str, scores_per_range: int):
     step = df.groupBy(F.col(prob).cast("double").alias("score")).agg(
         F.count_if(label == 1).alias("pos"), F.count_if(label == 0).alias("neg")
     )
-    n = step.count()
-    edges = ranges.range_edges(step, "score", n, scores_per_range)
+    # edges from the plain rows: the aggregated table is then shuffled only once,
+    # as both the totals and the running sums read the same exchange
+    edges = ranges.range_edges(df.select(F.col(prob).cast("double").alias("score")), "score", df.count(), scores_per_range)
     step = step.withColumn("_range", ranges.range_of("score", edges))
     high = F.struct("score", "pos", "neg")
     totals = step.groupBy("_range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"), F.max(high).alias("top"))

@@ -28,7 +28,7 @@ def generate_knockoffs(df: DataFrame, features: Features, plan: KnockoffPlan, ke
                 raise ValueError(f"expected {p} features, found {x.shape[1]}")
             noise = draws.normals_np(batch.column("_h").to_numpy(), p)
             xk = x - (x - mu) @ projection + noise @ root.T
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("x"), list_column(xk)], names=[key, "x", "xk"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), list_column(x), list_column(xk)], names=[key, "x", "xk"])
 
     key_type = df.schema[key].dataType.simpleString()
     return rows.mapInArrow(copy, f"`{key}` {key_type}, x ARRAY<DOUBLE>, xk ARRAY<DOUBLE>")

@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 
 from mirrorframe.functions import smallmat
 from mirrorframe.operators.grouping import group_labels_ward
-from mirrorframe.operators.moments import collect_matrix, collect_vector, cov_to_corr, matrix_table
-
-S_SCHEMA = "i INT, s_corr DOUBLE, s DOUBLE"
+from mirrorframe.operators.moments import collect_matrix, collect_vector, cov_to_corr, matrix_table, ridge_if_not_psd, vector_table
 
 
 def _with_variance(s: DataFrame, cov: DataFrame) -> DataFrame:
@@ -27,8 +25,7 @@ def _with_variance(s: DataFrame, cov: DataFrame) -> DataFrame:
 
 
 def _s_table(spark: SparkSession, s_corr: np.ndarray, cov: DataFrame) -> DataFrame:
-    frame = pd.DataFrame({"i": np.arange(s_corr.size, dtype=np.int32), "s_corr": s_corr})
-    return _with_variance(spark.createDataFrame(frame), cov)
+    return _with_variance(vector_table(spark, s_corr, "s_corr"), cov)
 
 
 def s_equi(cov: DataFrame, tol: float = 1e-3) -> DataFrame:
@@ -38,13 +35,6 @@ def s_equi(cov: DataFrame, tol: float = 1e-3) -> DataFrame:
     return _s_table(cov.sparkSession, np.full(corr.shape[0], s), cov)
 
 
-def _regularised(cov: DataFrame, reg: float) -> DataFrame:
-    if smallmat.lambda_min(collect_matrix(cov)) >= 0:
-        return cov
-    diagonal = F.when(F.col("i") == F.col("j"), F.lit(float(reg))).otherwise(F.lit(0.0))
-    return cov.select("i", "j", (F.col("v") + diagonal).alias("v"))
-
-
 def _solve_blocks(corr: DataFrame, blocks: DataFrame, tol: float) -> DataFrame:
     """Solve every diagonal block on its own executor task; (i, s_corr)."""
 
@@ -61,7 +51,7 @@ def _solve_blocks(corr: DataFrame, blocks: DataFrame, tol: float) -> DataFrame:
 
 def s_sdp(cov: DataFrame, tol: float = 1e-3, reg: float = 1e-4) -> DataFrame:
     """Largest total s: the semidefinite program on the whole correlation matrix."""
-    corr = cov_to_corr(_regularised(cov, reg))
+    corr = cov_to_corr(ridge_if_not_psd(cov, reg))
     blocks = cov.where("i = j").select("i", F.lit(0).alias("block"))
     return _with_variance(_solve_blocks(corr, blocks, tol), cov)
 
@@ -81,7 +71,7 @@ def s_asdp(cov: DataFrame, block_size: int = 50, method: str = "selfblocks") ->
         block = group_labels_ward(collect_matrix(cov), -(-p // block_size))
     else:
         raise ValueError(f"unknown method: {method}")
-    blocks = spark.createDataFrame(pd.DataFrame({"i": np.arange(p, dtype=np.int32), "block": block.astype(np.int32)}))
+    blocks = vector_table(spark, block.astype(np.int32), "block")
     s_hat = collect_vector(_solve_blocks(matrix_table(spark, full), blocks, 0.0), "s_corr")
     s_hat = np.clip(smallmat.feasible_scale(full, s_hat) * s_hat, 0.0, 1.0)
     return _s_table(spark, s_hat, cov)
@@ -107,7 +97,8 @@ def knockoff_plan(cov: DataFrame, s: DataFrame, mu: np.ndarray, tol: float = 1e-
     projection = np.linalg.lstsq(sigma, d, rcond=None)[0]
     v = 2.0 * d - d @ projection
     v = 0.5 * (v + v.T)
-    if smallmat.lambda_min(v) <= tol:
+    sd = np.sqrt(np.diag(sigma))
+    if smallmat.lambda_min(v / np.outer(sd, sd)) <= tol:
         warnings.warn("the conditional covariance of the knockoffs is nearly singular; they will have little power", stacklevel=2)
     floor = max(0.0, -smallmat.lambda_min(v))
     root = np.linalg.cholesky(v + (jitter + 2.0 * floor) * np.eye(v.shape[0]))

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorframe.functions import smallmat
 from mirrorframe.functions.vectors import checked
-from mirrorframe.operators.moments import collect_matrix, mean_and_cov
+from mirrorframe.operators.moments import collect_matrix, mean_and_cov, vector_table
 
 
 def feature_distance(corr: DataFrame) -> DataFrame:
@@ -28,8 +27,7 @@ def feature_distance(corr: DataFrame) -> DataFrame:
 
 
 def _label_table(spark: SparkSession, labels: np.ndarray) -> DataFrame:
-    frame = pd.DataFrame({"i": np.arange(labels.size, dtype=np.int32), "group_id": labels.astype(np.int32)})
-    return spark.createDataFrame(frame)
+    return vector_table(spark, labels.astype(np.int32), "group_id")
 
 
 def group_features(corr: DataFrame, cut: float = 0.5) -> DataFrame:
@@ -75,10 +73,9 @@ def submatrix(matrix: DataFrame, keep: DataFrame) -> DataFrame:
 def renumber(matrix: DataFrame) -> DataFrame:
     """Positions 0.. of a submatrix, in the old order."""
     old = [r["i"] for r in matrix.where("i = j").select("i").orderBy("i").collect()]
-    place = pd.DataFrame({"old": np.array(old, dtype=np.int32), "new": np.arange(len(old), dtype=np.int32)})
-    places = F.broadcast(matrix.sparkSession.createDataFrame(place))
-    a = places.select(F.col("old").alias("i"), F.col("new").alias("ni"))
-    b = places.select(F.col("old").alias("j"), F.col("new").alias("nj"))
+    place = vector_table(matrix.sparkSession, np.array(old, dtype=np.int32), "old")
+    a = F.broadcast(place.select(F.col("old").alias("i"), F.col("i").alias("ni")))
+    b = F.broadcast(place.select(F.col("old").alias("j"), F.col("i").alias("nj")))
     return matrix.join(a, "i").join(b, "j").select(F.col("ni").alias("i"), F.col("nj").alias("j"), "v")
 
 

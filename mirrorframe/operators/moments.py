@@ -1,7 +1,8 @@
 """Means, covariance matrices and the small matrix tables derived from them.
 
-A matrix is a table ``(i INT, j INT, v DOUBLE)``.  Rows of the data are only
-ever touched by one distributed aggregate; everything after it is p x p.
+A matrix is a table ``(i INT, j INT, v DOUBLE)``.  Estimating one is an action:
+a single distributed aggregate over the rows whose p x p result becomes a local
+table, so that whatever is derived from it never scans the data again.
 """
 
 from __future__ import annotations
@@ -12,12 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mirrorframe.functions import smallmat
-from mirrorframe.functions.vectors import Features, batch_matrix, feature_columns, list_column, vectorize, width
+from mirrorframe.functions.vectors import Features, batch_matrix, checked, vectorize
 
-MATRIX_SCHEMA = "i INT, j INT, v DOUBLE"
-VECTOR_SCHEMA = "i INT, v DOUBLE"
 EXPRESSION_WIDTH = 8
 MERGE_TASKS = 64
 
@@ -25,21 +25,19 @@ MERGE_TASKS = 64
 # -- conversions -----------------------------------------------------------------
 
 
-def matrix_table(spark: SparkSession, a: np.ndarray) -> DataFrame:
-    p = a.shape[0]
-    i, j = np.indices(a.shape)
-    return _small_table(spark, {"i": i.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "v": a.ravel()}, p * p)
+def small_table(spark: SparkSession, columns: dict[str, object]) -> DataFrame:
+    """A table of p or p x p rows from arrays; Arrow keeps their types."""
+    return spark.createDataFrame(pa.table(columns))
 
 
-def vector_table(spark: SparkSession, v: Sequence[float]) -> DataFrame:
-    v = np.asarray(v, dtype=float)
-    return _small_table(spark, {"i": np.arange(v.size, dtype=np.int32), "v": v}, v.size)
+def matrix_table(spark: SparkSession, a: np.ndarray) -> DataFrame:
+    i, j = np.indices(a.shape, dtype=np.int32)
+    return small_table(spark, {"i": i.ravel(), "j": j.ravel(), "v": np.ascontiguousarray(a).ravel()})
 
 
-def _small_table(spark, columns, rows):
-    if rows == 0:
-        raise ValueError("empty table")
-    return spark.createDataFrame(pa.table(columns))
+def vector_table(spark: SparkSession, v: Sequence[float], name: str = "v") -> DataFrame:
+    v = np.asarray(v)
+    return small_table(spark, {"i": np.arange(v.size, dtype=np.int32), name: v})
 
 
 def collect_matrix(table: DataFrame) -> np.ndarray:
@@ -147,8 +145,12 @@ def moment_partials(vectors: DataFrame, weigh: Callable[[np.ndarray], list[np.nd
         yield from _emit(states, second)
 
     partials = vectors.select("x").mapInArrow(fold, PARTIAL_DDL)
-    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return merge_partials(partials.repartition(max(1, min(MERGE_TASKS, tasks // 4))), second)
+    return merge_partials(partials.repartition(merge_tasks(vectors.sparkSession)), second)
+
+
+def merge_tasks(spark: SparkSession) -> int:
+    """Tasks that merge the per-task states; the driver reads one small row of each."""
+    return max(1, min(MERGE_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
 def merge_partials(partials: DataFrame, second: bool = True) -> DataFrame:
@@ -175,7 +177,14 @@ def collect_moments(partials: DataFrame, second: bool = True) -> dict[int, tuple
 
 
 def mean_and_cov(df: DataFrame, features: Features, ddof: int = 1) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, mean vector and covariance in one scan."""
+    """Row count, mean vector and covariance in one scan.
+
+    Up to ``EXPRESSION_WIDTH`` named columns the upper triangle is one aggregate
+    of built-in covariances, without leaving the JVM.  Everything else uses
+    one-pass Arrow moments, since the number of expressions grows with p squared.
+    """
+    if not isinstance(features, str) and len(features) <= EXPRESSION_WIDTH:
+        return _mean_and_cov_expressions(df, features, ddof)
     state = collect_moments(moment_partials(vectorize(df, features))).get(0)
     if state is None or state[0] <= ddof:
         raise ValueError("not enough rows for a covariance")
@@ -183,74 +192,59 @@ def mean_and_cov(df: DataFrame, features: Features, ddof: int = 1) -> tuple[int,
     return int(n), mean, m2 / (n - ddof)
 
 
-# -- operators ---------------------------------------------------------------------
-
-
-def mean_vector(df: DataFrame, features: Features) -> DataFrame:
-    """Column means as ``(i, v)``."""
-    p = width(df, features)
-    if p <= EXPRESSION_WIDTH:
-        sums = df.agg(F.array(*[F.avg(c) for c in feature_columns(features, p)]).alias("m"))
-        return sums.select(F.posexplode("m").alias("i", "v"))
+def _mean_and_cov_expressions(df, features, ddof):
+    p = len(features)
+    named = df.select(*[checked(F.col(c)).alias(f"f{j}") for j, c in enumerate(features)])
+    stat = F.covar_samp if ddof == 1 else F.covar_pop
+    cells = [(i, j) for i in range(p) for j in range(i, p)]
+    row = named.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.avg(f"f{j}") for j in range(p)]).alias("mean"),
+        F.array(*[stat(f"f{i}", f"f{j}") for i, j in cells]).alias("upper"),
+    ).head()
+    if row["n"] <= ddof:
+        raise ValueError("not enough rows for a covariance")
+    cov = np.empty((p, p))
+    for (i, j), v in zip(cells, row["upper"], strict=True):
+        cov[i, j] = cov[j, i] = v
+    return int(row["n"]), np.array(row["mean"]), cov
 
-    def finish(batches):
-        acc = None
-        for batch in batches:
-            for r, n in enumerate(batch.column("n").to_pylist()):
-                acc = _merge(acc, n, batch.column("mean")[r].values.to_numpy(), None)
-        if acc is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(acc[1].size, dtype=np.int32)), pa.array(acc[1])], names=["i", "v"])
 
-    partials = moment_partials(vectorize(df, features), second=False)
-    return partials.repartition(1).mapInArrow(finish, VECTOR_SCHEMA)
+def mean_only(df: DataFrame, features: Features) -> tuple[int, np.ndarray]:
+    """Row count and mean vector in one scan."""
+    if not isinstance(features, str) and len(features) <= EXPRESSION_WIDTH:
+        cols = [checked(F.col(c)) for c in features]
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in cols]).alias("m")).head()
+        return int(row["n"]), np.array(row["m"], dtype=float)
+    state = collect_moments(moment_partials(vectorize(df, features), second=False)).get(0)
+    if state is None:
+        raise ValueError("no rows")
+    return int(state[0]), state[1]
 
 
-def covariance(df: DataFrame, features: Features, ddof: int = 1, method: str = "auto") -> DataFrame:
-    """Sample covariance matrix ``(i, j, v)``.
+# -- operators ---------------------------------------------------------------------
 
-    Up to ``EXPRESSION_WIDTH`` features the upper triangle is one aggregate of
-    built-in covariances.  Wider tables use one-pass Arrow moments, since the
-    number of expressions grows with p squared.
-    """
-    p = width(df, features)
-    if method == "auto":
-        method = "expressions" if p <= EXPRESSION_WIDTH else "moments"
-    if method == "expressions":
-        return _covariance_expressions(df, features, p, ddof)
-
-    def finish(batches):
-        acc = None
-        for batch in batches:
-            for r, n in enumerate(batch.column("n").to_pylist()):
-                acc = _merge(acc, n, *_unpack(batch.column("mean")[r].values.to_numpy(), batch.column("m2")[r].values.to_numpy()))
-        if acc is not None and acc[0] > ddof:
-            cov = acc[2] / (acc[0] - ddof)
-            i, j = np.indices(cov.shape, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(cov.ravel())], names=["i", "j", "v"])
 
-    # at most MERGE_TASKS rows reach the last task
-    return moment_partials(vectorize(df, features)).repartition(1).mapInArrow(finish, MATRIX_SCHEMA)
+def mean_vector(df: DataFrame, features: Features) -> DataFrame:
+    """Column means as ``(i, v)``."""
+    return vector_table(df.sparkSession, mean_only(df, features)[1])
 
 
-def _covariance_expressions(df, features, p, ddof):
-    cols = feature_columns(features, p)
-    named = df.select(*[c.alias(f"f{j}") for j, c in enumerate(cols)])
-    stat = F.covar_samp if ddof == 1 else F.covar_pop
-    cells = [(i, j) for i in range(p) for j in range(i, p)]
-    row = named.agg(*[stat(f"f{i}", f"f{j}").alias(f"c{i}_{j}") for i, j in cells])
-    both = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{min(i, j)}_{max(i, j)}").alias("v"))
-            for i in range(p) for j in range(p)]
-    return row.select(F.inline(F.array(*both)))
+def covariance(df: DataFrame, features: Features, ddof: int = 1) -> DataFrame:
+    """Sample covariance matrix ``(i, j, v)``."""
+    return matrix_table(df.sparkSession, mean_and_cov(df, features, ddof)[2])
 
 
 def cov_to_corr(cov: DataFrame) -> DataFrame:
     """Correlation matrix; a feature without variance is an error."""
-    var = cov.where("i = j").select(F.col("i").alias("d"), F.col("v").alias("var"))
-    a = var.select(F.col("d").alias("i"), F.col("var").alias("vi"))
-    b = var.select(F.col("d").alias("j"), F.col("var").alias("vj"))
+    variance = F.when(F.col("i") == F.col("j"), F.col("v"))
+    both = cov.withColumns({
+        "vi": F.max(variance).over(Window.partitionBy("i")),
+        "vj": F.max(variance).over(Window.partitionBy("j")),
+    })
     scale = F.sqrt(F.col("vi") * F.col("vj"))
     safe = F.when(scale > 0, F.col("v") / scale).otherwise(F.raise_error(F.lit("feature without variance")).cast("double"))
-    return cov.join(a, "i").join(b, "j").select("i", "j", safe.alias("v"))
+    return both.select("i", "j", safe.alias("v"))
 
 
 def constant_features(cov: DataFrame) -> DataFrame:
@@ -263,7 +257,7 @@ def ridge(cov: DataFrame, reg: float | Sequence[float]) -> DataFrame:
     diagonal = F.col("i") == F.col("j")
     if isinstance(reg, (int, float)):
         return cov.select("i", "j", (F.col("v") + F.when(diagonal, F.lit(float(reg))).otherwise(F.lit(0.0))).alias("v"))
-    added = vector_table(cov.sparkSession, reg).select("i", F.col("v").alias("reg"))
+    added = vector_table(cov.sparkSession, [float(r) for r in reg], "reg")
     return cov.join(F.broadcast(added), "i").select(
         "i", "j", (F.col("v") + F.when(diagonal, F.col("reg")).otherwise(F.lit(0.0))).alias("v")
     )

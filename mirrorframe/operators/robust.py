@@ -21,7 +21,6 @@ from mirrorframe.functions import draws, smallmat
 from mirrorframe.functions.orderstats import exact_quantiles, order_statistics
 from mirrorframe.functions.vectors import Features, batch_matrix, vectorize, width
 from mirrorframe.operators.moments import collect_moments, matrix_table, moment_partials
-from mirrorframe.operators.project import row_normalize
 
 START_ROWS = 1500
 SUBSET_ROWS = 300
@@ -233,29 +232,37 @@ class TylerFit:
 
 
 def tyler_fit(df: DataFrame, features: Features, tol: float = 1e-4, maxiter: int = 100, persist: bool = True) -> TylerFit:
-    """Fixed point ``S <- (p/n) sum x x^T / (x^T S^-1 x)`` over rows of unit length; zero rows are left out."""
-    unit = row_normalize(vectorize(df, features), "x").where(F.exists("x", lambda v: v != 0.0))
+    """Fixed point ``S <- (p/n) sum x x^T / (x^T S^-1 x)``; zero rows are left out.
+
+    A term does not change when its row is scaled, so rows need not be brought
+    to unit length first.
+    """
+    vectors = vectorize(df, features)
     if persist:
-        unit = unit.persist(StorageLevel.MEMORY_AND_DISK)
+        vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = unit.count()
+        n = vectors.where(F.exists("x", lambda v: v != 0.0)).count()
         if n == 0:
             raise ValueError("no row with a non-zero feature")
         p = width(df, features)
         scatter, error, steps = np.eye(p), math.inf, 0
         while error > tol and steps < maxiter:
-            inverse = np.linalg.inv(scatter)
-            state = collect_moments(moment_partials(unit, _tyler_weights(inverse), centred=False))[0]
+            weigh = _tyler_weights(np.linalg.inv(scatter))
+            state = collect_moments(moment_partials(vectors, weigh, centred=False))[0]
             moved = state[2] * (p / n)
             error, scatter, steps = float(np.linalg.norm(scatter - moved)), moved, steps + 1
         return TylerFit(n, scatter, steps, error)
     finally:
         if persist:
-            unit.unpersist()
+            vectors.unpersist()
 
 
 def _tyler_weights(inverse):
-    return lambda x: [1.0 / np.einsum("ij,ij->i", x @ inverse, x)]
+    def weigh(x):
+        q = np.einsum("ij,ij->i", x @ inverse, x)
+        return [np.divide(1.0, q, out=np.zeros_like(q), where=q > 0)]
+
+    return weigh
 
 
 def tyler_scatter(df: DataFrame, features: Features, tol: float = 1e-4, maxiter: int = 100) -> DataFrame:

@@ -125,6 +125,27 @@ def with_position(df: DataFrame, key: str, n_rows: int | None = None, rows_per_r
     return numbered.withColumn(out, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_range", "_rank", "_before")
 
 
+def neighbour_pairs(df: DataFrame, key: str, values: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Rows taken two by two in key order: ``(a, b)`` structs of the value columns.
+
+    Range borders are moved by one row where needed so that no pair crosses one;
+    then a single shuffle by range is enough.  A last odd row has no partner.
+    """
+    edges = ranges.range_edges(df, key, df.count(), rows_per_range)
+    if edges:
+        table = df.groupBy(ranges.range_of(key, edges).alias("r")).agg(F.count("*").alias("n"), F.min(key).alias("first")).collect()
+        table = sorted((row["r"], row["n"], row["first"]) for row in table)
+        moved, before = [], 0
+        for (r, n, _), (_, _, first) in zip(table, table[1:], strict=False):
+            before += n
+            moved.append(first if before % 2 else edges[r])
+        edges = sorted(set(moved))
+    local = Window.partitionBy("_range").orderBy(key)
+    row = df.select(key, ranges.range_of(key, edges).alias("_range"), F.struct(*values).alias("a"))
+    row = row.select("a", F.lead("a").over(local).alias("b"), F.row_number().over(local).alias("_n"))
+    return row.where((F.col("_n") % 2 == 1) & F.col("b").isNotNull()).select("a", "b")
+
+
 def shuffle_within_row(df: DataFrame, x: str, key: str, seed: int) -> DataFrame:
     """Permute the values of each row independently of the other rows."""
     tagged = F.transform(x, lambda v, i: F.struct(draws.hash_bits(seed, key, i.cast("long")).alias("h"), i.alias("i"), v.alias("v")))

@@ -38,12 +38,12 @@ def estimate(df: DataFrame, features: Features, estimator: str, key: str | None
 
     The mean is the plain mean for both, as the knockoff formula wants it.
     """
-    n, mu, cov = moments.mean_and_cov(df, features)
     if estimator == "plain":
-        return n, mu, cov
+        return moments.mean_and_cov(df, features)
     if estimator == "mcd":
         if key is None:
             raise ValueError("the robust estimator needs a row key")
+        n, mu = moments.mean_only(df, features)
         return n, mu, robust.mcd_fit(df, features, key, seed=seed).covariance
     raise ValueError(f"unknown estimator: {estimator}")
 
@@ -71,8 +71,8 @@ def second_order(df: DataFrame, features: Features, estimator: str = "plain", ke
         s = geometry.s_asdp(cov, block_size, "cluster" if method == "cluster" else "selfblocks")
     else:
         raise ValueError(f"unknown method: {method}")
-    # The solved vector has one number per feature; keeping it saves solving again downstream.
-    solved = s.toPandas()
+    # one number per feature; keeping it saves solving again downstream
+    solved = s.toArrow().sort_by("i")
     s = spark.createDataFrame(solved)
     target = geometry.target_correlation(cov, s)
     mean_corr = float(target.agg(F.avg("v")).head()[0])
@@ -88,7 +88,7 @@ def two_part_plan(df: DataFrame, catalog, reg: float = 1e-4, **options) -> DataF
         if not names:
             continue
         result = second_order(df, names, reg=reg, **options)
-        labels = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(names), dtype=np.int32), "feature": names}))
+        labels = moments.vector_table(spark, np.array(names), "feature")
         parts.append(result.target_corr.join(F.broadcast(labels), "i").select(F.lit(data_type).alias("data_type"), "feature", "i", "v"))
     out = parts[0]
     for part in parts[1:]:
