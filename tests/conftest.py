@@ -2,6 +2,7 @@ import os
 import sys
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
@@ -18,11 +19,11 @@ def spark():
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .getOrCreate()
     )
-    if not os.environ.get("SPARK_CHECKPOINT_SET"):
-        session = session.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ckpt-"))
-    session = session.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ckpt-"))
     yield session
     session.stop()
 
@@ -32,6 +33,17 @@ def small():
     return f"{DATA}/sf0.001"
 
 
-@pytest.fixture(scope="session")
-def medium():
-    return f"{DATA}/sf0.01"
+@pytest.fixture
+def rng():
+    return np.random.default_rng(5)
+
+
+@pytest.fixture
+def vectors(spark):
+    """An (id, x) table from an array, in a given number of partitions."""
+
+    def make(x, partitions=4):
+        rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
+        return spark.createDataFrame(rows, "id LONG, x ARRAY<DOUBLE>").repartition(partitions)
+
+    return make
