@@ -1,11 +1,11 @@
 """Exact order statistics without a sort and without an unbounded buffer.
 
 The built-in exact ``percentile`` keeps every distinct value of a column in one
-aggregation buffer.  Above ``SMALL`` values the rank is bracketed instead: an
-approximate sketch names two data values around it, one counting aggregate says
-exactly how many values lie below, at and between them, and the bracket shrinks
-by a factor of about a thousand per round.  Ties resolve at once because the
-bracket ends are counted separately.
+aggregation buffer.  Here a rank is bracketed instead: an approximate sketch
+names two data values around it, one counting aggregate says exactly how many
+values lie below and at them, and the bracket shrinks by a factor of about a
+thousand per round until its values fit a small sorted list.  The counts include
+the bracket ends themselves, so a very frequent value is found at once.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 2_000_000
-COLLECT = 100_000
+COLLECT = 50_000
 ACCURACY = 10_000
 TARGETS_PER_JOB = 32
 
@@ -26,25 +25,29 @@ TARGETS_PER_JOB = 32
 class _Target:
     col: str
     rank: int  # 0-based rank among the non-null values
-    low: float | None = None  # open bracket (low, high); None is unbounded
+    inside: int  # values in the open bracket (low, high); None is unbounded
+    low: float | None = None
     high: float | None = None
     below: int = 0  # values <= low
-    inside: int = 0
     value: float | None = None
 
-    def member(self):
+    def bracket(self):
+        return self.col, self.low, self.high
+
+    def members(self):
         c = F.col(self.col)
-        cond = c.isNotNull()
+        keep = c.isNotNull()
         if self.low is not None:
-            cond = cond & (c > F.lit(self.low))
+            keep = keep & (c > F.lit(self.low))
         if self.high is not None:
-            cond = cond & (c < F.lit(self.high))
-        return cond
+            keep = keep & (c < F.lit(self.high))
+        return F.when(keep, c)
 
 
-def counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    row = df.agg(*[F.count(c).alias(f"n{k}") for k, c in enumerate(cols)]).head()
-    return {c: int(row[f"n{k}"]) for k, c in enumerate(cols)}
+def extent(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, float, float]]:
+    """(count, minimum, maximum) of the non-null values of each column."""
+    row = df.agg(*[F.struct(F.count(c), F.min(c), F.max(c)).alias(f"e{k}") for k, c in enumerate(cols)]).head()
+    return {c: tuple(row[f"e{k}"]) for k, c in enumerate(cols)}
 
 
 def order_statistics(
@@ -55,20 +58,21 @@ def order_statistics(
     accuracy: int = ACCURACY,
 ) -> dict[str, dict[int, float]]:
     """The values at the given 0-based ranks of each column, exactly."""
-    n = n or counts(df, list(ranks))
-    targets = [_Target(c, r, inside=n[c]) for c, rs in ranks.items() for r in sorted(set(rs))]
+    if n is None:
+        n = {c: e[0] for c, e in extent(df, list(ranks)).items()}
+    targets = [_Target(c, r, n[c]) for c, rs in ranks.items() for r in sorted(set(rs))]
     for t in targets:
         if not 0 <= t.rank < t.inside:
             raise ValueError(f"rank {t.rank} outside 0..{t.inside - 1} of {t.col}")
-    open_targets = targets
-    while open_targets:
+    todo = targets
+    while todo:
         # A job reads only the columns of its own targets, so splitting wide tables
         # over several jobs reads no column twice and keeps each plan small.
-        for part in _parts([t for t in open_targets if t.inside <= collect_limit]):
+        for part in _parts([t for t in todo if t.inside <= collect_limit]):
             _finish(df, part)
-        for part in _parts([t for t in open_targets if t.inside > collect_limit]):
+        for part in _parts([t for t in todo if t.inside > collect_limit]):
             _narrow(df, part, accuracy)
-        open_targets = [t for t in targets if t.value is None]
+        todo = [t for t in todo if t.value is None]
     out: dict[str, dict[int, float]] = {}
     for t in targets:
         out.setdefault(t.col, {})[t.rank] = t.value
@@ -79,89 +83,84 @@ def _parts(targets):
     return [targets[k:k + TARGETS_PER_JOB] for k in range(0, len(targets), TARGETS_PER_JOB)]
 
 
-def _brackets(targets):
+def _by_bracket(targets):
     groups: dict[tuple, list[_Target]] = {}
     for t in targets:
-        groups.setdefault((t.col, t.low, t.high), []).append(t)
+        groups.setdefault(t.bracket(), []).append(t)
     return list(groups.values())
 
 
 def _finish(df, targets):
-    # At most COLLECT values per bracket, sorted inside one aggregation buffer.
-    groups = _brackets(targets)
-    aggs = []
-    for k, g in enumerate(groups):
-        values = F.sort_array(F.collect_list(F.when(g[0].member(), F.col(g[0].col))))
-        picked = F.transform(F.array(*[F.lit(t.rank - t.below) for t in g]), lambda i: F.get(F.col(f"v{k}"), i))
-        aggs.append((values.alias(f"v{k}"), picked.alias(f"p{k}")))
-    row = df.agg(*[a for a, _ in aggs]).select(*[b for _, b in aggs]).head()
+    # at most COLLECT values per bracket, sorted inside one aggregation buffer
+    groups = _by_bracket(targets)
+    lists = [F.sort_array(F.collect_list(g[0].members())).alias(f"v{k}") for k, g in enumerate(groups)]
+    picks = [F.array(*[F.get(f"v{k}", F.lit(t.rank - t.below)) for t in g]) for k, g in enumerate(groups)]
+    row = df.agg(*lists).select(*[p.alias(f"p{k}") for k, p in enumerate(picks)]).head()
     for k, g in enumerate(groups):
         for t, value in zip(g, row[f"p{k}"], strict=True):
             t.value = value
 
 
 def _narrow(df, targets, accuracy):
-    groups = _brackets(targets)
-    aggs = []
-    for k, g in enumerate(groups):
-        margin = 2.0 / accuracy
-        probs = []
+    margin = 2.0 / accuracy
+    sketches, clusters = [], []
+    for k, g in enumerate(_by_bracket(targets)):
+        # neighbouring ranks share one pair of bracket ends
+        near: list[list[_Target]] = []
         for t in g:
-            f = (t.rank - t.below + 0.5) / t.inside
-            probs += [max(0.0, f - margin), min(1.0, f + margin)]
-        c = F.when(g[0].member(), F.col(g[0].col))
-        aggs.append(F.percentile_approx(c, F.array(*[F.lit(q) for q in probs]), accuracy).alias(f"s{k}"))
-    row = df.agg(*aggs).head()
-    ends = []
-    for k, g in enumerate(groups):
-        for i, t in enumerate(g):
-            ends.append((t, row[f"s{k}"][2 * i], row[f"s{k}"][2 * i + 1]))
-    aggs = []
-    for k, (t, a, b) in enumerate(ends):
-        c, inside = F.col(t.col), t.member()
-        aggs += [
-            F.count_if(inside & (c < F.lit(a))).alias(f"lt{k}"),
-            F.count_if(inside & (c == F.lit(a))).alias(f"ea{k}"),
-            F.count_if(inside & (c > F.lit(a)) & (c < F.lit(b))).alias(f"in{k}"),
-            F.count_if(inside & (c == F.lit(b))).alias(f"eb{k}"),
-        ]
-    row = df.agg(*aggs).head()
-    for k, (t, a, b) in enumerate(ends):
-        lt, ea, mid, eb = (row[f"{s}{k}"] for s in ("lt", "ea", "in", "eb"))
-        pos = t.rank - t.below
-        if pos < lt:
-            t.high, t.inside = a, lt
-        elif pos < lt + ea:
-            t.value = a
-        elif a == b or pos >= lt + ea + mid + eb:
-            above = lt + ea + (0 if a == b else mid + eb)
-            t.low, t.below, t.inside = b, t.below + above, t.inside - above
-        elif pos < lt + ea + mid:
-            t.low, t.high, t.below, t.inside = a, b, t.below + lt + ea, mid
-        else:
-            t.value = b
+            if near and t.rank - near[-1][-1].rank <= 1:
+                near[-1].append(t)
+            else:
+                near.append([t])
+        probs = []
+        for ts in near:
+            first, last = ((t.rank - t.below + 0.5) / t.inside for t in (ts[0], ts[-1]))
+            probs += [max(0.0, first - margin), min(1.0, last + margin)]
+        clusters += [(k, i, ts) for i, ts in enumerate(near)]
+        sketches.append(F.percentile_approx(g[0].members(), F.array(*[F.lit(q) for q in probs]), accuracy).alias(f"s{k}"))
+    found = df.agg(*sketches).head()
+    ends = [(ts, found[f"s{k}"][2 * i], found[f"s{k}"][2 * i + 1]) for k, i, ts in clusters]
+    tallies = []
+    for k, (ts, a, b) in enumerate(ends):
+        c = F.col(ts[0].col)
+        tests = (c < F.lit(a), c <= F.lit(a), c < F.lit(b), c <= F.lit(b))
+        tallies += [F.count_if(test).alias(f"c{k}_{j}") for j, test in enumerate(tests)]
+    row = df.agg(*tallies).head()
+    for k, (ts, a, b) in enumerate(ends):
+        lt_a, le_a, lt_b, le_b = (row[f"c{k}_{j}"] for j in range(4))
+        for t in ts:
+            if t.rank < lt_a:
+                t.high, t.inside = a, lt_a - t.below
+            elif t.rank < le_a:
+                t.value = a
+            elif t.rank < lt_b:
+                t.low, t.high, t.below, t.inside = a, b, le_a, lt_b - le_a
+            elif t.rank < le_b:
+                t.value = b
+            else:
+                t.low, t.below, t.inside = b, le_b, t.inside - (le_b - t.below)
 
 
 def exact_quantiles(
-    df: DataFrame, probs: dict[str, list[float]], small: int = SMALL, n: dict[str, int] | None = None
+    df: DataFrame, probs: dict[str, list[float]], n: dict[str, int] | None = None, **options
 ) -> dict[str, list[float]]:
     """Quantiles with linear interpolation for every column of ``probs``."""
-    cols = list(probs)
-    n = n or counts(df, cols)
-    empty = [c for c in cols if n[c] == 0]
-    if empty:
-        raise ValueError(f"no values in {empty}")
-    if sum(n.values()) <= small:
-        row = df.agg(
-            *[F.percentile(F.col(c), F.array(*[F.lit(float(q)) for q in probs[c]])).alias(f"q{k}") for k, c in enumerate(cols)]
-        ).head()
-        return {c: list(row[f"q{k}"]) for k, c in enumerate(cols)}
-    places = {c: [(q * (n[c] - 1), math.floor(q * (n[c] - 1)), math.ceil(q * (n[c] - 1))) for q in probs[c]] for c in cols}
-    stats = order_statistics(df, {c: [r for _, lo, hi in places[c] for r in (lo, hi)] for c in cols}, n)
+    known: dict[str, dict[int, float]] = {c: {} for c in probs}
+    if n is None:
+        n = {}
+        for c, (count, low, high) in extent(df, list(probs)).items():
+            if count == 0:
+                raise ValueError(f"no values in {c}")
+            n[c] = count
+            known[c] = {0: low, count - 1: high}
+    places = {c: [(q * (n[c] - 1), math.floor(q * (n[c] - 1)), math.ceil(q * (n[c] - 1))) for q in probs[c]] for c in probs}
+    wanted = {c: [r for _, lo, hi in places[c] for r in (lo, hi) if r not in known[c]] for c in probs}
+    for c, values in order_statistics(df, wanted, n, **options).items():
+        known[c].update(values)
     out = {}
-    for c in cols:
+    for c in probs:
         out[c] = []
         for pos, lo, hi in places[c]:
-            a, b = float(stats[c][lo]), float(stats[c][hi])
+            a, b = float(known[c][lo]), float(known[c][hi])
             out[c].append(a if a == b else a + (b - a) * (pos - lo))
     return out

@@ -23,6 +23,15 @@ def checked(c: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("null or NaN feature value")).cast("double")).otherwise(d)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside nested lambdas.
+
+    A column that is only named inside a lambda may be inlined by the optimizer
+    and then be computed once per array element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def drop_incomplete(df: DataFrame, features: Features) -> DataFrame:
     """Keep only rows in which every feature is present and not NaN."""
     if isinstance(features, str):

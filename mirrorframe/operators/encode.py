@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mirrorframe.functions.orderstats import SMALL, exact_quantiles
+from mirrorframe.functions.orderstats import exact_quantiles
 
 MAX_CATEGORIES = 10_000
 
@@ -33,8 +33,12 @@ def catalog_table(spark: SparkSession, catalog: Sequence[Feature]) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, bins: dict[str, int], duplicates: str = "raise", approx: bool = False,
-                   accuracy: int = 100_000, small: int = SMALL) -> dict[str, list[float]]:
-    """All bin edges (minimum and maximum included) of every column, in one aggregate."""
+                   accuracy: int = 100_000) -> dict[str, list[float]]:
+    """All bin edges (minimum and maximum included) of every column.
+
+    Exact by default, in a few column-pruned aggregates for all columns
+    together; ``approx`` takes a single sketch instead.
+    """
     probs = {c: [k / q for k in range(q + 1)] for c, q in bins.items()}
     if approx:
         row = df.agg(*[
@@ -43,7 +47,7 @@ def quantile_edges(df: DataFrame, bins: dict[str, int], duplicates: str = "raise
         ]).head()
         edges = {c: list(row[f"q{k}"]) for k, c in enumerate(bins)}
     else:
-        edges = exact_quantiles(df.select(*bins), probs, small)
+        edges = exact_quantiles(df.select(*bins), probs)
     for c, e in edges.items():
         distinct = sorted(set(e))
         if len(distinct) < len(e):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorframe.functions.vectors import checked
+from mirrorframe.functions.vectors import checked, let
 
 
 def drop_columns(df: DataFrame, cols: Sequence[str] = ("Y", "W")) -> DataFrame:
@@ -57,11 +57,11 @@ def standardize(df: DataFrame, moments: dict[str, tuple[float, float]]) -> DataF
 
 def row_normalize(df: DataFrame, x: str) -> DataFrame:
     """Scale every vector to length 1; zero vectors stay as they are."""
-    squared = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
-    unit = F.transform(x, lambda v: v.cast("double") / F.sqrt(F.col("_sq")))
-    zero = F.transform(x, lambda v: v.cast("double"))
-    # the squared length is its own projection so that it is computed once per row
-    return df.withColumn("_sq", squared).withColumn(x, F.when(F.col("_sq") == 0.0, zero).otherwise(unit)).drop("_sq")
+    def scaled(v):
+        squared = F.aggregate(v, F.lit(0.0), lambda acc, t: acc + t * t)
+        return let(F.sqrt(squared), lambda length: F.when(length == 0.0, v).otherwise(F.transform(v, lambda t: t / length)))
+
+    return df.withColumn(x, let(F.col(x).cast("array<double>"), scaled))
 
 
 def linear_score(df: DataFrame, weights: dict[str, float], out: str = "xbeta") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from mirrorframe.functions import draws, ranges
 from mirrorframe.functions.orderstats import order_statistics
+from mirrorframe.functions.vectors import let
 
 BUCKET_BITS = 12
 HASH_BITS = 53
@@ -155,48 +156,43 @@ def shuffle_within_row(df: DataFrame, x: str, key: str, seed: int) -> DataFrame:
 def soft_probs(df: DataFrame, logits: str, key: str, tau: float, seed: int, chunk_list: list[int] | None = None,
                out: str = "probs", eps: float = 1e-20) -> DataFrame:
     """``softmax((logits + g) / tau)`` with Gumbel noise ``g``, per chunk of the logits."""
-    names, work = _noisy_chunks(df, logits, key, tau, seed, chunk_list, eps)
+    def softmax(c):
+        # the largest exponent is 0, so the sum is at least 1
+        powers = let(F.array_max(c), lambda top: F.transform(c, lambda v: F.exp(v - top)))
+        return let(powers, lambda e: let(_total(e), lambda t: F.transform(e, lambda v: v / t)))
 
-    def scaled(c):
-        # largest exponent is 0, so the sum is at least 1
-        top, total = f"{c}_top", f"{c}_sum"
-        shifted = work.withColumn(top, F.array_max(c)).withColumn(c, F.transform(c, lambda v: F.exp(v - F.col(top))))
-        summed = shifted.withColumn(total, F.aggregate(c, F.lit(0.0), lambda a, v: a + v))
-        return summed.withColumn(c, F.transform(c, lambda v: v / F.col(total))).drop(top, total)
-
-    for c in names:
-        work = scaled(c)
-    return work.withColumn(out, F.concat(*names)).drop(*names)
+    return df.withColumn(out, _per_chunk(_noisy(logits, key, tau, seed, eps), chunk_list, softmax))
 
 
 def gumbel_onehot(df: DataFrame, logits: str, key: str, tau: float, seed: int, chunk_list: list[int] | None = None,
                   out: str = "onehot", eps: float = 1e-20) -> DataFrame:
     """Hard one-hot at the largest noisy logit of each chunk (the first one on a tie)."""
-    names, work = _noisy_chunks(df, logits, key, tau, seed, chunk_list, eps)
+    def harden(c):
+        return let(F.array_position(c, F.array_max(c)), lambda best: F.transform(c, lambda _, i: (i + 1 == best).cast("double")))
+
+    return df.withColumn(out, _per_chunk(_noisy(logits, key, tau, seed, eps), chunk_list, harden))
+
+
+def _total(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, v: a + v)
 
-    def hardened(c):
-        best = F.array_position(c, F.array_max(c))
-        return F.transform(c, lambda v, i: (i + 1 == best).cast("double"))
 
-    for c in names:
-        work = work.withColumn(c, hardened(c))
-    return work.withColumn(out, F.concat(*names)).drop(*names)
+def _noisy(logits, key, tau, seed, eps):
+    def noise(i):
+        return draws.gumbel(draws.uniform(seed, key, i.cast("long")), eps)
 
+    return F.transform(logits, lambda v, i: (v.cast("double") + noise(i)) / F.lit(float(tau)))
 
-def _noisy_chunks(df, logits, key, tau, seed, chunk_list, eps):
-    noisy = F.transform(
-        logits,
-        lambda v, i: (v.cast("double") + draws.gumbel(draws.uniform(seed, key, i.cast("long")), eps)) / F.lit(float(tau)),
-    )
-    work = df.withColumn("_noisy", noisy)
+
+def _per_chunk(values: Column, chunk_list: list[int] | None, fn) -> Column:
+    """``fn`` applied to consecutive slices of an array, put together again."""
     if chunk_list is None:
-        return ["_noisy"], work
-    total = sum(chunk_list)
-    fits = F.when(F.size("_noisy") != total, F.raise_error(F.lit(f"expected {total} logits"))).otherwise(F.col("_noisy"))
-    work = work.withColumn("_noisy", fits)
-    names, start = [], 1
-    for k, length in enumerate(chunk_list):
-        names.append(f"_chunk{k}")
-        work = work.withColumn(names[-1], F.slice("_noisy", start, length))
-        start += length
-    return names, work.drop("_noisy")
+        return let(values, fn)
+    starts = [1 + sum(chunk_list[:k]) for k in range(len(chunk_list))]
+    wrong = F.raise_error(F.lit(f"expected {sum(chunk_list)} logits")).cast("array<double>")
+
+    def split(y):
+        parts = [let(F.slice(y, a, length), fn) for a, length in zip(starts, chunk_list, strict=True)]
+        return F.when(F.size(y) == sum(chunk_list), F.concat(*parts)).otherwise(wrong)
+
+    return let(values, split)

@@ -16,7 +16,6 @@ def test_codes_equal_qcut(spark, rng, q):
     for values in (rng.normal(size=203), rng.integers(0, 40, size=203)):
         want = pd.qcut(pd.Series(values), q, labels=False).tolist()
         assert _codes(spark, values, q) == want
-        assert _codes(spark, values, q, small=0) == want
 
 
 def test_tied_edges(spark):

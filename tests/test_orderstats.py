@@ -43,7 +43,7 @@ def test_large_path_equals_small_path(spark, rng):
     df = _table(spark, values)
     probs = {"v": [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]}
     a = exact_quantiles(df, probs)["v"]
-    b = exact_quantiles(df, probs, small=0)["v"]
+    b = exact_quantiles(df, probs, collect_limit=10, accuracy=100)["v"]
     assert np.allclose(a, b, rtol=0, atol=1e-12)
     assert np.allclose(a, np.quantile(values[:-2], probs["v"]), rtol=0, atol=1e-12)
 
