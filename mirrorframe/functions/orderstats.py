@@ -1,11 +1,12 @@
 """Exact order statistics without a sort and without an unbounded buffer.
 
 The built-in exact ``percentile`` keeps every distinct value of a column in one
-aggregation buffer.  Here a rank is bracketed instead: an approximate sketch
-names two data values around it, one counting aggregate says exactly how many
-values lie below and at them, and the bracket shrinks by a factor of about a
-thousand per round until its values fit a small sorted list.  The counts include
-the bracket ends themselves, so a very frequent value is found at once.
+aggregation buffer.  Here a rank is bracketed instead: a KLL sketch names two data
+values around it, one counting aggregate says exactly how many values lie below
+and at them, and the bracket shrinks by a factor of several hundred per round
+until its values fit a small sorted list.  The counts include the bracket ends
+themselves, so a very frequent value is found at once.  The sketch only steers
+the search; the counts decide.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COLLECT = 50_000
-ACCURACY = 10_000
+SKETCH_SIZE = 16_384
 TARGETS_PER_JOB = 32
 
 
@@ -44,22 +46,41 @@ class _Target:
         return F.when(keep, c)
 
 
-def extent(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, float, float]]:
-    """(count, minimum, maximum) of the non-null values of each column."""
-    row = df.agg(*[F.struct(F.count(c), F.min(c), F.max(c)).alias(f"e{k}") for k, c in enumerate(cols)]).head()
-    return {c: tuple(row[f"e{k}"]) for k, c in enumerate(cols)}
+def _margin(sketch_size: int) -> float:
+    """A little more than the published rank error of the sketch."""
+    return 6.0 / sketch_size**0.9
+
+
+def _sketch(df: DataFrame, col: str, value: Column, size: int) -> tuple[Column, object]:
+    """The sketch aggregate of a numeric column and the function that reads quantiles from it."""
+    if isinstance(df.schema[col].dataType, T.IntegralType):
+        return F.kll_sketch_agg_bigint(value.cast("long"), size), F.kll_sketch_get_quantile_bigint
+    return F.kll_sketch_agg_double(value.cast("double"), size), F.kll_sketch_get_quantile_double
+
+
+def _fractions(values) -> Column:
+    return F.array(*[F.lit(min(1.0, max(0.0, v))) for v in values])
+
+
+def sketch_quantiles(df: DataFrame, col: str, probs: list[float], size: int = SKETCH_SIZE) -> list:
+    """Approximate quantiles that are values of the column."""
+    agg, read = _sketch(df, col, F.col(col), size)
+    return list(df.agg(agg.alias("s")).select(read("s", _fractions(probs)).alias("q")).head()["q"])
 
 
 def order_statistics(
     df: DataFrame,
     ranks: dict[str, list[int]],
-    n: dict[str, int] | None = None,
+    n: dict[str, int],
     collect_limit: int = COLLECT,
-    accuracy: int = ACCURACY,
+    sketch_size: int = SKETCH_SIZE,
+    hints: dict[tuple[str, int], tuple[float, float]] | None = None,
 ) -> dict[str, dict[int, float]]:
-    """The values at the given 0-based ranks of each column, exactly."""
-    if n is None:
-        n = {c: e[0] for c, e in extent(df, list(ranks)).items()}
+    """The values at the given 0-based ranks of each column, exactly.
+
+    ``n`` is the number of non-null values per column.  ``hints`` may name two
+    values around a rank, which saves the first sketch.
+    """
     targets = [_Target(c, r, n[c]) for c, rs in ranks.items() for r in sorted(set(rs))]
     for t in targets:
         if not 0 <= t.rank < t.inside:
@@ -71,7 +92,8 @@ def order_statistics(
         for part in _parts([t for t in todo if t.inside <= collect_limit]):
             _finish(df, part)
         for part in _parts([t for t in todo if t.inside > collect_limit]):
-            _narrow(df, part, accuracy)
+            _tally(df, _hinted(part, hints) if hints else _sketched(df, part, sketch_size))
+        hints = None
         todo = [t for t in todo if t.value is None]
     out: dict[str, dict[int, float]] = {}
     for t in targets:
@@ -101,9 +123,16 @@ def _finish(df, targets):
             t.value = value
 
 
-def _narrow(df, targets, accuracy):
-    margin = 2.0 / accuracy
-    sketches, clusters = [], []
+def _hinted(targets, hints):
+    ends: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        ends.setdefault((t.col, *hints[t.col, t.rank]), []).append(t)
+    return [(ts, a, b) for (_, a, b), ts in ends.items()]
+
+
+def _sketched(df, targets, size):
+    margin = _margin(size)
+    sketches, reads, clusters = [], [], []
     for k, g in enumerate(_by_bracket(targets)):
         # neighbouring ranks share one pair of bracket ends
         near: list[list[_Target]] = []
@@ -115,11 +144,17 @@ def _narrow(df, targets, accuracy):
         probs = []
         for ts in near:
             first, last = ((t.rank - t.below + 0.5) / t.inside for t in (ts[0], ts[-1]))
-            probs += [max(0.0, first - margin), min(1.0, last + margin)]
+            probs += [first - margin, last + margin]
+        agg, read = _sketch(df, g[0].col, g[0].members(), size)
+        sketches.append(agg.alias(f"s{k}"))
+        reads.append(read(f"s{k}", _fractions(probs)).alias(f"q{k}"))
         clusters += [(k, i, ts) for i, ts in enumerate(near)]
-        sketches.append(F.percentile_approx(g[0].members(), F.array(*[F.lit(q) for q in probs]), accuracy).alias(f"s{k}"))
-    found = df.agg(*sketches).head()
-    ends = [(ts, found[f"s{k}"][2 * i], found[f"s{k}"][2 * i + 1]) for k, i, ts in clusters]
+    found = df.agg(*sketches).select(*reads).head()
+    return [(ts, found[f"q{k}"][2 * i], found[f"q{k}"][2 * i + 1]) for k, i, ts in clusters]
+
+
+def _tally(df, ends):
+    """Count below and at the bracket ends and keep the part that holds each rank."""
     tallies = []
     for k, (ts, a, b) in enumerate(ends):
         c = F.col(ts[0].col)
@@ -142,20 +177,35 @@ def _narrow(df, targets, accuracy):
 
 
 def exact_quantiles(
-    df: DataFrame, probs: dict[str, list[float]], n: dict[str, int] | None = None, **options
+    df: DataFrame, probs: dict[str, list[float]], collect_limit: int = COLLECT, sketch_size: int = SKETCH_SIZE
 ) -> dict[str, list[float]]:
-    """Quantiles with linear interpolation for every column of ``probs``."""
-    known: dict[str, dict[int, float]] = {c: {} for c in probs}
-    if n is None:
-        n = {}
-        for c, (count, low, high) in extent(df, list(probs)).items():
-            if count == 0:
-                raise ValueError(f"no values in {c}")
-            n[c] = count
-            known[c] = {0: low, count - 1: high}
-    places = {c: [(q * (n[c] - 1), math.floor(q * (n[c] - 1)), math.ceil(q * (n[c] - 1))) for q in probs[c]] for c in probs}
+    """Quantiles with linear interpolation for every column of ``probs``; nulls and NaN are left out.
+
+    The first scan counts, finds the extremes and sketches all columns at once.
+    """
+    margin = _margin(sketch_size)
+    df = df.select(*[_without_nan(df, c) for c in probs])
+    aggs, reads = [], []
+    for k, c in enumerate(probs):
+        agg, read = _sketch(df, c, F.col(c), sketch_size)
+        aggs += [F.count(c).alias(f"n{k}"), F.min(c).alias(f"a{k}"), F.max(c).alias(f"b{k}"), agg.alias(f"s{k}")]
+        around = _fractions(v for q in probs[c] for v in (q - margin, q + margin))
+        reads += [f"n{k}", f"a{k}", f"b{k}", F.when(F.col(f"n{k}") > 0, read(f"s{k}", around)).alias(f"q{k}")]
+    first = df.agg(*aggs).select(*reads).head()
+    n, known, places, hints = {}, {}, {}, {}
+    for k, c in enumerate(probs):
+        n[c] = first[f"n{k}"]
+        if n[c] == 0:
+            raise ValueError(f"no values in {c}")
+        known[c] = {0: first[f"a{k}"], n[c] - 1: first[f"b{k}"]}
+        places[c] = []
+        for i, q in enumerate(probs[c]):
+            pos = q * (n[c] - 1)
+            places[c].append((pos, math.floor(pos), math.ceil(pos)))
+            for r in places[c][-1][1:]:
+                hints[c, r] = (first[f"q{k}"][2 * i], first[f"q{k}"][2 * i + 1])
     wanted = {c: [r for _, lo, hi in places[c] for r in (lo, hi) if r not in known[c]] for c in probs}
-    for c, values in order_statistics(df, wanted, n, **options).items():
+    for c, values in order_statistics(df, wanted, n, collect_limit, sketch_size, hints).items():
         known[c].update(values)
     out = {}
     for c in probs:
@@ -164,3 +214,16 @@ def exact_quantiles(
             a, b = float(known[c][lo]), float(known[c][hi])
             out[c].append(a if a == b else a + (b - a) * (pos - lo))
     return out
+
+
+def _without_nan(df, c):
+    if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c), F.col(c)).alias(c)
+    return F.col(c)
+
+
+def exact_median(df: DataFrame, col: str, n: int) -> float:
+    """The median of a column without nulls whose length is known."""
+    ranks = [(n - 1) // 2, n // 2]
+    found = order_statistics(df, {col: ranks}, {col: n})[col]
+    return 0.5 * (found[ranks[0]] + found[ranks[1]])

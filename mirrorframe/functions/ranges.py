@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RANGES = 10_000
+from mirrorframe.functions.orderstats import sketch_quantiles
+
+MAX_RANGES = 4_000
 INLINE_EDGES = 64
 
 
@@ -22,9 +24,7 @@ def range_edges(df: DataFrame, key: str, n_rows: int, rows_per_range: int) -> li
     wanted = min(MAX_RANGES, -(-n_rows // rows_per_range))
     if wanted <= 1:
         return []
-    probs = F.array(*[F.lit(i / wanted) for i in range(1, wanted)])
-    edges = df.agg(F.percentile_approx(key, probs, max(10_000, 10 * wanted)).alias("e")).head()["e"]
-    return sorted(set(edges))
+    return sorted(set(sketch_quantiles(df, key, [i / wanted for i in range(1, wanted)])))
 
 
 def range_of(key: str, edges: list) -> Column:

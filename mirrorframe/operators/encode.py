@@ -58,13 +58,13 @@ def quantile_edges(df: DataFrame, bins: dict[str, int], duplicates: str = "raise
 
 
 def apply_edges(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
-    """Bin codes 0.. with intervals closed on the right; nulls stay null."""
+    """Bin codes 0.. with intervals closed on the right; nulls and NaN get null."""
     out = {}
     for c, e in edges.items():
         code = F.lit(0)
         for edge in e[1:-1]:
             code = code + (F.col(c) > F.lit(edge)).cast("int")
-        out[c] = F.when(F.col(c).isNotNull(), code)
+        out[c] = F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), code)
     return df.withColumns(out)
 
 

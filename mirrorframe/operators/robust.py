@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from mirrorframe.functions import draws, smallmat
-from mirrorframe.functions.orderstats import exact_quantiles, order_statistics
+from mirrorframe.functions.orderstats import exact_median, order_statistics
 from mirrorframe.functions.vectors import Features, batch_matrix, vectorize, width
 from mirrorframe.operators.moments import collect_moments, matrix_table, moment_partials
 
@@ -169,7 +169,7 @@ def _moments_within(vectors, states, cuts):
 
 def _finish(vectors, mu, s, n, h, p, log_dets) -> RobustFit:
     """Median correction, then one reweighting step with the 97.5% chi-square cut."""
-    half = exact_quantiles(_distances(vectors, [(mu, s)]), {"d0": [0.5]}, n={"d0": n})["d0"][0]
+    half = exact_median(_distances(vectors, [(mu, s)]), "d0", n)
     correction = half / smallmat.chi2_quantile(0.5, p)
     cut = smallmat.chi2_quantile(0.975, p) * correction
     (location, covariance, support), = _moments_within(vectors, [(mu, s)], [cut])

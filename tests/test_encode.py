@@ -31,7 +31,7 @@ def test_constant_column_is_rejected(spark):
 
 
 def test_null_has_no_code(spark):
-    assert _codes(spark, [1, 2, None, 3, 4], 2) == [0, 0, None, 1, 1]
+    assert _codes(spark, [1, 2, None, 3, 4, float("nan")], 2) == [0, 0, None, 1, 1, None]
 
 
 def test_approximate_edges_are_close(spark, rng):
