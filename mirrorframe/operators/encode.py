@@ -83,16 +83,19 @@ def rebin_like(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     return apply_edges(df, edges)
 
 
+def _distinct_categories(df, factors):
+    """(factor number, category), every observed pair once; duplicates go before the shuffle."""
+    cells = [e for k, c in enumerate(factors) for e in (F.lit(k), F.col(c).cast("string"))]
+    return df.select(F.stack(F.lit(len(factors)), *cells).alias("factor", "category")).where("category is not null").distinct()
+
+
 def category_table(df: DataFrame, factors: Sequence[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
     """Sorted non-null categories of every factor, found in one pass.
 
     The distinct values are counted before they are collected: a factor that
     would become more than ``max_categories`` columns is an error.
     """
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("factor"), F.col(c).cast("string").alias("category")) for k, c in enumerate(factors)
-    ]))
-    seen = df.select(pairs.alias("s")).select("s.*").where(F.col("category").isNotNull()).distinct()
+    seen = _distinct_categories(df, factors)
     rows = seen.limit(max_categories * len(factors) + 1).collect()
     out = {c: sorted(r["category"] for r in rows if r["factor"] == k) for k, c in enumerate(factors)}
     wide = [c for c, values in out.items() if len(values) > max_categories]
@@ -133,12 +136,10 @@ def derive_catalog(categories: dict[str, list[str]], cont: Sequence[str], cat_fi
 
 def chunk_positions(df: DataFrame, factors: Sequence[str]) -> DataFrame:
     """Chunk size and first flat position of every factor, from the distinct categories."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("chunk_id"), F.lit(c).alias("factor"), F.col(c).cast("string").alias("category"))
-        for k, c in enumerate(factors)
-    ]))
-    seen = df.select(pairs.alias("s")).select("s.*").where(F.col("category").isNotNull()).distinct()
-    sizes = seen.groupBy("chunk_id", "factor").agg(F.count("*").cast("int").alias("chunk_size"))
+    names = F.array(*[F.lit(c) for c in factors])
+    seen = _distinct_categories(df, factors).withColumnRenamed("factor", "chunk_id")
+    sizes = seen.groupBy("chunk_id").agg(F.count("*").cast("int").alias("chunk_size"))
+    sizes = sizes.select("chunk_id", F.get(names, "chunk_id").alias("factor"), "chunk_size")
     before = Window.orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
     # one row per factor
     return sizes.withColumn("first_pos", F.coalesce(F.sum("chunk_size").over(before), F.lit(0)).cast("int"))

@@ -89,15 +89,15 @@ def _cumulated(df: DataFrame, prob: str, observed: str, scores_per_range: int):
     carry the sums over range borders.
     """
     label = F.col(observed).cast("int")
-    step = df.groupBy(F.col(prob).cast("double").alias("score")).agg(
-        F.count_if(label == 1).alias("pos"), F.count_if(label == 0).alias("neg")
-    )
+    scored = df.select(F.col(prob).cast("double").alias("score"), (label == 1).cast("int").alias("one"), (label == 0).cast("int").alias("zero"))
+    step = scored.groupBy("score").agg(F.sum("one").alias("pos"), F.sum("zero").alias("neg"))
     # edges from the plain rows: the aggregated table is then shuffled only once,
     # as both the totals and the running sums read the same exchange
-    edges = ranges.range_edges(df.select(F.col(prob).cast("double").alias("score")), "score", df.count(), scores_per_range)
+    edges = ranges.range_edges(scored, "score", df.count(), scores_per_range)
     step = step.withColumn("_range", ranges.range_of("score", edges))
-    high = F.struct("score", "pos", "neg")
-    totals = step.groupBy("_range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"), F.max(high).alias("top"))
+    totals = step.groupBy("_range").agg(
+        F.sum("pos").alias("rp"), F.sum("neg").alias("rn"), F.max_by("pos", "score").alias("top_pos"), F.max_by("neg", "score").alias("top_neg")
+    )
     down = Window.orderBy(F.desc("_range"))  # one row per range
     before = down.rowsBetween(Window.unboundedPreceding, -1)
     whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -108,18 +108,21 @@ def _cumulated(df: DataFrame, prob: str, observed: str, scores_per_range: int):
         F.sum("rp").over(whole).alias("P"),
         F.sum("rn").over(whole).alias("N"),
         F.lag("_range").over(down).isNull().alias("first_range"),
-        F.lead("top").over(down).alias("next_top"),
+        F.lead("top_pos").over(down).alias("below_pos"),
+        F.lead("top_neg").over(down).alias("below_neg"),
     )
     local = Window.partitionBy("_range").orderBy(F.desc("score"))
     run = local.rowsBetween(Window.unboundedPreceding, 0)
-    joined = step.join(F.broadcast(offsets), "_range")
+    # a left join: an inner one would push "range is not null" below the aggregate
+    # of one side only, and the two sides would no longer share their exchange
+    joined = step.join(F.broadcast(offsets), "_range", "left")
     return joined.select(
         "score", "pos", "neg", "P", "N",
         (F.col("p0") + F.sum("pos").over(run)).alias("tp"),
         (F.col("n0") + F.sum("neg").over(run)).alias("fp"),
         (F.col("first_range") & (F.row_number().over(local) == 1)).alias("is_first"),
-        F.coalesce(F.lead("pos").over(local), F.col("next_top.pos")).alias("next_pos"),
-        F.coalesce(F.lead("neg").over(local), F.col("next_top.neg")).alias("next_neg"),
+        F.coalesce(F.lead("pos").over(local), F.col("below_pos")).alias("next_pos"),
+        F.coalesce(F.lead("neg").over(local), F.col("below_neg")).alias("next_neg"),
     )
 
 
@@ -167,14 +170,13 @@ def feature_histogram(df: DataFrame, cols: Sequence[str], bins: int = 10) -> Dat
     cells = []
     for k, (c, low, high) in enumerate(spans):
         width = (high - low) / bins
-        at = F.least(F.floor((F.col(c).cast("double") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(bins - 1))
-        cells.append(F.struct(F.lit(k).alias("k"), at.alias("bin")))
-    counts = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*").where("bin is not null").groupBy("k", "bin").count()
+        cells += [F.lit(k), F.least(F.floor((F.col(c).cast("double") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(bins - 1))]
+    counts = df.select(F.stack(F.lit(len(spans)), *cells).alias("k", "bin")).where("bin is not null").groupBy("k", "bin").count()
     spark = df.sparkSession
     frame = spark.createDataFrame(
         [(k, c, b, low + b * (high - low) / bins, low + (b + 1) * (high - low) / bins)
          for k, (c, low, high) in enumerate(spans) for b in range(bins)],
         "k INT, feature STRING, bin INT, low DOUBLE, high DOUBLE",
     )
-    joined = F.broadcast(frame).join(counts, ["k", "bin"], "left")
+    joined = frame.join(counts, ["k", "bin"], "left")
     return joined.select("feature", "bin", "low", "high", F.coalesce("count", F.lit(0)).alias("n"))

@@ -126,5 +126,5 @@ def estimator_sweep(df: DataFrame, features: Features, grid: Sequence[tuple[int,
             s = smallmat.max_sum_s(corr, tol)
         return pd.DataFrame({"run_id": int(pdf["run_id"].iloc[0]), "i": np.arange(p, dtype=np.int32), "v": 1.0 - s})
 
-    cells = F.broadcast(grid).join(matrices, "robust_cov")
+    cells = grid.join(matrices, "robust_cov")
     return cells.groupBy("run_id").applyInPandas(solve, "run_id INT, i INT, v DOUBLE")
