@@ -51,23 +51,17 @@ def _margin(sketch_size: int) -> float:
     return 6.0 / sketch_size**0.9
 
 
-def _sketch(df: DataFrame, col: str, value: Column, size: int) -> tuple[Column, object]:
+def sketch(df: DataFrame, col: str, value: Column, size: int) -> tuple[Column, object]:
     """The sketch aggregate of a numeric column and the function that reads quantiles from it."""
     if isinstance(df.schema[col].dataType, T.IntegralType):
         return F.kll_sketch_agg_bigint(value.cast("long"), size), F.kll_sketch_get_quantile_bigint
     return F.kll_sketch_agg_double(value.cast("double"), size), F.kll_sketch_get_quantile_double
 
 
-def _fractions(values) -> Column:
+def fractions(values) -> Column:
     return F.array(*[F.lit(min(1.0, max(0.0, v))) for v in values])
 
 
-def sketch_quantiles(df: DataFrame, col: str, probs: list[float], size: int = SKETCH_SIZE) -> list:
-    """Approximate quantiles that are values of the column."""
-    agg, read = _sketch(df, col, F.col(col), size)
-    return list(df.agg(agg.alias("s")).select(read("s", _fractions(probs)).alias("q")).head()["q"])
-
-
 def order_statistics(
     df: DataFrame,
     ranks: dict[str, list[int]],
@@ -145,9 +139,9 @@ def _sketched(df, targets, size):
         for ts in near:
             first, last = ((t.rank - t.below + 0.5) / t.inside for t in (ts[0], ts[-1]))
             probs += [first - margin, last + margin]
-        agg, read = _sketch(df, g[0].col, g[0].members(), size)
+        agg, read = sketch(df, g[0].col, g[0].members(), size)
         sketches.append(agg.alias(f"s{k}"))
-        reads.append(read(f"s{k}", _fractions(probs)).alias(f"q{k}"))
+        reads.append(read(f"s{k}", fractions(probs)).alias(f"q{k}"))
         clusters += [(k, i, ts) for i, ts in enumerate(near)]
     found = df.agg(*sketches).select(*reads).head()
     return [(ts, found[f"q{k}"][2 * i], found[f"q{k}"][2 * i + 1]) for k, i, ts in clusters]
@@ -187,9 +181,9 @@ def exact_quantiles(
     df = df.select(*[_without_nan(df, c) for c in probs])
     aggs, reads = [], []
     for k, c in enumerate(probs):
-        agg, read = _sketch(df, c, F.col(c), sketch_size)
+        agg, read = sketch(df, c, F.col(c), sketch_size)
         aggs += [F.count(c).alias(f"n{k}"), F.min(c).alias(f"a{k}"), F.max(c).alias(f"b{k}"), agg.alias(f"s{k}")]
-        around = _fractions(v for q in probs[c] for v in (q - margin, q + margin))
+        around = fractions(v for q in probs[c] for v in (q - margin, q + margin))
         reads += [f"n{k}", f"a{k}", f"b{k}", F.when(F.col(f"n{k}") > 0, read(f"s{k}", around)).alias(f"q{k}")]
     first = df.agg(*aggs).select(*reads).head()
     n, known, places, hints = {}, {}, {}, {}

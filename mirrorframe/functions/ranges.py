@@ -13,18 +13,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mirrorframe.functions.orderstats import sketch_quantiles
+from mirrorframe.functions.orderstats import SKETCH_SIZE, fractions, sketch
 
 MAX_RANGES = 4_000
 INLINE_EDGES = 64
 
 
-def range_edges(df: DataFrame, key: str, n_rows: int, rows_per_range: int) -> list:
-    """Upper edges of about ``n_rows / rows_per_range`` ranges of near equal size."""
-    wanted = min(MAX_RANGES, -(-n_rows // rows_per_range))
-    if wanted <= 1:
-        return []
-    return sorted(set(sketch_quantiles(df, key, [i / wanted for i in range(1, wanted)])))
+def range_edges(df: DataFrame, key: str, rows_per_range: int) -> tuple[int, list]:
+    """Row count and the upper edges of ranges of near equal size, in one scan."""
+    agg, read = sketch(df, key, F.col(key), SKETCH_SIZE)
+    grid = fractions(i / MAX_RANGES for i in range(1, MAX_RANGES))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("k"), agg.alias("s")).select(
+        "n", F.when(F.col("k") > 0, read("s", grid)).alias("q")
+    ).head()
+    wanted = min(MAX_RANGES, -(-row["n"] // rows_per_range))
+    picked = [row["q"][i * MAX_RANGES // wanted - 1] for i in range(1, wanted)]
+    return row["n"], sorted(set(picked))
 
 
 def range_of(key: str, edges: list) -> Column:

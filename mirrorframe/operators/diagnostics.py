@@ -91,21 +91,35 @@ def decorrelation_gap(pairs: DataFrame, target_corr: DataFrame, x: str = "x", xk
 
 
 def mmd(pairs: DataFrame, key: str, alphas: Sequence[float] = ALPHAS, seed: int = 0, x: str = "x", xk: str = "xk",
-        rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+        rows_per_range: int = ROWS_PER_RANGE, keys: DataFrame | None = None) -> DataFrame:
     """Kernel distance between (X, Xk) and its swaps, in linear time.
 
     Rows are taken two by two in key order (a last single row has no partner);
     each pair gives one term of the unbiased estimate, so n rows cost n/2 kernel
     evaluations.  ``full_swap`` exchanges every feature with its knockoff,
-    ``partial_swap`` a hash-chosen half of them.
+    ``partial_swap`` a hash-chosen half of them.  ``keys`` may name a cheaper
+    table with the same keys (the original features), so that finding the row
+    order does not generate the knockoffs again.
     """
-    two = neighbour_pairs(pairs.select(key, F.col(x).alias("x"), F.col(xk).alias("k")), key, ["x", "k"], rows_per_range)
+    two = neighbour_pairs(pairs.select(key, F.col(x).alias("x"), F.col(xk).alias("k")), key, ["x", "k"], rows_per_range, keys)
+    # the same hash as draws.hash_bits(seed, j): one uniform per feature
+    start = draws.hash_long_np(np.array([seed]), np.array([42], dtype=np.uint64))
 
-    def squares(u, w):
-        return F.zip_with(u, w, lambda s, t: (s - t) * (s - t))
-
-    def total(v):
-        return F.aggregate(v, F.lit(0.0), lambda s, t: s + t)
+    def distances(batches):
+        """Squared distance of the two rows unswapped, swapped, and with the chosen features swapped."""
+        for batch in batches:
+            ax, ak, bx, bk = (batch_matrix(batch.column(c)) for c in ("ax", "ak", "bx", "bk"))
+            if ax.shape[0] == 0:
+                continue
+            bits = draws.hash_long_np(np.arange(ax.shape[1]), start) >> np.uint64(11)
+            chosen = bits.astype(np.float64) / draws.TWO_POW_53 < 0.5
+            same = (ax - bx) ** 2 + (ak - bk) ** 2
+            swap = (ax - bk) ** 2 + (ak - bx) ** 2
+            sums = (same.sum(axis=1), swap.sum(axis=1), np.where(chosen, swap, same).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in sums], names=["same", "full", "part"])
+
+    flat = two.select(F.col("a.x").alias("ax"), F.col("a.k").alias("ak"), F.col("b.x").alias("bx"), F.col("b.k").alias("bk"))
+    terms = flat.mapInArrow(distances, "same DOUBLE, full DOUBLE, part DOUBLE")
 
     def kernel(d2):
         value = F.lit(0.0)
@@ -113,21 +127,7 @@ def mmd(pairs: DataFrame, key: str, alphas: Sequence[float] = ALPHAS, seed: int
             value = value + F.exp(-d2 / F.lit(2.0 * a * a))
         return value / F.lit(float(len(alphas)))
 
-    # squared distances per feature: x-x, k-k, x-k and k-x
-    two = two.select(squares("a.x", "b.x").alias("xx"), squares("a.k", "b.k").alias("kk"),
-                     squares("a.x", "b.k").alias("xk"), squares("a.k", "b.x").alias("kx"))
-    swapped = F.transform("xx", lambda v, i: draws.uniform(seed, i.cast("long")) < 0.5)
-    two = two.withColumn("_s", swapped)
-    same = total("xx") + total("kk")
-    full = total("xk") + total("kx")
-
-    def choose(when_swapped, otherwise):
-        zipped = F.arrays_zip(F.col("_s").alias("s"), F.col(when_swapped).alias("w"), F.col(otherwise).alias("o"))
-        return total(F.transform(zipped, lambda z: F.when(z["s"], z["w"]).otherwise(z["o"])))
-
-    # the distance from a to swapped b equals that from b to swapped a
-    part = choose("xk", "xx") + choose("kx", "kk")
-    terms = two.select(same.alias("same"), full.alias("full"), part.alias("part"))
+    # from a to swapped b is as far as from b to swapped a
     return terms.agg(
         F.avg(2.0 * kernel(F.col("same")) - 2.0 * kernel(F.col("full"))).alias("full_swap"),
         F.avg(2.0 * kernel(F.col("same")) - 2.0 * kernel(F.col("part"))).alias("partial_swap"),

@@ -153,11 +153,20 @@ def _distances(vectors: DataFrame, states) -> DataFrame:
     return vectors.select("x").mapInArrow(measure, ", ".join(f"{c} DOUBLE" for c in names))
 
 
-def _c_step(vectors: DataFrame, states, n: int, h: int):
-    """One C-step on all rows for several candidates at once: rank cut, then moments of the closest rows."""
-    stats = order_statistics(_distances(vectors, states), {f"d{k}": [h - 1] for k in range(len(states))},
-                             {f"d{k}": n for k in range(len(states))})
-    return _moments_within(vectors, states, [stats[f"d{k}"][h - 1] * (1 + 1e-12) for k in range(len(states))])
+def _c_step(vectors: DataFrame, states, n: int, h: int, cuts: list[float] = ()):
+    """One C-step on all rows for several candidates at once: rank cut, then moments of the closest rows.
+
+    ``cuts`` holds the last rank cuts of a single candidate; how far they still
+    move tells where the next one is, which saves the sketch.
+    """
+    names = [f"d{k}" for k in range(len(states))]
+    hints = None
+    if len(states) == 1 and len(cuts) >= 2:
+        near = 2.0 * abs(cuts[-1] - cuts[-2]) + 1e-9 * cuts[-1]
+        hints = {("d0", h - 1): (cuts[-1] - near, cuts[-1] + near)}
+    stats = order_statistics(_distances(vectors, states), {c: [h - 1] for c in names}, dict.fromkeys(names, n), hints=hints)
+    found = [stats[c][h - 1] for c in names]
+    return _moments_within(vectors, states, [c * (1 + 1e-12) for c in found]), found
 
 
 def _moments_within(vectors, states, cuts):
@@ -183,14 +192,17 @@ def mcd_refine(df: DataFrame, features: Features, mu: np.ndarray, sigma: np.ndar
     h = default_support(n, p) if h is None else h
     log_dets = []
     for _ in range(steps):
-        (mu, sigma, _), = _c_step(vectors, [(mu, sigma)], n, h)
+        ((mu, sigma, _),), _ = _c_step(vectors, [(mu, sigma)], n, h)
         log_dets.append(_log_det(sigma))
     return _finish(vectors, mu, sigma, n, h, p, log_dets)
 
 
 def mcd_fit(df: DataFrame, features: Features, key: str, support: float | None = None, seed: int = 0,
-            max_steps: int = 30, persist: bool = True) -> RobustFit:
-    """Minimum covariance determinant by the FAST-MCD scheme of Rousseeuw and Van Driessen (1999)."""
+            max_steps: int = 30, tol: float = 1e-8, persist: bool = True) -> RobustFit:
+    """Minimum covariance determinant by the FAST-MCD scheme of Rousseeuw and Van Driessen (1999).
+
+    Stops when a C-step lowers the log-determinant by no more than ``tol``.
+    """
     p = width(df, features)
     vectors = vectorize(df, features, keep=[key])
     if persist:
@@ -200,13 +212,15 @@ def mcd_fit(df: DataFrame, features: Features, key: str, support: float | None =
         h = default_support(n, p) if support is None else int(support * n)
         states = _starts(vectors, key, n, p, h, seed)
         log_dets: list[float] = []
+        cuts: list[float] = []
         for step in range(max_steps):
-            moved = [(mu, s) for mu, s, _ in _c_step(vectors, states, n, h)]
-            ranked = sorted(moved, key=lambda c: _log_det(c[1]))
+            moved, found = _c_step(vectors, states, n, h, cuts)
+            ranked = sorted(zip(moved, found, strict=True), key=lambda c: _log_det(c[0][1]))
             # two full steps rank the candidates; the best one runs to the end
-            states = ranked if step == 0 else ranked[:1]
-            log_dets.append(_log_det(ranked[0][1]))
-            if step > 1 and log_dets[-2] - log_dets[-1] <= 1e-10 * abs(log_dets[-1]):
+            states = [(mu, s) for (mu, s, _), _ in ranked[: None if step == 0 else 1]]
+            cuts = cuts + [ranked[0][1]] if step > 1 else []
+            log_dets.append(_log_det(states[0][1]))
+            if step > 1 and log_dets[-2] - log_dets[-1] <= tol:
                 break
         mu, s = states[0]
         return _finish(vectors, mu, s, n, h, p, log_dets)

@@ -100,7 +100,7 @@ def assign_batches(df: DataFrame, key: str, batch_size: int | None = None, batch
         raise ValueError("batch size must be at least 1")
     n_batches = -(-n // batch_size)
     if n_batches > FEW_BATCHES:
-        placed = with_position(df, key, n_rows=n)
+        placed = with_position(df, key)
         return placed.withColumn(out, F.floor(F.col("position") / batch_size).cast("long")).drop("position")
     batch = F.lit(0).cast("long")
     if n_batches > 1:
@@ -111,11 +111,9 @@ def assign_batches(df: DataFrame, key: str, batch_size: int | None = None, batch
     return df.withColumn(out, batch)
 
 
-def with_position(df: DataFrame, key: str, n_rows: int | None = None, rows_per_range: int = ROWS_PER_RANGE,
-                  out: str = "position") -> DataFrame:
+def with_position(df: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE, out: str = "position") -> DataFrame:
     """0-based position of every row in the order of a unique key."""
-    n_rows = df.count() if n_rows is None else n_rows
-    edges = ranges.range_edges(df, key, n_rows, rows_per_range)
+    _, edges = ranges.range_edges(df, key, rows_per_range)
     placed = df.withColumn("_range", ranges.range_of(key, edges))
     totals = placed.groupBy("_range").count()
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,15 +125,19 @@ def with_position(df: DataFrame, key: str, n_rows: int | None = None, rows_per_r
     return numbered.withColumn(out, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_range", "_rank", "_before")
 
 
-def neighbour_pairs(df: DataFrame, key: str, values: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def neighbour_pairs(df: DataFrame, key: str, values: list[str], rows_per_range: int = ROWS_PER_RANGE,
+                    keys: DataFrame | None = None) -> DataFrame:
     """Rows taken two by two in key order: ``(a, b)`` structs of the value columns.
 
     Range borders are moved by one row where needed so that no pair crosses one;
     then a single shuffle by range is enough.  A last odd row has no partner.
+    ``keys`` is a cheaper table with the same keys, if there is one, for finding
+    the borders.
     """
-    edges = ranges.range_edges(df, key, df.count(), rows_per_range)
+    keys = df if keys is None else keys
+    _, edges = ranges.range_edges(keys, key, rows_per_range)
     if edges:
-        table = df.groupBy(ranges.range_of(key, edges).alias("r")).agg(F.count("*").alias("n"), F.min(key).alias("first")).collect()
+        table = keys.groupBy(ranges.range_of(key, edges).alias("r")).agg(F.count("*").alias("n"), F.min(key).alias("first")).collect()
         table = sorted((row["r"], row["n"], row["first"]) for row in table)
         moved, before = [], 0
         for (r, n, _), (_, _, first) in zip(table, table[1:], strict=False):
