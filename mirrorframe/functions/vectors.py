@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Features = str | Sequence[str]
+BLOCK_BYTES = 2**21
 
 
 def checked(c: Column) -> Column:
@@ -80,6 +81,41 @@ def batch_matrix(column: pa.Array, p: int | None = None) -> np.ndarray:
     return flat.reshape(n, p)
 
 
+def matrices(batch: pa.RecordBatch, column: str = "x"):
+    """The n x p arrays of a batch: one for a list column, one per packed block."""
+    values = batch.column(column)
+    if pa.types.is_binary(values.type):
+        for n, block in zip(batch.column("n").to_pylist(), values, strict=True):
+            yield np.frombuffer(block.as_buffer(), dtype=np.float64).reshape(n, -1)
+    elif len(values):
+        yield batch_matrix(values)
+
+
+def pack_blocks(vectors: DataFrame, skip_zero_rows: bool = False) -> DataFrame:
+    """``(n, x)`` with many feature vectors per row, as one block of bytes.
+
+    Iterative estimators read the same rows again and again.  Packed once and
+    persisted, a block passes between the JVM and Python as a plain copy instead
+    of element by element.
+    """
+
+    def pack(batches):
+        for batch in batches:
+            for x in matrices(batch):
+                if skip_zero_rows:
+                    x = x[(x != 0.0).any(axis=1)]
+                step = max(1, BLOCK_BYTES // (8 * x.shape[1]))
+                blocks = [x[a:a + step] for a in range(0, x.shape[0], step)]
+                if blocks:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b.shape[0] for b in blocks], pa.int32()),
+                         pa.array([np.ascontiguousarray(b).tobytes() for b in blocks], pa.binary())],
+                        names=["n", "x"],
+                    )
+
+    return vectors.select("x").mapInArrow(pack, "n INT, x BINARY")
+
+
 def list_column(matrix: np.ndarray) -> pa.Array:
     """An n x p array as an Arrow list column."""
     n, p = matrix.shape

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mirrorframe.functions import smallmat
-from mirrorframe.functions.vectors import Features, batch_matrix, checked, vectorize
+from mirrorframe.functions.vectors import Features, checked, matrices, vectorize
 
 EXPRESSION_WIDTH = 8
 MERGE_TASKS = 64
@@ -108,7 +108,7 @@ def _emit(states, second):
 
 def moment_partials(vectors: DataFrame, weigh: Callable[[np.ndarray], list[np.ndarray]] | None = None,
                     centred: bool = True, second: bool = True) -> DataFrame:
-    """At most ``MERGE_TASKS`` rows (k, n, mean, m2) of merged moments of ``x``.
+    """At most ``MERGE_TASKS`` rows (k, n, mean, m2) of merged moments of ``x`` (vectors or packed blocks).
 
     One scan: each task folds its Arrow batches into one state of size p x p per
     weight set, so what is shuffled does not grow with the rows.  ``weigh`` maps
@@ -118,10 +118,7 @@ def moment_partials(vectors: DataFrame, weigh: Callable[[np.ndarray], list[np.nd
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[int, tuple | None] = {}
-        for batch in batches:
-            x = batch_matrix(batch.column("x"))
-            if x.shape[0] == 0:
-                continue
+        for x in (m for batch in batches for m in matrices(batch)):
             weights = weigh(x) if weigh else [None]
             for k, w in enumerate(weights):
                 if w is None:
@@ -144,7 +141,7 @@ def moment_partials(vectors: DataFrame, weigh: Callable[[np.ndarray], list[np.nd
                 states[k] = _merge(states.get(k), n, mean, m2)
         yield from _emit(states, second)
 
-    partials = vectors.select("x").mapInArrow(fold, PARTIAL_DDL)
+    partials = vectors.mapInArrow(fold, PARTIAL_DDL)
     return merge_partials(partials.repartition(merge_tasks(vectors.sparkSession)), second)
 
 

@@ -19,7 +19,7 @@ from pyspark.storagelevel import StorageLevel
 
 from mirrorframe.functions import draws, smallmat
 from mirrorframe.functions.orderstats import exact_median, order_statistics
-from mirrorframe.functions.vectors import Features, batch_matrix, vectorize, width
+from mirrorframe.functions.vectors import Features, matrices, pack_blocks, vectorize, width
 from mirrorframe.operators.moments import collect_moments, matrix_table, moment_partials
 
 START_ROWS = 1500
@@ -144,13 +144,10 @@ def _distances(vectors: DataFrame, states) -> DataFrame:
     names = [f"d{k}" for k in range(len(fixed))]
 
     def measure(batches):
-        for batch in batches:
-            x = batch_matrix(batch.column("x"))
-            if x.shape[0] == 0:
-                continue
+        for x in (m for batch in batches for m in matrices(batch)):
             yield pa.RecordBatch.from_arrays([pa.array(_squared_distance(x, mu, root)) for mu, root in fixed], names=names)
 
-    return vectors.select("x").mapInArrow(measure, ", ".join(f"{c} DOUBLE" for c in names))
+    return vectors.mapInArrow(measure, ", ".join(f"{c} DOUBLE" for c in names))
 
 
 def _c_step(vectors: DataFrame, states, n: int, h: int, cuts: list[float] = ()):
@@ -204,17 +201,17 @@ def mcd_fit(df: DataFrame, features: Features, key: str, support: float | None =
     Stops when a C-step lowers the log-determinant by no more than ``tol``.
     """
     p = width(df, features)
-    vectors = vectorize(df, features, keep=[key])
+    blocks = pack_blocks(vectorize(df, features))
     if persist:
-        vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = vectors.count()
+        n = _rows(blocks)
         h = default_support(n, p) if support is None else int(support * n)
-        states = _starts(vectors, key, n, p, h, seed)
+        states = _starts(vectorize(df, features, keep=[key]), key, n, p, h, seed)
         log_dets: list[float] = []
         cuts: list[float] = []
         for step in range(max_steps):
-            moved, found = _c_step(vectors, states, n, h, cuts)
+            moved, found = _c_step(blocks, states, n, h, cuts)
             ranked = sorted(zip(moved, found, strict=True), key=lambda c: _log_det(c[0][1]))
             # two full steps rank the candidates; the best one runs to the end
             states = [(mu, s) for (mu, s, _), _ in ranked[: None if step == 0 else 1]]
@@ -223,10 +220,14 @@ def mcd_fit(df: DataFrame, features: Features, key: str, support: float | None =
             if step > 1 and log_dets[-2] - log_dets[-1] <= tol:
                 break
         mu, s = states[0]
-        return _finish(vectors, mu, s, n, h, p, log_dets)
+        return _finish(blocks, mu, s, n, h, p, log_dets)
     finally:
         if persist:
-            vectors.unpersist()
+            blocks.unpersist()
+
+
+def _rows(blocks: DataFrame) -> int:
+    return int(blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0])
 
 
 def robust_covariance_mcd(df: DataFrame, features: Features, key: str, support: float | None = None, seed: int = 0) -> DataFrame:
@@ -251,24 +252,24 @@ def tyler_fit(df: DataFrame, features: Features, tol: float = 1e-4, maxiter: int
     A term does not change when its row is scaled, so rows need not be brought
     to unit length first.
     """
-    vectors = vectorize(df, features)
+    blocks = pack_blocks(vectorize(df, features), skip_zero_rows=True)
     if persist:
-        vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = vectors.where(F.exists("x", lambda v: v != 0.0)).count()
+        n = _rows(blocks)
         if n == 0:
             raise ValueError("no row with a non-zero feature")
         p = width(df, features)
         scatter, error, steps = np.eye(p), math.inf, 0
         while error > tol and steps < maxiter:
             weigh = _tyler_weights(np.linalg.inv(scatter))
-            state = collect_moments(moment_partials(vectors, weigh, centred=False))[0]
+            state = collect_moments(moment_partials(blocks, weigh, centred=False))[0]
             moved = state[2] * (p / n)
             error, scatter, steps = float(np.linalg.norm(scatter - moved)), moved, steps + 1
         return TylerFit(n, scatter, steps, error)
     finally:
         if persist:
-            vectors.unpersist()
+            blocks.unpersist()
 
 
 def _tyler_weights(inverse):
