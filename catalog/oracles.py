@@ -84,6 +84,16 @@ LINKED = CORR64 + """,
 g AS (SELECT i, min(j) AS group_id FROM corr WHERE abs(v) >= 0.12 GROUP BY i),
 keep AS (SELECT min(i) AS i FROM g GROUP BY group_id)"""
 
+THREE = """
+f AS (SELECT embedding[3]::DOUBLE AS f0, embedding[1]::DOUBLE AS f1, embedding[1]::DOUBLE + 0.2::DOUBLE * embedding[2]::DOUBLE AS f2 FROM embeddings)"""
+
+# rows of a 3 x 3 matrix (aa, ab, ac, bb, bc, cc) and the distances between them
+_ROWS3 = """
+d AS (SELECT sqrt((aa - ab) ** 2 + (ab - bb) ** 2 + (ac - bc) ** 2) AS d01,
+             sqrt((aa - ac) ** 2 + (ab - bc) ** 2 + (ac - cc) ** 2) AS d02,
+             sqrt((ab - ac) ** 2 + (bb - bc) ** 2 + (bc - cc) ** 2) AS d12 FROM m3),
+lo AS (SELECT *, least(d01, d02, d12) AS low, greatest(d01, d02, d12) AS high FROM d)"""
+
 HIGH = """
 q AS (SELECT quantile_cont(l_extendedprice, 0.5) AS med FROM lineitem),
 h AS (SELECT l_extendedprice AS x, (l_extendedprice > med)::INTEGER::DOUBLE AS y FROM lineitem, q),
@@ -180,6 +190,24 @@ _LINES4 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _ENCODED = ["(l_returnflag = 'A')::INTEGER", "(l_returnflag = 'N')::INTEGER", "(l_returnflag = 'R')::INTEGER",
             "(l_linestatus = 'F')::INTEGER", "(l_linestatus = 'O')::INTEGER", "l_quantity", "l_discount"]
 
+# halving [0, 1] down to steps of 1/128 keeps the largest feasible multiple
+_SINGLE = f"WITH {PAIR.strip()}, g AS (SELECT *, least(1.0::DOUBLE, floor(2 * (1 - abs(rho)) * 128) / 128) AS g FROM r) SELECT i, round(g, 6) AS s_corr, round(g * CASE WHEN i = 0 THEN a ELSE d END, 6) AS s FROM g, (VALUES (0), (1)) x(i)"
+
+
+def _group3(stat, cond):
+    return (f"WITH {THREE.strip()}, m3 AS (SELECT {stat('f0', 'f0')} AS aa, {stat('f0', 'f1')} AS ab, {stat('f0', 'f2')} AS ac, {stat('f1', 'f1')} AS bb, "
+            f"{stat('f1', 'f2')} AS bc, {stat('f2', 'f2')} AS cc FROM f), {_ROWS3.strip()}, "
+            f"j AS (SELECT CASE WHEN NOT ({cond}) THEN [1, 2, 3] WHEN d01 = low THEN [1, 1, 2] WHEN d02 = low THEN [1, 2, 1] ELSE [1, 2, 2] END AS g FROM lo) "
+            "SELECT i, g[i + 1]::INTEGER AS group_id FROM j, (VALUES (0), (1), (2)) x(i)")
+
+
+def _equi_part(data_type, names, x, y, reg):
+    pick = f"CASE WHEN i = 0 THEN '{names[0]}' ELSE '{names[1]}' END"
+    rho = f"covar_samp({x}, {y}) / sqrt((var_samp({x}) + {reg}) * (var_samp({y}) + {reg}))"
+    return (f"SELECT '{data_type}' AS data_type, {pick} AS feature, i, round(1 - least(1.0, 2 * (1 - abs(rho) - 0.001)), 7) + 0.0 AS v "
+            f"FROM (SELECT {rho} AS rho FROM t), (VALUES (0), (1)) z(i)")
+
+
 _STATUS = {c: f"(o_orderstatus = '{c}')::INTEGER" for c in "FOP"}
 _PRIORITY = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -229,11 +257,15 @@ ORACLES = {
     "corr_deviation_constant": f"WITH {CORR64}, x AS (SELECT *, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS ref FROM corr) SELECT i, j, round(v, 8) + 0.0 AS v, round(ref, 8) + 0.0 AS ref, round(v - ref, 8) + 0.0 AS deviation FROM x",
     "s_equi": f"WITH {EQUI.strip()} SELECT i, round(sc, 9) AS s_corr, round(sc * CASE WHEN i = 0 THEN a ELSE d END, 9) AS s FROM s, (VALUES (0), (1)) x(i)",
     "s_sdp": f"WITH {SDP.strip()} SELECT i, round(sc, 5) AS s_corr, round(sc * CASE WHEN i = 0 THEN a ELSE d END, 5) AS s FROM s, (VALUES (0), (1)) x(i)",
+    "s_asdp_single_blocks": _SINGLE,
+    "s_asdp_cluster_single": _SINGLE,
     "knockoff_plan": f"WITH {PLAN.strip()} SELECT i, j, round(CASE WHEN i = 0 AND j = 0 THEN p00 WHEN i = 0 THEN p01 WHEN j = 0 THEN p10 ELSE p11 END, 8) + 0.0 AS p, round(CASE WHEN i <> j THEN v01 WHEN i = 0 THEN v00 ELSE v11 END, 8) + 0.0 AS v FROM vv, (VALUES (0), (1)) x(i), (VALUES (0), (1)) y(j)",
     "target_correlation": f"WITH {SDP.strip()} SELECT i, round(1 - sc, 5) AS v FROM s, (VALUES (0), (1)) x(i)",
     "generate_knockoffs": f"WITH {COPIES.strip()} SELECT vec_id, round(k0, 7) + 0.0 AS k0, round(k1, 7) + 0.0 AS k1 FROM k",
     "second_order_run": f"WITH {HIGH.strip()}, t AS (SELECT 1 - least(1.0, 2 * (1 - abs(b / sqrt((a + 0.001) * (d + 0.001))) - 0.001)) AS v FROM hc) SELECT i, round(v, 7) AS v, round(v, 7) AS mean_corr FROM t, (VALUES (0), (1)) x(i)",
     "feature_distance": f"WITH {CORR64} SELECT a.i, b.i AS j, round(sqrt(sum((a.v - b.v) ** 2)), 8) AS d FROM corr a JOIN corr b ON a.j = b.j AND a.i < b.i GROUP BY a.i, b.i",
+    "group_three_features": _group3(lambda a, b: f"corr({a}, {b})", "low <= 0.5 * high"),
+    "group_three_features_ward": _group3(lambda a, b: f"covar_samp({a}, {b})", "TRUE"),
     "group_sizes": f"WITH {LINKED}, z AS (SELECT group_id, count(*) AS n FROM g GROUP BY group_id) SELECT count(*) AS n_groups, max(n) AS largest, round(avg(n), 9) AS mean_size FROM z",
     "group_representatives": f"WITH {LINKED} SELECT group_id, min(i) AS i FROM g GROUP BY group_id",
     "submatrix": f"WITH {LINKED} SELECT i, j, round(v, 8) + 0.0 AS v FROM corr WHERE i IN (SELECT i FROM keep) AND j IN (SELECT i FROM keep)",
@@ -251,6 +283,8 @@ ORACLES = {
         for c in ("l_quantity", "l_extendedprice")),
     "run_params": _RUN_PARAMS,
     "write_run_params": _RUN_PARAMS,
+    "two_part_plan": "WITH t AS (SELECT (l_extendedprice >= 30000)::INTEGER::DOUBLE AS mid, (l_extendedprice >= 60000)::INTEGER::DOUBLE AS top, l_extendedprice AS gross, l_extendedprice * (1.0::DOUBLE - 3.0::DOUBLE * l_discount) AS net FROM lineitem) "
+    + _equi_part("discrete", ("mid", "top"), "mid", "top", 0.0001) + " UNION ALL " + _equi_part("continuous", ("gross", "net"), "gross", "net", 0.0001),
     "estimator_sweep": f"WITH {PAIR.strip()}, gr AS (SELECT * FROM (VALUES (0, 0.0), (1, 0.001), (2, 0.01)) x(run_id, reg)) SELECT run_id, i, round(1 - least(1.0, 2 * (1 - abs(b / sqrt((a + reg) * (d + reg)))) - 0.001), 5) AS v FROM c, gr, (VALUES (0), (1)) y(i)",
     "second_order_gap": f"WITH {COPIES.strip()} SELECT round(sqrt((avg(f0) - avg(k0)) ** 2 + (avg(f1) - avg(k1)) ** 2), 8) AS mean_gap, round(sqrt((var_samp(f0) - var_samp(k0)) ** 2 + 2 * (covar_samp(f0, f1) - covar_samp(k0, k1)) ** 2 + (var_samp(f1) - var_samp(k1)) ** 2), 8) AS cov_gap, round(sqrt((covar_samp(f0, f1) - covar_samp(f0, k1)) ** 2 + (covar_samp(f0, f1) - covar_samp(f1, k0)) ** 2), 8) AS cross_gap FROM k",
     "decorrelation_gap": f"WITH {COPIES.strip()}, x AS (SELECT 0 AS i, corr(f0, k0) AS corr, any_value(1 - sc) AS target FROM k UNION ALL SELECT 1, corr(f1, k1), any_value(1 - sc) FROM k) SELECT i, round(corr, 7) AS corr, round(target, 7) AS target, round(corr - target, 7) + 0.0 AS gap FROM x",

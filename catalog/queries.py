@@ -381,6 +381,17 @@ def s_asdp_cluster(spark, sf):
     return rounded(geometry.s_asdp(cov, 16, "cluster"), 5, "s_corr", "s")
 
 
+@query
+def s_asdp_single_blocks(spark, sf):
+    """Blocks of one feature start at s = 1, so the shrinking step alone decides."""
+    return rounded(geometry.s_asdp(_cov2(spark, sf), 1), 6, "s_corr", "s")
+
+
+@query
+def s_asdp_cluster_single(spark, sf):
+    return rounded(geometry.s_asdp(_cov2(spark, sf), 1, "cluster"), 6, "s_corr", "s")
+
+
 @query
 def knockoff_plan(spark, sf):
     df = two_features(spark, sf)
@@ -441,6 +452,23 @@ def group_features_ward(spark, sf):
     return grouping.group_features_ward(moments.covariance(read(spark, sf, "embeddings"), "embedding"), 4)
 
 
+def _three(spark, sf):
+    """Two related features and a third one; which two merge first follows from three distances."""
+    e = read(spark, sf, "embeddings")
+    a, b, c = (F.col("embedding")[k].cast("double") for k in range(3))
+    return e.select(c.alias("f0"), a.alias("f1"), (a + 0.2 * b).alias("f2"))
+
+
+@query
+def group_three_features(spark, sf):
+    return grouping.group_features(moments.cov_to_corr(moments.covariance(_three(spark, sf), ["f0", "f1", "f2"])))
+
+
+@query
+def group_three_features_ward(spark, sf):
+    return grouping.group_features_ward(moments.covariance(_three(spark, sf), ["f0", "f1", "f2"]), 2)
+
+
 def _linked(corr):
     """A grouping that SQL can repeat: every feature joins the lowest one it correlates with."""
     return corr.where(F.abs("v") >= 0.12).groupBy("i").agg(F.min("j").alias("group_id"))
@@ -572,6 +600,19 @@ def write_run_params(spark, sf):
 
 @query
 def two_part_plan(spark, sf):
+    """Two indicators and two continuous features, so both parts have a closed form."""
+    price = F.col("l_extendedprice")
+    line = read(spark, sf, "lineitem").select(
+        (price >= 30000.0).cast("int").alias("mid"), (price >= 60000.0).cast("int").alias("top"),
+        price.alias("gross"), (price * (1.0 - 3.0 * F.col("l_discount"))).alias("net"),
+    )
+    kinds = {"mid": "cat", "top": "cat", "gross": "cont", "net": "cont"}
+    catalog = [encode.Feature(k, c, kind) for k, (c, kind) in enumerate(kinds.items())]
+    return rounded(analysis.two_part_plan(line, catalog, method="equi"), 7, "v")
+
+
+@query
+def two_part_plan_encoded(spark, sf):
     table, catalog = encoded_lines(spark, sf)
     return rounded(analysis.two_part_plan(table, catalog), 5, "v")
 

@@ -11,18 +11,21 @@ from mirrorframe.operators.encode import Feature
 
 
 def read_features(spark: SparkSession, path: str, schema: str | None = None, id_col: str | None = None,
-                  columns: list[str] | None = None) -> DataFrame:
+                  columns: list[str] | None = None, fmt: str | None = None) -> DataFrame:
     """A wide feature table from CSV (with header) or Parquet, with a ``row_id``.
 
     ``id_col`` names an existing unique key.  Without one, ids come from the scan
     position; they are stable for unchanged files and settings.  Give ``schema``
     for large CSV files, since inferring it reads them once more.
     """
-    if path.rstrip("/").endswith((".csv", ".csv.gz")):
+    if fmt is None:
+        fmt = "csv" if path.rstrip("/").endswith((".csv", ".csv.gz")) else "parquet"
+    if fmt == "csv":
         reader = spark.read.option("header", True)
         df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     else:
-        df = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+        reader = spark.read.format(fmt)
+        df = (reader.schema(schema) if schema else reader).load(path)
     row_id = F.monotonically_increasing_id() if id_col is None else F.col(id_col)
     features = [c for c in (columns or df.columns) if c != id_col]
     return df.select(row_id.alias("row_id"), *features)
