@@ -93,7 +93,7 @@ def _cumulated(df: DataFrame, prob: str, observed: str, scores_per_range: int):
     step = scored.groupBy("score").agg(F.sum("one").alias("pos"), F.sum("zero").alias("neg"))
     # edges from the plain rows: the aggregated table is then shuffled only once,
     # as both the totals and the running sums read the same exchange
-    _, edges = ranges.range_edges(scored, "score", scores_per_range)
+    edges = ranges.range_edges(scored, "score", scores_per_range)
     step = step.withColumn("_range", ranges.range_of("score", edges))
     totals = step.groupBy("_range").agg(
         F.sum("pos").alias("rp"), F.sum("neg").alias("rn"), F.max_by("pos", "score").alias("top_pos"), F.max_by("neg", "score").alias("top_neg")

@@ -10,13 +10,13 @@ from pyspark.sql.window import Window
 
 from mirrorframe.functions import draws, ranges
 from mirrorframe.functions.orderstats import order_statistics
+from mirrorframe.functions.ranges import ROWS_PER_RANGE, with_position
 from mirrorframe.functions.vectors import let
 
 BUCKET_BITS = 12
 HASH_BITS = 53
 BOUNDARY_ROWS = 20_000
 FEW_BATCHES = 64
-ROWS_PER_RANGE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -111,20 +111,6 @@ def assign_batches(df: DataFrame, key: str, batch_size: int | None = None, batch
     return df.withColumn(out, batch)
 
 
-def with_position(df: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE, out: str = "position") -> DataFrame:
-    """0-based position of every row in the order of a unique key."""
-    _, edges = ranges.range_edges(df, key, rows_per_range)
-    placed = df.withColumn("_range", ranges.range_of(key, edges))
-    totals = placed.groupBy("_range").count()
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range, at most MAX_RANGES rows in this unpartitioned window.
-    offsets = totals.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    # a left join keeps the optimizer from adding a null test that finds every range twice
-    numbered = placed.withColumn("_rank", rank).join(F.broadcast(offsets), "_range", "left")
-    return numbered.withColumn(out, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_range", "_rank", "_before")
-
-
 def neighbour_pairs(df: DataFrame, key: str, values: list[str], rows_per_range: int = ROWS_PER_RANGE,
                     keys: DataFrame | None = None) -> DataFrame:
     """Rows taken two by two in key order: ``(a, b)`` structs of the value columns.
@@ -135,7 +121,7 @@ def neighbour_pairs(df: DataFrame, key: str, values: list[str], rows_per_range:
     the borders.
     """
     keys = df if keys is None else keys
-    _, edges = ranges.range_edges(keys, key, rows_per_range)
+    edges = ranges.range_edges(keys, key, rows_per_range)
     if edges:
         table = keys.groupBy(ranges.range_of(key, edges).alias("r")).agg(F.count("*").alias("n"), F.min(key).alias("first")).collect()
         table = sorted((row["r"], row["n"], row["first"]) for row in table)

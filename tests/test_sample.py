@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mirrorframe.functions import draws
+from mirrorframe.functions import draws, ranges
 from mirrorframe.operators import sample
 
 
@@ -69,6 +69,18 @@ def test_positions_with_many_ranges(spark, rows_per_range):
     assert {r["k"]: r["position"] for r in rows} == {k: i for i, k in enumerate(keys)}
 
 
+def test_positions_with_more_ranges_than_a_sketch_separates(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "SKETCH_RANGES", 10)
+    monkeypatch.setattr(ranges, "SAMPLES_PER_RANGE", 4)
+    df = spark.range(3000).select((F.col("id") * F.col("id")).alias("k"))
+    edges = ranges.range_edges(df, "k", 20)
+    assert 100 < len(edges) < 200 and edges == sorted(set(edges))
+    rows = sample.with_position(df, "k", rows_per_range=20).collect()
+    assert {r["k"]: r["position"] for r in rows} == {i * i: i for i in range(3000)}
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(-1.0)).otherwise(F.col("id").cast("double")).alias("s"))
+    assert len(ranges.range_edges(hot, "s", 20)) < 150
+
+
 def test_few_and_many_batches_agree(spark):
     df = spark.range(0, 3000, 3)
     few = {r["id"]: r["batch_id"] for r in sample.assign_batches(df, "id", batch_size=100).collect()}
