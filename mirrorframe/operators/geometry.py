@@ -16,44 +16,44 @@ from pyspark.sql import functions as F
 
 from mirrorframe.functions import smallmat
 from mirrorframe.operators.grouping import group_labels_ward
-from mirrorframe.operators.moments import collect_matrix, collect_vector, cov_to_corr, matrix_table, ridge_if_not_psd, vector_table
+from mirrorframe.operators.moments import collect_matrix, collect_vector, matrix_table, small_table
 
 
-def _with_variance(s: DataFrame, cov: DataFrame) -> DataFrame:
-    var = cov.where("i = j").select("i", F.col("v").alias("var"))
-    return s.join(var, "i").select("i", "s_corr", (F.col("s_corr") * F.col("var")).alias("s"))
-
-
-def _s_table(spark: SparkSession, s_corr: np.ndarray, cov: DataFrame) -> DataFrame:
-    return _with_variance(vector_table(spark, s_corr, "s_corr"), cov)
+def _s_table(spark: SparkSession, s_corr: np.ndarray, sigma: np.ndarray) -> DataFrame:
+    i = np.arange(s_corr.size, dtype=np.int32)
+    return small_table(spark, {"i": i, "s_corr": s_corr, "s": s_corr * np.diag(sigma)})
 
 
 def s_equi(cov: DataFrame, tol: float = 1e-3) -> DataFrame:
     """The same s for every feature: ``min(1, 2 (lambda_min - tol))``, not below 0."""
-    corr = smallmat.correlation(collect_matrix(cov))
-    s = min(1.0, max(0.0, 2.0 * (smallmat.lambda_min(corr) - tol)))
-    return _s_table(cov.sparkSession, np.full(corr.shape[0], s), cov)
+    sigma = collect_matrix(cov)
+    s = min(1.0, max(0.0, 2.0 * (smallmat.lambda_min(smallmat.correlation(sigma)) - tol)))
+    return _s_table(cov.sparkSession, np.full(sigma.shape[0], s), sigma)
 
 
-def _solve_blocks(corr: DataFrame, blocks: DataFrame, tol: float) -> DataFrame:
-    """Solve every diagonal block on its own executor task; (i, s_corr)."""
+def _solve_blocks(spark: SparkSession, corr: np.ndarray, block: np.ndarray, tol: float) -> np.ndarray:
+    """Solve the diagonal blocks of a correlation matrix in parallel, one task each."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         members = np.sort(pdf["i"].unique())
         a = pdf.pivot(index="i", columns="j", values="v").loc[members, members].to_numpy()
-        return pd.DataFrame({"i": members.astype(np.int32), "s_corr": smallmat.max_sum_s(a, tol)})
+        return pd.DataFrame({"i": members.astype(np.int32), "v": smallmat.max_sum_s(a, tol)})
 
-    left = blocks.select("i", F.col("block").alias("bi"))
-    right = blocks.select(F.col("i").alias("j"), F.col("block").alias("bj"))
-    within = corr.join(left, "i").join(right, "j").where("bi = bj").select("bi", "i", "j", "v")
-    return within.groupBy("bi").applyInPandas(solve, "i INT, s_corr DOUBLE")
+    i, j = np.nonzero(block[:, None] == block[None, :])
+    cells = small_table(spark, {"block": block[i].astype(np.int32), "i": i.astype(np.int32), "j": j.astype(np.int32), "v": corr[i, j]})
+    return collect_vector(cells.groupBy("block").applyInPandas(solve, "i INT, v DOUBLE"))
 
 
 def s_sdp(cov: DataFrame, tol: float = 1e-3, reg: float = 1e-4) -> DataFrame:
-    """Largest total s: the semidefinite program on the whole correlation matrix."""
-    corr = cov_to_corr(ridge_if_not_psd(cov, reg))
-    blocks = cov.where("i = j").select("i", F.lit(0).alias("block"))
-    return _with_variance(_solve_blocks(corr, blocks, tol), cov)
+    """Largest total s: the semidefinite program on the whole correlation matrix.
+
+    ``reg`` goes on the diagonal first if the matrix has a negative eigenvalue.
+    """
+    sigma = collect_matrix(cov)
+    p = sigma.shape[0]
+    ridged = sigma + reg * np.eye(p) if smallmat.lambda_min(sigma) < 0 else sigma
+    s = _solve_blocks(cov.sparkSession, smallmat.correlation(ridged), np.zeros(p, dtype=int), tol)
+    return _s_table(cov.sparkSession, s, sigma)
 
 
 def s_asdp(cov: DataFrame, block_size: int = 50, method: str = "selfblocks") -> DataFrame:
@@ -62,19 +62,17 @@ def s_asdp(cov: DataFrame, block_size: int = 50, method: str = "selfblocks") ->
     Blocks are runs of ``block_size`` neighbouring features (``selfblocks``) or
     Ward groups of features (``cluster``).
     """
-    spark = cov.sparkSession
-    full = smallmat.correlation(collect_matrix(cov))
-    p = full.shape[0]
+    sigma = collect_matrix(cov)
+    corr = smallmat.correlation(sigma)
+    p = corr.shape[0]
     if method == "selfblocks":
         block = np.arange(p) // block_size
     elif method == "cluster":
-        block = group_labels_ward(collect_matrix(cov), -(-p // block_size))
+        block = group_labels_ward(sigma, -(-p // block_size))
     else:
         raise ValueError(f"unknown method: {method}")
-    blocks = vector_table(spark, block.astype(np.int32), "block")
-    s_hat = collect_vector(_solve_blocks(matrix_table(spark, full), blocks, 0.0), "s_corr")
-    s_hat = np.clip(smallmat.feasible_scale(full, s_hat) * s_hat, 0.0, 1.0)
-    return _s_table(spark, s_hat, cov)
+    s = _solve_blocks(cov.sparkSession, corr, block, 0.0)
+    return _s_table(cov.sparkSession, np.clip(smallmat.feasible_scale(corr, s) * s, 0.0, 1.0), sigma)
 
 
 @dataclass(frozen=True)

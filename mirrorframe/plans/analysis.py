@@ -71,9 +71,6 @@ def second_order(df: DataFrame, features: Features, estimator: str = "plain", ke
         s = geometry.s_asdp(cov, block_size, "cluster" if method == "cluster" else "selfblocks")
     else:
         raise ValueError(f"unknown method: {method}")
-    # one number per feature; keeping it saves solving again downstream
-    solved = s.toArrow().sort_by("i")
-    s = spark.createDataFrame(solved)
     target = geometry.target_correlation(cov, s)
     mean_corr = float(target.agg(F.avg("v")).head()[0])
     return SecondOrder(n, mu, cov, s, target, mean_corr)
