@@ -63,7 +63,7 @@ def range_of(key: str, edges: list) -> Column:
 
 
 def with_position(df: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE, out: str = "position") -> DataFrame:
-    """0-based position of every row in the order of a unique key."""
+    """0-based position of every row in the order of a unique numeric key."""
     placed = df.withColumn("_range", range_of(key, range_edges(df, key, rows_per_range)))
     totals = placed.groupBy("_range").count()
     # one row per range, at most MAX_RANGES of them in this unpartitioned window

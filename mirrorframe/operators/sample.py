@@ -90,7 +90,7 @@ def assign_batches(df: DataFrame, key: str, batch_size: int | None = None, batch
                    out: str = "batch_id") -> DataFrame:
     """Number contiguous blocks of rows in key order; the last block may be short.
 
-    ``key`` must be unique.  A few large batches need only the exact key at each
+    ``key`` must be a unique number.  A few large batches need only the exact key at each
     block border (no row moves).  Many small batches use global positions.
     """
     n = df.count()
@@ -113,7 +113,7 @@ def assign_batches(df: DataFrame, key: str, batch_size: int | None = None, batch
 
 def neighbour_pairs(df: DataFrame, key: str, values: list[str], rows_per_range: int = ROWS_PER_RANGE,
                     keys: DataFrame | None = None) -> DataFrame:
-    """Rows taken two by two in key order: ``(a, b)`` structs of the value columns.
+    """Rows taken two by two in the order of a unique numeric key: ``(a, b)`` structs of the value columns.
 
     Range borders are moved by one row where needed so that no pair crosses one;
     then a single shuffle by range is enough.  A last odd row has no partner.
