@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 COLLECT = 50_000
 SKETCH_SIZE = 16_384
 TARGETS_PER_JOB = 32
+CELLS = 1024
 
 
 @dataclass
@@ -216,8 +217,49 @@ def _without_nan(df, c):
     return F.col(c)
 
 
-def exact_median(df: DataFrame, col: str, n: int) -> float:
-    """The median of a column without nulls whose length is known."""
-    ranks = [(n - 1) // 2, n // 2]
-    found = order_statistics(df, {col: ranks}, {col: n})[col]
-    return 0.5 * (found[ranks[0]] + found[ranks[1]])
+def rank_by_cells(
+    df: DataFrame, cols: list[str], rank: int, n: int, guess: dict[str, tuple[float, float]],
+    cells: int = CELLS, collect_limit: int = COLLECT,
+) -> dict[str, float]:
+    """The value at one 0-based rank of each of several columns without nulls.
+
+    For smooth values with a guessed range, such as distances: each scan counts
+    ``cells`` equal cells of the range and keeps the extremes of every cell, so
+    the cell that holds the rank becomes the next range exactly, also when the
+    guess was wrong.
+    """
+    out: dict[str, float] = {}
+    spans = {c: (None, None, 0, n) for c in cols}  # closed range, values below it, values in it
+    while len(out) < len(cols):
+        todo = [c for c in cols if c not in out]
+
+        def member(c):
+            low, high, _, _ = spans[c]
+            return F.lit(True) if low is None else F.col(c).between(F.lit(low), F.lit(high))
+
+        few = [c for c in todo if spans[c][3] <= collect_limit]
+        if few:
+            lists = [F.sort_array(F.collect_list(F.when(member(c), F.col(c)))).alias(c) for c in few]
+            row = df.agg(*lists).select(*[F.get(c, F.lit(rank - spans[c][2])).alias(c) for c in few]).head()
+            out.update({c: row[c] for c in few})
+        many = [c for c in todo if c not in out]
+        if not many:
+            continue
+        parts = []
+        for k, c in enumerate(many):
+            low, high, _, _ = spans[c]
+            first, last = guess[c] if low is None else (low, high)
+            cell = F.width_bucket(F.col(c), F.lit(float(first)), F.lit(float(last)), F.lit(cells))
+            parts += [F.lit(k), F.when(member(c), cell), F.col(c)]
+        tall = df.select(F.stack(F.lit(len(many)), *parts).alias("k", "cell", "v")).where("cell is not null")
+        rows = tall.groupBy("k", "cell").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        for k, c in enumerate(many):
+            below = spans[c][2]
+            for r in sorted((r for r in rows if r["k"] == k), key=lambda r: r["cell"]):
+                if rank < below + r["n"]:
+                    break
+                below += r["n"]
+            spans[c] = (r["low"], r["high"], below, r["n"])
+            if r["low"] == r["high"]:
+                out[c] = r["low"]
+    return out

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from mirrorframe.functions import draws, smallmat
-from mirrorframe.functions.orderstats import exact_median, order_statistics
+from mirrorframe.functions.orderstats import rank_by_cells
 from mirrorframe.functions.vectors import Features, matrices, pack_blocks, vectorize, width
 from mirrorframe.operators.moments import collect_moments, matrix_table, moment_partials
 
@@ -154,16 +154,16 @@ def _c_step(vectors: DataFrame, states, n: int, h: int, cuts: list[float] = ()):
     """One C-step on all rows for several candidates at once: rank cut, then moments of the closest rows.
 
     ``cuts`` holds the last rank cuts of a single candidate; how far they still
-    move tells where the next one is, which saves the sketch.
+    move tells where the next one is.
     """
-    names = [f"d{k}" for k in range(len(states))]
-    hints = None
+    p = len(states[0][0])
+    guess = {f"d{k}": (0.0, 4.0 * p) for k in range(len(states))}
     if len(states) == 1 and len(cuts) >= 2:
-        near = 2.0 * abs(cuts[-1] - cuts[-2]) + 1e-9 * cuts[-1]
-        hints = {("d0", h - 1): (cuts[-1] - near, cuts[-1] + near)}
-    stats = order_statistics(_distances(vectors, states), {c: [h - 1] for c in names}, dict.fromkeys(names, n), hints=hints)
-    found = [stats[c][h - 1] for c in names]
-    return _moments_within(vectors, states, [c * (1 + 1e-12) for c in found]), found
+        near = 2.0 * abs(cuts[-1] - cuts[-2]) + 1e-9 * cuts[-1] + 1e-12
+        guess = {"d0": (cuts[-1] - near, cuts[-1] + near)}
+    found = rank_by_cells(_distances(vectors, states), list(guess), h - 1, n, guess)
+    cut = [found[f"d{k}"] for k in range(len(states))]
+    return _moments_within(vectors, states, [c * (1 + 1e-12) for c in cut]), cut
 
 
 def _moments_within(vectors, states, cuts):
@@ -175,7 +175,9 @@ def _moments_within(vectors, states, cuts):
 
 def _finish(vectors, mu, s, n, h, p, log_dets) -> RobustFit:
     """Median correction, then one reweighting step with the 97.5% chi-square cut."""
-    half = exact_median(_distances(vectors, [(mu, s)]), "d0", n)
+    distances = _distances(vectors, [(mu, s)])
+    middle = [rank_by_cells(distances, ["d0"], r, n, {"d0": (0.0, 4.0 * p)})["d0"] for r in sorted({(n - 1) // 2, n // 2})]
+    half = sum(middle) / len(middle)
     correction = half / smallmat.chi2_quantile(0.5, p)
     cut = smallmat.chi2_quantile(0.975, p) * correction
     (location, covariance, support), = _moments_within(vectors, [(mu, s)], [cut])

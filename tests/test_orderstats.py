@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mirrorframe.functions.orderstats import exact_quantiles, order_statistics
+from mirrorframe.functions.orderstats import exact_quantiles, order_statistics, rank_by_cells
 
 
 def _table(spark, values):
@@ -51,3 +51,13 @@ def test_large_path_equals_small_path(spark, rng):
 def test_rank_out_of_range(spark):
     with pytest.raises(ValueError):
         order_statistics(_table(spark, [1, 2]), {"v": [2]}, {"v": 2})
+
+
+@pytest.mark.parametrize("guess", [(0.0, 20.0), (1e-3, 2e-3), (500.0, 501.0)])
+def test_rank_by_cells(spark, rng, guess):
+    n = 4000
+    x = np.column_stack([rng.chisquare(4, size=n), np.where(rng.random(n) < 0.4, 3.0, rng.chisquare(4, size=n)), np.full(n, 2.5)])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a DOUBLE, b DOUBLE, c DOUBLE").repartition(4)
+    for rank in (0, 1999, 3999):
+        got = rank_by_cells(df, ["a", "b", "c"], rank, n, dict.fromkeys("abc", guess), cells=16, collect_limit=30)
+        assert [got[c] for c in "abc"] == [np.sort(x[:, k])[rank] for k in range(3)]
