@@ -191,7 +191,7 @@ _ENCODED = ["(l_returnflag = 'A')::INTEGER", "(l_returnflag = 'N')::INTEGER", "(
             "(l_linestatus = 'F')::INTEGER", "(l_linestatus = 'O')::INTEGER", "l_quantity", "l_discount"]
 
 # halving [0, 1] down to steps of 1/128 keeps the largest feasible multiple
-_SINGLE = f"WITH {PAIR.strip()}, g AS (SELECT *, least(1.0::DOUBLE, floor(2 * (1 - abs(rho)) * 128) / 128) AS g FROM r) SELECT i, round(g, 6) AS s_corr, round(g * CASE WHEN i = 0 THEN a ELSE d END, 6) AS s FROM g, (VALUES (0), (1)) x(i)"
+_SINGLE = f"WITH {PAIR.strip()}, g AS (SELECT *, least(1.0::DOUBLE, floor(2 * (1 - abs(rho)) * 128) / 128) AS g FROM r) SELECT i, round(g, 9) AS s_corr, round(g * CASE WHEN i = 0 THEN a ELSE d END, 9) AS s FROM g, (VALUES (0), (1)) x(i)"
 
 
 def _group3(stat, cond):

@@ -384,12 +384,12 @@ def s_asdp_cluster(spark, sf):
 @query
 def s_asdp_single_blocks(spark, sf):
     """Blocks of one feature start at s = 1, so the shrinking step alone decides."""
-    return rounded(geometry.s_asdp(_cov2(spark, sf), 1), 6, "s_corr", "s")
+    return rounded(geometry.s_asdp(_cov2(spark, sf), 1), 9, "s_corr", "s")
 
 
 @query
 def s_asdp_cluster_single(spark, sf):
-    return rounded(geometry.s_asdp(_cov2(spark, sf), 1, "cluster"), 6, "s_corr", "s")
+    return rounded(geometry.s_asdp(_cov2(spark, sf), 1, "cluster"), 9, "s_corr", "s")
 
 
 @query

@@ -61,7 +61,9 @@ def max_sum_s(corr: np.ndarray, tol: float = 0.0) -> np.ndarray:
                 break
             s, value, low = s + t * step, trial, trial_low
         mu /= 5.0
-    return np.clip(s, 0.0, 1.0)
+    # the barrier stops just short of an upper bound that the matrix does not limit
+    full = np.where(s > 1.0 - 1e-6, 1.0, s)
+    return full if lambda_min(a - np.diag(full)) >= 0.0 else np.clip(s, 0.0, 1.0)
 
 
 def feasible_scale(corr: np.ndarray, s: np.ndarray, step: float = 0.01) -> float:

@@ -33,6 +33,11 @@ def test_program_near_a_grid_optimum():
     assert best - 1e-6 <= got <= best + 3 * 0.025
 
 
+def test_program_without_a_limit_reaches_one():
+    assert smallmat.max_sum_s(np.eye(1)).tolist() == [1.0]
+    assert smallmat.max_sum_s(np.eye(5) * 0.99 + 0.01).tolist() == [1.0] * 5
+
+
 def test_feasible_scale():
     corr = np.array([[1, 0.9], [0.9, 1]])
     g = smallmat.feasible_scale(corr, np.ones(2))
