@@ -8,6 +8,9 @@ import numpy as np
 
 
 def correlation(sigma: np.ndarray) -> np.ndarray:
+    constant = np.flatnonzero(np.diag(sigma) <= 0)
+    if constant.size:
+        raise ValueError(f"features without variance at positions {constant.tolist()}")
     d = np.sqrt(np.diag(sigma))
     return sigma / np.outer(d, d)
 

@@ -50,6 +50,13 @@ def test_plan_is_symmetric_and_psd(spark, rng):
     assert np.allclose(sigma @ plan.projection, np.diag(moments.collect_vector(geometry.s_equi(cov), "s")), atol=1e-9)
 
 
+def test_constant_feature_is_named(spark):
+    df = spark.createDataFrame([(float(k), 1.0) for k in range(9)], "a DOUBLE, b DOUBLE")
+    with pytest.raises(ValueError, match=r"without variance at positions \[1\]"):
+        analysis.second_order(df, ["a", "b"])
+    assert analysis.second_order(df, ["a", "b"], reg=1e-3).mean_corr < 1
+
+
 def test_constant_feature_has_no_target(spark):
     cov = moments.matrix_table(spark, np.diag([1.0, 0.0]))
     s = moments.small_table(spark, {"i": np.arange(2, dtype=np.int32), "s": np.array([0.5, 0.0])})
