@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from mirrorframe.functions import draws
 from mirrorframe.functions.vectors import batch_matrix
-from mirrorframe.operators.moments import mean_and_cov, merge_tasks, vector_table
+from mirrorframe.operators.moments import mean_and_cov, to_merge_tasks, vector_table
 from mirrorframe.operators.sample import ROWS_PER_RANGE, neighbour_pairs
 
 # Default kernel widths of the distance.
@@ -75,7 +75,7 @@ def _paired_moments(pairs: DataFrame, x: str, xk: str) -> dict[str, np.ndarray]:
     ddl = "n DOUBLE, " + ", ".join(f"{f} ARRAY<DOUBLE>" for f in fields)
     partials = pairs.select(F.col(x).alias("a"), F.col(xk).alias("b")).mapInArrow(fold, ddl)
     total = None
-    for row in partials.repartition(merge_tasks(pairs.sparkSession)).mapInArrow(combine, ddl).collect():
+    for row in to_merge_tasks(partials).mapInArrow(combine, ddl).collect():
         total = merge(total, unpack(row))
     if total is None:
         raise ValueError("no rows")

@@ -142,12 +142,15 @@ def moment_partials(vectors: DataFrame, weigh: Callable[[np.ndarray], list[np.nd
         yield from _emit(states, second)
 
     partials = vectors.mapInArrow(fold, PARTIAL_DDL)
-    return merge_partials(partials.repartition(merge_tasks(vectors.sparkSession)), second)
+    return merge_partials(to_merge_tasks(partials), second)
 
 
-def merge_tasks(spark: SparkSession) -> int:
-    """Tasks that merge the per-task states; the driver reads one small row of each."""
-    return max(1, min(MERGE_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+def to_merge_tasks(partials: DataFrame) -> DataFrame:
+    """Send the per-task states to at most ``MERGE_TASKS`` tasks; adaptive execution joins small ones.
+
+    The driver then reads one small row per task and state.
+    """
+    return partials.withColumn("part", F.spark_partition_id() % MERGE_TASKS).repartition("part").drop("part")
 
 
 def merge_partials(partials: DataFrame, second: bool = True) -> DataFrame:
