@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a task works on at once; a longer single text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
 #: Rows of a table that may be broadcast; each broadcast row here is well under 200 bytes.
 BROADCAST_ROWS = 200_000
 

@@ -8,6 +8,35 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES = {}
 
+ORACLES["op1_decontamination"] = rf"""
+WITH doc_words AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_windows AS (
+  SELECT item_id, w, u.i AS i, least(len(w), 10) AS size, array_to_string(w[u.i:u.i + least(len(w), 10) - 1], ' ') AS win
+  FROM items, unnest(range(1, greatest(len(w) - 8, 2))) u(i) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_windows AS (
+  SELECT rid, u.i AS i, size, array_to_string(w[u.i:u.i + size - 1], ' ') AS win
+  FROM doc_words, sizes, unnest(range(1, len(w) - size + 2)) u(i)
+), hits AS (
+  SELECT rid, d.i AS i, d.size AS size, item_id, b.i AS j, b.w AS bw FROM doc_windows d JOIN item_windows b ON d.win = b.win AND d.size = b.size
+), hit_words AS (
+  SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS k FROM hits) GROUP BY rid
+), found AS (
+  SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY rid
+), reach AS (
+  SELECT rid, max((SELECT coalesce(min(k), least(len(bw) - j + 1, len(w) - i + 1)) FROM unnest(range(size, least(len(bw) - j + 1, len(w) - i + 1))) u(k)
+         WHERE bw[j + k] <> w[i + k])) AS longest
+  FROM hits JOIN doc_words USING (rid) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match
+FROM doc_words LEFT JOIN hit_words USING (rid) LEFT JOIN found USING (rid) LEFT JOIN reach USING (rid)
+"""
+
 ORACLES["op8_url_filters"] = rf"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm import rollups, slots, urls
+from mirrorframe.llm import rollups, slots, suffixes, urls
 from mirrorframe.llm.frames import shared_folder
 
 QUERIES = {}
@@ -22,6 +22,20 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# -- op1 -------------------------------------------------------------------------------
+
+
+@query
+def op1_decontamination(spark, sf):
+    found = suffixes.find_matches(read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark"))
+    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0)).cast("long")
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"), longest.alias("longest_match"),
+    )
+
+
 # -- op8 -------------------------------------------------------------------------------
 
 #: The given host and path rules, and patterns of pages without prose for the other URLs.
