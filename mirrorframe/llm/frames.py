@@ -40,8 +40,10 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with about ``limit`` bytes of text each."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+    """Cut a batch into runs of rows with about ``limit`` bytes of text (or ``limit / 4`` list items) each."""
+    values = batch.column(column)
+    sizes = pc.multiply(pc.list_value_length(values).cast(pa.int64()), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype("int64").cumsum()
     at, done = 0, 0
     while at < batch.num_rows:
         end = max(at + 1, int(sizes.searchsorted(done + limit, side="right")))

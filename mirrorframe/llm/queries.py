@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm import rollups, slots, suffixes, urls
+from mirrorframe.llm import bpe, rollups, slots, suffixes, urls
 from mirrorframe.llm.frames import shared_folder
 
 QUERIES = {}
@@ -36,6 +36,29 @@ def op1_decontamination(spark, sf):
     )
 
 
+# -- op2 -------------------------------------------------------------------------------
+
+
+def vocabulary():
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Rows with the number and digest of the token ids of their text, and the digest of what these decode to."""
+    ranks, pattern = vocabulary()
+    new = ("n_tokens", "ids_sha256", "decoded_sha256")
+    coded = bpe.encode(docs, ranks, pattern).withColumns({"n_tokens": F.size("token_ids").cast("long"), "ids_sha256": F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256)})
+    decoded = bpe.decode(coded, ranks).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return decoded.select(*[c for c in docs.columns if c not in new], *new)
+
+
+@query
+def op2_byte_bpe(spark, sf):
+    return token_digests(read(spark, sf, "documents").select("doc_id", "text")).drop("text")
+
+
 # -- op8 -------------------------------------------------------------------------------
 
 #: The given host and path rules, and patterns of pages without prose for the other URLs.
