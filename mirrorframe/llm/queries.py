@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm import bpe, rollups, slots, suffixes, urls
+from mirrorframe.llm import bpe, rollups, secrets, slots, suffixes, urls
 from mirrorframe.llm.frames import shared_folder
 
 QUERIES = {}
@@ -59,6 +59,24 @@ def op2_byte_bpe(spark, sf):
     return token_digests(read(spark, sf, "documents").select("doc_id", "text")).drop("text")
 
 
+# -- op4 -------------------------------------------------------------------------------
+
+
+@query
+def op4_secret_scan(spark, sf):
+    found = secrets.find_secrets(read(spark, sf, "documents").select("doc_id", "text"))
+
+    def digest(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    counts = [number(kind) for kind in secrets.KINDS]
+    return found.select("doc_id", *counts[:3], F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("secrets")).alias("spans"), counts[3])
+
+
 # -- op8 -------------------------------------------------------------------------------
 
 #: The given host and path rules, and patterns of pages without prose for the other URLs.
