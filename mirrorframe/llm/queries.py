@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm import bpe, rollups, secrets, slots, suffixes, urls
+from mirrorframe.llm import bpe, languages, rollups, secrets, slots, suffixes, urls
 from mirrorframe.llm.frames import shared_folder
 
 QUERIES = {}
@@ -77,6 +77,17 @@ def op4_secret_scan(spark, sf):
     return found.select("doc_id", *counts[:3], F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("secrets")).alias("spans"), counts[3])
 
 
+# -- op7 -------------------------------------------------------------------------------
+
+
+@query
+def op7_language_mixture(spark, sf):
+    docs = read(spark, sf, "documents")
+    model = languages.learn(docs, ~languages.held_out())
+    texts = docs.select("doc_id", "text", languages.held_out().alias("held_out"))
+    return languages.predict(texts, model).select("doc_id", "held_out", "lang_pred", "score", F.size("lang_mix").alias("n_langs"))
+
+
 # -- op8 -------------------------------------------------------------------------------
 
 #: The given host and path rules, and patterns of pages without prose for the other URLs.
