@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm import bpe, languages, rollups, secrets, slots, suffixes, urls
+from mirrorframe.llm import bpe, languages, near, rollups, secrets, slots, suffixes, urls
 from mirrorframe.llm.frames import shared_folder
 
 QUERIES = {}
@@ -77,6 +77,14 @@ def op4_secret_scan(spark, sf):
     return found.select("doc_id", *counts[:3], F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("secrets")).alias("spans"), counts[3])
 
 
+# -- op5 -------------------------------------------------------------------------------
+
+
+@query
+def op5_minhash_dedup(spark, sf):
+    return near.near_duplicates(read(spark, sf, "documents"))
+
+
 # -- op7 -------------------------------------------------------------------------------
 
 

@@ -31,7 +31,7 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS = Powers(BYTE_BASE), Powers(WORD_BASE)
+BYTE_POWERS, WORD_POWERS = Powers(BYTE_BASE), Powers(WORD_BASE)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ class Words:
         begin[heads], end[tails] = inside[heads], inside[tails]
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
-        self.hashes = spans_hash(alphabet.value[self.data], self.starts, self.ends, _BYTES)
+        self.hashes = spans_hash(alphabet.value[self.data], self.starts, self.ends, BYTE_POWERS)
 
     @property
     def counts(self) -> np.ndarray:
@@ -116,8 +116,4 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of ``size`` consecutive words from each word on; those that run over the end are cut there."""
     n = len(hashes)
     at = np.arange(n)
-    return spans_hash(hashes, at, np.minimum(at + size, n), _WORDS)
-
-
-def joined(values) -> bytes:
-    return b" ".join(values)
+    return spans_hash(hashes, at, np.minimum(at + size, n), WORD_POWERS)
