@@ -55,6 +55,22 @@ SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, coalesce(component_id,
 FROM doc_words LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (doc_id)
 """
 
+ORACLES["op6_anchored_repeats"] = r"""
+WITH doc_words AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), wins AS MATERIALIZED (
+  SELECT rid, doc_id, u.i AS i, md5(array_to_string(w[u.i:u.i + 49], ' ')) AS h FROM doc_words, unnest(range(1, len(w) - 48)) u(i)
+), firsts AS (SELECT h, min(doc_id) AS least FROM wins GROUP BY h),
+gone AS (
+  SELECT rid, list(DISTINCT k) AS ks FROM (SELECT rid, unnest(range(i, i + 50)) AS k FROM wins JOIN firsts USING (h) WHERE doc_id > least) GROUP BY rid
+), kept AS (
+  SELECT t.rid, list(t.x ORDER BY t.k) AS kw FROM (SELECT rid, u.k AS k, w[u.k] AS x FROM doc_words, unnest(range(1, len(w) + 1)) u(k)) t
+  ANTI JOIN (SELECT rid, unnest(ks) AS k FROM gone) g ON t.rid = g.rid AND t.k = g.k GROUP BY t.rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed, sha256(coalesce(array_to_string(kw, ' '), '')) AS kept_sha256
+FROM doc_words LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)
+"""
+
 ORACLES["op8_url_filters"] = rf"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm import bpe, languages, near, rollups, secrets, slots, suffixes, urls
+from mirrorframe.llm import bpe, languages, near, repeats, rollups, secrets, slots, suffixes, urls
 from mirrorframe.llm.frames import shared_folder
 
 QUERIES = {}
@@ -85,6 +85,16 @@ def op5_minhash_dedup(spark, sf):
     return near.near_duplicates(read(spark, sf, "documents"))
 
 
+# -- op6 -------------------------------------------------------------------------------
+
+
+@query
+def op6_anchored_repeats(spark, sf):
+    cut = repeats.cut_repeats(read(spark, sf, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 # -- op7 -------------------------------------------------------------------------------
 
 
