@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm import bpe, languages, near, repeats, rollups, secrets, slots, suffixes, urls
+from mirrorframe.llm import bpe, languages, near, neighbours, repeats, rollups, secrets, slots, suffixes, urls
 from mirrorframe.llm.frames import shared_folder
 
 QUERIES = {}
@@ -59,6 +59,14 @@ def op2_byte_bpe(spark, sf):
     return token_digests(read(spark, sf, "documents").select("doc_id", "text")).drop("text")
 
 
+# -- op3 -------------------------------------------------------------------------------
+
+
+@query
+def op3_learned_partitions(spark, sf):
+    return neighbours.nearest(read(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 # -- op4 -------------------------------------------------------------------------------
 
 
