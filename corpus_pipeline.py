@@ -1,4 +1,9 @@
-"""From raw documents to tokens, in stages that are each written and read again."""
+"""From raw documents to tokens, in stages that are each written and read again.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one before
+kept.  All but the last return the columns of ``documents``, and any others that
+``docs`` has, as they are.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +11,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mirrorframe.llm import languages, near, secrets, suffixes
 from mirrorframe.llm.frames import shared_folder
+from mirrorframe.llm.queries import token_digests
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a chief language, go; languages are learned from four fifths of the labelled rows."""
+    return languages.keep_known(docs, languages.learn(docs, ~languages.held_out()))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document of the smallest id stays."""
+    return near.drop_near_duplicates(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of any ``benchmark`` item go."""
+    return suffixes.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Found secrets are replaced in the texts, and ``n_chars`` says the new length; no document goes."""
+    return secrets.redact(docs, length="n_chars")
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the token ids of every text, their number and digest, and the digest of the bytes they decode to."""
+    return token_digests(docs, keep_ids=True)
+
 
-STAGES = []
+STAGES = [
+    ("language", identify_language),
+    ("near-copies", drop_near_copies),
+    ("benchmark", remove_benchmark),
+    ("secrets", redact_secrets),
+    ("tokens", tokenize),
+]
+#: Mixture inference and the randomness battery can't be written in SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 

@@ -45,13 +45,17 @@ def vocabulary():
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
-def token_digests(docs: DataFrame) -> DataFrame:
-    """Rows with the number and digest of the token ids of their text, and the digest of what these decode to."""
+def token_digests(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """Rows with the number and digest of the token ids of their text, and the digest of what these decode to.
+
+    Columns of the new names (also ``token_ids`` and ``decoded``) are replaced.
+    """
     ranks, pattern = vocabulary()
-    new = ("n_tokens", "ids_sha256", "decoded_sha256")
+    new = [*["token_ids"] * keep_ids, "n_tokens", "ids_sha256", "decoded_sha256"]
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in {*new, "token_ids", "decoded"}])
     coded = bpe.encode(docs, ranks, pattern).withColumns({"n_tokens": F.size("token_ids").cast("long"), "ids_sha256": F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256)})
     decoded = bpe.decode(coded, ranks).withColumn("decoded_sha256", F.sha2("decoded", 256))
-    return decoded.select(*[c for c in docs.columns if c not in new], *new)
+    return decoded.select(*docs.columns, *new)
 
 
 @query

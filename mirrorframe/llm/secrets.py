@@ -241,8 +241,11 @@ def mask(text: str, spans: list[tuple[int, int]], instead: str) -> str:
     return "".join(pieces) + text[at:]
 
 
-def redact(docs: DataFrame, text: str = "text", instead: str = "[SECRET]", false_share: float = FALSE_SHARE) -> DataFrame:
-    """All rows and columns, with every found span of the text replaced; null texts stay null."""
+def redact(docs: DataFrame, text: str = "text", instead: str = "[SECRET]", length: str | None = None, false_share: float = FALSE_SHARE) -> DataFrame:
+    """All rows and columns, with every found span of the text replaced; null texts stay null.
+
+    A column named by ``length`` gets the number of characters of the texts that changed.
+    """
     columns = docs.columns
     plain = docs.select(*[F.col(c).alias(f"_{k}") if c != text else F.col(c) for k, c in enumerate(columns)])
     found = find_secrets(plain, text, "_spans", false_share)
@@ -255,4 +258,10 @@ def redact(docs: DataFrame, text: str = "text", instead: str = "[SECRET]", false
         return work
 
     masked = append_columns(found, [T.StructField(text, T.StringType())], text, make)
-    return masked.select(*[F.col(f"_{k}" if c != text else c).alias(c) for k, c in enumerate(columns)])
+
+    def column(k, c):
+        if c == length:
+            return F.when(F.size("_spans") > 0, F.length(text)).otherwise(F.col(f"_{k}")).cast(docs.schema[c].dataType).alias(c)
+        return F.col(c if c == text else f"_{k}").alias(c)
+
+    return masked.select(*[column(k, c) for k, c in enumerate(columns)])
