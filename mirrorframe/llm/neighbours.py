@@ -195,7 +195,7 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     while parts < MAX_PARTS and parts * PART_ROWS < n:
         parts *= 2
     parts = max(parts, 8 if len(drawn) >= 256 else 1)
-    router, calibrated = learn(np.array([r["v"] for r in drawn], np.float64).reshape(len(drawn), -1), parts, k)
+    router, calibrated = learn(np.array([r["v"] for r in drawn], np.float64).reshape(len(drawn), dims), parts, k)
     probed = min(probes or calibrated, parts)
     shared = vectors.sparkSession.sparkContext.broadcast(router)
 

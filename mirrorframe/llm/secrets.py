@@ -39,7 +39,7 @@ ENCODINGS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 #: Least chance, under randomness, of each statistic of a reported string; share of ordinary strings tolerated among the reported.
-PLAUSIBLE, FALSE_SHARE = 1e-4, 0.01
+PLAUSIBLE, FALSE_SHARE = 1e-4, 0.05
 #: Classes of length (at least so many characters), and the fine steps of -log10 p in which p-values are counted.
 LENGTHS, STEP, TOP = (20, 32, 48, 64, 128), 0.05, 600
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])

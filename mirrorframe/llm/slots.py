@@ -48,7 +48,7 @@ def rebalance(slot_map: DataFrame, loads: DataFrame, tolerance: float = 0.05) ->
     """The next version with slots moved until no shard is over its even share by more than ``tolerance``, or no move helps.
 
     ``loads`` has (vslot, n_bytes).  Slots without a load count as empty.  Each step
-    moves the largest slot that fits from the fullest shard to the emptiest.
+    moves the slot that evens the fullest and the emptiest shard best.
     """
     rows = slot_map.join(F.broadcast(loads.select("vslot", "n_bytes")), "vslot", "left").fillna(0, ["n_bytes"]).collect()
     spark = slot_map.sparkSession
@@ -59,11 +59,11 @@ def rebalance(slot_map: DataFrame, loads: DataFrame, tolerance: float = 0.05) ->
     even = sum(total.values()) / max(1, len(total))
     while held:
         full, empty = max(total, key=lambda s: (total[s], -s)), min(total, key=lambda s: (total[s], s))
-        room = (total[full] - total[empty]) / 2
-        movable = [x for x in held[full] if 0 < x[0] <= room]
+        gap = total[full] - total[empty]
+        movable = [x for x in held[full] if 0 < x[0] < gap]
         if total[full] <= even * (1 + tolerance) or not movable:
             break
-        moved = movable[-1]
+        moved = min(movable, key=lambda x: (abs(x[0] - gap / 2), x[1]))
         held[full].remove(moved)
         held[empty] = sorted([*held[empty], moved])
         total[full], total[empty] = total[full] - moved[0], total[empty] + moved[0]
