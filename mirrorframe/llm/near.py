@@ -8,7 +8,8 @@
    large-star and small-star.
 4. Buckets that still hold several components are gone through again until every
    pair of their members is in one component, compared, or can't be linked.  A node
-   can't be linked when too few of its shingles stand in any other node.
+   can't be linked when too few of its shingles stand in any other node; two nodes
+   can't when what each has of their common hub, and outside of it, is too little.
 
 So a group of copies costs about one comparison for each member and bucket, and
 never one for each pair.  Bands miss a pair at the threshold itself with a chance
@@ -37,7 +38,7 @@ BANDS, BAND_ROWS, SEED = 32, 4, 1
 #: Agreeing minima of 128 below which a pair is not looked at further: over five deviations below what the threshold gives.
 LEAST_AGREEING = 68
 #: Members of a bucket that one later round compares with all others of other components.
-HUBS = 24
+HUBS = 512
 
 
 class Shingles:
@@ -134,8 +135,11 @@ def full_sets(docs: DataFrame, key: str, text: str, crowded: DataFrame) -> DataF
     return texts.mapInArrow(run, "node LONG, shingles BINARY")
 
 
-def verify(pairs: DataFrame, cards: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked; ``cards`` has each node's signature and full set."""
+def compare(pairs: DataFrame, cards: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes as (u, v, common, linked); pairs whose signatures are too far apart are left out.
+
+    ``cards`` has each node's signature and full set; ``common`` is the size of the intersection.
+    """
     a = cards.select(F.col("node").alias("a"), F.col("signature").alias("sa"), F.col("shingles").alias("xa"))
     b = cards.select(F.col("node").alias("b"), F.col("signature").alias("sb"), F.col("shingles").alias("xb"))
 
@@ -145,16 +149,16 @@ def verify(pairs: DataFrame, cards: DataFrame) -> DataFrame:
                 continue
             sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
             near = np.flatnonzero((sa == sb).sum(axis=1) >= LEAST_AGREEING)
-            good = []
             xa, xb = batch.column("xa"), batch.column("xb")
+            common, linked = [], []
             for k in near.tolist():
                 x, y = (np.frombuffer(v[k].as_buffer(), U64) for v in (xa, xb))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                    good.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in ("a", "b")], names=["u", "v"])
+                common.append(len(np.intersect1d(x, y, assume_unique=True)))
+                linked.append(100 * common[-1] >= PERCENT * (len(x) + len(y) - common[-1]))
+            at = pa.array(near, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["u", "v", "common", "linked"])
 
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "u LONG, v LONG")
+    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "u LONG, v LONG, common LONG, linked BOOLEAN")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -165,12 +169,8 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "labels")
 
 
-def _open(live: DataFrame, cards: DataFrame) -> DataFrame:
-    """The nodes of ``live`` that may be linked with another: enough of their shingles stand in some other node of it.
-
-    A link asks for a share of PERCENT / (100 + PERCENT) of both sizes together, and no partner is smaller than the
-    smallest member of the node's buckets, nor than PERCENT of the node.
-    """
+def _shared(live: DataFrame, cards: DataFrame) -> DataFrame:
+    """(node, n, least, shared) for the nodes of ``live``: how many of a node's shingles stand in some other node of it."""
     sized = live.groupBy("node").agg(F.min("least").alias("least"), F.min("n").alias("n"))
 
     def spread(batches):
@@ -183,9 +183,51 @@ def _open(live: DataFrame, cards: DataFrame) -> DataFrame:
     shingles = cards.select("node", "shingles").join(sized.select("node"), "node", "left_semi").mapInArrow(spread, "h LONG, node LONG")
     owned = shingles.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("_other")).filter(F.col("node") == F.col("_other"))
     alone = owned.groupBy("node").agg(F.count("*").alias("alone"))
-    shared = F.col("n") - F.coalesce("alone", F.lit(0))
-    needed = PERCENT * (F.col("n") + F.greatest(F.col("least").cast("double"), F.col("n") * (PERCENT / 100)))
-    return sized.join(alone, "node", "left").filter((100 + PERCENT) * shared >= needed - 1e-6).select("node")
+    return sized.join(alone, "node", "left").select("node", "n", "least", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def _enough(common, sizes):
+    """Whether so many common shingles can make a link between sets of these sizes together."""
+    return (100 + PERCENT) * common >= PERCENT * sizes
+
+
+def _bounds(live: DataFrame, cards: DataFrame, main: DataFrame, compared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What is known of the nodes that may still be linked: (node, hub, in_hub, outside, buckets).
+
+    A node is out when too few of its shingles stand in any other, even for its
+    smallest possible partner.  ``in_hub`` counts its shingles in its main hub's set,
+    ``outside`` the others that some node shares; two nodes of one hub have at most
+    the smaller of each in common.  Where the hub was too far to count, it is null.
+    """
+    shared = _shared(live, cards)
+    partner = F.greatest(F.col("least").cast("double"), F.col("n") * (PERCENT / 100))
+    able = shared.filter(_enough(F.col("shared"), F.col("n") + partner - 1e-6))
+    counts = compared.select(F.col("u").alias("node"), F.col("v").alias("hub"), "common").unionByName(compared.select(F.col("v").alias("node"), F.col("u").alias("hub"), "common"))
+    known = able.join(main, "node").join(counts, ["node", "hub"], "left")
+    own = F.col("node") == F.col("hub")
+    in_hub = F.when(own, F.col("n")).otherwise(F.col("common"))
+    known = known.select("node", F.when(in_hub.isNotNull(), F.col("hub")).alias("hub"), in_hub.alias("in_hub"), F.greatest(F.col("shared") - in_hub, F.lit(0)).alias("outside"))
+    return known.join(nodes.select("node", "buckets"), "node")
+
+
+def _cross_pairs(live: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs of a hub and a member of another component in its bucket that may be linked, each in the first bucket that both share."""
+    h = hubs.select("bucket", *[F.col(c).alias(f"h_{c}") for c in ("node", "component", "n", "hub", "in_hub", "outside", "buckets")])
+    sizes = F.col("n") + F.col("h_n")
+    most = F.least("in_hub", "h_in_hub") + F.least("outside", "h_outside")
+    fits = (
+        (F.col("component") != F.col("h_component")) & (100 * F.least("n", "h_n") >= PERCENT * F.greatest("n", "h_n"))
+        & F.coalesce((F.col("hub") != F.col("h_hub")) | _enough(most, sizes), F.lit(True))
+        & (F.col("bucket") == F.array_min(F.array_intersect("buckets", "h_buckets")))
+    )
+    return live.join(h, "bucket").filter(fits).select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")).distinct()
+
+
+def _mixed(live: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """The members, with their components, of the buckets that hold more than one component."""
+    seen = live.join(labels, "node")
+    mixed = seen.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("bucket")
+    return written(seen.join(mixed, "bucket", "left_semi"), name)
 
 
 def link_nodes(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -197,35 +239,33 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFr
     degree = live.groupBy("node").agg(F.sum("size").alias("degree"))
     crowded = written(nodes.join(degree, "node").select("node", "key", "signature", "degree"), "crowded-nodes")
     cards = written(full_sets(docs, key, text, crowded).dropDuplicates(["node"]).join(crowded.select("node", "signature"), "node"), "cards")
-    hubs = live.join(crowded.select("node", "degree"), "node").groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))
-    first = live.select("bucket", "node").join(hubs, "bucket").filter("node <> hub")
-    checked = written(first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-    links = written(verify(checked, cards), "links")
-    labels = _relabel(written(crowded.select("node", F.col("node").alias("component")), "labels"), links)
-
-    opened = False
+    hubs = live.join(crowded.select("node", "degree"), "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("_hub"))
+    led = live.select("bucket", "node").join(hubs, "bucket").select("node", "_hub").distinct()
+    led = written(led.select("node", F.col("_hub.node").alias("hub"), F.col("_hub.degree").alias("degree")), "led")
+    checked = led.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    compared = written(compare(checked, cards), "compared")
+    labels = _relabel(crowded.select("node", F.col("node").alias("component")), compared.filter("linked"))
+
+    live = _mixed(live.select("bucket", "node", "n", "least"), labels, "mixed")
+    if live.isEmpty():
+        return labels
+    main = led.groupBy("node").agg(F.max(F.struct("degree", "hub"))["hub"].alias("hub"))
+    bounds = written(_bounds(live, cards, main, compared, nodes), "bounds")
+    live = live.select("bucket", "node", "n").join(bounds, "node")
     while True:
-        seen = live.join(labels, "node")
-        mixed = seen.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("bucket")
-        live = written(seen.join(mixed, "bucket", "left_semi"), "live")
+        live = _mixed(live, labels, "mixed")
         if live.isEmpty():
             return labels
-        if not opened:  # from here on only nodes that may still be linked count
-            live = live.join(written(_open(live, cards), "open"), "node", "left_semi").drop("component")
-            opened = True
-            continue
         # the members of the smallest components of a bucket are compared with all others there
         sizes = live.groupBy("bucket", "component").agg(F.count("*").alias("_size"))
-        ranked = live.join(sizes, ["bucket", "component"]).withColumn("_rank", F.row_number().over(Window.partitionBy("bucket").orderBy("_size", "component", "node")))
-        hubs = written(ranked.filter(F.col("_rank") <= HUBS).select("bucket", F.col("node").alias("hub"), F.col("component").alias("_own"), F.col("n").alias("_n")), "hubs")
-        fits = (F.col("component") != F.col("_own")) & (100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n"))
-        pairs = live.join(hubs, "bucket").filter(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        checked = checked.unionByName(pairs)
-        links = written(verify(pairs, cards), "links")
+        largest = sizes.groupBy("bucket").agg(F.max(F.struct("_size", "component"))["component"].alias("_top"))
+        minor = live.join(sizes, ["bucket", "component"]).join(largest, "bucket").filter("component <> _top")
+        ranked = minor.withColumn("_rank", F.row_number().over(Window.partitionBy("bucket").orderBy("_size", "component", "node")))
+        hubs = written(ranked.filter(F.col("_rank") <= HUBS).drop("_size", "_top", "_rank"), "hubs")
+        links = written(compare(_cross_pairs(live, hubs), cards).filter("linked"), "links")
         if not links.isEmpty():
             labels = _relabel(labels, links)
-        live = live.drop("component").join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+        live = live.drop("component").join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
