@@ -8,8 +8,9 @@ rows are partitioned, and a recomputed task repeats it exactly.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TWO_POW_53 = float(2**53)
 
@@ -21,8 +22,13 @@ XXH_P4 = 0x85EBCA77C2B2AE63
 XXH_P5 = 0x27D4EB2F165667C5
 
 
+def row_key(df: DataFrame, key: str) -> Column:
+    """The key column as it is hashed: integers of any width count as LONG, so the same ids give the same draws."""
+    return F.col(key).cast("long") if isinstance(df.schema[key].dataType, T.IntegralType) else F.col(key)
+
+
 def hash_key(seed: int, *keys) -> Column:
-    """64-bit hash of a seed and key columns."""
+    """64-bit hash of a seed and key columns; pass row keys through ``row_key``."""
     return F.xxhash64(F.lit(int(seed)).cast("long"), *[_column(k) for k in keys])
 
 

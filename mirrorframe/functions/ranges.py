@@ -41,7 +41,7 @@ def range_edges(df: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE) -
     if wanted <= SKETCH_RANGES:
         return sorted({row["q"][i * SKETCH_RANGES // wanted - 1] for i in range(1, wanted)})
     rate = SAMPLES_PER_RANGE * wanted / row["n"]
-    chosen = df.select(key).where(draws.uniform(SAMPLE_SEED, key) < rate).distinct()
+    chosen = df.select(key).where(draws.uniform(SAMPLE_SEED, draws.row_key(df, key)) < rate).distinct()
     cuts = with_position(chosen, key).where(F.col("position") % SAMPLES_PER_RANGE == SAMPLES_PER_RANGE - 1)
     return sorted(r[key] for r in cuts.select(key).collect())
 

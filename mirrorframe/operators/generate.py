@@ -5,7 +5,6 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mirrorframe.functions import draws
 from mirrorframe.functions.vectors import Features, batch_matrix, list_column, vectorize
@@ -20,9 +19,7 @@ def generate_knockoffs(df: DataFrame, features: Features, plan: KnockoffPlan, ke
     """
     mu, projection, root = plan.mu, plan.projection, plan.root
     p = mu.size
-    integral = isinstance(df.schema[key].dataType, T.IntegralType)
-    row = F.col(key).cast("long") if integral else F.col(key)
-    rows = vectorize(df, features, keep=[F.col(key), draws.hash_key(seed, row).alias("_h")])
+    rows = vectorize(df, features, keep=[F.col(key), draws.hash_key(seed, draws.row_key(df, key)).alias("_h")])
 
     def copy(batches):
         for batch in batches:

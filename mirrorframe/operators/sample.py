@@ -30,12 +30,13 @@ class SampleCut:
     last_hash: int | None
     last_key: object
 
-    def condition(self) -> Column:
+    def condition(self, df: DataFrame) -> Column:
+        """Whether a row of ``df`` belongs to the sample."""
         if self.k == 0:
             return F.lit(False)
         if self.k == self.n:
             return F.lit(True)
-        h = draws.hash_bits(self.seed, self.key)
+        h = draws.hash_bits(self.seed, draws.row_key(df, self.key))
         tie = (h == F.lit(self.last_hash)) & (F.col(self.key) <= F.lit(self.last_key))
         return (h < F.lit(self.last_hash)) | tie
 
@@ -48,7 +49,7 @@ def sample_cut(df: DataFrame, key: str, frac: float | None = None, k: int | None
     map-side aggregate, no row is shuffled) and keeps the range in which the
     k-th row lies, until that range holds few enough rows to order directly.
     """
-    hashed = df.select(F.col(key).alias("k"), draws.hash_bits(seed, key).alias("h"))
+    hashed = df.select(F.col(key).alias("k"), draws.hash_bits(seed, draws.row_key(df, key)).alias("h"))
     low, shift, before, n = 0, HASH_BITS, 0, None
     while True:
         # The current interval is [low, low + 2**shift).
@@ -78,12 +79,12 @@ def sample_cut(df: DataFrame, key: str, frac: float | None = None, k: int | None
 
 def sample_exact(df: DataFrame, frac: float, key: str, seed: int = 200) -> DataFrame:
     """Exactly ``round(frac * n)`` rows (half-even) without replacement."""
-    return df.where(sample_cut(df, key, frac=frac, seed=seed).condition())
+    return df.where(sample_cut(df, key, frac=frac, seed=seed).condition(df))
 
 
 def train_holdout_split(df: DataFrame, frac: float, key: str, seed: int = 200, out: str = "is_train") -> DataFrame:
     """All rows, flagged with membership in the exact sample; one scan gives both parts."""
-    return df.withColumn(out, sample_cut(df, key, frac=frac, seed=seed).condition())
+    return df.withColumn(out, sample_cut(df, key, frac=frac, seed=seed).condition(df))
 
 
 def assign_batches(df: DataFrame, key: str, batch_size: int | None = None, batch_frac: float | None = None,
@@ -116,7 +117,8 @@ def neighbour_pairs(df: DataFrame, key: str, values: list[str], rows_per_range:
     """Rows taken two by two in the order of a unique numeric key: ``(a, b)`` structs of the value columns.
 
     Range borders are moved by one row where needed so that no pair crosses one;
-    then a single shuffle by range is enough.  A last odd row has no partner.
+    then a single shuffle by range is enough.  A last odd row is paired with the
+    row before it, which is then in two pairs; a single row has no pair.
     ``keys`` is a cheaper table with the same keys, if there is one, for finding
     the borders.
     """
@@ -132,13 +134,15 @@ def neighbour_pairs(df: DataFrame, key: str, values: list[str], rows_per_range:
         edges = sorted(set(moved))
     local = Window.partitionBy("_range").orderBy(key)
     row = df.select(key, ranges.range_of(key, edges).alias("_range"), F.struct(*values).alias("a"))
-    row = row.select("a", F.lead("a").over(local).alias("b"), F.row_number().over(local).alias("_n"))
-    return row.where((F.col("_n") % 2 == 1) & F.col("b").isNotNull()).select("a", "b")
+    row = row.select("a", F.lead("a").over(local).alias("b"), F.lag("a").over(local).alias("_before"), F.row_number().over(local).alias("_n"))
+    odd = (F.col("_n") % 2 == 1) & F.coalesce("b", "_before").isNotNull()
+    return row.where(odd).select(F.when(F.col("b").isNotNull(), F.col("a")).otherwise(F.col("_before")).alias("a"), F.coalesce("b", "a").alias("b"))
 
 
 def shuffle_within_row(df: DataFrame, x: str, key: str, seed: int) -> DataFrame:
     """Permute the values of each row independently of the other rows."""
-    tagged = F.transform(x, lambda v, i: F.struct(draws.hash_bits(seed, key, i.cast("long")).alias("h"), i.alias("i"), v.alias("v")))
+    row = draws.row_key(df, key)
+    tagged = F.transform(x, lambda v, i: F.struct(draws.hash_bits(seed, row, i.cast("long")).alias("h"), i.alias("i"), v.alias("v")))
     return df.withColumn(x, F.transform(F.array_sort(tagged), lambda s: s["v"]))
 
 
@@ -150,7 +154,7 @@ def soft_probs(df: DataFrame, logits: str, key: str, tau: float, seed: int, chun
         powers = let(F.array_max(c), lambda top: F.transform(c, lambda v: F.exp(v - top)))
         return let(powers, lambda e: let(_total(e), lambda t: F.transform(e, lambda v: v / t)))
 
-    return df.withColumn(out, _per_chunk(_noisy(logits, key, tau, seed, eps), chunk_list, softmax))
+    return df.withColumn(out, _per_chunk(_noisy(logits, draws.row_key(df, key), tau, seed, eps), chunk_list, softmax))
 
 
 def gumbel_onehot(df: DataFrame, logits: str, key: str, tau: float, seed: int, chunk_list: list[int] | None = None,
@@ -159,16 +163,16 @@ def gumbel_onehot(df: DataFrame, logits: str, key: str, tau: float, seed: int, c
     def harden(c):
         return let(F.array_position(c, F.array_max(c)), lambda best: F.transform(c, lambda _, i: (i + 1 == best).cast("double")))
 
-    return df.withColumn(out, _per_chunk(_noisy(logits, key, tau, seed, eps), chunk_list, harden))
+    return df.withColumn(out, _per_chunk(_noisy(logits, draws.row_key(df, key), tau, seed, eps), chunk_list, harden))
 
 
 def _total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, v: a + v)
 
 
-def _noisy(logits, key, tau, seed, eps):
+def _noisy(logits, row, tau, seed, eps):
     def noise(i):
-        return draws.gumbel(draws.uniform(seed, key, i.cast("long")), eps)
+        return draws.gumbel(draws.uniform(seed, row, i.cast("long")), eps)
 
     return F.transform(logits, lambda v, i: (v.cast("double") + noise(i)) / F.lit(float(tau)))
 
