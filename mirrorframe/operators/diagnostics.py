@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from mirrorframe.functions import draws
 from mirrorframe.functions.vectors import batch_matrix
-from mirrorframe.operators.moments import mean_and_cov, to_merge_tasks, vector_table
+from mirrorframe.operators.moments import mean_and_cov, merge_in_levels, vector_table
 from mirrorframe.operators.sample import ROWS_PER_RANGE, neighbour_pairs
 
 # Default kernel widths of the distance.
@@ -75,7 +75,7 @@ def _paired_moments(pairs: DataFrame, x: str, xk: str) -> dict[str, np.ndarray]:
     ddl = "n DOUBLE, " + ", ".join(f"{f} ARRAY<DOUBLE>" for f in fields)
     partials = pairs.select(F.col(x).alias("a"), F.col(xk).alias("b")).mapInArrow(fold, ddl)
     total = None
-    for row in to_merge_tasks(partials).mapInArrow(combine, ddl).collect():
+    for row in merge_in_levels(partials, lambda df: df.mapInArrow(combine, ddl)).collect():
         total = merge(total, unpack(row))
     if total is None:
         raise ValueError("no rows")
@@ -94,8 +94,8 @@ def mmd(pairs: DataFrame, key: str, alphas: Sequence[float] = ALPHAS, seed: int
         rows_per_range: int = ROWS_PER_RANGE, keys: DataFrame | None = None) -> DataFrame:
     """Kernel distance between (X, Xk) and its swaps, in linear time.
 
-    Rows are taken two by two in key order (a last single row has no partner);
-    each pair gives one term of the unbiased estimate, so n rows cost n/2 kernel
+    Rows are taken two by two in key order (a last odd row with the one before
+    it); each pair gives one term of the estimate, so n rows cost n/2 kernel
     evaluations.  ``full_swap`` exchanges every feature with its knockoff,
     ``partial_swap`` a hash-chosen half of them.  ``keys`` may name a cheaper
     table with the same keys (the original features), so that finding the row

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mirrorframe.functions import smallmat
+from mirrorframe.functions.rankscan import to_merge_tasks
 from mirrorframe.functions.vectors import Features, checked, matrices, vectorize
 
 EXPRESSION_WIDTH = 8
-MERGE_TASKS = 64
+#: Rows of state that the driver reads of one aggregate, at most.
+DRIVER_STATES = 64
 
 
 # -- conversions -----------------------------------------------------------------
@@ -108,12 +110,13 @@ def _emit(states, second):
 
 def moment_partials(vectors: DataFrame, weigh: Callable[[np.ndarray], list[np.ndarray]] | None = None,
                     centred: bool = True, second: bool = True) -> DataFrame:
-    """At most ``MERGE_TASKS`` rows (k, n, mean, m2) of merged moments of ``x`` (vectors or packed blocks).
+    """At most ``DRIVER_STATES`` rows per state (k, n, mean, m2) of merged moments of ``x`` (vectors or packed blocks).
 
     One scan: each task folds its Arrow batches into one state of size p x p per
     weight set, so what is shuffled does not grow with the rows.  ``weigh`` maps
-    an n x p batch to weight vectors; one state is kept per vector (default: one
-    state, weight 1).  ``centred=False`` sums ``w x x^T`` about zero.
+    an n x p batch to weight vectors, or to pairs of other rows and their weights
+    (None: weight 1); one state is kept for each (default: one state, weight 1).
+    ``centred=False`` sums ``w x x^T`` about zero.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,17 +124,18 @@ def moment_partials(vectors: DataFrame, weigh: Callable[[np.ndarray], list[np.nd
         for x in (m for batch in batches for m in matrices(batch)):
             weights = weigh(x) if weigh else [None]
             for k, w in enumerate(weights):
+                rows, w = w if isinstance(w, tuple) else (x, w)
                 if w is None:
-                    n, rows = float(x.shape[0]), x
+                    n = float(rows.shape[0])
                 elif w.dtype == bool:
-                    rows = x[w]
+                    rows = rows[w]
                     n, w = float(rows.shape[0]), None
                 else:
-                    n, rows = float(w.sum()), x
+                    n = float(w.sum())
                 if n == 0:
                     continue
                 if not centred:
-                    mean = np.zeros(x.shape[1])
+                    mean = np.zeros(rows.shape[1])
                 else:
                     mean = rows.mean(axis=0) if w is None else (w @ rows) / n
                 m2 = None
@@ -142,15 +146,13 @@ def moment_partials(vectors: DataFrame, weigh: Callable[[np.ndarray], list[np.nd
         yield from _emit(states, second)
 
     partials = vectors.mapInArrow(fold, PARTIAL_DDL)
-    return merge_partials(to_merge_tasks(partials), second)
+    return merge_in_levels(partials, lambda df: merge_partials(df, second))
 
 
-def to_merge_tasks(partials: DataFrame) -> DataFrame:
-    """Send the per-task states to at most ``MERGE_TASKS`` tasks; adaptive execution joins small ones.
-
-    The driver then reads one small row per task and state.
-    """
-    return partials.withColumn("part", F.spark_partition_id() % MERGE_TASKS).repartition("part").drop("part")
+def merge_in_levels(partials: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Merge the states of all tasks in two levels: as widely as Spark shuffles, then to a few for the driver."""
+    first = merge(to_merge_tasks(partials))
+    return merge(first.withColumn("part", F.spark_partition_id() % DRIVER_STATES).repartition("part").drop("part"))
 
 
 def merge_partials(partials: DataFrame, second: bool = True) -> DataFrame:
@@ -168,7 +170,7 @@ def merge_partials(partials: DataFrame, second: bool = True) -> DataFrame:
 
 
 def collect_moments(partials: DataFrame, second: bool = True) -> dict[int, tuple[float, np.ndarray, np.ndarray | None]]:
-    """(n, mean, m2) per weight set on the driver; reads at most ``MERGE_TASKS`` small rows per set."""
+    """(n, mean, m2) per weight set on the driver; reads at most ``DRIVER_STATES`` small rows per set."""
     states: dict[int, tuple | None] = {}
     for row in partials.collect():
         mean, m2 = _unpack(np.array(row["mean"]), np.array(row["m2"]))
@@ -269,8 +271,8 @@ def ridge_by_kind(cov: DataFrame, catalog, cat: float, cont: float) -> DataFrame
 
 
 def ridge_if_not_psd(cov: DataFrame, reg: float) -> DataFrame:
-    """Ridge only when the smallest eigenvalue is negative."""
-    return ridge(cov, reg) if smallmat.lambda_min(collect_matrix(cov)) < 0 else cov
+    """Ridge only when the smallest eigenvalue is negative by more than rounding."""
+    return ridge(cov, reg) if smallmat.indefinite(collect_matrix(cov)) else cov
 
 
 def correlation_summary(target_corr: DataFrame, kinds: DataFrame) -> DataFrame:

@@ -7,31 +7,38 @@ aggregates over all rows; rows never leave the executors.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from mirrorframe.functions import draws, smallmat
-from mirrorframe.functions.orderstats import rank_by_cells
-from mirrorframe.functions.vectors import Features, matrices, pack_blocks, vectorize, width
+from mirrorframe.functions import smallmat
+from mirrorframe.functions.rankscan import cell_counts, exact_ranks, medians
+from mirrorframe.functions.vectors import Features, pack_blocks, vectorize, width
 from mirrorframe.operators.moments import collect_moments, matrix_table, moment_partials
 
-START_ROWS = 1500
-SUBSET_ROWS = 300
-STARTS = 500
-KEPT = 10
+#: The deterministic starts, each a scatter of all rows that outliers move little.
+STARTS = ("tanh", "rank", "score", "sign", "half")
+#: Cells of the distribution functions behind the rank and score starts, over this range of scaled values.
+CDF_CELLS, CDF_RANGE = 1024, 16.0
+#: Reciprocal condition at which the scatter of a subset counts as singular, and to which it is then raised.
+SINGULAR, RAISED = 1e-9, 1e-3
+#: Relative width of a tie: distances this close to the cut count as equal to it.
+TIE = 1e-12
 
 
 @dataclass(frozen=True)
 class RobustFit:
+    """``ridge`` is 0, or the share of the unit matrix (in units of the features' scales) that a singular subset asked for."""
+
     n: int
     h: int
+    mean: np.ndarray
     location: np.ndarray
     covariance: np.ndarray
     raw_location: np.ndarray
@@ -39,13 +46,15 @@ class RobustFit:
     correction: float
     n_support: int
     log_dets: tuple[float, ...]
+    converged: bool
+    ridge: float
 
 
 def default_support(n: int, p: int) -> int:
     return min(n, math.ceil(0.5 * (n + p + 1)))
 
 
-# -- small helpers that run inside tasks or on p x p state ---------------------------
+# -- p x p helpers --------------------------------------------------------------------
 
 
 def _log_det(s: np.ndarray) -> float:
@@ -54,10 +63,9 @@ def _log_det(s: np.ndarray) -> float:
 
 
 def _inverse_root(s: np.ndarray) -> np.ndarray:
-    """W with s^-1 = W W^T; tiny eigenvalues are raised so that singular parts keep a large finite distance."""
+    """W with s^-1 = W W^T."""
     lam, q = np.linalg.eigh(s)
-    lam = np.maximum(lam, max(lam[-1], 1e-300) * 1e-14)
-    return q / np.sqrt(lam)
+    return q / np.sqrt(np.maximum(lam, max(lam[-1], 1e-300) * 1e-14))
 
 
 def _squared_distance(x: np.ndarray, mu: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -65,164 +73,254 @@ def _squared_distance(x: np.ndarray, mu: np.ndarray, root: np.ndarray) -> np.nda
     return np.einsum("ij,ij->i", z, z)
 
 
-def _local_steps(x, mu, s, h, steps):
-    """C-steps on a bounded start sample."""
-    for _ in range(steps):
-        d = _squared_distance(x, mu, _inverse_root(s))
-        rows = x[np.argpartition(d, h - 1)[:h]]
-        mu, s = rows.mean(axis=0), np.cov(rows, rowvar=False, bias=True).reshape(x.shape[1], -1)
-    return mu, s
-
-
-def _candidate_frame(found):
-    return pd.DataFrame({"log_det": [_log_det(s) for _, s in found], "mu": [m.tolist() for m, _ in found],
-                         "s": [s.ravel().tolist() for _, s in found]})
-
-
-CANDIDATE = "log_det DOUBLE, mu ARRAY<DOUBLE>, s ARRAY<DOUBLE>"
+def _ridge_needed(s: np.ndarray) -> float:
+    """Share of the unit matrix that lifts a singular scatter to the reciprocal condition ``RAISED``; 0 for a regular one."""
+    lam = np.linalg.eigvalsh(s)
+    if lam[0] > SINGULAR * max(lam[-1], 1e-300):
+        return 0.0
+    short = RAISED * lam[-1] - lam[0]
+    return float(short / (short + 1.0 - RAISED)) if short > 0 else 1.0
 
 
-def _collect_candidates(df: DataFrame, keep: int, p: int):
-    rows = df.orderBy("log_det").limit(keep).collect()
-    return [(np.array(r["mu"]), np.array(r["s"]).reshape(p, p)) for r in rows]
+def _ridged(s: np.ndarray, ridge: float) -> np.ndarray:
+    return (1.0 - ridge) * s + ridge * np.eye(len(s)) if ridge else s
 
 
-# -- minimum covariance determinant ---------------------------------------------------
+# -- the scale of the features ----------------------------------------------------------
 
 
-def _starts(vectors: DataFrame, key: str, n: int, p: int, h: int, seed: int):
-    """Candidate (mean, covariance) pairs from a bounded hash-chosen start sample.
-
-    Many random starts run on subsets of 300 rows, in parallel, and the best are
-    refined on the merged start sample.  Only starting points come from this
-    sample; the C-steps of ``fit`` see every row.
+@dataclass(frozen=True)
+class _Frame:
+    """Rows in robust units: centred by medians, scaled, and turned into the directions in which any row varies."""
+
+    centre: np.ndarray
+    scale: np.ndarray
+    varies: np.ndarray  # positions of features with any variance
+    turn: np.ndarray  # directions, as columns
+    apart: np.ndarray  # what all rows have in common across these directions
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return (x[:, self.varies] - self.centre) / self.scale
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        return self.scaled(x) @ self.turn
+
+    def location(self, mu: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        out = mean.copy()
+        out[self.varies] = self.centre + self.scale * (self.turn @ mu + self.apart)
+        return out
+
+    def covariance(self, s: np.ndarray, p: int) -> np.ndarray:
+        out = np.zeros((p, p))
+        out[np.ix_(self.varies, self.varies)] = (self.turn @ s @ self.turn.T) * np.outer(self.scale, self.scale)
+        return out
+
+
+def _frame(blocks: DataFrame, n: int, mean: np.ndarray, cov: np.ndarray) -> _Frame:
+    sd = np.sqrt(np.diag(cov))
+    varies = np.flatnonzero(sd > 0)
+    mean, sd = mean[varies], sd[varies]
+    pick = lambda x: x[:, varies]
+    centre = medians(blocks, pick, n, mean - 4 * sd, mean + 4 * sd)
+    spread = 1.4826 * medians(blocks, lambda x: np.abs(pick(x) - centre), n, np.zeros(len(sd)), 4 * sd)
+    scale = np.where(spread > 0, spread, sd)  # over half of the values equal, as in rare indicators
+    corr = cov[np.ix_(varies, varies)] / np.outer(sd, sd)
+    lam, q = np.linalg.eigh(corr)
+    spanned = q[:, lam > len(lam) * 1e-12 * lam[-1]]
+    # the directions of the scaled rows that the same combinations span
+    turn, _ = np.linalg.qr(spanned * (sd / scale)[:, None])
+    z = (mean - centre) / scale
+    return _Frame(centre, scale, varies, turn, z - turn @ (turn.T @ z))
+
+
+# -- steps over all rows ------------------------------------------------------------------
+
+
+def _c_step(blocks: DataFrame, frame: _Frame, states, h: int, cuts):
+    """One C-step for several (mean, scatter, ridge) at once.
+
+    The h closest rows get weight 1.  Rows tied at the cut share what is left of h
+    evenly, so the result depends on no order of the rows and the weights always
+    add up to h.  ``cuts`` guess the cuts of squared distance.
     """
-    wanted = min(n, START_ROWS)
-    share = min(1.0, 3.0 * wanted / n)
-    u = draws.uniform(seed, key)
-    chosen = vectors if share >= 1.0 else vectors.where(u < share)
-    order = draws.hash_bits(seed, key)
-    sample = chosen.withColumn("_o", order).orderBy("_o", key).limit(wanted).select("_o", "x")
-    n_sub = max(1, min(5, wanted // SUBSET_ROWS)) if n > 2 * SUBSET_ROWS else 1
-    trials = STARTS // n_sub
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o")
-        x = np.stack(pdf["x"].to_numpy())
-        rows = x.shape[0]
-        h_sub = min(rows, max(p + 1, math.ceil(h / n * rows)))
-        rng = np.random.default_rng([seed, int(pdf["subset"].iloc[0])])
-        found = []
-        for _ in range(trials):
-            pick = rng.permutation(rows)
-            take = min(rows, p + 1)
-            mu, s = x[pick[:take]].mean(axis=0), np.cov(x[pick[:take]], rowvar=False, bias=True).reshape(p, p)
-            while _log_det(s) < -600 and take < rows:
-                take += 1
-                mu, s = x[pick[:take]].mean(axis=0), np.cov(x[pick[:take]], rowvar=False, bias=True).reshape(p, p)
-            found.append(_local_steps(x, mu, s, h_sub, 2))
-        found.sort(key=lambda c: _log_det(c[1]))
-        return _candidate_frame(found[:KEPT])
-
-    split = sample.withColumn("subset", F.pmod("_o", F.lit(n_sub)).cast("int"))
-    candidates = _collect_candidates(split.groupBy("subset").applyInPandas(search, CANDIDATE), KEPT * n_sub, p)
-    if n_sub == 1:
-        return candidates
-
-    def refine(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("_o")["x"].to_numpy())
-        h_all = min(x.shape[0], max(p + 1, math.ceil(h / n * x.shape[0])))
-        return _candidate_frame([_local_steps(x, mu, s, h_all, 2) for mu, s in candidates])
-
-    merged = sample.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(refine, CANDIDATE)
-    return _collect_candidates(merged, KEPT, p)
-
-
-def _distances(vectors: DataFrame, states) -> DataFrame:
-    """Squared distance of every row under each (mean, covariance), columns d0, d1, ..."""
     fixed = [(mu, _inverse_root(s)) for mu, s in states]
-    names = [f"d{k}" for k in range(len(fixed))]
-
-    def measure(batches):
-        for x in (m for batch in batches for m in matrices(batch)):
-            yield pa.RecordBatch.from_arrays([pa.array(_squared_distance(x, mu, root)) for mu, root in fixed], names=names)
-
-    return vectors.mapInArrow(measure, ", ".join(f"{c} DOUBLE" for c in names))
-
-
-def _c_step(vectors: DataFrame, states, n: int, h: int, cuts: list[float] = ()):
-    """One C-step on all rows for several candidates at once: rank cut, then moments of the closest rows.
-
-    ``cuts`` holds the last rank cuts of a single candidate; how far they still
-    move tells where the next one is.
-    """
-    p = len(states[0][0])
-    guess = {f"d{k}": (0.0, 4.0 * p) for k in range(len(states))}
-    if len(states) == 1 and len(cuts) >= 2:
-        near = 2.0 * abs(cuts[-1] - cuts[-2]) + 1e-9 * cuts[-1] + 1e-12
-        guess = {"d0": (cuts[-1] - near, cuts[-1] + near)}
-    found = rank_by_cells(_distances(vectors, states), list(guess), h - 1, n, guess)
-    cut = [found[f"d{k}"] for k in range(len(states))]
-    return _moments_within(vectors, states, [c * (1 + 1e-12) for c in cut]), cut
-
-
-def _moments_within(vectors, states, cuts):
-    fixed = [(mu, _inverse_root(s), cut) for (mu, s), cut in zip(states, cuts, strict=True)]
-    weigh: Callable = lambda x: [_squared_distance(x, mu, root) <= cut for mu, root, cut in fixed]
-    found = collect_moments(moment_partials(vectors, weigh))
-    return [(found[k][1], found[k][2] / found[k][0], int(found[k][0])) for k in range(len(states))]
-
-
-def _finish(vectors, mu, s, n, h, p, log_dets) -> RobustFit:
+    q = states[0][1].shape[0]
+
+    def distances(x):
+        y = frame.rows(x)
+        return np.column_stack([_squared_distance(y, mu, root) for mu, root in fixed])
+
+    low, high = zip(*[(0.0, 4.0 * q) if c is None else (0.9 * c, 1.1 * c) for c in cuts], strict=True)
+    cut = exact_ranks(blocks, distances, [h - 1] * len(states), low, high)
+
+    def split(x):
+        y, d = frame.rows(x), distances(x)
+        out = []
+        for k, c in enumerate(cut):
+            below = d[:, k] < c * (1 - TIE)
+            out += [(y, below), (y, ~below & (d[:, k] <= c * (1 + TIE)))]
+        return out
+
+    found = collect_moments(moment_partials(blocks, split))
+    none = (0.0, np.zeros(q), np.zeros((q, q)))
+    moved = []
+    for k in range(len(states)):
+        (n0, m0, s0), (n1, m1, s1) = (found.get(2 * k + e, none) for e in (0, 1))
+        part = (h - n0) / n1 if n1 else 0.0
+        w, gap = h - n0, m1 - m0
+        mu = m0 + gap * (w / h) if n0 else m1
+        s = (s0 + part * s1 + (np.outer(gap, gap) * (n0 * w / h) if n0 else 0.0)) / h
+        moved.append((mu, s))
+    return moved, cut.tolist()
+
+
+def _cdf_tables(blocks: DataFrame, frame: _Frame, n: int) -> np.ndarray:
+    """Middle of the distribution function in each cell of each scaled feature."""
+    counts = cell_counts(blocks, frame.scaled, len(frame.scale), -CDF_RANGE, CDF_RANGE, CDF_CELLS)
+    return (np.cumsum(counts, axis=1) - 0.5 * counts) / n
+
+
+def _start_scatters(blocks: DataFrame, frame: _Frame, n: int, starts: Sequence[str]):
+    """The scatter of every start, in the frame's directions."""
+    unknown = set(starts) - set(STARTS)
+    if unknown or not starts:
+        raise ValueError(f"starts are {STARTS}, not {sorted(unknown)}")
+    p = len(frame.scale)
+    table = _cdf_tables(blocks, frame, n) if {"rank", "score"} & set(starts) else np.zeros((p, CDF_CELLS))
+    normal = NormalDist()
+    score = np.vectorize(lambda u: normal.inv_cdf(min(max(u, 0.5 / n), 1 - 0.5 / n)))(table) if "score" in starts else table
+    length = lambda z: np.sqrt((z * z).sum(axis=1, keepdims=True))
+    half = medians(blocks, lambda x: length(frame.scaled(x)), n, [0.0], [4.0 * math.sqrt(p)])[0] if "half" in starts else 0.0
+
+    def rows(x):
+        z = frame.scaled(x)
+        cell = np.clip((z + CDF_RANGE) * (CDF_CELLS / (2 * CDF_RANGE)), 0, CDF_CELLS - 1).astype(np.int64)
+        norm = length(z)
+        made = {
+            "tanh": lambda: (np.tanh(z), None), "rank": lambda: (table[np.arange(p), cell], None), "score": lambda: (score[np.arange(p), cell], None),
+            "sign": lambda: (np.vstack([z / np.where(norm > 0, norm, 1.0), -z / np.where(norm > 0, norm, 1.0)]), None),  # with its mirror image: centred at 0
+            "half": lambda: (z, norm[:, 0] <= half),
+        }
+        return [made[s]() for s in starts]
+
+    found = collect_moments(moment_partials(blocks, rows))
+    out = []
+    for k, name in enumerate(starts):
+        s = found[k][2] / found[k][0]
+        if name in ("tanh", "rank", "score"):
+            d = np.sqrt(np.maximum(np.diag(s), 1e-300))
+            s = s / np.outer(d, d)
+        out.append(frame.turn.T @ s @ frame.turn)
+    return out
+
+
+def _starts(blocks: DataFrame, frame: _Frame, n: int, starts: Sequence[str]):
+    """(mean, scatter) of every start: the axes of its scatter, with the median and the MAD of all rows along each."""
+    axes = [np.linalg.eigh(s)[1] for s in _start_scatters(blocks, frame, n, starts)]
+    along = np.concatenate(axes, axis=1)
+    q = axes[0].shape[0]
+    project = lambda x: frame.rows(x) @ along
+    wide = np.full(along.shape[1], 8.0)
+    middle = medians(blocks, project, n, -wide, wide)
+    spread = 1.4826 * medians(blocks, lambda x: np.abs(project(x) - middle), n, 0 * wide, wide)
+    out = []
+    for k, e in enumerate(axes):
+        m, lam = middle[k * q:(k + 1) * q], spread[k * q:(k + 1) * q] ** 2
+        s = (e * lam) @ e.T
+        out.append((e @ m, _ridged(s, _ridge_needed(s))))
+    return out
+
+
+def _finish(blocks, frame, mu, s, ridge, n, h, mean, log_dets, converged) -> RobustFit:
     """Median correction, then one reweighting step with the 97.5% chi-square cut."""
-    distances = _distances(vectors, [(mu, s)])
-    middle = [rank_by_cells(distances, ["d0"], r, n, {"d0": (0.0, 4.0 * p)})["d0"] for r in sorted({(n - 1) // 2, n // 2})]
-    half = sum(middle) / len(middle)
-    correction = half / smallmat.chi2_quantile(0.5, p)
-    cut = smallmat.chi2_quantile(0.975, p) * correction
-    (location, covariance, support), = _moments_within(vectors, [(mu, s)], [cut])
-    return RobustFit(n, h, location, covariance, mu, s * correction, correction, support, tuple(log_dets))
+    p, q = len(mean), s.shape[0]
+    shape = _ridged(s, ridge)
+    root = _inverse_root(shape)
+    distance = lambda x: _squared_distance(frame.rows(x), mu, root)
+    half = float(medians(blocks, lambda x: distance(x)[:, None], n, [0.0], [4.0 * q])[0])
+    correction = half / smallmat.chi2_quantile(0.5, q) if half > 0 else 1.0
+    cut = smallmat.chi2_quantile(0.975, q) * correction
+    support, m, m2 = collect_moments(moment_partials(blocks, lambda x: [(frame.rows(x), distance(x) <= cut)]))[0]
+    final = m2 / support
+    ridge = max(ridge, _ridge_needed(final))
+    return RobustFit(n, h, mean, frame.location(m, mean), frame.covariance(_ridged(final, ridge), p), frame.location(mu, mean),
+                     frame.covariance(shape * correction, p), correction, int(support), tuple(log_dets), converged, ridge)
+
+
+def _descend(blocks, frame, states, n, h, max_steps, tol):
+    """C-steps of all starts; after two the best one alone goes on until its determinant no longer falls."""
+    ridge = 0.0
+    moved, _ = _c_step(blocks, frame, states, -(-n // 2), [None] * len(states))
+    cuts = [None] * len(states)
+    log_dets: list[float] = []
+    converged = False
+    for step in range(max_steps):
+        needed = max(_ridge_needed(s) for _, s in moved)
+        if needed > ridge:  # the objective changes with the ridge, so the descent starts anew
+            ridge, log_dets = needed, []
+        moved, cuts = _c_step(blocks, frame, [(mu, _ridged(s, ridge)) for mu, s in moved], h, cuts)
+        value = [_log_det(_ridged(s, max(ridge, _ridge_needed(s)))) for _, s in moved]
+        if len(moved) > 1 and step >= 1:
+            best = int(np.argmin(value))
+            moved, cuts, value = [moved[best]], [cuts[best]], [value[best]]
+        log_dets.append(min(value))
+        if len(moved) == 1 and len(log_dets) > 1 and log_dets[-2] - log_dets[-1] <= tol:
+            converged = True
+            break
+    mu, s = moved[0]
+    return mu, s, max(ridge, _ridge_needed(s)), log_dets, converged
 
 
 def mcd_refine(df: DataFrame, features: Features, mu: np.ndarray, sigma: np.ndarray, steps: int, h: int | None = None) -> RobustFit:
     """A fixed number of C-steps from a given start, then correction and reweighting."""
-    vectors = vectorize(df, features)
-    n, p = df.count(), len(mu)
+    blocks = pack_blocks(vectorize(df, features))
+    n, p = _rows(blocks), len(mu)
     h = default_support(n, p) if h is None else h
-    log_dets = []
+    frame = _Frame(np.zeros(p), np.ones(p), np.arange(p), np.eye(p), np.zeros(p))
+    state, cuts, log_dets = (np.asarray(mu, float), sigma), [None], []
     for _ in range(steps):
-        ((mu, sigma, _),), _ = _c_step(vectors, [(mu, sigma)], n, h)
-        log_dets.append(_log_det(sigma))
-    return _finish(vectors, mu, sigma, n, h, p, log_dets)
-
-
-def mcd_fit(df: DataFrame, features: Features, key: str, support: float | None = None, seed: int = 0,
-            max_steps: int = 30, tol: float = 1e-8, persist: bool = True) -> RobustFit:
-    """Minimum covariance determinant by the FAST-MCD scheme of Rousseeuw and Van Driessen (1999).
-
-    Stops when a C-step lowers the log-determinant by no more than ``tol``.
+        (state,), cuts = _c_step(blocks, frame, [state], h, cuts)
+        log_dets.append(_log_det(state[1]))
+    return _finish(blocks, frame, *state, 0.0, n, h, np.asarray(mu, float), log_dets, False)
+
+
+def mcd_fit(df: DataFrame, features: Features, support: float | None = None, starts: Sequence[str] = STARTS, max_steps: int = 100, tol: float = 1e-9, persist: bool = True) -> RobustFit:
+    """Minimum covariance determinant from deterministic starts (Hubert, Rousseeuw and Verdonck, 2012).
+
+    Nothing is drawn, so the fit is the same for any key, order or layout of the rows;
+    it changes with the units of the features as a covariance does.  Five of the six
+    published starts are built: correlations of tanh values, of ranks and of normal
+    scores, the spatial sign covariance, and the covariance of the half closest to the
+    medians; the sixth asks for medians of all pairs of features.  Ranks come from
+    ``CDF_CELLS`` cells.
+
+    Linear relations that hold in all rows, as among the indicators of a factor, stay
+    relations of the result.  If more than half of the rows fulfil another one (rare
+    indicators do), the subset is singular: its scatter gets the share ``ridge`` of the
+    unit matrix, as in the regularised estimator of Boudt et al. (2020), and a warning says so.
+    ``converged`` tells whether the last step lowered the log-determinant by no more than ``tol``.
     """
     p = width(df, features)
     blocks = pack_blocks(vectorize(df, features))
     if persist:
         blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = _rows(blocks)
+        total = collect_moments(moment_partials(blocks)).get(0)
+        if total is None or total[0] < 2:
+            raise ValueError("not enough rows for a covariance")
+        n, mean, cov = int(total[0]), total[1], total[2] / total[0]
+        if not (np.diag(cov) > 0).any():
+            raise ValueError("no feature has any variance")
+        frame = _frame(blocks, n, mean, cov)
         h = default_support(n, p) if support is None else int(support * n)
-        states = _starts(vectorize(df, features, keep=[key]), key, n, p, h, seed)
-        log_dets: list[float] = []
-        cuts: list[float] = []
-        for step in range(max_steps):
-            moved, found = _c_step(blocks, states, n, h, cuts)
-            ranked = sorted(zip(moved, found, strict=True), key=lambda c: _log_det(c[0][1]))
-            # two full steps rank the candidates; the best one runs to the end
-            states = [(mu, s) for (mu, s, _), _ in ranked[: None if step == 0 else 1]]
-            cuts = cuts + [ranked[0][1]] if step > 1 else []
-            log_dets.append(_log_det(states[0][1]))
-            if step > 1 and log_dets[-2] - log_dets[-1] <= tol:
-                break
-        mu, s = states[0]
-        return _finish(blocks, mu, s, n, h, p, log_dets)
+        found = _descend(blocks, frame, _starts(blocks, frame, n, starts), n, h, max_steps, tol)
+        mu, s, ridge, log_dets, converged = found
+        fit = _finish(blocks, frame, mu, s, ridge, n, h, mean, log_dets, converged)
+        if fit.ridge:
+            warnings.warn(f"over half of the rows lie in a hyperplane: the scatter was ridged by {fit.ridge:.3g}", stacklevel=2)
+        if not converged:
+            warnings.warn(f"no convergence in {max_steps} steps", stacklevel=2)
+        return fit
     finally:
         if persist:
             blocks.unpersist()
@@ -232,9 +330,9 @@ def _rows(blocks: DataFrame) -> int:
     return int(blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0])
 
 
-def robust_covariance_mcd(df: DataFrame, features: Features, key: str, support: float | None = None, seed: int = 0) -> DataFrame:
+def robust_covariance_mcd(df: DataFrame, features: Features, support: float | None = None, starts: Sequence[str] = STARTS) -> DataFrame:
     """The reweighted MCD covariance as ``(i, j, v)``."""
-    return matrix_table(df.sparkSession, mcd_fit(df, features, key, support, seed).covariance)
+    return matrix_table(df.sparkSession, mcd_fit(df, features, support, starts).covariance)
 
 
 # -- Tyler's M-estimator -----------------------------------------------------------------
@@ -246,6 +344,7 @@ class TylerFit:
     scatter: np.ndarray
     iterations: int
     error: float
+    converged: bool
 
 
 def tyler_fit(df: DataFrame, features: Features, tol: float = 1e-4, maxiter: int = 100, persist: bool = True) -> TylerFit:
@@ -268,7 +367,9 @@ def tyler_fit(df: DataFrame, features: Features, tol: float = 1e-4, maxiter: int
             state = collect_moments(moment_partials(blocks, weigh, centred=False))[0]
             moved = state[2] * (p / n)
             error, scatter, steps = float(np.linalg.norm(scatter - moved)), moved, steps + 1
-        return TylerFit(n, scatter, steps, error)
+        if error > tol > 0:
+            warnings.warn(f"no convergence in {maxiter} steps: the last one moved the scatter by {error:.3g}", stacklevel=2)
+        return TylerFit(n, scatter, steps, error, error <= tol)
     finally:
         if persist:
             blocks.unpersist()
