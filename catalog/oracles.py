@@ -46,7 +46,7 @@ def uniform(seed, *keys):
 # -- shared tables ---------------------------------------------------------------------
 
 PAIR = """
-f AS (SELECT vec_id, embedding[1]::DOUBLE AS f0, embedding[1]::DOUBLE + embedding[2]::DOUBLE AS f1 FROM embeddings),
+f AS (SELECT p_partkey AS vec_id, p_size / 50.0::DOUBLE AS f0, p_size / 50.0::DOUBLE + p_retailprice / 2000.0::DOUBLE AS f1 FROM part),
 c AS (SELECT avg(f0) AS m0, avg(f1) AS m1, covar_samp(f0, f0) AS a, covar_samp(f0, f1) AS b, covar_samp(f1, f1) AS d, count(*) AS n FROM f),
 r AS (SELECT *, b / sqrt(a * d) AS rho FROM c)"""
 
@@ -127,8 +127,8 @@ _SAMPLE = f"""o AS (SELECT o_orderkey, o_totalprice, {hash_bits(SEED, 'o_orderke
 rk AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY h, o_orderkey) AS rn, count(*) OVER () AS n FROM o)"""
 
 _NOISE_ROWS = f"""
-lg AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE * 10.0 AS v FROM embeddings, range(9) t(i)),
-ny AS (SELECT vec_id, i, CASE WHEN i < 4 THEN 0 WHEN i < 7 THEN 1 ELSE 2 END AS ch,
+lg AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE * 10.0 AS v FROM embeddings, range(64) t(i)),
+ny AS (SELECT vec_id, i, CASE WHEN i < 4 THEN 0 WHEN i < 7 THEN 1 WHEN i < 9 THEN 2 WHEN i < 19 THEN 3 WHEN i < 39 THEN 4 ELSE 5 END AS ch,
          (v + -ln(-ln({uniform(SEED, 'vec_id', 'i')} + 1e-20) + 1e-20)) / 0.5 AS y FROM lg)"""
 
 
@@ -155,6 +155,37 @@ def _mcd_sql(steps):
     return "WITH" + ",\n".join(out) + "\n" + _cells("w")
 
 
+def _mcd_sign_sql(steps):
+    """The fit from the spatial signs for two features: scaling, start, C-steps with shared ties, correction, reweighting."""
+    out = ["""x AS MATERIALIZED (SELECT l_quantity::DOUBLE AS a, l_extendedprice::DOUBLE AS b FROM lineitem)""",
+           "md AS MATERIALIZED (SELECT quantile_cont(a, 0.5) AS ma, quantile_cont(b, 0.5) AS mb, count(*) AS n, ceil(0.5 * (count(*) + 3)) AS h, ceil(count(*) / 2) AS h0 FROM x)",
+           "sc AS MATERIALIZED (SELECT 1.4826 * quantile_cont(abs(a - ma), 0.5) AS sa, 1.4826 * quantile_cont(abs(b - mb), 0.5) AS sb FROM x, md)",
+           "z AS MATERIALIZED (SELECT (a - ma) / sa AS u, (b - mb) / sb AS v FROM x, md, sc)",
+           "sg AS MATERIALIZED (SELECT sum(u * u / (u * u + v * v)) AS p, sum(u * v / (u * u + v * v)) AS q, sum(v * v / (u * u + v * v)) AS r FROM z WHERE u <> 0 OR v <> 0)",
+           "ax AS MATERIALIZED (SELECT 0.5 * atan2(2 * q, p - r) AS t FROM sg)",
+           "pr AS MATERIALIZED (SELECT u, v, u * cos(t) + v * sin(t) AS e, v * cos(t) - u * sin(t) AS g FROM z, ax)",
+           "pm AS MATERIALIZED (SELECT quantile_cont(e, 0.5) AS me, quantile_cont(g, 0.5) AS mg FROM pr)",
+           "ps AS MATERIALIZED (SELECT (1.4826 * quantile_cont(abs(e - me), 0.5)) ** 2 AS le, (1.4826 * quantile_cont(abs(g - mg), 0.5)) ** 2 AS lg FROM pr, pm)",
+           """s0 AS MATERIALIZED (SELECT me * cos(t) - mg * sin(t) AS m0, me * sin(t) + mg * cos(t) AS m1, le * cos(t) ** 2 + lg * sin(t) ** 2 AS a,
+             (le - lg) * sin(t) * cos(t) AS b, le * sin(t) ** 2 + lg * cos(t) ** 2 AS d FROM ax, pm, ps)"""]
+
+    def distance(s):
+        return f"SELECT u, v, (d * (u - m0) ** 2 - 2 * b * (u - m0) * (v - m1) + a * (v - m1) ** 2) / (a * d - b * b) AS d2 FROM z, {s}"
+
+    for k in range(steps + 1):
+        h = "h0" if k == 0 else "h"
+        out.append(f"d{k} AS MATERIALIZED ({distance(f's{k}')})")
+        out.append(f"c{k} AS MATERIALIZED (SELECT max(d2) AS cut FROM (SELECT d2, row_number() OVER (ORDER BY d2) AS rn FROM d{k}), md WHERE rn <= {h})")
+        out.append(f"n{k} AS MATERIALIZED (SELECT count(*) FILTER (d2 < cut * (1 - 1e-12)) AS below, count(*) FILTER (d2 >= cut * (1 - 1e-12) AND d2 <= cut * (1 + 1e-12)) AS ties FROM d{k}, c{k})")
+        out.append(f"w{k} AS MATERIALIZED (SELECT u, v, CASE WHEN d2 < cut * (1 - 1e-12) THEN 1.0::DOUBLE WHEN d2 <= cut * (1 + 1e-12) THEN ({h} - below) / ties ELSE 0.0::DOUBLE END AS w FROM d{k}, c{k}, n{k}, md)")
+        out.append(f"m{k} AS MATERIALIZED (SELECT sum(w * u) / sum(w) AS m0, sum(w * v) / sum(w) AS m1 FROM w{k})")
+        out.append(f"s{k + 1} AS MATERIALIZED (SELECT m0, m1, sum(w * (u - m0) ** 2) / sum(w) AS a, sum(w * (u - m0) * (v - m1)) / sum(w) AS b, sum(w * (v - m1) ** 2) / sum(w) AS d FROM w{k}, m{k} GROUP BY m0, m1)")
+    out.append(f"df AS MATERIALIZED ({distance(f's{steps + 1}')})")
+    out.append("co AS MATERIALIZED (SELECT quantile_cont(d2, 0.5) / (-2 * ln(0.5)) AS k FROM df)")
+    out.append("w AS (SELECT covar_pop(u, u) * any_value(sa * sa) AS a, covar_pop(u, v) * any_value(sa * sb) AS b, covar_pop(v, v) * any_value(sb * sb) AS d FROM df, co, sc WHERE d2 <= -2 * ln(0.025) * k)")
+    return "WITH " + ",\n".join(out) + "\n" + _cells("w", 3)
+
+
 def _cells(table, digits=9):
     return (f"SELECT i, j, round(CASE WHEN i <> j THEN b WHEN i = 0 THEN a ELSE d END, {digits}) AS v "
             f"FROM {table}, (SELECT range::INTEGER AS i FROM range(2)) x, (SELECT range::INTEGER AS j FROM range(2)) y")
@@ -220,6 +251,11 @@ ORACLES = {
     "hconcat": "SELECT o_orderkey AS row_id, " + ", ".join(f'{e} AS "o_orderstatus_{c}"' for c, e in _STATUS.items()) + ", o_totalprice FROM orders",
     "cast_labels": f"WITH e AS (SELECT {_edges('p_retailprice', 4)} AS q FROM part) SELECT p_partkey, CAST({_quantile_code('p_retailprice', 4, 'q')} AS VARCHAR) AS p_retailprice FROM part, e",
     "standardize": "SELECT event_id, round((value - 10.0) / sqrt(25.0::DOUBLE), 9) + 0.0 AS value FROM events",
+    "standardize_array": f"WITH {LONG}, st AS (SELECT i, avg(v) AS m, var_samp(v) AS s FROM l GROUP BY i) SELECT vec_id, i::INTEGER AS i, round((v - m) / sqrt(s), 7) + 0.0 AS v FROM l JOIN st USING (i)",
+    "linear_score_array": f"WITH {LONG} SELECT vec_id, round(sum(v * i / 64.0::DOUBLE), 8) + 0.0 AS xbeta FROM l GROUP BY vec_id",
+    "hconcat_parts": "SELECT o_orderkey AS row_id, " + ", ".join(f'{e} AS "o_orderstatus_{c}"' for c, e in _STATUS.items()) + ", o_totalprice FROM orders",
+    "quantile_bin_array": f"WITH {LONG}, e AS (SELECT i, quantile_cont(v, [0.25, 0.5, 0.75]) AS q FROM l GROUP BY i) SELECT vec_id, i::INTEGER AS i, (v > q[1])::INTEGER + (v > q[2])::INTEGER + (v > q[3])::INTEGER AS code FROM l JOIN e USING (i)",
+    "feature_histogram_array": f"WITH {LONG}, e AS (SELECT i, min(v) AS lo, max(v) AS hi FROM l GROUP BY i), c AS (SELECT i, least(floor((v - lo) / ((hi - lo) / 10)), 9)::INTEGER AS bin, count(*) AS n FROM l JOIN e USING (i) GROUP BY ALL) SELECT 'embedding_' || e.i AS feature, b::INTEGER AS bin, round(lo + b * (hi - lo) / 10, 6) + 0.0 AS low, round(lo + (b + 1) * (hi - lo) / 10, 6) + 0.0 AS high, coalesce(n, 0) AS n FROM e CROSS JOIN range(10) t(b) LEFT JOIN c ON c.i = e.i AND c.bin = b",
     "row_normalize": f"WITH {LONG}, nn AS (SELECT vec_id, sqrt(sum(v * v)) AS len FROM l GROUP BY vec_id) SELECT vec_id, i::INTEGER AS i, round(CASE WHEN len = 0 THEN v ELSE v / len END, 9) + 0.0 AS v FROM l JOIN nn USING (vec_id)",
     "linear_score": f"SELECT l_orderkey, l_linenumber, round({_LINE_SCORE}, 9) + 0.0 AS xbeta FROM lineitem",
     "logistic_label": f"WITH x AS (SELECT l_orderkey, l_linenumber, {_LINE_SCORE} AS xb FROM lineitem), y AS (SELECT *, 1.0 / (1.0 + exp(-xb)) AS p FROM x) SELECT l_orderkey, l_linenumber, round(xb, 9) + 0.0 AS xbeta, round(p, 9) + 0.0 AS pr, (p >= 0.5)::INTEGER AS label FROM y",
@@ -251,6 +287,7 @@ ORACLES = {
         f"SELECT {i} AS i, {j} AS j, round(covar_samp({a}, {b}) + {0.001 if i == j and i < 5 else 0.0}, 7) + 0.0 AS v FROM lineitem" for i, a in enumerate(_ENCODED) for j, b in enumerate(_ENCODED)),
     "ridge_if_not_psd": f"WITH {PAIR.strip()}, x AS (SELECT a - 0.02 AS a, b, d - 0.02 AS d FROM c), y AS (SELECT *, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS low FROM x), w AS (SELECT CASE WHEN low < 0 THEN a + 0.5 ELSE a END AS a, b, CASE WHEN low < 0 THEN d + 0.5 ELSE d END AS d FROM y) " + _cells("w"),
     "mcd_fixed_steps": _mcd_sql(2),
+    "mcd_sign_start": _mcd_sign_sql(6),
     "tyler_fixed_steps": _tyler_sql(3),
     "correlation_summary": f"WITH {HIGH.strip()}, t AS (SELECT 1 - least(1.0, 2 * (1 - abs(b / sqrt(a * d)) - 0.001)) AS v FROM hc) SELECT kind, round(v, 7) AS mean_corr, n_features FROM t, (VALUES ('all', 2::BIGINT), ('cat', 1::BIGINT), ('cont', 1::BIGINT)) x(kind, n_features)",
     "corr_deviation": f"WITH {CORR64} SELECT i, j, round(v, 8) + 0.0 AS v, round(0.5 ** abs(i - j), 8) + 0.0 AS ref, round(v - 0.5 ** abs(i - j), 8) + 0.0 AS deviation FROM corr",

@@ -41,15 +41,9 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def two_features(spark, sf):
-    """Two correlated features per embedding; everything about them has a closed form."""
-    e = read(spark, sf, "embeddings")
-    a, b = (F.col("embedding")[k].cast("double") for k in (0, 1))
-    return e.select("vec_id", a.alias("f0"), (a + b).alias("f1"))
-
-
-def few_features(spark, sf):
-    e = read(spark, sf, "embeddings")
-    return e.select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(6)])
+    """Two correlated features from both numbers of every part; everything about them has a closed form."""
+    size, price = F.col("p_size") / 50.0, F.col("p_retailprice") / 2000.0
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("vec_id"), size.alias("f0"), (size + price).alias("f1"))
 
 
 def price_pair(spark, sf):
@@ -136,6 +130,27 @@ def standardize(spark, sf):
     return rounded(project.standardize(events, {"value": (10.0, 25.0)}), 9, "value")
 
 
+@query
+def standardize_array(spark, sf):
+    e = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    n, mean, cov = moments.mean_and_cov(e, "embedding")
+    scaled = project.standardize_array(e, "embedding", mean, cov.diagonal())
+    return rounded(scaled.select("vec_id", F.posexplode("embedding").alias("i", "v")), 7, "v")
+
+
+@query
+def linear_score_array(spark, sf):
+    e = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    return rounded(project.linear_score_array(e, "embedding", [k / 64 for k in range(64)]), 8, "xbeta").drop("embedding")
+
+
+@query
+def hconcat_parts(spark, sf):
+    table, catalog = _encoded_orders(spark, sf)
+    cat, cont = ([f.feature for f in catalog if f.kind == kind] for kind in ("cat", "cont"))
+    return project.hconcat_parts(table, [cat, cont])
+
+
 @query
 def row_normalize(spark, sf):
     unit = project.row_normalize(read(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding")
@@ -193,12 +208,12 @@ def shuffle_within_row(spark, sf):
     return rounded(mixed.select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double")), 9, "v")
 
 
-CHUNKS = [4, 3, 2]
+CHUNKS = [4, 3, 2, 10, 20, 25]
 
 
 def _logits(spark, sf):
     e = read(spark, sf, "embeddings")
-    return e.select("vec_id", F.transform(F.slice("embedding", 1, sum(CHUNKS)), lambda v: v.cast("double") * 10.0).alias("logits"))
+    return e.select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 10.0).alias("logits"))
 
 
 @query
@@ -222,6 +237,12 @@ def quantile_bin(spark, sf):
     return encode.quantile_bin(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *cols), cols, 4)
 
 
+@query
+def quantile_bin_array(spark, sf):
+    coded = encode.quantile_bin_array(read(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 4)
+    return coded.select("vec_id", F.posexplode("embedding").alias("i", "code"))
+
+
 @query
 def quantile_bin_var(spark, sf):
     bins = {"l_quantity": 3, "l_extendedprice": 4, "l_discount": 2}
@@ -306,8 +327,21 @@ def ridge_if_not_psd(spark, sf):
 
 @query
 def robust_covariance_mcd(spark, sf):
-    cov = robust.robust_covariance_mcd(few_features(spark, sf), [f"f{k}" for k in range(6)], "vec_id", seed=SEED)
-    return rounded(cov, 6, "v")
+    return rounded(robust.robust_covariance_mcd(read(spark, sf, "embeddings"), "embedding"), 6, "v")
+
+
+@query
+def mcd_sign_start(spark, sf):
+    """A whole fit from one of the starts, with as many steps as its SQL has."""
+    fit = robust.mcd_fit(read(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], starts=["sign"], max_steps=6, tol=-1.0)
+    return rounded(moments.matrix_table(spark, fit.covariance), 3, "v")
+
+
+@query
+def robust_covariance_indicators(spark, sf):
+    """The main use: indicators of two factors beside two continuous features."""
+    table, catalog = encoded_lines(spark, sf)
+    return rounded(robust.robust_covariance_mcd(table, [f.feature for f in catalog]), 6, "v")
 
 
 @query
@@ -416,7 +450,7 @@ def generate_knockoffs(spark, sf):
 
 def knockoffs64(spark, sf):
     e = read(spark, sf, "embeddings")
-    result = analysis.second_order(e, "embedding")
+    result = analysis.second_order(e, "embedding", method="sdp")
     return generate.generate_knockoffs(e, "embedding", result.plan(), "vec_id", SEED), result
 
 
@@ -566,6 +600,11 @@ def feature_histogram(spark, sf):
     return rounded(hist, 6, "low", "high")
 
 
+@query
+def feature_histogram_array(spark, sf):
+    return rounded(evaluate.feature_histogram(read(spark, sf, "embeddings"), "embedding", 10), 6, "low", "high")
+
+
 # -- runs ---------------------------------------------------------------------------------------------------
 
 
@@ -614,20 +653,19 @@ def two_part_plan(spark, sf):
 @query
 def two_part_plan_encoded(spark, sf):
     table, catalog = encoded_lines(spark, sf)
-    return rounded(analysis.two_part_plan(table, catalog), 5, "v")
+    return rounded(analysis.two_part_plan(table, catalog, method="sdp", reg=1e-3), 5, "v")
 
 
 @query
 def estimator_sweep(spark, sf):
     grid = [(0, False, 0.0), (1, False, 0.001), (2, False, 0.01)]
-    return rounded(analysis.estimator_sweep(two_features(spark, sf), ["f0", "f1"], grid, "vec_id"), 5, "v")
+    return rounded(analysis.estimator_sweep(two_features(spark, sf), ["f0", "f1"], grid, method="sdp"), 5, "v")
 
 
 @query
 def estimator_sweep_robust(spark, sf):
     grid = [(0, False, 0.0), (1, True, 0.0), (2, True, 0.001)]
-    features = [f"f{k}" for k in range(6)]
-    return rounded(analysis.estimator_sweep(few_features(spark, sf), features, grid, "vec_id", seed=SEED), 4, "v")
+    return rounded(analysis.estimator_sweep(read(spark, sf, "embeddings"), "embedding", grid, method="sdp"), 4, "v")
 
 
 # -- knockoff quality -----------------------------------------------------------------------------------------

@@ -19,16 +19,26 @@ def lambda_min(a: np.ndarray) -> float:
     return float(np.linalg.eigvalsh(a)[0])
 
 
+def indefinite(a: np.ndarray) -> bool:
+    """Whether a symmetric matrix has an eigenvalue below zero beyond the rounding of its entries."""
+    lam = np.linalg.eigvalsh(a)
+    return bool(lam[0] < -len(a) * 64 * np.finfo(float).eps * max(abs(lam[0]), abs(lam[-1])))
+
+
 def max_sum_s(corr: np.ndarray, tol: float = 0.0) -> np.ndarray:
     """Maximise sum(s) subject to 0 <= s <= 1 and diag(s) + tol*I <= 2*corr.
 
     Log-barrier Newton.  The barrier keeps every iterate strictly feasible; the
-    gap to the optimum is below 3*p*mu at the end.
+    gap to the optimum is below 3*p*mu at the end.  Without any feasible s the
+    program is an error; where only s = 0 is feasible that is the result.
     """
     p = corr.shape[0]
     a = 2.0 * corr - tol * np.eye(p)
     floor = lambda_min(a)
-    if floor <= 0.0:
+    rounding = p * 64 * np.finfo(float).eps
+    if floor < -rounding:
+        raise ValueError(f"no s is feasible: the smallest eigenvalue of the correlation matrix, {0.5 * (floor + tol):.3g}, is below {0.5 * tol:.3g}; add a ridge")
+    if floor <= rounding:
         return np.zeros(p)
 
     def objective(s, mu):

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mirrorframe.functions.orderstats import exact_quantiles
-
-MAX_CATEGORIES = 10_000
+from mirrorframe.functions.rankscan import exact_ranks
+from mirrorframe.functions.vectors import pack_blocks, vectorize
+from mirrorframe.operators.moments import mean_and_cov
 
 
 class Feature(NamedTuple):
@@ -73,6 +75,28 @@ def quantile_bin(df: DataFrame, cols: Sequence[str], q: int, **options) -> DataF
     return quantile_bin_var(df, {c: q for c in cols}, **options)
 
 
+def quantile_edges_array(df: DataFrame, x: str, q: int) -> np.ndarray:
+    """The q - 1 inner edges of every position of an array column (edge, position), found by counting cells."""
+    n, mean, cov = mean_and_cov(df, x, ddof=0)
+    spread = 4.0 * np.sqrt(np.diag(cov))
+    place = np.repeat(np.arange(1, q) / q * (n - 1), len(mean))
+    ranks = np.concatenate([np.floor(place), np.ceil(place)]).astype(np.int64)
+    times = 2 * (q - 1)
+    found = exact_ranks(pack_blocks(vectorize(df, x)), lambda v: np.tile(v, times), ranks, np.tile(mean - spread, times), np.tile(mean + spread, times))
+    low, high = found[: place.size], found[place.size :]
+    return (low + (high - low) * (place - np.floor(place))).reshape(q - 1, -1)
+
+
+def quantile_bin_array(df: DataFrame, x: str, q: int) -> DataFrame:
+    """Equal-frequency codes 0..q-1 for every position of an array column; equal edges are an error."""
+    edges = quantile_edges_array(df, x, q)
+    same = np.flatnonzero((np.diff(edges, axis=0) <= 0).any(axis=0))
+    if same.size:
+        raise ValueError(f"bin edges at positions {same.tolist()} are not distinct")
+    cuts = F.array(*[F.array(*[F.lit(float(v)) for v in column]) for column in edges.T])
+    return df.withColumn(x, F.transform(x, lambda v, i: F.size(F.filter(F.get(cuts, i), lambda e: v.cast("double") > e))))
+
+
 def quantile_bin_var(df: DataFrame, bins: dict[str, int], **options) -> DataFrame:
     """Equal-frequency codes with a bin count per column."""
     return apply_edges(df, quantile_edges(df, bins, **options))
@@ -89,19 +113,20 @@ def _distinct_categories(df, factors):
     return df.select(F.stack(F.lit(len(factors)), *cells).alias("factor", "category")).where("category is not null").distinct()
 
 
-def category_table(df: DataFrame, factors: Sequence[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
+def category_table(df: DataFrame, factors: Sequence[str], max_categories: int | None = None) -> dict[str, list[str]]:
     """Sorted non-null categories of every factor, found in one pass.
 
-    The distinct values are counted before they are collected: a factor that
-    would become more than ``max_categories`` columns is an error.
+    Every category becomes a column, so their list is read by the driver.  With
+    ``max_categories`` they are counted first, and a factor with more is an error.
     """
     seen = _distinct_categories(df, factors)
-    rows = seen.limit(max_categories * len(factors) + 1).collect()
-    out = {c: sorted(r["category"] for r in rows if r["factor"] == k) for k, c in enumerate(factors)}
-    wide = [c for c, values in out.items() if len(values) > max_categories]
-    if wide or len(rows) > max_categories * len(factors):
-        raise ValueError(f"more than {max_categories} categories in {wide or list(factors)}")
-    return out
+    if max_categories is not None:
+        counts = {r["factor"]: r["count"] for r in seen.groupBy("factor").count().collect()}
+        wide = [c for k, c in enumerate(factors) if counts.get(k, 0) > max_categories]
+        if wide:
+            raise ValueError(f"more than {max_categories} categories in {wide}")
+    rows = seen.collect()
+    return {c: sorted(r["category"] for r in rows if r["factor"] == k) for k, c in enumerate(factors)}
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], prefixes: dict[str, str] | None = None, keep: Sequence[str] | None = None,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mirrorframe.functions import ranges
+from mirrorframe.functions.vectors import Features, width
 from mirrorframe.operators.project import binarize
 
 SCORES_PER_RANGE = 1_000_000
@@ -155,28 +156,56 @@ def roc_auc(df: DataFrame, prob: str, observed: str, scores_per_range: int = SCO
     return total.select(F.col("P").alias("n_pos"), F.col("N").alias("n_neg"), area.alias("auc"))
 
 
-def feature_histogram(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
-    """Equal-width histogram of every column: ``(feature, bin, low, high, n)``, empty bins included.
+def feature_histogram(df: DataFrame, cols: Features, bins: int = 10) -> DataFrame:
+    """Equal-width histogram of every column, or of every position of an array column: ``(feature, bin, low, high, n)``.
 
-    A column with one value gets a range of width one around it.
+    Empty bins are included.  Nulls, NaN and infinities are in no bin and don't set
+    the range.  A feature with one value gets a range of width one around it; one
+    without any finite value is an error.  Two scans: each task keeps the range, then
+    p x bins counts, of the rows it reads.
     """
-    row = df.agg(*[f(F.col(c).cast("double")).alias(f"{f.__name__}{k}") for k, c in enumerate(cols) for f in (F.min, F.max)]).head()
-    spans = []
-    for k, c in enumerate(cols):
-        low, high = row[f"min{k}"], row[f"max{k}"]
-        if low is None:
-            raise ValueError(f"no values in {c}")
-        spans.append((c, low - 0.5, high + 0.5) if low == high else (c, low, high))
-    cells = []
-    for k, (c, low, high) in enumerate(spans):
-        width = (high - low) / bins
-        cells += [F.lit(k), F.least(F.floor((F.col(c).cast("double") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(bins - 1))]
-    counts = df.select(F.stack(F.lit(len(spans)), *cells).alias("k", "bin")).where("bin is not null").groupBy("k", "bin").count()
-    spark = df.sparkSession
-    frame = spark.createDataFrame(
-        [(k, c, b, low + b * (high - low) / bins, low + (b + 1) * (high - low) / bins)
-         for k, (c, low, high) in enumerate(spans) for b in range(bins)],
-        "k INT, feature STRING, bin INT, low DOUBLE, high DOUBLE",
-    )
-    joined = frame.join(counts, ["k", "bin"], "left")
-    return joined.select("feature", "bin", "low", "high", F.coalesce("count", F.lit(0)).alias("n"))
+    names = [f"{cols}_{k}" for k in range(width(df, cols))] if isinstance(cols, str) else list(cols)
+    p = len(names)
+    x = F.col(cols).cast("array<double>") if isinstance(cols, str) else F.array(*[F.col(c).cast("double") for c in cols])
+    vectors = df.select(x.alias("x"))
+
+    def values(batch):
+        lists = batch.column("x")
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+        if lists.null_count or len(flat) != p * len(lists):
+            raise ValueError(f"every row needs {p} features")
+        flat = flat.reshape(-1, p)
+        return flat, np.isfinite(flat)
+
+    def extremes(batches):
+        low, high = np.full(p, np.inf), np.full(p, -np.inf)
+        for batch in batches:
+            if batch.num_rows:
+                v, ok = values(batch)
+                low, high = np.minimum(low, np.where(ok, v, np.inf).min(axis=0)), np.maximum(high, np.where(ok, v, -np.inf).max(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p), pa.int32()), pa.array(low), pa.array(high)], names=["k", "low", "high"])
+
+    ends = {r["k"]: (r["low"], r["high"]) for r in vectors.mapInArrow(extremes, "k INT, low DOUBLE, high DOUBLE").groupBy("k").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+    ends = [ends.get(k, (np.inf, -np.inf)) for k in range(p)]
+    empty = [c for c, (low, high) in zip(names, ends, strict=True) if low > high]
+    if empty:
+        raise ValueError(f"no values in {empty}")
+    low, high = np.array([(a - 0.5, b + 0.5) if a == b else (a, b) for a, b in ends]).T
+    step = (high - low) / bins
+
+    def count(batches):
+        total = np.zeros(p * bins, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                v, ok = values(batch)
+                bin_ = np.minimum(np.floor((np.where(ok, v, low) - low) / step).astype(np.int64), bins - 1) + np.arange(p) * bins
+                total += np.bincount(bin_[ok], minlength=p * bins)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at // bins, pa.int32()), pa.array(at % bins, pa.int32()), pa.array(total[at])], names=["k", "bin", "n"])
+
+    counts = vectors.mapInArrow(count, "k INT, bin INT, n LONG").groupBy("k", "bin").agg(F.sum("n").alias("n"))
+    k, b = np.repeat(np.arange(p, dtype=np.int32), bins), np.tile(np.arange(bins, dtype=np.int32), p)
+    frame = df.sparkSession.createDataFrame(pa.table({
+        "k": k, "feature": pa.array([names[i] for i in k]), "bin": b, "low": low[k] + b * (high - low)[k] / bins, "high": low[k] + (b + 1) * (high - low)[k] / bins,
+    }))
+    return frame.join(counts, ["k", "bin"], "left").select("feature", "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))

@@ -47,15 +47,27 @@ def _solve_blocks(spark: SparkSession, corr: np.ndarray, block: np.ndarray, tol:
 def s_sdp(cov: DataFrame, tol: float = 1e-3, reg: float = 1e-4) -> DataFrame:
     """Largest total s: the semidefinite program on the whole correlation matrix.
 
-    ``reg`` goes on the diagonal first if the matrix has a negative eigenvalue.
+    ``reg`` goes on the diagonal first if the matrix has a negative eigenvalue
+    beyond rounding.
     """
     sigma = collect_matrix(cov)
-    p = sigma.shape[0]
-    ridged = sigma + reg * np.eye(p) if smallmat.lambda_min(sigma) < 0 else sigma
-    s = _solve_blocks(cov.sparkSession, smallmat.correlation(ridged), np.zeros(p, dtype=int), tol)
+    s = _solve_blocks(cov.sparkSession, smallmat.correlation(_ridged(sigma, reg)), np.zeros(sigma.shape[0], dtype=int), tol)
     return _s_table(cov.sparkSession, s, sigma)
 
 
+def _ridged(sigma: np.ndarray, reg: float) -> np.ndarray:
+    return sigma + reg * np.eye(sigma.shape[0]) if smallmat.indefinite(sigma) else sigma
+
+
+def _blocks(sigma: np.ndarray, block_size: int, method: str) -> np.ndarray:
+    p = sigma.shape[0]
+    if method == "selfblocks":
+        return np.arange(p) // block_size
+    if method == "cluster":
+        return group_labels_ward(sigma, -(-p // block_size))
+    raise ValueError(f"unknown method: {method}")
+
+
 def s_asdp(cov: DataFrame, block_size: int = 50, method: str = "selfblocks") -> DataFrame:
     """Blockwise program: solve blocks in parallel, then shrink until feasible as a whole.
 
@@ -64,17 +76,25 @@ def s_asdp(cov: DataFrame, block_size: int = 50, method: str = "selfblocks") ->
     """
     sigma = collect_matrix(cov)
     corr = smallmat.correlation(sigma)
-    p = corr.shape[0]
-    if method == "selfblocks":
-        block = np.arange(p) // block_size
-    elif method == "cluster":
-        block = group_labels_ward(sigma, -(-p // block_size))
-    else:
-        raise ValueError(f"unknown method: {method}")
-    s = _solve_blocks(cov.sparkSession, corr, block, 0.0)
+    s = _solve_blocks(cov.sparkSession, corr, _blocks(sigma, block_size, method), 0.0)
     return _s_table(cov.sparkSession, np.clip(smallmat.feasible_scale(corr, s) * s, 0.0, 1.0), sigma)
 
 
+def local_s(sigma: np.ndarray, method: str, block_size: int, tol: float, reg: float = 1e-4) -> np.ndarray:
+    """``s_corr`` by one of the programs inside a single task, with the same steps as the tables' operators."""
+    corr = smallmat.correlation(sigma)
+    if method == "equi":
+        return np.full(len(corr), min(1.0, max(0.0, 2.0 * (smallmat.lambda_min(corr) - tol))))
+    if method == "sdp":
+        return smallmat.max_sum_s(smallmat.correlation(_ridged(sigma, reg)), tol)
+    block = _blocks(sigma, block_size, "cluster" if method == "cluster" else "selfblocks")
+    s = np.empty(len(corr))
+    for b in np.unique(block):
+        at = np.flatnonzero(block == b)
+        s[at] = smallmat.max_sum_s(corr[np.ix_(at, at)], 0.0)
+    return np.clip(smallmat.feasible_scale(corr, s) * s, 0.0, 1.0)
+
+
 @dataclass(frozen=True)
 class KnockoffPlan:
     """What every row needs to get its knockoff: p x p state, shipped to the tasks."""

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorframe.functions import smallmat
 from mirrorframe.functions.vectors import Features
 from mirrorframe.operators import geometry, moments, robust
 
-P_SWITCH = 100
 BLOCK_SIZE = 50
 
 
 @dataclass(frozen=True)
 class SecondOrder:
-    """Result of one second-order analysis; all tables have one row per feature or cell."""
+    """Result of one second-order analysis; all tables have one row per feature or cell.
+
+    ``kept`` are the positions of the features that vary; ``mu``, ``cov`` and ``s``
+    are about these, numbered from 0.  ``target_corr`` has the original positions.
+    ``constant`` are the positions of the others, which have no copy.
+    """
 
     n: int
     mu: np.ndarray
@@ -28,12 +33,14 @@ class SecondOrder:
     s: DataFrame
     target_corr: DataFrame
     mean_corr: float
+    kept: tuple[int, ...]
+    constant: tuple[int, ...]
 
     def plan(self) -> geometry.KnockoffPlan:
         return geometry.knockoff_plan(self.cov, self.s, self.mu)
 
 
-def estimate(df: DataFrame, features: Features, estimator: str, key: str | None = None, seed: int = 0):
+def estimate(df: DataFrame, features: Features, estimator: str):
     """(n, mean, covariance array) by the plain or the robust estimator.
 
     The mean is the plain mean for both, as the knockoff formula wants it.
@@ -41,50 +48,72 @@ def estimate(df: DataFrame, features: Features, estimator: str, key: str | None
     if estimator == "plain":
         return moments.mean_and_cov(df, features)
     if estimator == "mcd":
-        if key is None:
-            raise ValueError("the robust estimator needs a row key")
-        n, mu = moments.mean_only(df, features)
-        return n, mu, robust.mcd_fit(df, features, key, seed=seed).covariance
+        fit = robust.mcd_fit(df, features)
+        return fit.n, fit.mean, fit.covariance
     raise ValueError(f"unknown estimator: {estimator}")
 
 
-def second_order(df: DataFrame, features: Features, estimator: str = "plain", key: str | None = None, reg: float = 0.0,
-                 reg_if_not_psd: bool = False, method: str = "auto", p_switch: int = P_SWITCH, block_size: int = BLOCK_SIZE,
-                 tol: float = 1e-3, sdp_reg: float = 1e-4, seed: int = 0) -> SecondOrder:
+def solve_s(spark: SparkSession, sigma: np.ndarray, method: str, block_size: int, tol: float, sdp_reg: float = 1e-4) -> DataFrame:
+    """The s table of a covariance by one of the four programs."""
+    cov = moments.matrix_table(spark, sigma)
+    if method == "equi":
+        return geometry.s_equi(cov, tol)
+    if method == "sdp":
+        return geometry.s_sdp(cov, tol, sdp_reg)
+    if method in ("asdp", "cluster"):
+        return geometry.s_asdp(cov, block_size, "cluster" if method == "cluster" else "selfblocks")
+    raise ValueError(f"unknown method: {method}")
+
+
+def second_order(df: DataFrame, features: Features, method: str, estimator: str = "plain", reg: float = 0.0,
+                 reg_if_not_psd: bool = False, block_size: int = BLOCK_SIZE, tol: float = 1e-3, sdp_reg: float = 1e-4) -> SecondOrder:
     """Covariance, ridge, s vector and target correlations.
 
-    ``method="auto"`` solves one program up to ``p_switch`` features and the
-    blockwise one beyond.
+    ``method`` is ``equi``, ``sdp`` (one program), ``asdp`` (blocks of neighbours) or
+    ``cluster`` (Ward blocks); the number of features doesn't choose it.  Features
+    without variance are left out and reported.
     """
-    spark = df.sparkSession
-    n, mu, sigma = estimate(df, features, estimator, key, seed)
-    if reg and (not reg_if_not_psd or smallmat.lambda_min(sigma) < 0):
+    n, mu, sigma = estimate(df, features, estimator)
+    return solve(df.sparkSession, n, mu, sigma, method, reg, reg_if_not_psd, block_size, tol, sdp_reg)
+
+
+def solve(spark: SparkSession, n: int, mu: np.ndarray, sigma: np.ndarray, method: str, reg: float = 0.0, reg_if_not_psd: bool = False,
+          block_size: int = BLOCK_SIZE, tol: float = 1e-3, sdp_reg: float = 1e-4) -> SecondOrder:
+    """The analysis from given moments, without a scan."""
+    varies = np.diag(sigma) > 0
+    kept, constant = np.flatnonzero(varies), np.flatnonzero(~varies)
+    if not kept.size:
+        raise ValueError("no feature has any variance")
+    if constant.size:
+        warnings.warn(f"features without variance are left out: positions {constant.tolist()}", stacklevel=3)
+    mu, sigma = mu[kept], sigma[np.ix_(kept, kept)]
+    if reg and (not reg_if_not_psd or smallmat.indefinite(sigma)):
         sigma = sigma + reg * np.eye(sigma.shape[0])
-    cov = moments.matrix_table(spark, sigma)
-    if method == "auto":
-        method = "asdp" if sigma.shape[0] > p_switch else "sdp"
-    if method == "equi":
-        s = geometry.s_equi(cov, tol)
-    elif method == "sdp":
-        s = geometry.s_sdp(cov, tol, sdp_reg)
-    elif method in ("asdp", "cluster"):
-        s = geometry.s_asdp(cov, block_size, "cluster" if method == "cluster" else "selfblocks")
-    else:
-        raise ValueError(f"unknown method: {method}")
-    target = geometry.target_correlation(cov, s)
-    mean_corr = float(target.agg(F.avg("v")).head()[0])
-    return SecondOrder(n, mu, cov, s, target, mean_corr)
-
-
-def two_part_plan(df: DataFrame, catalog, reg: float = 1e-4, **options) -> DataFrame:
-    """Independent analyses of the indicator part and of the continuous part; ``(data_type, feature, i, v)``."""
+    s = solve_s(spark, sigma, method, block_size, tol, sdp_reg)
+    target = 1.0 - moments.collect_vector(s, "s") / np.diag(sigma)
+    table = moments.small_table(spark, {"i": kept.astype(np.int32), "v": target})
+    return SecondOrder(n, mu, moments.matrix_table(spark, sigma), s, table, float(target.mean()), tuple(kept.tolist()), tuple(constant.tolist()))
+
+
+def two_part_plan(df: DataFrame, catalog, method: str, estimator: str = "plain", reg: float = 1e-4, **options) -> DataFrame:
+    """Independent analyses of the indicator part and of the continuous part; ``(data_type, feature, i, v)``.
+
+    The plain moments of all features come from one scan; the robust estimate is
+    one fit for each part, as its distances are about that part alone.
+    """
     spark = df.sparkSession
+    ordered = sorted(catalog)
+    moments_of = None
+    if estimator == "plain":
+        n, mu, sigma = moments.mean_and_cov(df, [f.feature for f in ordered])
+        moments_of = lambda at: (n, mu[at], sigma[np.ix_(at, at)])
     parts = []
     for data_type, kind in (("discrete", "cat"), ("continuous", "cont")):
-        names = [f.feature for f in sorted(catalog) if f.kind == kind]
-        if not names:
+        at = [k for k, f in enumerate(ordered) if f.kind == kind]
+        if not at:
             continue
-        result = second_order(df, names, reg=reg, **options)
+        names = [ordered[k].feature for k in at]
+        result = solve(spark, *(moments_of(at) if moments_of else estimate(df, names, estimator)), method, reg, **options)
         labels = moments.vector_table(spark, np.array(names), "feature")
         parts.append(result.target_corr.join(F.broadcast(labels), "i").select(F.lit(data_type).alias("data_type"), "feature", "i", "v"))
     out = parts[0]
@@ -93,35 +122,23 @@ def two_part_plan(df: DataFrame, catalog, reg: float = 1e-4, **options) -> DataF
     return out
 
 
-def estimator_sweep(df: DataFrame, features: Features, grid: Sequence[tuple[int, bool, float]] | DataFrame, key: str,
-                    p_switch: int = P_SWITCH, block_size: int = BLOCK_SIZE, tol: float = 1e-3, seed: int = 0) -> DataFrame:
+def estimator_sweep(df: DataFrame, features: Features, grid: Sequence[tuple[int, bool, float]] | DataFrame, method: str,
+                    block_size: int = BLOCK_SIZE, tol: float = 1e-3) -> DataFrame:
     """Target correlations for every (run_id, robust_cov, reg_val); ``(run_id, i, v)``.
 
-    Each estimator scans the data once for the whole grid.  The runs are then
-    solved in parallel, one task per run, on the p x p table.
+    Each estimator is fitted once for the whole grid.  The grid alone is then
+    distributed, one run per task; the p x p matrices travel with the function.
     """
     spark = df.sparkSession
     if not isinstance(grid, DataFrame):
         grid = spark.createDataFrame(list(grid), "run_id INT, robust_cov BOOLEAN, reg_val DOUBLE")
     flags = sorted(r["robust_cov"] for r in grid.select("robust_cov").distinct().collect())
-    matrices = None
-    for flag in flags:
-        _, _, sigma = estimate(df, features, "mcd" if flag else "plain", key, seed)
-        one = moments.matrix_table(spark, sigma).withColumn("robust_cov", F.lit(flag))
-        matrices = one if matrices is None else matrices.unionByName(one)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(pdf["i"].max()) + 1
-        sigma = np.empty((p, p))
-        sigma[pdf["i"], pdf["j"]] = pdf["v"]
-        sigma += float(pdf["reg_val"].iloc[0]) * np.eye(p)
-        corr = smallmat.correlation(sigma)
-        if p > p_switch:
-            s = np.concatenate([smallmat.max_sum_s(corr[a:a + block_size, a:a + block_size]) for a in range(0, p, block_size)])
-            s = smallmat.feasible_scale(corr, s) * s
-        else:
-            s = smallmat.max_sum_s(corr, tol)
-        return pd.DataFrame({"run_id": int(pdf["run_id"].iloc[0]), "i": np.arange(p, dtype=np.int32), "v": 1.0 - s})
-
-    cells = grid.join(matrices, "robust_cov")
-    return cells.groupBy("run_id").applyInPandas(solve, "run_id INT, i INT, v DOUBLE")
+    sigmas = {flag: estimate(df, features, "mcd" if flag else "plain")[2] for flag in flags}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sigma = sigmas[bool(pdf["robust_cov"].iloc[0])]
+        sigma = sigma + float(pdf["reg_val"].iloc[0]) * np.eye(sigma.shape[0])
+        s = geometry.local_s(sigma, method, block_size, tol)
+        return pd.DataFrame({"run_id": int(pdf["run_id"].iloc[0]), "i": np.arange(s.size, dtype=np.int32), "v": 1.0 - s})
+
+    return grid.groupBy("run_id").applyInPandas(run, "run_id INT, i INT, v DOUBLE")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorframe.operators.diagnostics import ALPHAS
-from mirrorframe.operators.moments import collect_vector
 
 # Default settings by distribution model.
 # model, rho, rho_list, df, sparsity share of p
@@ -122,14 +122,14 @@ def run_label(runs: DataFrame, with_p: bool = False, at: str | None = None) -> D
 
 def assemble_run_config(df: DataFrame, runs: DataFrame, target_corr: DataFrame, chunk_list: Sequence[int] = (),
                         cat_var_idx: Sequence[int] = (), batch_frac: float = 0.5, epochs: int = 50, epoch_length: int = 100,
-                        lr: float = 0.01, mixed_data: bool | None = None) -> DataFrame:
+                        lr: float = 0.01, mixed_data: bool | None = None, n: int | None = None) -> DataFrame:
     """One complete parameter record per run.
 
-    The row count of the feature table and the p target correlations are found
-    first and enter every record as constants.
+    The row count of the feature table (``n``, where an analysis has counted it) and
+    the target correlations, in the order of the features that have one, enter every record as constants.
     """
-    n = df.count()
-    target = collect_vector(target_corr)
+    n = df.count() if n is None else n
+    target = np.array([r["v"] for r in target_corr.select("i", "v").orderBy("i").collect()])
     mixed = bool(chunk_list) if mixed_data is None else mixed_data
     ints = lambda values: F.array(*[F.lit(int(v)) for v in values]).cast("array<int>")
     return runs.withColumns({

@@ -14,9 +14,10 @@ def read_features(spark: SparkSession, path: str, schema: str | None = None, id_
                   columns: list[str] | None = None, fmt: str | None = None) -> DataFrame:
     """A wide feature table from CSV (with header) or Parquet, with a ``row_id``.
 
-    ``id_col`` names an existing unique key.  Without one, ids come from the scan
-    position; they are stable for unchanged files and settings.  Give ``schema``
-    for large CSV files, since inferring it reads them once more.
+    ``id_col`` names an existing unique key.  Without one, the id of a Parquet row is
+    a hash of its file's path and its position there: the same whatever the split size or the order of
+    the files.  A CSV row has no such position, so CSV needs ``id_col``.  Give
+    ``schema`` for large CSV files, since inferring it reads them once more.
     """
     if fmt is None:
         fmt = "csv" if path.rstrip("/").endswith((".csv", ".csv.gz")) else "parquet"
@@ -26,7 +27,9 @@ def read_features(spark: SparkSession, path: str, schema: str | None = None, id_
     else:
         reader = spark.read.format(fmt)
         df = (reader.schema(schema) if schema else reader).load(path)
-    row_id = F.monotonically_increasing_id() if id_col is None else F.col(id_col)
+    if id_col is None and fmt != "parquet":
+        raise ValueError("only Parquet rows can be told apart by their place; name an id_col")
+    row_id = F.xxhash64("_metadata.file_path", "_metadata.row_index") if id_col is None else F.col(id_col)
     features = [c for c in (columns or df.columns) if c != id_col]
     return df.select(row_id.alias("row_id"), *features)
 

@@ -78,3 +78,29 @@ def test_hconcat_and_drop_reject_bad_names(spark):
 def test_row_normalize_keeps_zero_rows(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "x ARRAY<DOUBLE>")
     assert [r["x"] for r in project.row_normalize(df, "x").collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_hconcat_needs_the_same_keys(spark):
+    left, right = (spark.range(a, a + 5).withColumnRenamed("id", "row_id").withColumn(c, F.lit(1)) for a, c in ((0, "x"), (1, "y")))
+    with pytest.raises(Exception, match="on one side only"):
+        project.hconcat(left, right).collect()
+    assert project.hconcat(left, left.withColumnRenamed("x", "y")).columns == ["row_id", "x", "y"]
+    parent = left.withColumn("y", F.lit(2))
+    joined = project.hconcat_parts(parent, [["y"], ["x"]])
+    assert joined.columns == ["row_id", "y", "x"] and "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_array_forms_equal_the_named_ones(spark, rng):
+    x = rng.normal(size=(301, 3))
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "id INT, a DOUBLE, b DOUBLE, c DOUBLE")
+    arrays = df.select("id", F.array("a", "b", "c").alias("x")).repartition(4)
+    named = {r["id"]: list(r)[1:] for r in encode.quantile_bin(df, ["a", "b", "c"], 4).collect()}
+    assert {r["id"]: r["x"] for r in encode.quantile_bin_array(arrays, "x", 4).collect()} == named
+    scaled = {r["id"]: r["x"] for r in project.standardize_array(arrays, "x", [0.5, 0, 0], [4.0, 1.0, 9.0]).collect()}
+    assert np.allclose([scaled[k] for k in range(301)], (x - [0.5, 0, 0]) / [2, 1, 3])
+    score = {r["id"]: r["xbeta"] for r in project.linear_score_array(arrays, "x", [1.0, 2.0, 3.0]).collect()}
+    assert np.allclose([score[k] for k in range(301)], x @ [1, 2, 3])
+    with pytest.raises(Exception, match="expected 2 features"):
+        project.linear_score_array(arrays, "x", [1.0, 2.0]).collect()
+    with pytest.raises(ValueError, match="not distinct"):
+        encode.quantile_bin_array(df.selectExpr("array(a, 1.0D) AS x"), "x", 4)

@@ -75,3 +75,13 @@ def test_histogram(spark, rng):
     rows = evaluate.feature_histogram(df, ["a", "c"], 8).orderBy("feature", "bin").collect()
     assert [r["n"] for r in rows[:8]] == np.histogram(x, 8)[0].tolist()
     assert [r["n"] for r in rows[8:]] == np.histogram(np.full(500, 2.0), 8)[0].tolist()
+
+
+def test_histogram_leaves_out_what_is_not_finite(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (float("inf"),), (None,)], "a DOUBLE")
+    rows = evaluate.feature_histogram(df, ["a"], 2).orderBy("bin").collect()
+    assert [(r["low"], r["high"], r["n"]) for r in rows] == [(1.0, 2.0, 1), (2.0, 3.0, 2)]
+    both = df.selectExpr("array(a, a * 2) AS x")
+    assert [r["n"] for r in evaluate.feature_histogram(both, "x", 2).orderBy("feature", "bin").collect()] == [1, 2, 1, 2]
+    with pytest.raises(ValueError, match="no values"):
+        evaluate.feature_histogram(df.where("isnan(a)"), ["a"])

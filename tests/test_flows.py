@@ -21,8 +21,8 @@ def test_survey_table(spark, tmp_path, rng):
     site = rng.integers(0, 3, size=n)
     dummies = np.eye(3, dtype=int)[site]
     rows = np.column_stack([cont, dummies, rng.integers(0, 2, size=(n, 2))])
-    data = _csv(tmp_path / "survey.csv", "age,height,weight,a,b,c,Y,W", rows.tolist())
-    table = project.drop_columns(tables.read_features(spark, data), ["Y", "W"])
+    data = _csv(tmp_path / "survey.csv", "id,age,height,weight,a,b,c,Y,W", [[k, *r] for k, r in enumerate(rows.tolist())])
+    table = project.drop_columns(tables.read_features(spark, data, id_col="id"), ["Y", "W"])
     features = table.columns[1:]
     catalog = tables.read_feature_lists(
         spark, _csv(tmp_path / "f.csv", "variable", [["site"]]), _csv(tmp_path / "k.csv", "X1", [[3]]),
@@ -33,7 +33,7 @@ def test_survey_table(spark, tmp_path, rng):
     tables.write_train_index(train, str(tmp_path / "train"))
     assert spark.read.parquet(str(tmp_path / "train")).count() == 320
 
-    result = analysis.second_order(train, features, estimator="mcd", key="row_id", reg=1e-3)
+    result = analysis.second_order(train, features, method="sdp", estimator="mcd", reg=1e-3)
     assert result.n == 320 and 0 <= result.mean_corr <= 1
     kinds = encode.catalog_table(spark, catalog).select(F.col("pos").alias("i"), "kind")
     summary = {r["kind"]: r for r in moments.correlation_summary(result.target_corr, kinds).collect()}
@@ -70,19 +70,19 @@ def test_coded_table(spark, rng):
     assert project.hconcat(*both).columns == ordered.columns
 
     features = [f.feature for f in catalog]
-    sweep = analysis.estimator_sweep(ordered, features, [(0, False, 1e-3), (1, True, 1e-3), (2, False, 1e-1)], "row_id")
+    sweep = analysis.estimator_sweep(ordered, features, [(0, False, 1e-3), (1, True, 1e-3), (2, False, 1e-1)], method="sdp")
     means = {r["run_id"]: r["m"] for r in sweep.groupBy("run_id").agg(F.avg("v").alias("m")).collect()}
     assert means[2] < means[0]  # a larger ridge leaves more room
-    parts = analysis.two_part_plan(ordered, catalog).groupBy("data_type").count().collect()
+    parts = analysis.two_part_plan(ordered, catalog, method="sdp", reg=1e-3).groupBy("data_type").count().collect()
     assert {r["data_type"]: r["count"] for r in parts} == {"discrete": 9, "continuous": 3}
 
 
-def test_wide_table_switches_to_blocks(spark, rng):
+def test_wide_table_in_blocks(spark, rng):
     p = 120
     shape = 0.5 ** np.abs(np.subtract.outer(np.arange(p), np.arange(p)))
     x = rng.multivariate_normal(np.zeros(p), shape, size=1000)
     df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "row_id LONG, x ARRAY<DOUBLE>").cache()
-    result = analysis.second_order(df, "x")
+    result = analysis.second_order(df, "x", method="asdp")
     s = moments.collect_vector(result.s, "s_corr")
     corr = smallmat.correlation(moments.collect_matrix(result.cov))
     assert s.size == p and smallmat.lambda_min(2 * corr - np.diag(s)) >= -1e-8
@@ -106,7 +106,7 @@ def test_representatives_of_groups(spark, rng):
 def test_string_keys(spark):
     df = spark.createDataFrame([(f"k{i}", float(i), float(i % 7)) for i in range(50)], "k STRING, a DOUBLE, b DOUBLE")
     assert sample.sample_exact(df, 0.5, "k").count() == 25
-    plan = analysis.second_order(df, ["a", "b"]).plan()
+    plan = analysis.second_order(df, ["a", "b"], method="sdp").plan()
     a = {r["k"]: r["xk"] for r in generate.generate_knockoffs(df, ["a", "b"], plan, "k").collect()}
     b = {r["k"]: r["xk"] for r in generate.generate_knockoffs(df.repartition(7), ["a", "b"], plan, "k").collect()}
     assert a == b

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mirrorframe.functions import smallmat
 from mirrorframe.operators import diagnostics, generate, geometry, grouping, moments
@@ -52,9 +53,28 @@ def test_plan_is_symmetric_and_psd(spark, rng):
 
 def test_constant_feature_is_named(spark):
     df = spark.createDataFrame([(float(k), 1.0) for k in range(9)], "a DOUBLE, b DOUBLE")
-    with pytest.raises(ValueError, match=r"without variance at positions \[1\]"):
-        analysis.second_order(df, ["a", "b"])
-    assert analysis.second_order(df, ["a", "b"], reg=1e-3).mean_corr < 1
+    with pytest.warns(UserWarning, match=r"without variance are left out: positions \[1\]"):
+        result = analysis.second_order(df, ["a", "b"], method="sdp")
+    assert result.kept == (0,) and result.constant == (1,) and result.plan().mu.tolist() == [4.0]
+    assert [tuple(r) for r in result.target_corr.collect()] == [(0, pytest.approx(0.0, abs=1e-5))]
+    with pytest.raises(ValueError, match="no feature has any variance"):
+        analysis.second_order(df.select("b", F.lit(2.0).alias("c")), ["b", "c"], method="sdp")
+
+
+def test_infeasible_program_is_named(spark):
+    cov = moments.matrix_table(spark, np.array([[1.0, 0.9999], [0.9999, 1.0]]))
+    with pytest.raises(Exception, match="no s is feasible"):
+        geometry.s_sdp(cov, tol=1e-3).collect()
+
+
+def test_definiteness_allows_for_rounding(vectors, rng):
+    """A full set of indicators has an eigenvalue of zero, whose sign must not decide anything."""
+    x = np.eye(5)[rng.integers(0, 5, size=400)] * rng.uniform(0.5, 1.5)
+    for parts in (1, 3, 16):
+        cov = moments.covariance(vectors(x, parts), "x")
+        assert not smallmat.indefinite(moments.collect_matrix(cov))
+        assert np.array_equal(moments.collect_matrix(moments.ridge_if_not_psd(cov, 0.5)), moments.collect_matrix(cov))
+    assert smallmat.indefinite(np.diag([1.0, -1e-9]))
 
 
 def test_constant_feature_has_no_target(spark):
@@ -69,7 +89,7 @@ def test_copies_have_the_right_moments(vectors, rng):
     mix = np.array([[1, 0.5, 0, 0], [0, 1, 0.5, 0], [0, 0, 1, 0.5], [0, 0, 0, 1]])
     x = rng.normal(size=(n, p)) @ mix + 3.0
     df = vectors(x, 6).cache()
-    result = analysis.second_order(df, "x")
+    result = analysis.second_order(df, "x", method="sdp")
     pairs = generate.generate_knockoffs(df, "x", result.plan(), "id", 11).cache()
     gap = diagnostics.second_order_gap(pairs).head()
     assert gap["mean_gap"] < 0.06 and gap["cov_gap"] < 0.12 and gap["cross_gap"] < 0.12
@@ -91,15 +111,16 @@ def test_copies_do_not_depend_on_the_layout(vectors, rng):
 
 
 @pytest.mark.filterwarnings("ignore:the conditional covariance")
-def test_switch_to_blocks(spark, rng):
+def test_sweep_solves_like_a_single_analysis(spark, rng):
     x = rng.normal(size=(300, 12))
     df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id LONG, x ARRAY<DOUBLE>")
-    a = analysis.second_order(df, "x", p_switch=10, block_size=5)
-    b = analysis.second_order(df, "x", method="asdp", block_size=5)
-    assert np.allclose(moments.collect_vector(a.s, "s"), moments.collect_vector(b.s, "s"))
-    assert 0 <= a.mean_corr <= 1
-    sweep = analysis.estimator_sweep(df, "x", [(0, False, 0.0)], "id", p_switch=10, block_size=5)
-    assert np.allclose(moments.collect_vector(sweep), moments.collect_vector(a.target_corr), atol=1e-9)
+    for method in ("equi", "sdp", "asdp", "cluster"):
+        a = analysis.second_order(df, "x", method=method, block_size=5)
+        assert 0 <= a.mean_corr <= 1
+        sweep = analysis.estimator_sweep(df, "x", [(0, False, 0.0)], method=method, block_size=5)
+        assert np.allclose(moments.collect_vector(sweep), moments.collect_vector(a.target_corr), atol=1e-9)
+    with pytest.raises(ValueError, match="unknown method"):
+        analysis.second_order(df, "x", method="auto")
 
 
 def test_representatives_and_submatrix(spark):

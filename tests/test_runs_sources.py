@@ -39,9 +39,11 @@ def test_inconsistent_lists(spark, tmp_path):
 
 
 def test_csv_features_and_train_index(spark, tmp_path):
-    path = _csv(tmp_path, "t.csv", "a,b,Y,W", [f"{k},{k * 2.5},0,1" for k in range(30)])
-    for schema in (None, "a DOUBLE, b DOUBLE, Y INT, W INT"):
-        df = tables.read_features(spark, path, schema)
+    path = _csv(tmp_path, "t.csv", "id,a,b,Y,W", [f"{k},{k},{k * 2.5},0,1" for k in range(30)])
+    with pytest.raises(ValueError, match="id_col"):
+        tables.read_features(spark, path)
+    for schema in (None, "id LONG, a DOUBLE, b DOUBLE, Y INT, W INT"):
+        df = tables.read_features(spark, path, schema, id_col="id")
         assert df.columns == ["row_id", "a", "b", "Y", "W"]
         assert df.select("row_id").distinct().count() == 30
     out = str(tmp_path / "train")
@@ -85,3 +87,16 @@ def test_record(spark):
     assert (r["p"], r["n"], r["batch_size"], r["dim_h"], r["mixed_data"]) == (3, 101, 20, 30, True)
     assert r["target_corr"] == [0.1, 0.2, 0.3] and r["chunk_list"] == [2] and r["cat_var_idx"] == [1, 2]
     assert r["sparsity"] == 0 and r["alphas"][-1] == 128.0
+
+
+def test_parquet_ids_survive_another_split_size(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(5000).select(F.col("id").cast("double").alias("a")).repartition(5).write.option("parquet.block.size", 4096).parquet(path)
+    before = {r["row_id"]: r["a"] for r in tables.read_features(spark, path).collect()}
+    assert len(before) == 5000
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert {r["row_id"]: r["a"] for r in tables.read_features(spark, path).collect()} == before
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
