@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,26 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, also one with dots."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def set_aside(df: DataFrame, text: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """The table with all columns but the text under neutral names, and the function that gives the names back.
+
+    Between the two an operator may add columns of any name.  ``restore`` takes
+    replacements by column name, as functions of the neutral column.
+    """
+    plain = df.select(*[named(c) if c == text else named(c).alias(f"_{k}") for k, c in enumerate(df.columns)])
+
+    def restore(found: DataFrame, **new: Callable[[Column], Column]) -> DataFrame:
+        at = {c: named(c) if c == text else F.col(f"_{k}") for k, c in enumerate(df.columns)}
+        return found.select(*[(new[c](v) if c in new else v).alias(c) for c, v in at.items()])
+
+    return plain, restore
+
+
 def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text (or ``limit / 4`` list items) each."""
     values = batch.column(column)
@@ -59,8 +79,11 @@ def append_columns(df: DataFrame, fields: list[T.StructField], text: str, make:
     is replaced.
     """
     new = {f.name.lower() for f in fields}
-    kept = [f for f in df.schema.fields if f.name.lower() not in new]
-    schema = T.StructType([*kept, *fields])
+    names = df.columns
+    kept = [k for k, c in enumerate(names) if c.lower() not in new]
+    # neutral names inside, as Spark's maps can't read columns with dots in their names
+    types = [df.schema.fields[k].dataType for k in kept] + [f.dataType for f in fields]
+    schema = T.StructType([T.StructField(f"c{k}", t) for k, t in enumerate(types)])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -68,9 +91,11 @@ def append_columns(df: DataFrame, fields: list[T.StructField], text: str, make:
         work = make()
         out = to_arrow_schema(schema)
         for batch in batches:
-            for block in text_blocks(batch, text):
-                arrays = [block.column(f.name).cast(out.field(f.name).type) for f in kept]
-                added = [pa.array(a, type=out.field(f.name).type) if not isinstance(a, pa.Array) else a.cast(out.field(f.name).type) for f, a in zip(fields, work(block), strict=True)]
-                yield pa.RecordBatch.from_arrays([*arrays, *added], schema=out)
-
-    return df.mapInArrow(run, schema)
+            for block in text_blocks(batch.rename_columns(names), text):
+                arrays = [block.column(k).cast(out.field(at).type) for at, k in enumerate(kept)]
+                for at, a in enumerate(work(block), len(kept)):
+                    arrays.append(a.cast(out.field(at).type) if isinstance(a, pa.Array) else pa.array(a, type=out.field(at).type))
+                yield pa.RecordBatch.from_arrays(arrays, schema=out)
+
+    neutral = df.toDF(*[f"c{k}" for k in range(len(names))])
+    return neutral.mapInArrow(run, schema).toDF(*[names[k] for k in kept], *[f.name for f in fields])

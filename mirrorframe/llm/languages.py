@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mirrorframe.llm.frames import append_columns, text_blocks
+from mirrorframe.llm.frames import append_columns, set_aside, text_blocks
 from mirrorframe.llm.texts import buffers
 
 #: Cells that hashed trigrams of bytes fall into: the size of a learned language.
@@ -200,7 +200,5 @@ def held_out(key: str = "doc_id") -> Column:
 
 def keep_known(docs: DataFrame, model, text: str = "text", least: float = LEAST_SHARE) -> DataFrame:
     """The rows, as they are, whose text has a chief language with that share at least."""
-    columns = docs.columns
-    plain = docs.select(*[F.col(c).alias(f"_{k}") if c != text else F.col(c) for k, c in enumerate(columns)])
-    found = predict(plain, model, text).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return found.select(*[F.col(f"_{k}" if c != text else c).alias(c) for k, c in enumerate(columns)])
+    plain, restore = set_aside(docs, text)
+    return restore(predict(plain, model, text).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))

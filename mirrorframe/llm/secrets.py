@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mirrorframe.llm.frames import append_columns, text_blocks
+from mirrorframe.llm.frames import append_columns, set_aside, text_blocks
 from mirrorframe.llm.texts import buffers
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -246,8 +246,7 @@ def redact(docs: DataFrame, text: str = "text", instead: str = "[SECRET]", lengt
 
     A column named by ``length`` gets the number of characters of the texts that changed.
     """
-    columns = docs.columns
-    plain = docs.select(*[F.col(c).alias(f"_{k}") if c != text else F.col(c) for k, c in enumerate(columns)])
+    plain, restore = set_aside(docs, text)
     found = find_secrets(plain, text, "_spans", false_share)
 
     def make():
@@ -258,10 +257,6 @@ def redact(docs: DataFrame, text: str = "text", instead: str = "[SECRET]", lengt
         return work
 
     masked = append_columns(found, [T.StructField(text, T.StringType())], text, make)
-
-    def column(k, c):
-        if c == length:
-            return F.when(F.size("_spans") > 0, F.length(text)).otherwise(F.col(f"_{k}")).cast(docs.schema[c].dataType).alias(c)
-        return F.col(c if c == text else f"_{k}").alias(c)
-
-    return masked.select(*[column(k, c) for k, c in enumerate(columns)])
+    if length is None:
+        return restore(masked)
+    return restore(masked, **{length: lambda old: F.when(F.size("_spans") > 0, F.length(text)).otherwise(old).cast(docs.schema[length].dataType)})

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mirrorframe.llm.frames import append_columns
+from mirrorframe.llm.frames import append_columns, set_aside
 from mirrorframe.llm.texts import ALNUM_LOWER, Words
 
 WINDOW = 10
@@ -233,10 +233,5 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, as they are, that hold no window of any test item."""
-    kept = docs.columns
-    names = {f.name.lower() for f in FIELDS}
-    safe = [F.col(c).alias(f"_{k}") if c != text else F.col(c) for k, c in enumerate(kept)]
-    found = find_matches(docs.select(*safe), benchmark, text, **options)
-    assert text.lower() not in names
-    clean = found.filter(F.size("hit_spans") == 0)
-    return clean.select(*[F.col(f"_{k}" if c != text else c).alias(c) for k, c in enumerate(kept)])
+    plain, restore = set_aside(docs, text)
+    return restore(find_matches(plain, benchmark, text, **options).filter(F.size("hit_spans") == 0))

@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mirrorframe.llm.frames import named
+
 #: The fewest characters that a rule list must have before it is no longer broadcast.
 RULES_TO_BROADCAST = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,4 +92,4 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     verdicts = judge(pages, rules, url, default).select(F.col("url").alias("_judged"), *[F.col(c).alias(f"_new_{c}") for c in new])
     kept = [c for c in pages.columns if c.lower() not in new]
     joined = pages.join(verdicts, F.col(url).eqNullSafe(F.col("_judged")), "left")
-    return joined.select(*kept, *[F.col(f"_new_{c}").alias(c) for c in new])
+    return joined.select(*[named(c) for c in kept], *[F.col(f"_new_{c}").alias(c) for c in new])

@@ -41,7 +41,7 @@ def test_run_equals_brute_force(spark, small):
 def test_stages_on_odd_tables(spark, small):
     """Nulls, empty texts, repeated rows, clashing columns and empty tables pass every stage."""
     table = spark.read.parquet(f"{small}/documents.parquet")
-    extra = {c: F.lit("x") for c in ("score", "node", "matches", "secrets", "_1", "n_words")}
+    extra = {c: F.lit("x") for c in ("score", "node", "matches", "secrets", "_1", "n_words", "a.b", "key")}
     some = table.limit(30)
     nulls = table.limit(2).select(*[F.lit(None).cast(t).alias(c) for c, t in table.dtypes])
     odd = some.unionByName(some).unionByName(nulls).unionByName(some.limit(2).withColumn("text", F.lit(""))).withColumns(extra)
