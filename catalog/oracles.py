@@ -80,6 +80,51 @@ CORR64 = COV64 + """,
 var AS (SELECT i, v FROM cov WHERE i = j),
 corr AS (SELECT cov.i, cov.j, cov.v / sqrt(a.v * b.v) AS v FROM cov JOIN var a ON a.i = cov.i JOIN var b ON b.i = cov.j)"""
 
+# -- all 64 features, pairwise mixed: blocks of two have a closed form, the rest is elimination by recursion ----------
+
+PAIRS = f"""
+l AS MATERIALIZED (SELECT vec_id, i, CASE WHEN i % 2 = 0 THEN embedding[i + 1]::DOUBLE ELSE embedding[i]::DOUBLE + (0.25::DOUBLE + (i + 1) / 64.0::DOUBLE) * embedding[i + 1]::DOUBLE END AS v FROM embeddings, range(64) t(i)),
+mu AS MATERIALIZED (SELECT i, avg(v) AS m FROM l GROUP BY i),
+cov AS MATERIALIZED (SELECT x.i AS i, y.i AS j, covar_samp(x.v, y.v) AS v FROM l x JOIN l y USING (vec_id) GROUP BY ALL),
+var AS MATERIALIZED (SELECT i, v FROM cov WHERE i = j),
+corr AS MATERIALIZED (SELECT cov.i, cov.j, cov.v / sqrt(a.v * b.v) AS v FROM cov JOIN var a ON a.i = cov.i JOIN var b ON b.i = cov.j),
+bl AS MATERIALIZED (SELECT i, least(1.0::DOUBLE, 2 * (1 - abs(v))) AS s FROM corr WHERE i // 2 = j // 2 AND i <> j)"""
+
+
+def _pivots(name, grid):
+    """Smallest pivot of 2 corr - g diag(s) for each g of a grid: the matrix is feasible if it is positive."""
+    return f"""
+{name}_e AS (SELECT g, 0 AS k, i, j, 2 * v - CASE WHEN i = j THEN g * s ELSE 0 END AS v FROM corr JOIN bl USING (i), ({grid}) x(g)
+  UNION ALL SELECT g, k + 1, i, j, v - rk * ck / d FROM (
+    SELECT *, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY g, j) AS rk, max(CASE WHEN j = k THEN v END) OVER (PARTITION BY g, i) AS ck,
+           max(CASE WHEN i = k AND j = k THEN v END) OVER (PARTITION BY g) AS d FROM {name}_e) WHERE i > k AND j > k AND d > 0),
+{name} AS MATERIALIZED (SELECT max(g) AS g FROM (SELECT g, min(v) AS low, count(*) AS n FROM {name}_e WHERE i = k AND j = k GROUP BY g) WHERE low > 0 AND n = 64)"""
+
+
+# halving [0, 1] to steps of 1/128: first sixteenths, then single steps above the largest feasible one
+PAIRS_S = PAIRS + "," + _pivots("coarse", "SELECT g / 8.0::DOUBLE FROM range(9) t(g)") + "," + _pivots("fine", "SELECT least(1.0, g + f / 128.0::DOUBLE) FROM coarse, range(16) t(f) WHERE g < 1.0 OR f = 0") + """,
+s AS MATERIALIZED (SELECT i, least(1.0::DOUBLE, g * s) AS sc, least(1.0::DOUBLE, g * s) * v AS s, 1 - least(1.0::DOUBLE, g * s) AS target FROM bl JOIN var USING (i), fine)"""
+
+PAIRS_PLAN = PAIRS_S + """,
+gj AS (SELECT 0 AS k, i, j, v FROM cov UNION ALL SELECT k + 1, i, j,
+    CASE WHEN i = k AND j = k THEN 1 / d WHEN i = k THEN rk / d WHEN j = k THEN -ck / d ELSE v - ck * rk / d END FROM (
+    SELECT *, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY j) AS rk, max(CASE WHEN j = k THEN v END) OVER (PARTITION BY i) AS ck,
+           max(CASE WHEN i = k AND j = k THEN v END) OVER () AS d FROM gj WHERE k < 64)),
+pr AS MATERIALIZED (SELECT gj.i, gj.j, gj.v * s.s AS p FROM gj JOIN s ON s.i = gj.j WHERE k = 64),
+vv AS MATERIALIZED (SELECT pr.i, pr.j, CASE WHEN pr.i = pr.j THEN 2 * s.s ELSE 0 END - s.s * pr.p AS v FROM pr JOIN s ON s.i = pr.i)"""
+
+PAIRS_COPIES = PAIRS_PLAN + f""",
+ch AS (SELECT 0 AS k, i, j, v + CASE WHEN i = j THEN 1e-10 ELSE 0 END AS v FROM vv UNION ALL SELECT k + 1, i, j, v - rk * ck / d FROM (
+    SELECT *, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY j) AS rk, max(CASE WHEN j = k THEN v END) OVER (PARTITION BY i) AS ck,
+           max(CASE WHEN i = k AND j = k THEN v END) OVER () AS d FROM ch) WHERE i > k AND j > k),
+lo AS MATERIALIZED (SELECT a.i, a.k AS j, a.v / sqrt(b.v) AS v FROM ch a JOIN ch b ON b.k = a.k AND b.i = b.k AND b.j = b.k WHERE a.j = a.k),
+u AS MATERIALIZED (SELECT vec_id, i, v, {uniform(SEED, 'vec_id', 'i')} AS u FROM l),
+z AS MATERIALIZED (SELECT a.vec_id, a.i, sqrt(-2 * ln(1 - CASE WHEN a.i % 2 = 0 THEN a.u ELSE b.u END)) * CASE WHEN a.i % 2 = 0 THEN cos(2 * pi() * b.u) ELSE sin(2 * pi() * a.u) END AS z
+      FROM u a JOIN u b ON a.vec_id = b.vec_id AND b.i = CASE WHEN a.i % 2 = 0 THEN a.i + 1 ELSE a.i - 1 END),
+sh AS MATERIALIZED (SELECT vec_id, pr.j AS i, sum((l.v - m) * p) AS d FROM l JOIN mu USING (i) JOIN pr ON pr.i = l.i GROUP BY ALL),
+nz AS MATERIALIZED (SELECT vec_id, lo.i AS i, sum(z * lo.v) AS e FROM z JOIN lo ON lo.j = z.i GROUP BY ALL),
+k AS MATERIALIZED (SELECT vec_id, i, l.v AS x, l.v - d + e AS xk FROM l JOIN sh USING (vec_id, i) JOIN nz USING (vec_id, i))"""
+
 LINKED = CORR64 + """,
 g AS (SELECT i, min(j) AS group_id FROM corr WHERE abs(v) >= 0.12 GROUP BY i),
 keep AS (SELECT min(i) AS i FROM g GROUP BY group_id)"""
@@ -301,6 +346,24 @@ ORACLES = {
     "generate_knockoffs": f"WITH {COPIES.strip()} SELECT vec_id, round(k0, 7) + 0.0 AS k0, round(k1, 7) + 0.0 AS k1 FROM k",
     "second_order_run": f"WITH {HIGH.strip()}, t AS (SELECT 1 - least(1.0, 2 * (1 - abs(b / sqrt((a + 0.001) * (d + 0.001))) - 0.001)) AS v FROM hc) SELECT i, round(v, 7) AS v, round(v, 7) AS mean_corr FROM t, (VALUES (0), (1)) x(i)",
     "feature_distance": f"WITH {CORR64} SELECT a.i, b.i AS j, round(sqrt(sum((a.v - b.v) ** 2)), 8) AS d FROM corr a JOIN corr b ON a.j = b.j AND a.i < b.i GROUP BY a.i, b.i",
+    "s_asdp_pairs": f"WITH RECURSIVE {PAIRS_S.strip()} SELECT i::INTEGER AS i, round(sc, 7) AS s_corr, round(s, 7) AS s FROM s",
+    "target_correlation_pairs": f"WITH RECURSIVE {PAIRS_S.strip()} SELECT i::INTEGER AS i, round(target, 7) + 0.0 AS v FROM s",
+    "correlation_summary_pairs": f"WITH RECURSIVE {PAIRS_S.strip()}, kd AS (SELECT *, CASE WHEN i < 20 THEN 'cat' ELSE 'cont' END AS kind FROM s) SELECT coalesce(kind, 'all') AS kind, round(avg(target), 7) AS mean_corr, count(*) AS n_features FROM kd GROUP BY ROLLUP (kind)",
+    "knockoff_plan_pairs": f"WITH RECURSIVE {PAIRS_PLAN.strip()} SELECT i::INTEGER AS i, j::INTEGER AS j, round(p, 6) + 0.0 AS p, round(v, 6) + 0.0 AS v FROM pr JOIN vv USING (i, j)",
+    "generate_knockoffs_pairs": f"WITH RECURSIVE {PAIRS_COPIES.strip()} SELECT vec_id, i::INTEGER AS i, round(xk, 5) + 0.0 AS v FROM k",
+    "second_order_gap_pairs": f"""WITH RECURSIVE {PAIRS_COPIES.strip()},
+mg AS (SELECT sqrt(sum(d * d)) AS mean_gap FROM (SELECT avg(x) - avg(xk) AS d FROM k GROUP BY i)),
+cc AS MATERIALIZED (SELECT a.i AS i, b.i AS j, covar_samp(a.x, b.x) AS xx, covar_samp(a.xk, b.xk) AS kk, covar_samp(a.x, b.xk) AS xk FROM k a JOIN k b USING (vec_id) GROUP BY ALL)
+SELECT round(any_value(mean_gap), 5) AS mean_gap, round(sqrt(sum((xx - kk) ** 2)), 5) AS cov_gap, round(sqrt(sum((xx - xk) ** 2) FILTER (i <> j)), 5) AS cross_gap FROM cc, mg""",
+    "decorrelation_gap_pairs": f"WITH RECURSIVE {PAIRS_COPIES.strip()}, x AS (SELECT i, corr(x, xk) AS c FROM k GROUP BY i) SELECT i::INTEGER AS i, round(c, 5) + 0.0 AS corr, round(target, 5) + 0.0 AS target, round(c - target, 5) + 0.0 AS gap FROM x JOIN s USING (i)",
+    "mmd_pairs": f"""WITH RECURSIVE {PAIRS_COPIES.strip()},
+rw AS (SELECT *, dense_rank() OVER (ORDER BY vec_id) - 1 AS pos FROM k),
+nn AS (SELECT max(pos) + 1 AS n FROM rw),
+tw AS (SELECT a.pos AS pos, (a.x - b.x) ** 2 + (a.xk - b.xk) ** 2 AS same, (a.x - b.xk) ** 2 + (a.xk - b.x) ** 2 AS swap, {uniform(SEED, 'a.i')} < 0.5 AS chosen
+       FROM rw a JOIN rw b ON a.i = b.i AND b.pos = a.pos + 1, nn WHERE a.pos % 2 = 0 OR (n % 2 = 1 AND a.pos = n - 2)),
+dd AS (SELECT sum(same) AS same, sum(swap) AS fully, sum(CASE WHEN chosen THEN swap ELSE same END) AS part FROM tw GROUP BY pos)
+SELECT round(avg(2 * {_kernel('same')} - 2 * {_kernel('fully')}), 6) + 0.0 AS full_swap,
+       round(avg(2 * {_kernel('same')} - 2 * {_kernel('part')}), 6) + 0.0 AS partial_swap, count(*) AS n_pairs FROM dd""",
     "group_three_features": _group3(lambda a, b: f"corr({a}, {b})", "low <= 0.5 * high"),
     "group_three_features_ward": _group3(lambda a, b: f"covar_samp({a}, {b})", "TRUE"),
     "group_sizes": f"WITH {LINKED}, z AS (SELECT group_id, count(*) AS n FROM g GROUP BY group_id) SELECT count(*) AS n_groups, max(n) AS largest, round(avg(n), 9) AS mean_size FROM z",

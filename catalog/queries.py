@@ -468,6 +468,71 @@ def second_order_run(spark, sf):
     return rounded(out, 7, "v", "mean_corr")
 
 
+# -- the same on all 64 features: neighbours correlate differently in every pair, so no two targets are equal ------
+
+
+def paired64(spark, sf):
+    e = read(spark, sf, "embeddings")
+    mixed = F.transform("embedding", lambda v, i: F.when(i % 2 == 0, v.cast("double")).otherwise(F.get("embedding", i - 1).cast("double") + (0.25 + (i + 1) / 64.0) * v.cast("double")))
+    return e.select("vec_id", mixed.alias("x"))
+
+
+def _paired_result(spark, sf):
+    df = paired64(spark, sf)
+    return df, analysis.second_order(df, "x", method="asdp", block_size=2)
+
+
+def _paired_copies(spark, sf):
+    df, result = _paired_result(spark, sf)
+    return df, generate.generate_knockoffs(df, "x", result.plan(), "vec_id", SEED), result
+
+
+@query
+def s_asdp_pairs(spark, sf):
+    return rounded(_paired_result(spark, sf)[1].s, 7, "s_corr", "s")
+
+
+@query
+def target_correlation_pairs(spark, sf):
+    return rounded(_paired_result(spark, sf)[1].target_corr, 7, "v")
+
+
+@query
+def correlation_summary_pairs(spark, sf):
+    result = _paired_result(spark, sf)[1]
+    kinds = spark.range(64).select(F.col("id").cast("int").alias("i"), F.when(F.col("id") < 20, "cat").otherwise("cont").alias("kind"))
+    return rounded(moments.correlation_summary(result.target_corr, kinds), 7, "mean_corr")
+
+
+@query
+def knockoff_plan_pairs(spark, sf):
+    projection, cond_cov = _paired_result(spark, sf)[1].plan().tables(spark)
+    return rounded(projection.select("i", "j", F.col("v").alias("p")).join(cond_cov, ["i", "j"]), 6, "p", "v")
+
+
+@query
+def generate_knockoffs_pairs(spark, sf):
+    copies = _paired_copies(spark, sf)[1]
+    return rounded(copies.select("vec_id", F.posexplode("xk").alias("i", "v")), 5, "v")
+
+
+@query
+def second_order_gap_pairs(spark, sf):
+    return rounded(diagnostics.second_order_gap(_paired_copies(spark, sf)[1]), 5, "mean_gap", "cov_gap", "cross_gap")
+
+
+@query
+def decorrelation_gap_pairs(spark, sf):
+    _, copies, result = _paired_copies(spark, sf)
+    return rounded(diagnostics.decorrelation_gap(copies, result.target_corr), 5, "corr", "target", "gap")
+
+
+@query
+def mmd_pairs(spark, sf):
+    df, copies, _ = _paired_copies(spark, sf)
+    return rounded(diagnostics.mmd(copies, "vec_id", seed=SEED, keys=df), 6, "full_swap", "partial_swap")
+
+
 # -- groups -----------------------------------------------------------------------------------------
 
 

@@ -53,7 +53,7 @@ def max_sum_s(corr: np.ndarray, tol: float = 0.0) -> np.ndarray:
 
     s = np.full(p, 0.5 * min(1.0, floor))
     mu = 1.0
-    while mu > 1e-8:
+    while mu > 1e-11:
         value, low = objective(s, mu)
         for _ in range(50):
             inv_low = np.linalg.solve(low, np.eye(p))
