@@ -177,6 +177,45 @@ ny AS (SELECT vec_id, i, CASE WHEN i < 4 THEN 0 WHEN i < 7 THEN 1 WHEN i < 9 THE
          (v + -ln(-ln({uniform(SEED, 'vec_id', 'i')} + 1e-20) + 1e-20)) / 0.5 AS y FROM lg)"""
 
 
+def _merges(matrix, linkage):
+    """Agglomeration of the rows of a matrix: ``me`` has the lowest member of each feature's group."""
+    out = f"""
+ds AS MATERIALIZED (SELECT a.i AS i, b.i AS j, {'sqrt' if linkage == 'complete' else ''}(sum((a.v - b.v) ** 2)) AS d FROM {matrix} a JOIN {matrix} b ON a.j = b.j AND a.i < b.i GROUP BY ALL),
+cu AS MATERIALIZED (SELECT 0.5 * max(d) AS cut FROM ds),
+ag AS (SELECT 0 AS st, i, j, d, 1 AS ni, 1 AS nj FROM ds UNION ALL"""
+    nearest = """SELECT *, CASE WHEN i = mb THEN ma ELSE i END AS x, CASE WHEN j = mb THEN ma ELSE j END AS y,
+        CASE WHEN i IN (ma, mb) THEN ni ELSE nj END AS np, CASE WHEN i IN (ma, mb) THEN nj ELSE ni END AS no FROM (
+      SELECT *, first_value(i) OVER w AS ma, first_value(j) OVER w AS mb, first_value(ni) OVER w AS na, first_value(nj) OVER w AS nb, min(d) OVER () AS md FROM ag WINDOW w AS (ORDER BY d, i, j))"""
+    if linkage == "complete":
+        out += f"""
+  SELECT DISTINCT st + 1, least(x, y), greatest(x, y), max(d) OVER (PARTITION BY least(x, y), greatest(x, y)), 1, 1 FROM ({nearest}), cu WHERE x <> y AND md <= cut),
+mg AS MATERIALIZED (SELECT st, arg_min(i, (d, i, j)) AS a, arg_min(j, (d, i, j)) AS b FROM ag, cu GROUP BY st HAVING min(d) <= any_value(cut)),"""
+    else:
+        out += f"""
+  SELECT DISTINCT st + 1, least(x, y), greatest(x, y),
+    CASE WHEN x = ma OR y = ma THEN (sum((np + no) * d) OVER p - no * md) / (na + nb + no) ELSE d END,
+    CASE WHEN least(x, y) = ma THEN na + nb WHEN x < y THEN ni ELSE nj END, CASE WHEN greatest(x, y) = ma THEN na + nb WHEN x < y THEN nj ELSE ni END
+  FROM ({nearest}) WHERE x <> y AND st < 59 WINDOW p AS (PARTITION BY least(x, y), greatest(x, y))),
+mg AS MATERIALIZED (SELECT st, arg_min(i, (d, i, j)) AS a, arg_min(j, (d, i, j)) AS b FROM ag GROUP BY st),"""
+    return out + """
+me AS (SELECT 0 AS st, i, i AS g FROM (SELECT DISTINCT i FROM cov) UNION ALL SELECT st + 1, i, CASE WHEN g = b THEN a ELSE g END FROM me JOIN mg USING (st)),
+gp AS MATERIALIZED (SELECT i, g, dense_rank() OVER (ORDER BY g)::INTEGER AS group_id FROM me WHERE st = (SELECT count(*) FROM mg))"""
+
+
+def _tyler64_sql(steps):
+    """Fixed-point steps on all features; each but the first inverts the last scatter by elimination."""
+    out = [LONG.replace("l AS (", "l AS MATERIALIZED ("), "w0 AS MATERIALIZED (SELECT vec_id, 1 / sum(v * v) AS w FROM l GROUP BY vec_id HAVING sum(v * v) > 0)"]
+    for k in range(steps):
+        out.append(f"z{k} AS MATERIALIZED (SELECT a.i AS i, b.i AS j, 64.0 * sum(w * a.v * b.v) / (SELECT count(*) FROM w0) AS v FROM l a JOIN l b USING (vec_id) JOIN w{k} USING (vec_id) GROUP BY ALL)")
+        if k < steps - 1:
+            out.append(f"""gj{k} AS (SELECT 0 AS k, i, j, v FROM z{k} UNION ALL SELECT k + 1, i, j,
+    CASE WHEN i = k AND j = k THEN 1 / d WHEN i = k THEN rk / d WHEN j = k THEN -ck / d ELSE v - ck * rk / d END FROM (
+    SELECT *, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY j) AS rk, max(CASE WHEN j = k THEN v END) OVER (PARTITION BY i) AS ck,
+           max(CASE WHEN i = k AND j = k THEN v END) OVER () AS d FROM gj{k} WHERE k < 64))""")
+            out.append(f"w{k + 1} AS MATERIALIZED (SELECT vec_id, 1 / sum(a.v * g.v * b.v) AS w FROM l a JOIN l b USING (vec_id) JOIN (SELECT * FROM gj{k} WHERE k = 64) g ON g.i = a.i AND g.j = b.i JOIN w0 USING (vec_id) GROUP BY vec_id)")
+    return "WITH RECURSIVE " + ",\n".join(out) + f"\nSELECT i::INTEGER AS i, j::INTEGER AS j, round(v, 7) + 0.0 AS v FROM z{steps - 1}"
+
+
 def _kernel(d2):
     return "(" + " + ".join(f"exp(-({d2}) / {2.0 * a * a})" for a in (1, 2, 4, 8, 16, 32, 64, 128)) + ") / 8.0"
 
@@ -364,6 +403,13 @@ tw AS (SELECT a.pos AS pos, (a.x - b.x) ** 2 + (a.xk - b.xk) ** 2 AS same, (a.x
 dd AS (SELECT sum(same) AS same, sum(swap) AS fully, sum(CASE WHEN chosen THEN swap ELSE same END) AS part FROM tw GROUP BY pos)
 SELECT round(avg(2 * {_kernel('same')} - 2 * {_kernel('fully')}), 6) + 0.0 AS full_swap,
        round(avg(2 * {_kernel('same')} - 2 * {_kernel('part')}), 6) + 0.0 AS partial_swap, count(*) AS n_pairs FROM dd""",
+    "group_features": f"WITH RECURSIVE {CORR64.replace('corr AS (', 'corr AS MATERIALIZED (')}, {_merges('corr', 'complete').strip()} SELECT i::INTEGER AS i, group_id FROM gp",
+    "group_features_ward": f"WITH RECURSIVE {COV64.replace('cov AS (', 'cov AS MATERIALIZED (')}, {_merges('cov', 'ward').strip()} SELECT i::INTEGER AS i, group_id FROM gp",
+    "group_features_pairs": f"WITH RECURSIVE {PAIRS.strip()}, {_merges('corr', 'complete').strip()} SELECT i::INTEGER AS i, group_id FROM gp",
+    "group_sizes_pairs": f"WITH RECURSIVE {PAIRS.strip()}, {_merges('corr', 'complete').strip()}, z AS (SELECT g, count(*) AS n FROM gp GROUP BY g) SELECT count(*) AS n_groups, max(n) AS largest, round(avg(n), 9) AS mean_size FROM z",
+    "representatives_pairs": f"WITH RECURSIVE {PAIRS.strip()}, {_merges('corr', 'complete').strip()}, kp AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS at FROM (SELECT DISTINCT g FROM gp)) SELECT a.at::INTEGER AS i, b.at::INTEGER AS j, round(v, 8) + 0.0 AS v FROM corr JOIN kp a ON a.g = i JOIN kp b ON b.g = j",
+    "max_offdiag_pairs": f"WITH RECURSIVE {PAIRS.strip()}, {_merges('corr', 'complete').strip()} SELECT round(max(abs(v - (i = j)::INTEGER)), 8) + 0.0 AS max_offdiag FROM corr WHERE i IN (SELECT g FROM gp) AND j IN (SELECT g FROM gp)",
+    "tyler_three_steps": _tyler64_sql(3),
     "group_three_features": _group3(lambda a, b: f"corr({a}, {b})", "low <= 0.5 * high"),
     "group_three_features_ward": _group3(lambda a, b: f"covar_samp({a}, {b})", "TRUE"),
     "group_sizes": f"WITH {LINKED}, z AS (SELECT group_id, count(*) AS n FROM g GROUP BY group_id) SELECT count(*) AS n_groups, max(n) AS largest, round(avg(n), 9) AS mean_size FROM z",

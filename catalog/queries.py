@@ -597,6 +597,37 @@ def max_offdiag(spark, sf):
     return rounded(grouping.max_offdiag(grouping.submatrix(corr, keep)), 8, "max_offdiag")
 
 
+def _corr_pairs(spark, sf):
+    return moments.cov_to_corr(moments.covariance(paired64(spark, sf), "x"))
+
+
+@query
+def group_features_pairs(spark, sf):
+    return grouping.group_features(_corr_pairs(spark, sf))
+
+
+@query
+def group_sizes_pairs(spark, sf):
+    return rounded(grouping.group_sizes(grouping.group_features(_corr_pairs(spark, sf))), 9, "mean_size")
+
+
+@query
+def representatives_pairs(spark, sf):
+    """The chain from correlations to groups, representatives and their matrix."""
+    _, representatives, reduced = grouping.representative_analysis(_corr_pairs(spark, sf))
+    return rounded(reduced, 8, "v")
+
+
+@query
+def max_offdiag_pairs(spark, sf):
+    return rounded(grouping.max_offdiag(grouping.representative_analysis(_corr_pairs(spark, sf))[2]), 8, "max_offdiag")
+
+
+@query
+def tyler_three_steps(spark, sf):
+    return rounded(robust.tyler_scatter(read(spark, sf, "embeddings"), "embedding", tol=0.0, maxiter=3), 7, "v")
+
+
 @query
 def group_first_pc(spark, sf):
     df = two_features(spark, sf).withColumn("f2", F.col("f1") * 2.0 - F.col("f0"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +17,17 @@ from mirrorframe.operators.moments import collect_matrix, mean_and_cov, vector_t
 def feature_distance(corr: DataFrame) -> DataFrame:
     """Euclidean distance between the matrix rows of every feature pair ``i < j``.
 
-    Matrix rows become arrays first, so the join has one row per pair.
+    The p x p matrix travels with the function; a task makes the rows of the features dealt to it.
     """
-    row = F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"])
-    rows = corr.groupBy("i").agg(row.alias("r"), F.max("j").alias("last"))
-    left = rows.where("i < last").select("i", F.col("r").alias("a"), F.explode(F.sequence(F.col("i") + 1, F.col("last"))).alias("j"))
-    right = rows.select(F.col("i").alias("j"), F.col("r").alias("b"))
-    squares = F.zip_with("a", "b", lambda u, w: (u - w) * (u - w))
-    return left.join(right, "j").select("i", "j", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v)).alias("d"))
+    a = collect_matrix(corr)
+
+    def rows(batches):
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                d = np.sqrt(((a[i + 1 :] - a[i]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(d.size, i), pa.int32()), pa.array(np.arange(i + 1, len(a)), pa.int32()), pa.array(d)], names=["i", "j", "d"])
+
+    return corr.sparkSession.range(len(a)).mapInArrow(rows, "i INT, j INT, d DOUBLE")
 
 
 def _label_table(spark: SparkSession, labels: np.ndarray) -> DataFrame:
@@ -85,6 +89,22 @@ def max_offdiag(corr: DataFrame) -> DataFrame:
     return corr.agg(F.max(off).alias("max_offdiag"))
 
 
+def groups_by_name(groups: DataFrame, names: Sequence[str]) -> dict[str, int]:
+    """A grouping ``(i, group_id)`` of positions as the mapping of names that ``group_first_pc`` takes."""
+    of = {r["i"]: r["group_id"] for r in groups.select("i", "group_id").collect()}
+    missing = [c for k, c in enumerate(names) if k not in of]
+    if missing:
+        raise ValueError(f"features without a group: {missing}")
+    return {c: of[k] for k, c in enumerate(names)}
+
+
+def representative_analysis(corr: DataFrame, cut: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Grouping, representatives and the correlations of these, numbered from 0: the input of a program on fewer features."""
+    groups = group_features(corr, cut)
+    representatives = group_representatives(groups)
+    return groups, representatives, renumber(submatrix(corr, representatives))
+
+
 def group_first_pc(df: DataFrame, groups: dict[str, int], keep: Sequence[str] = ()) -> DataFrame:
     """Replace every group of several columns by its first principal component.
 
