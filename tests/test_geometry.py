@@ -143,3 +143,19 @@ def test_first_component(spark, rng):
     lam, q = np.linalg.eigh(np.cov(x[:, :2], rowvar=False))
     assert pc.var(ddof=1) == pytest.approx(lam[-1])
     assert abs(abs(np.corrcoef(pc, x[:, :2] @ q[:, -1])[0, 1]) - 1) < 1e-9
+
+
+def test_grouping_chain(spark, rng):
+    base = rng.normal(size=(400, 3))
+    x = np.column_stack([base, base[:, :2] + 0.05 * rng.normal(size=(400, 2))])
+    names = ["a", "b", "c", "d", "e"]
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "id INT, " + ", ".join(f"{c} DOUBLE" for c in names))
+    corr = moments.cov_to_corr(moments.covariance(df, names))
+    groups, representatives, reduced = grouping.representative_analysis(corr)
+    assert sorted(r["i"] for r in representatives.collect()) == [0, 1, 2] and reduced.count() == 9
+    assert geometry.s_asdp(reduced, 2).count() == 3
+    by_name = grouping.groups_by_name(groups, names)
+    assert by_name["a"] == by_name["d"] and by_name["b"] == by_name["e"] and len(set(by_name.values())) == 3
+    assert len(grouping.group_first_pc(df, by_name, keep=["id"]).columns) == 4
+    with pytest.raises(ValueError, match="without a group"):
+        grouping.groups_by_name(groups, [*names, "f"])
