@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from mirrorframe.llm.frames import append_columns
 
 #: Words that a task remembers; beyond it the memory starts anew.  Results don't depend on it.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,71 +38,93 @@ class Merges:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary has no token for the bytes {missing[:5]}")
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.known: dict[tuple[int, int], int] = {}
-
-    def of(self, left: int, right: int) -> int:
-        """Rank of the joined token, or -1."""
-        rank = self.known.get((left, right))
-        if rank is None:
-            rank = self.ranks.get(self.token[left] + self.token[right], -1)
-            if len(self.known) > 1_000_000:
-                self.known.clear()
-            self.known[left, right] = rank
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.first = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
+        self.known: dict[int, int] = {}  # by left << 32 | right
+
+    def look_up(self, left: int, right: int) -> int:
+        """Rank of the joined token, or -1; remembered."""
+        rank = self.ranks.get(self.token[left] + self.token[right], -1)
+        if len(self.known) > 200_000:
+            self.known.clear()
+        self.known[left << 32 | right] = rank
         return rank
 
 
 def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
     """Token ids of each non-empty word: the lowest rank first and, within a word, the leftmost of equal ones."""
-    of, whole = merges.of, merges.ranks
+    known, look_up, whole = merges.known, merges.look_up, merges.ranks
     out: list = [[whole[w]] if w in whole else None for w in words]
-    token: list[int] = []
-    starts = []
-    for k, w in enumerate(words):
-        if out[k] is None:
-            starts.append((k, len(token)))
-            token.extend([merges.single[b] for b in w])
-            token.append(-1)  # ends a word
-    after = list(range(1, len(token) + 1))
-    before = list(range(-1, len(token) - 1))
-    index: dict[int, list[int]] = {}
-    for at in range(len(token) - 1):
-        if token[at] >= 0 and token[at + 1] >= 0:
-            rank = of(token[at], token[at + 1])
-            if rank >= 0:
-                index.setdefault(rank, []).append(at)
+    open_words = [k for k, ids in enumerate(out) if ids is None]
+    if not open_words:
+        return out
+    # all words side by side, each followed by an end mark; at[k]: the rank that place k and the next one make
+    sizes = np.array([len(words[k]) + 1 for k in open_words])
+    starts = np.cumsum(sizes) - sizes
+    letters = np.frombuffer(b"\0".join(words[k] for k in open_words) + b"\0", np.uint8)
+    ends = starts + sizes - 1
+    places = merges.single[letters]
+    places[ends] = -1
+    made = np.append(merges.first[letters[:-1], letters[1:]], -1)
+    made[ends] = -1
+    made[ends - 1] = -1
+    by_rank = np.argsort(made, kind="stable")
+    by_rank = by_rank[np.searchsorted(made[by_rank], 0) :]
+    cut = np.flatnonzero(np.diff(made[by_rank])) + 1
+    index = {int(made[g[0]]): g.tolist() for g in np.split(by_rank, cut) if len(g)}
     order = list(index)
     heapq.heapify(order)
+    token, pair = places.tolist(), made.tolist()
+    after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
 
     while order:
         rank = heapq.heappop(order)
-        places = sorted(set(index.pop(rank, ())))
-        for k, at in enumerate(places):
+        waiting = index.pop(rank, ())
+        if len(waiting) > 1:
+            waiting.sort()
+        for k, at in enumerate(waiting):
+            if pair[at] != rank:
+                continue  # merged away, or with another neighbour since
             right = after[at]
-            if token[at] < 0 or token[right] < 0 or of(token[at], token[right]) != rank:
-                continue  # a neighbour was merged away since
             beyond = after[right]
-            token[at], token[right], after[at] = rank, -2, beyond
-            before[beyond] = at
+            token[at], pair[right], after[at], before[beyond] = rank, -1, beyond, at
             again = False
-            for left, of_right in ((before[at], at), (at, beyond)):
-                if left >= 0 and token[left] >= 0 and token[of_right] >= 0:
-                    new = of(token[left], token[of_right])
-                    if new >= 0:
-                        if new not in index:
-                            index[new] = []
-                            heapq.heappush(order, new)
+            other = token[beyond]
+            new = -1
+            if other >= 0:
+                new = known.get(rank << 32 | other)
+                if new is None:
+                    new = look_up(rank, other)
+                if new >= 0:
+                    if new in index:
+                        index[new].append(at)
+                    else:
+                        index[new] = [at]
+                        heapq.heappush(order, new)
+                    again = new <= rank
+            pair[at] = new
+            left = before[at]
+            if left >= 0 and token[left] >= 0:
+                new = known.get(token[left] << 32 | rank)
+                if new is None:
+                    new = look_up(token[left], rank)
+                if new >= 0:
+                    if new in index:
                         index[new].append(left)
-                        again |= new <= rank
+                    else:
+                        index[new] = [left]
+                        heapq.heappush(order, new)
+                    again = again or new <= rank
+                pair[left] = new
             if again:  # a pair that comes earlier has arisen: it goes first, the other places follow
                 if rank not in index:
                     index[rank] = []
                     heapq.heappush(order, rank)
-                index[rank].extend(places[k + 1 :])
+                index[rank].extend(waiting[k + 1 :])
                 break
 
-    for k, start in starts:
-        ids, at = [], start
+    for k, at in zip(open_words, starts.tolist(), strict=True):
+        ids = []
         while token[at] != -1:
             ids.append(token[at])
             at = after[at]
@@ -121,20 +143,21 @@ class Encoder:
 
     def forget(self):
         self.place: dict[str, int] = {}
-        self.ids, self.start = np.zeros(1 << 16, np.int32), [0]
+        self.ids, self.start, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
 
     def learn(self, words: list[str]):
         new = [w for w in set(words) if w not in self.place]
         coded = replay([w.encode() for w in new], self.merges)
-        used = self.start[-1]
+        have, ends = len(self.place), self.used + np.cumsum([len(c) for c in coded], dtype=np.int64)
+        self.place.update(zip(new, range(have, have + len(new)), strict=True))
         flat = np.fromiter((i for c in coded for i in c), np.int32)
-        if used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.int32)])
-        self.ids[used : used + len(flat)] = flat
-        for w, c in zip(new, coded, strict=True):
-            self.place[w] = len(self.start) - 1
-            used += len(c)
-            self.start.append(used)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.place) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.start[have + 1 : have + 1 + len(new)] = ends
+        self.used += len(flat)
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         if len(self.place) > self.remembered:
@@ -145,10 +168,10 @@ class Encoder:
             bounds.append(len(words))
         self.learn(words)
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        start = np.array(self.start, np.int64)
-        sizes = np.diff(start)[at]
+        start = self.start[at]
+        sizes = self.start[at + 1] - start
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.ids[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], sizes)]
+        flat = self.ids[np.arange(ends[-1]) + np.repeat(start - ends[:-1], sizes)]
         return pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(flat, pa.int32()))
 
 
@@ -168,31 +191,51 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     return append_columns(docs, [T.StructField(out, T.ArrayType(T.IntegerType()))], text, make)
 
 
+class Decoder:
+    """Turns lists of ids into the bytes of their tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        token = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            token[r] = t
+        self.lengths = np.array([len(t) for t in token], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+        self.letters = np.frombuffer(b"".join(token), np.uint8)
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) and not (0 <= flat.min() and flat.max() < len(self.lengths) and self.lengths[flat].all()):
+            raise ValueError("a token id is not in the vocabulary")
+        sizes = self.lengths[flat]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.letters[np.arange(ends[-1]) + np.repeat(self.starts[flat] - ends[:-1], sizes)]
+        offsets = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+
+
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for; null or empty lists give empty bytes, an unknown id fails the job."""
     shared = tokens.sparkSession.sparkContext.broadcast(ranks)
 
     def make():
-        size = max(shared.value.values()) + 1
-        token = [b""] * size
-        for t, r in shared.value.items():
-            token[r] = t
-        lengths = np.array([len(t) for t in token], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        letters = np.frombuffer(b"".join(token), np.uint8)
-
-        def work(block: pa.RecordBatch):
-            lists = block.column(ids)
-            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            if len(flat) and not (0 <= flat.min() and flat.max() < size and lengths[flat].all()):
-                raise ValueError("a token id is not in the vocabulary")
-            sizes = lengths[flat]
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            data = letters[np.arange(ends[-1]) + np.repeat(starts[flat] - ends[:-1], sizes)]
-            offsets = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-            return [pa.Array.from_buffers(pa.large_binary(), block.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])]
+        decoder = Decoder(shared.value)
+        return lambda block: [decoder.decode(block.column(ids))]
+
+    return append_columns(tokens, [T.StructField(out, T.BinaryType())], ids, make)
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one worker: adds both columns."""
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+
+    def make():
+        encoder, decoder = Encoder(*shared.value), Decoder(shared.value[0])
+
+        def work(block):
+            coded = encoder.encode(block.column(text).fill_null("").to_pylist())
+            return [coded, decoder.decode(coded)]
 
         return work
 
-    return append_columns(tokens, [T.StructField(out, T.BinaryType())], ids, make)
+    return append_columns(docs, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.BinaryType())], text, make)
