@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,9 +15,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a task works on at once; a longer single text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Rows of a table that may be broadcast; each broadcast row here is well under 200 bytes.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch between Spark and a worker; both sides hold a few of them for each task.
+BATCH_BYTES = 8 << 20
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker that waits between stages then holds no more than its modules."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by ``BATCH_BYTES`` in this session, where a larger bound is set; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") != str(BATCH_BYTES):
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
+    small_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.block.size.row.check.min", 8).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -71,13 +93,14 @@ def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) ->
         at, done = end, int(sizes[end - 1])
 
 
-def append_columns(df: DataFrame, fields: list[T.StructField], text: str, make: Callable[[], Callable]) -> DataFrame:
+def append_columns(df: DataFrame, fields: list[T.StructField], text: str, make: Callable[[], Callable], block: int = BLOCK_BYTES) -> DataFrame:
     """Add computed columns to every row, in place and without a shuffle.
 
     ``make()`` runs once in each task and returns a function from a block of rows
     to one Arrow array for each field.  A column that already has a field's name
-    is replaced.
+    is replaced.  ``block`` bounds the bytes of text in a block.
     """
+    small_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     names = df.columns
     kept = [k for k, c in enumerate(names) if c.lower() not in new]
@@ -91,11 +114,13 @@ def append_columns(df: DataFrame, fields: list[T.StructField], text: str, make:
         work = make()
         out = to_arrow_schema(schema)
         for batch in batches:
-            for block in text_blocks(batch.rename_columns(names), text):
-                arrays = [block.column(k).cast(out.field(at).type) for at, k in enumerate(kept)]
-                for at, a in enumerate(work(block), len(kept)):
+            for rows in text_blocks(batch.rename_columns(names), text, block):
+                arrays = [rows.column(k).cast(out.field(at).type) for at, k in enumerate(kept)]
+                for at, a in enumerate(work(rows), len(kept)):
                     arrays.append(a.cast(out.field(at).type) if isinstance(a, pa.Array) else pa.array(a, type=out.field(at).type))
                 yield pa.RecordBatch.from_arrays(arrays, schema=out)
+        del work
+        release_memory()
 
     neutral = df.toDF(*[f"c{k}" for k in range(len(names))])
     return neutral.mapInArrow(run, schema).toDF(*[names[k] for k in kept], *[f.name for f in fields])

@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mirrorframe.llm.frames import append_columns, set_aside, text_blocks
+from mirrorframe.llm.frames import append_columns, release_memory, set_aside, text_blocks
 from mirrorframe.llm.texts import buffers
 
 #: Cells that hashed trigrams of bytes fall into: the size of a learned language.
 CELLS = 1 << 15
 #: Counts added to every cell; EM steps for a pair of languages and at the end; gain in log-likelihood asked for each log of the trigrams.
 SMOOTHING, STEPS, PENALTY = 0.5, 12, 4.0
+#: Bytes of text whose mixtures are inferred together.
+INFERRED_BYTES = 1 << 19
 #: Least share of the chief language of a document that is kept.
 LEAST_SHARE = 0.4
 UNKNOWN = "und"
@@ -79,6 +81,7 @@ def learn(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "la
         for name, n in total.items():
             at = np.flatnonzero(n)
             yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "cell", "n"])
+        release_memory()
 
     counts = rows.mapInArrow(count, "lang STRING, cell INT, n LONG").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     table: dict[str, np.ndarray] = {}
@@ -190,7 +193,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
         return work
 
-    return append_columns(docs, FIELDS, text, make)
+    return append_columns(docs, FIELDS, text, make, INFERRED_BYTES)
 
 
 def held_out(key: str = "doc_id") -> Column:

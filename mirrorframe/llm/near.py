@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from mirrorframe.llm.components import components
-from mirrorframe.llm.frames import broadcast_if_small, text_blocks, written
+from mirrorframe.llm.frames import broadcast_if_small, release_memory, text_blocks, written
 from mirrorframe.llm.texts import SPACED_LOWER, U64, WORD_POWERS, Words, mix, spans_hash
 
 SHINGLE = 5
@@ -118,6 +118,7 @@ def features(docs: DataFrame, key: str, text: str, hashes: MinHash) -> DataFrame
                     pa.array([b if ok else None for b, ok in zip(buckets, filled, strict=True)], pa.list_(pa.int64())),
                     pa.array([s.tobytes() if ok else None for s, ok in zip(signature, filled, strict=True)], pa.binary()),
                 ], names=[f.name for f in schema.fields])
+        release_memory()
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
@@ -130,6 +131,7 @@ def full_sets(docs: DataFrame, key: str, text: str, crowded: DataFrame) -> DataF
             for block in text_blocks(batch, "text"):
                 sets = list(Shingles(block.column("text")).sets())
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+        release_memory()
 
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(broadcast_if_small(crowded.select("key").distinct()), "key", "left_semi")
     return texts.mapInArrow(run, "node LONG, shingles BINARY")
@@ -157,6 +159,7 @@ def compare(pairs: DataFrame, cards: DataFrame) -> DataFrame:
                 linked.append(100 * common[-1] >= PERCENT * (len(x) + len(y) - common[-1]))
             at = pa.array(near, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["u", "v", "common", "linked"])
+        release_memory()
 
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "u LONG, v LONG, common LONG, linked BOOLEAN")
 
@@ -179,6 +182,7 @@ def _shared(live: DataFrame, cards: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 h = np.frombuffer(batch.column("shingles")[k].as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), nodes[k]))], names=["h", "node"])
+        release_memory()
 
     shingles = cards.select("node", "shingles").join(sized.select("node"), "node", "left_semi").mapInArrow(spread, "h LONG, node LONG")
     owned = shingles.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("_other")).filter(F.col("node") == F.col("_other"))

@@ -53,9 +53,10 @@ def token_digests(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
     ranks, pattern = vocabulary()
     new = [*["token_ids"] * keep_ids, "n_tokens", "ids_sha256", "decoded_sha256"]
     docs = docs.select(*[named(c) for c in docs.columns if c.lower() not in {*new, "token_ids", "decoded"}])
-    coded = bpe.encode(docs, ranks, pattern).withColumns({"n_tokens": F.size("token_ids").cast("long"), "ids_sha256": F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256)})
-    decoded = bpe.decode(coded, ranks).withColumn("decoded_sha256", F.sha2("decoded", 256))
-    return decoded.select(*[named(c) for c in docs.columns], *new)
+    coded = bpe.round_trip(docs, ranks, pattern).withColumns({
+        "n_tokens": F.size("token_ids").cast("long"), "ids_sha256": F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256), "decoded_sha256": F.sha2("decoded", 256),
+    })
+    return coded.select(*[named(c) for c in docs.columns], *new)
 
 
 @query
