@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from mirrorframe.llm.components import components
-from mirrorframe.llm.frames import broadcast_if_small, release_memory, text_blocks, written
+from mirrorframe.llm.frames import append_columns, broadcast_if_small, named, release_memory, set_aside, text_blocks, written
 from mirrorframe.llm.texts import SPACED_LOWER, U64, WORD_POWERS, Words, mix, spans_hash
 
 SHINGLE = 5
@@ -282,22 +282,58 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ba
     classed one by one; the smallest key is over the non-null ones, and a null key is
     kept only where no other key is reached.  Other columns are not read.
     """
-    found = written(features(docs, key, text, MinHash(bands, rows)), "features")
+    classed = _classes(docs, key, text, MinHash(bands, rows))
+    return classed.select(F.col("key").alias(key), "n_shingles", "component_id", "kept")
+
+
+def _classes(docs: DataFrame, key: str, text: str, hashes: MinHash) -> DataFrame:
+    """(key, n_shingles, node, class, component_id, kept) of every row; ``class`` names the class by one of its nodes, null without words."""
+    found = written(features(docs, key, text, hashes), "features")
     filled = found.filter("node is not null")
     nodes = filled.groupBy("node").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets"), F.first("signature").alias("signature"))
     nodes = written(nodes, "nodes")
     labels = link_nodes(nodes, docs, key, text)
     lead = nodes.select("node", "key").join(labels, "node").groupBy("component").agg(F.min("key").alias("_lead"))
-    leads = labels.join(lead, "component").select("node", "_lead")
-    class_of = nodes.select("node", "key").join(leads, "node", "left").select("node", F.coalesce("_lead", "key").alias("component_id"))
+    leads = labels.join(lead, "component").select("node", "component", "_lead")
+    class_of = nodes.select("node", "key").join(leads, "node", "left").select("node", F.coalesce("component", "node").alias("class"), F.coalesce("_lead", "key").alias("component_id"))
     classed = found.select("key", "n_shingles", "node").join(class_of, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return classed.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    return classed.select("key", "n_shingles", "node", "class", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+
+
+def _with_nodes(docs: DataFrame, text: str) -> DataFrame:
+    """The rows with the node of their text as a column ``node``."""
+
+    def work(block: pa.RecordBatch):
+        return [[_node(s) if len(s) else None for s in Shingles(block.column(text)).sets()]]
+
+    return append_columns(docs, [T.StructField("node", T.LongType())], text, lambda: work)
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, as they are, without those whose class has a smaller key; of rows of equal key and text one stays."""
-    gone = written(near_duplicates(docs, key, text).filter(~F.col("kept")).select(F.col(key).alias("_gone")).distinct(), "gone")
-    kept = docs.join(broadcast_if_small(gone), F.col(key) == F.col("_gone"), "left_anti")
-    unique = docs.groupBy(key).count().filter("count > 1").isEmpty()
-    return kept if unique else kept.dropDuplicates([key, text])
+    """One row of each class, as it is: of its smallest key, and where rows share that key, of one of their shingle sets.
+
+    Rows are told apart by key and shingle set, so rows of one key and of different
+    classes stay or go each by its own class; null keys are a key like any other.
+    Texts without words all stay, of those of equal key and text one.
+    """
+    classed = written(_classes(docs, key, text, MinHash()).select("key", "node", "class", "kept"), "classed")
+    plain, restore = set_aside(docs, text)
+    own = F.col(f"_{docs.columns.index(key)}")
+    many = written(classed.groupBy("key").count().filter("count > 1").select(F.col("key").alias("many")), "many")
+    gone = broadcast_if_small(written(classed.filter(~F.col("kept")).select(F.col("key").alias("gone")).distinct(), "gone"))
+    if many.isEmpty():
+        return restore(plain.join(gone, own.eqNullSafe(F.col("gone")), "left_anti"))
+    many = broadcast_if_small(many)
+    repeated = own.eqNullSafe(F.col("many"))
+    single = plain.join(many, repeated, "left_anti").join(gone, own.eqNullSafe(F.col("gone")), "left_anti")
+    # rows of repeated keys: all of a class that are kept have one key
+    stay = classed.filter("kept and node is not null").groupBy("class").agg(F.min("key").alias("key"), F.min("node").alias("node"))
+    named_rows = classed.filter("node is not null").join(many, F.col("key").eqNullSafe(F.col("many")), "left_semi").select("key", "node").distinct()
+    stays = F.col("s.node").eqNullSafe(F.col("r.node")) & F.col("s.key").eqNullSafe(F.col("r.key"))
+    lost = named_rows.alias("r").join(stay.alias("s"), stays, "left_anti").select(F.col("key").alias("lost_key"), F.col("node").alias("lost_node"))
+    lost = broadcast_if_small(written(lost, "lost"))
+    rows = _with_nodes(plain.join(many, repeated, "left_semi"), text)
+    rows = rows.join(lost, (F.col("node") == F.col("lost_node")) & own.eqNullSafe(F.col("lost_key")), "left_anti")
+    rows = rows.withColumn("wordless", F.when(F.col("node").isNull(), named(text))).dropDuplicates([f"_{docs.columns.index(key)}", "node", "wordless"])
+    return restore(single.unionByName(rows.select(*[named(c) for c in plain.columns])))

@@ -65,6 +65,26 @@ def test_of_repeated_rows_one_stays(spark):
     assert sorted(r["doc_id"] for r in near.drop_near_duplicates(docs).collect()) == [4, 5]
 
 
+def test_rows_go_by_their_own_class(spark):
+    rows = [
+        (2, "p q r s t u"), (2, "p q r s t u"), (2, "something else altogether for once"), (1, "p q r s t u"), (None, "P Q R S T U"), (3, None),
+        (None, "of no key and by itself"), (None, "Of no key and by itself"), (None, "of no key, and another"), (4, ""), (4, ""), (4, None), (4, "a text of key four"), (4, "A text of key four"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
+    left = near.drop_near_duplicates(docs)
+    want = [(-1, "of no key and by itself"), (-1, "of no key, and another"), (1, "p q r s t u"), (2, "something else altogether for once"), (3, ""), (4, ""), (4, ""), (4, "a text of key four")]
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], (r["text"] or "").lower()) for r in left.collect()) == want
+    # a single null key among unique keys
+    single = near.drop_near_duplicates(docs.filter("text in ('p q r s t u', 'P Q R S T U') and doc_id is distinct from 2"))
+    assert [tuple(r) for r in single.collect()] == [(1, "p q r s t u")]
+
+
+def test_one_row_of_a_class_under_one_key(spark):
+    base = words(120)
+    docs = spark.createDataFrame([(7, " ".join(base)), (7, " ".join([*base, "more"])), (7, " ".join(words(40))), (8, " ".join(base[1:]))], "doc_id LONG, text STRING")
+    assert sorted(r["doc_id"] for r in near.drop_near_duplicates(docs).collect()) == [7, 7]
+
+
 @pytest.mark.parametrize("edges", [
     [], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 50)], [(k, 99) for k in range(50)],
     [(RNG.randrange(200), RNG.randrange(200)) for _ in range(150)],
