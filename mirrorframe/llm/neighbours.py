@@ -4,7 +4,8 @@ The neighbour graph of a bounded sample of vectors is cut into parts of equal si
 with few edges between them.  A small network learns from it in which parts the
 neighbours of a vector lie; it files every vector under its most probable part and
 sends a query to several.  Within these parts all distances are computed.  The
-number of parts probed is calibrated on sample vectors that the network has not seen.
+number of parts probed is calibrated on sample vectors that the network has not seen;
+a query whose parts hold too few rows goes on to the next ones in its order.
 """
 
 from __future__ import annotations
@@ -149,24 +150,37 @@ def learn(x: np.ndarray, parts: int, k: int, seed: int = 3) -> tuple[Router | No
     return router, probes
 
 
+def reached(ranked: np.ndarray, held: np.ndarray, probes: int, least: int) -> list[np.ndarray]:
+    """The parts of each query: the first ``probes`` in its order, and further ones until they hold ``least`` rows or none is left."""
+    enough = np.cumsum(held[ranked], axis=1) >= least
+    needed = np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, ranked.shape[1])
+    return [r[: max(n, probes)].astype(np.int32) for r, n in zip(ranked, needed.tolist(), strict=True)]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _top(query_ids, queries, ids, rows, k: int):
-    """(query, id, distance) of the k nearest rows of each query, ties to the smaller id; the query's own id doesn't count."""
+    """(query, id, distance) of the k nearest rows of each query, ties to the smaller id; the query's own id doesn't count.
+
+    Rows of one id and one distance are one.
+    """
     qq, rr = (queries**2).sum(axis=1), (rows**2).sum(axis=1)
+    most = k + len(ids) - len(np.unique(ids))
     out = ([], [], [])
     for a in range(0, len(queries), 256):
         rough = qq[a : a + 256, None] + rr - 2 * queries[a : a + 256] @ rows.T
         slack = 1e-9 * (qq[a : a + 256] + rr.max())
         rough[query_ids[a : a + 256, None] == ids] = np.inf
-        take = min(k, rough.shape[1])
+        take = min(most, rough.shape[1])
         edge = np.partition(rough, take - 1, axis=1)[:, take - 1]
         for r in range(len(rough)):
             near = np.flatnonzero((rough[r] <= edge[r] + slack[r]) & np.isfinite(rough[r]))
             d = np.sqrt(((rows[near] - queries[a + r]) ** 2).sum(axis=1))
-            best = np.lexsort((ids[near], d))[:k]
+            best = np.lexsort((ids[near], d))
+            again = (np.diff(ids[near][best]) == 0) & (np.diff(d[best]) == 0)
+            best = best[np.concatenate([[True], ~again])[: len(best)]][:k]
             out[0].append(np.full(len(best), query_ids[a + r]))
             out[1].append(ids[near][best])
             out[2].append(d[best])
@@ -179,7 +193,7 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     Queries are the rows that ``is_query`` holds for; candidates all rows but those
     of the query's own id.  Ties go to the smaller id.  Rows without an id or with a
     vector that is not ``usable``, or not of the commonest length (ties: the longest), take
-    no part.  Repeated rows are one.  Fewer candidates than k, in the parts probed,
+    no part.  Repeated rows are one.  Only fewer candidates than k in the whole table
     give fewer rows; no usable row gives none.
 
     ``sample`` bounds the rows that the partition is learned from (those of smallest
@@ -204,12 +218,27 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column("v"))
-                ranked = router.ranked(x)[:, :probed] if router else np.zeros((len(x), 1), np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(ranked.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "v", "q", "parts"])
+                part = router.ranked(x)[:, 0] if router else np.zeros(len(x), np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["id", "v", "q", "part"])
+
+    single = rows.groupBy("id", "v").agg(F.max("q").alias("q"))
+    filed = written(single.mapInArrow(file, "id LONG, v ARRAY<DOUBLE>, q BOOLEAN, part INT"), "filed")
+    # ids that each part holds (at most MAX_PARTS numbers); an id of several rows counts in one part
+    held = np.zeros(parts, np.int64)
+    for part, count in filed.groupBy("id").agg(F.min("part").alias("part")).groupBy("part").count().collect():
+        held[part] = count
+
+    def route(batches):
+        router = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("v"))
+                ranked = router.ranked(x) if router else np.zeros((len(x), 1), np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reached(ranked, held, probed, k + 1), pa.list_(pa.int32()))], names=["query_id", "v", "parts"])
 
-    filed = written(rows.distinct().mapInArrow(file, "id LONG, v ARRAY<DOUBLE>, q BOOLEAN, parts ARRAY<INT>"), "filed")
-    asked = filed.filter("q").select(F.col("id").alias("query_id"), "v", F.explode("parts").alias("part"))
-    stored = filed.select("id", "v", F.col("parts")[0].alias("part"))
+    routed = written(filed.filter("q").select(F.col("id").alias("query_id"), "v").mapInArrow(route, "query_id LONG, v ARRAY<DOUBLE>, parts ARRAY<INT>"), "routed")
+    asked = routed.select("query_id", "v", F.explode("parts").alias("part"))
+    stored = filed.select("id", "v", "part")
     # of each part: how many tiles of rows and of queries (at most MAX_PARTS rows, so broadcast)
     tiles = F.broadcast(
         stored.groupBy("part").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("across"))

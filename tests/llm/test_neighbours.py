@@ -68,3 +68,37 @@ def test_tiles_lose_nothing(spark, monkeypatch):
     got = found(neighbours.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0))
     want = brute(rows, range(0, 200, 10))
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_a_tiny_part_is_left_for_further_ones(spark, monkeypatch):
+    router = neighbours.Router.__new__(neighbours.Router)
+    router.mean, router.scale = np.zeros(2), np.ones(2)
+    # part 0 where the first component is above 0.5, else part 1; the others hold nothing
+    router.w = [np.array([[1.0], [0.0]]), np.zeros(1), np.array([[1.0, -1.0, 0, 0, 0, 0, 0, 0]]), np.array([0.0, 1.0, *[-9.0 + k for k in range(6)]])]
+    monkeypatch.setattr(neighbours, "learn", lambda *a: (router, 1))
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.uniform(1, 2, (300, 2)))] + [(1000 + i, [-0.25, 1.0 + i / 8]) for i in range(3)] + [(1000, [-0.25, 5.0])]
+    got = found(neighbours.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") >= 1001))
+    want = brute(rows, [1001, 1002])
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_a_hot_vector_leaves_no_query_short(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 8)) * 20
+    x = np.concatenate([np.tile(centres[0], (400, 1)), np.repeat(centres[1:], 20, axis=0) + rng.standard_normal((780, 8))])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = found(neighbours.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 3 == 0, probes=1))
+    assert set(got) == set(range(0, len(rows), 3)) and {len(v) for v in got.values()} == {10}
+
+
+def test_rows_of_one_id_and_distance_are_one(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0 + s, t]) for s, t in ((2, 0.0), (-2, 0.0), (0, 2.0), (0, -2.0))] * 3 + [(i, [1.0, float(i + 1)]) for i in range(2, 15)]
+    got = found(neighbours.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0))
+    assert got == {0: [(1, 2.0), *[(i, float(i + 1)) for i in range(2, 11)]]}
+
+
+def test_parts_reached():
+    ranked = np.array([[0, 1, 2], [2, 1, 0], [1, 0, 2]])
+    assert [r.tolist() for r in neighbours.reached(ranked, np.array([3, 0, 20]), 1, 4)] == [[0, 1, 2], [2], [1, 0, 2]]
+    assert [r.tolist() for r in neighbours.reached(ranked, np.array([3, 0, 1]), 2, 11)] == [[0, 1, 2], [2, 1, 0], [1, 0, 2]]
