@@ -124,7 +124,10 @@ def features(docs: DataFrame, key: str, text: str, hashes: MinHash) -> DataFrame
 
 
 def full_sets(docs: DataFrame, key: str, text: str, crowded: DataFrame) -> DataFrame:
-    """(node, shingles) for the nodes of ``crowded`` (node, key): one text of each is read again."""
+    """(node, shingles) for the nodes of ``crowded`` (node, key): the texts of these keys are read again, a null key like any other.
+
+    Nodes that share a key with one of ``crowded`` may come as well.
+    """
 
     def run(batches):
         for batch in batches:
@@ -133,7 +136,8 @@ def full_sets(docs: DataFrame, key: str, text: str, crowded: DataFrame) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
         release_memory()
 
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(broadcast_if_small(crowded.select("key").distinct()), "key", "left_semi")
+    keys = broadcast_if_small(crowded.select(F.col("key").alias("_key")).distinct())
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(keys, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
     return texts.mapInArrow(run, "node LONG, shingles BINARY")
 
 

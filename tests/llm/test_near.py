@@ -85,6 +85,15 @@ def test_one_row_of_a_class_under_one_key(spark):
     assert sorted(r["doc_id"] for r in near.drop_near_duplicates(docs).collect()) == [7, 7]
 
 
+def test_near_copies_without_a_key(spark):
+    base, other = words(120), words(90)
+    rows = [(6, " ".join(base)), (None, " ".join([*base, "more"])), (None, " ".join(["more", *base])), (None, " ".join(other)), (None, " ".join(other[1:])), (9, " ".join(words(50)))]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["kept"]) for r in near.near_duplicates(docs).collect())
+    assert got == [(-1, 85, -1, True), (-1, 86, -1, True), (-1, 117, 6, False), (-1, 117, 6, False), (6, 116, 6, True), (9, 46, 9, True)]
+    assert sorted(r["doc_id"] or -1 for r in near.drop_near_duplicates(docs).collect()) == [-1, 6, 9]
+
+
 @pytest.mark.parametrize("edges", [
     [], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 50)], [(k, 99) for k in range(50)],
     [(RNG.randrange(200), RNG.randrange(200)) for _ in range(150)],
