@@ -35,8 +35,8 @@ SHINGLE = 5
 #: A pair is linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BANDS, BAND_ROWS, SEED = 32, 4, 1
-#: Agreeing minima of 128 below which a pair is not looked at further: over five deviations below what the threshold gives.
-LEAST_AGREEING = 68
+#: A pair is not looked at further when so many deviations fewer minima agree than the threshold gives.
+DEVIATIONS = 5.7
 #: Members of a bucket that one later round compares with all others of other components.
 HUBS = 512
 
@@ -88,6 +88,12 @@ class MinHash:
         return out
 
 
+def least_agreeing(minima: int) -> int:
+    """Agreeing minima below which a pair is not looked at further: 68 of 128."""
+    p = PERCENT / 100
+    return max(0, int(minima * p - DEVIATIONS * (minima * p * (1 - p)) ** 0.5))
+
+
 def _node(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -154,7 +160,7 @@ def compare(pairs: DataFrame, cards: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            near = np.flatnonzero((sa == sb).sum(axis=1) >= LEAST_AGREEING)
+            near = np.flatnonzero((sa == sb).sum(axis=1) >= least_agreeing(sa.shape[1]))
             xa, xb = batch.column("xa"), batch.column("xb")
             common, linked = [], []
             for k in near.tolist():

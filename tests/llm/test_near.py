@@ -94,6 +94,15 @@ def test_near_copies_without_a_key(spark):
     assert sorted(r["doc_id"] or -1 for r in near.drop_near_duplicates(docs).collect()) == [-1, 6, 9]
 
 
+def test_fewer_minima(spark):
+    assert [near.least_agreeing(n) for n in (128, 96, 64, 4)] == [68, 47, 28, 0]
+    docs = []
+    for _ in range(5):
+        base = words(120)
+        docs += [" ".join(base), edited(base, 1), edited(base, 1)]
+    check(spark, list(enumerate(docs)), bands=16, rows=4)
+
+
 @pytest.mark.parametrize("edges", [
     [], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 50)], [(k, 99) for k in range(50)],
     [(RNG.randrange(200), RNG.randrange(200)) for _ in range(150)],
