@@ -17,7 +17,7 @@ from mirrorframe.llm.queries import token_digests
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a chief language, go; languages are learned from four fifths of the labelled rows."""
+    """Documents without a letter go, whatever languages the others share; languages are learned from four fifths of the labelled rows."""
     return languages.keep_known(docs, languages.learn(docs, ~languages.held_out()))
 
 

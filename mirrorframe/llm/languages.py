@@ -26,8 +26,8 @@ CELLS = 1 << 15
 SMOOTHING, STEPS, PENALTY = 0.5, 12, 4.0
 #: Bytes of text whose mixtures are inferred together.
 INFERRED_BYTES = 1 << 19
-#: Least share of the chief language of a document that is kept.
-LEAST_SHARE = 0.4
+#: Least share of the chief language of a document that is kept: none, as documents shared by many languages are as clean.
+LEAST_SHARE = 0.0
 UNKNOWN = "und"
 
 
@@ -201,7 +201,25 @@ def held_out(key: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows, as they are, whose text has a letter, as ``predict`` looks for it."""
+    import regex
+
+    def make() -> Callable:
+        letter = regex.compile(r"\p{L}").search
+        return lambda block: [[t is not None and letter(t) is not None for t in block.column(text).to_pylist()]]
+
+    plain, restore = set_aside(docs, text)
+    return restore(append_columns(plain, [T.StructField("lettered", T.BooleanType())], text, make).filter("lettered"))
+
+
 def keep_known(docs: DataFrame, model, text: str = "text", least: float = LEAST_SHARE) -> DataFrame:
-    """The rows, as they are, whose text has a chief language with that share at least."""
+    """The rows, as they are, whose text has a language, and a chief one of that share at least.
+
+    Every text with a letter has one, also where several share it evenly.  When
+    nothing was learned no text can be told apart, and all with a letter stay.
+    """
+    if not model[0]:
+        return with_letters(docs, text)
     plain, restore = set_aside(docs, text)
     return restore(predict(plain, model, text).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))

@@ -36,6 +36,22 @@ def test_nothing_learned(spark):
     assert model[0] == [] and {r["lang_pred"] for r in languages.predict(docs, model).collect()} == {"und"}
 
 
+def test_evenly_shared_documents_stay(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = languages.learn(docs, F.lit(True))
+    one = {r["lang"]: r["t"] for r in docs.groupBy("lang").agg(F.max_by(F.substring("text", 1, 2000), F.length("text")).alias("t")).collect()}
+    shared = spark.createDataFrame([(1, " ".join(one[k][:900] for k in ("de", "en", "es"))), (2, " ".join(one[k][:900] for k in ("de", "en", "es", "fr"))), (3, "4 5")], "doc_id LONG, text STRING")
+    mixes = {r["doc_id"]: (len(r["lang_mix"]), r["score"]) for r in languages.predict(shared, model).collect()}
+    assert mixes[1][0] == 3 and mixes[2][0] == 4 and mixes[1][1] < 0.4 and mixes[2][1] < 0.4
+    assert sorted(r["doc_id"] for r in languages.keep_known(shared, model).collect()) == [1, 2]
+
+
+def test_nothing_learned_keeps_all_with_letters(spark):
+    docs = spark.createDataFrame([(1, "words", 1), (2, "123", 2), (3, None, 3), (4, "é", 4), (5, "", 5)], "doc_id LONG, text STRING, lettered INT")
+    kept = languages.keep_known(docs, ([], np.zeros((0, languages.CELLS), np.float32)))
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["lettered"]) for r in kept.collect()) == [(1, 1), (4, 4)]
+
+
 def test_em_finds_the_proportions():
     rng = np.random.default_rng(2)
     p = rng.dirichlet(np.full(60, 0.2), 3)
