@@ -126,3 +126,64 @@ SELECT source, lang, CASE WHEN source = 'src0' THEN 'words-2' ELSE 'words-1' END
        sum(CASE WHEN source = 'src0' THEN w2 ELSE w1 END)::BIGINT AS n_tokens, sum(n_bytes)::BIGINT AS n_bytes
 FROM counted WHERE w1 >= 50 GROUP BY ALL
 """
+
+
+def _rounds(rounds: int = 10, k: int = 8) -> str:
+    """Every round as two tables: a<r> assigns the vectors to c<r>, and c<r + 1> are the floored means."""
+    kept = """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS x, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)"""
+    first = f"""c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h, x) - 1)::INTEGER AS c, q FROM (
+    SELECT q, x, sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h FROM kept ORDER BY h, x LIMIT {k})
+)"""
+    out = [kept, first]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT rid, c, list_sum(list_transform(range(1, 65), lambda i: (kept.q[i] - c{r}.q[i]) * (kept.q[i] - c{r}.q[i])))::BIGINT AS d FROM kept, c{r}) GROUP BY rid
+)""")
+        if r < rounds:
+            out.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.c AS c, coalesce(m.q, c{r}.q) AS q FROM c{r} LEFT JOIN (
+    SELECT c, list((CASE WHEN s < 0 AND s % n <> 0 THEN s // n - 1 ELSE s // n END)::BIGINT ORDER BY i) AS q
+    FROM (SELECT c, u.i AS i, sum(q[u.i]::HUGEINT) AS s, count(*)::HUGEINT AS n FROM kept JOIN a{r} USING (rid), unnest(range(1, 65)) u(i) GROUP BY ALL) GROUP BY c
+  ) m ON m.c = c{r}.c
+)""")
+    return "WITH " + ", ".join(out)
+
+
+ORACLES["op11_pivot_clusters"] = rf"""
+{_rounds()}
+SELECT vec_id, a10.c AS cluster, a10.d AS distance, (sum(a10.d) OVER (PARTITION BY a10.c))::BIGINT AS cluster_inertia, (sum(a10.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c10.q, ',')) AS centroid_sha256
+FROM kept JOIN a10 USING (rid) JOIN c10 ON c10.c = a10.c
+"""
+
+ORACLES["op13_phrase_mining"] = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?
+-
+]')), '[^ 	]+') AS w
+  FROM documents
+), totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang),
+counts AS MATERIALIZED (
+  SELECT lang, size, array_to_string(w[u.i:u.i + size - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM pieces, unnest(range(1, 6)) s(size), unnest(range(1, len(w) - size + 2)) u(i) GROUP BY ALL HAVING count(*) >= 100
+), candidates AS MATERIALIZED (SELECT lang, size, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE size > 1),
+inner_ones AS (
+  SELECT lang, array_to_string(w[u.i:u.i + m - 1], ' ') AS phrase, max(f) AS longer
+  FROM candidates, unnest(range(2, size)) t(m), unnest(range(1, size - m + 2)) u(i) GROUP BY ALL
+), cuts AS (
+  SELECT c.lang AS lang, c.phrase AS phrase, c.f AS a, t.k AS k, x.f AS l, y.f AS r, n, (1000 * c.f * n) // (x.f * y.f) AS score
+  FROM candidates c JOIN totals USING (lang), unnest(range(1, size)) t(k)
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:t.k], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[t.k + 1:], ' ')
+), best AS (
+  SELECT lang, phrase, a, n, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM cuts GROUP BY ALL
+), ranked AS (
+  SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank
+  FROM best LEFT JOIN inner_ones USING (lang, phrase) WHERE longer IS NULL OR longer < a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm import bpe, languages, near, neighbours, repeats, rollups, secrets, slots, suffixes, urls
+from mirrorframe.llm import bpe, centroids, languages, near, neighbours, phrases, repeats, rollups, secrets, slots, suffixes, urls
 from mirrorframe.llm.frames import named, shared_folder
 
 QUERIES = {}
@@ -170,3 +170,19 @@ def op10_token_rollups(spark, sf):
         rollups.commit(rollups.deletes(short), folder, "short-ones-go")
     rollups.commit(rollups.revisions(old, new), folder, "recount-src0")
     return rollups.read_totals(spark, folder)
+
+
+# -- op11 ------------------------------------------------------------------------------
+
+
+@query
+def op11_pivot_clusters(spark, sf):
+    return centroids.summarize(*centroids.cluster_vectors(read(spark, sf, "embeddings")))
+
+
+# -- op13 ------------------------------------------------------------------------------
+
+
+@query
+def op13_phrase_mining(spark, sf):
+    return phrases.collocations(read(spark, sf, "documents"))
