@@ -161,6 +161,24 @@ SELECT vec_id, a10.c AS cluster, a10.d AS distance, (sum(a10.d) OVER (PARTITION
 FROM kept JOIN a10 USING (rid) JOIN c10 ON c10.c = a10.c
 """
 
+ORACLES["op12_token_groups"] = rf"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM doc_words WHERE len(w) > 0
+), shingles AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM common WHERE 100 * c >= 90 * (na + nb - c) UNION ALL SELECT b, a FROM common WHERE 100 * c >= 90 * (na + nb - c)
+), reach AS (
+  SELECT a AS doc_id, a AS r FROM (SELECT DISTINCT a FROM links) UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.doc_id
+), classes AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM doc_words LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (doc_id)
+"""
+
 ORACLES["op13_phrase_mining"] = rf"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?

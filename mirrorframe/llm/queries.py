@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm import bpe, centroids, languages, near, neighbours, phrases, repeats, rollups, secrets, slots, suffixes, urls
+from mirrorframe.llm import bpe, centroids, groups, languages, near, neighbours, phrases, repeats, rollups, secrets, slots, suffixes, urls
 from mirrorframe.llm.frames import named, shared_folder
 
 QUERIES = {}
@@ -180,6 +180,14 @@ def op11_pivot_clusters(spark, sf):
     return centroids.summarize(*centroids.cluster_vectors(read(spark, sf, "embeddings")))
 
 
+# -- op12 ------------------------------------------------------------------------------
+
+
+@query
+def op12_token_groups(spark, sf):
+    return groups.jaccard_classes(read(spark, sf, "documents"))
+
+
 # -- op13 ------------------------------------------------------------------------------
 
 
