@@ -25,7 +25,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirrorframe.llm.frames import broadcast_if_small, named, release_memory, text_blocks, written
@@ -256,6 +256,12 @@ def frequent_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     return written(counted.join(names, ["a", "b"]).select("lang", "phrase", "size", "n"), "phrases"), 1 if closed else 2
 
 
+def cut_score(a: str, n: str, left: str, right: str) -> Column:
+    """``floor(1000 a n / (left right))``, exactly: the products are decimals of 38 digits."""
+    a, n, left, right = (F.col(c).cast("decimal(19,0)") for c in (a, n, left, right))
+    return F.call_function("div", F.lit(1000) * (a * n), left * right)
+
+
 def collocations(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", threshold: int = THRESHOLD, longest: int = LONGEST,
                  reported: int = REPORTED, sampled: int = SAMPLED, bits: int = PROPOSAL_BITS) -> DataFrame:
     """The ``reported`` phrases of each language that hold together best: (lang, rank, phrase, a, l, r, n, score).
@@ -263,7 +269,7 @@ def collocations(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     Candidates are the frequent phrases of two words or more (see ``frequent_phrases``).  Cutting one into
     a first part and the rest gives ``floor(1000 a n / (l r))``; the lowest of its cuts counts,
     of equal ones the first.  A candidate inside a longer one that is as frequent is
-    dropped.  Equal scores go by ``a``, then by the phrase's bytes.  Products are decimals of 38 digits.
+    dropped.  Equal scores go by ``a``, then by the phrase's bytes.
     """
     phrases, _ = frequent_phrases(docs, key, text, lang, threshold, longest, sampled, bits)
     words = F.split("phrase", " ")
@@ -278,9 +284,7 @@ def collocations(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     for part, count in (("_first", "l"), ("_rest", "r")):
         cuts = cuts.join(parts.select("lang", F.col("phrase").alias(part), F.col("n").alias(count)), ["lang", part])
     totals = broadcast_if_small(phrases.filter("size = 0").select("lang", "n"))
-    whole = [F.col(c).cast("decimal(19,0)") for c in ("a", "n", "l", "r")]
-    score = F.call_function("div", F.lit(1000) * (whole[0] * whole[1]), whole[2] * whole[3])
-    scored = cuts.join(totals, "lang").withColumn("score", score)
+    scored = cuts.join(totals, "lang").withColumn("score", cut_score("a", "n", "l", "r"))
     best = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("_cut"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("_cut.score"), F.desc("a"), "phrase")).cast("long")
     ranked = best.withColumn("rank", rank).filter(F.col("rank") <= reported)
