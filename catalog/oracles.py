@@ -46,7 +46,7 @@ def uniform(seed, *keys):
 # -- shared tables ---------------------------------------------------------------------
 
 PAIR = """
-f AS (SELECT p_partkey AS vec_id, p_size / 50.0::DOUBLE AS f0, p_size / 50.0::DOUBLE + p_retailprice / 2000.0::DOUBLE AS f1 FROM part),
+f AS (SELECT p_partkey AS vec_id, p_size / 50.0::DOUBLE AS f0, p_size / 50.0::DOUBLE + p_retailprice / 100.0::DOUBLE AS f1 FROM part),
 c AS (SELECT avg(f0) AS m0, avg(f1) AS m1, covar_samp(f0, f0) AS a, covar_samp(f0, f1) AS b, covar_samp(f1, f1) AS d, count(*) AS n FROM f),
 r AS (SELECT *, b / sqrt(a * d) AS rho FROM c)"""
 
@@ -369,7 +369,7 @@ ORACLES = {
     "ridge": f"WITH {COV64} SELECT i, j, round(v + CASE WHEN i = j THEN 0.002 ELSE 0 END, 9) + 0.0 AS v FROM cov",
     "ridge_by_kind": " UNION ALL ".join(
         f"SELECT {i} AS i, {j} AS j, round(covar_samp({a}, {b}) + {0.001 if i == j and i < 5 else 0.0}, 7) + 0.0 AS v FROM lineitem" for i, a in enumerate(_ENCODED) for j, b in enumerate(_ENCODED)),
-    "ridge_if_not_psd": f"WITH {PAIR.strip()}, x AS (SELECT a - 0.02 AS a, b, d - 0.02 AS d FROM c), y AS (SELECT *, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS low FROM x), w AS (SELECT CASE WHEN low < 0 THEN a + 0.5 ELSE a END AS a, b, CASE WHEN low < 0 THEN d + 0.5 ELSE d END AS d FROM y) " + _cells("w"),
+    "ridge_if_not_psd": f"WITH {PAIR.strip()}, x AS (SELECT a - 0.05 AS a, b, d - 0.05 AS d FROM c), y AS (SELECT *, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS low FROM x), w AS (SELECT CASE WHEN low < 0 THEN a + 0.5 ELSE a END AS a, b, CASE WHEN low < 0 THEN d + 0.5 ELSE d END AS d FROM y) " + _cells("w"),
     "mcd_fixed_steps": _mcd_sql(2),
     "mcd_sign_start": _mcd_sign_sql(6),
     "tyler_fixed_steps": _tyler_sql(3),
@@ -389,7 +389,9 @@ ORACLES = {
     "target_correlation_pairs": f"WITH RECURSIVE {PAIRS_S.strip()} SELECT i::INTEGER AS i, round(target, 7) + 0.0 AS v FROM s",
     "correlation_summary_pairs": f"WITH RECURSIVE {PAIRS_S.strip()}, kd AS (SELECT *, CASE WHEN i < 20 THEN 'cat' ELSE 'cont' END AS kind FROM s) SELECT coalesce(kind, 'all') AS kind, round(avg(target), 7) AS mean_corr, count(*) AS n_features FROM kd GROUP BY ROLLUP (kind)",
     "knockoff_plan_pairs": f"WITH RECURSIVE {PAIRS_PLAN.strip()} SELECT i::INTEGER AS i, j::INTEGER AS j, round(p, 6) + 0.0 AS p, round(v, 6) + 0.0 AS v FROM pr JOIN vv USING (i, j)",
-    "generate_knockoffs_pairs": f"WITH RECURSIVE {PAIRS_COPIES.strip()} SELECT vec_id, i::INTEGER AS i, round(xk, 5) + 0.0 AS v FROM k",
+    "generate_knockoffs_pairs": f"""WITH RECURSIVE {PAIRS_COPIES.strip()}
+SELECT a.i::INTEGER AS i, round(avg(a.xk), 6) + 0.0 AS mean, round(avg(a.xk * a.xk), 6) AS second, round(avg(a.x * a.xk), 6) + 0.0 AS original, round(avg(a.xk * coalesce(b.xk, 0.0)), 6) + 0.0 AS neighbour
+FROM k a LEFT JOIN k b ON b.vec_id = a.vec_id AND b.i = a.i + 1 GROUP BY a.i""",
     "second_order_gap_pairs": f"""WITH RECURSIVE {PAIRS_COPIES.strip()},
 mg AS (SELECT sqrt(sum(d * d)) AS mean_gap FROM (SELECT avg(x) - avg(xk) AS d FROM k GROUP BY i)),
 cc AS MATERIALIZED (SELECT a.i AS i, b.i AS j, covar_samp(a.x, b.x) AS xx, covar_samp(a.xk, b.xk) AS kk, covar_samp(a.x, b.xk) AS xk FROM k a JOIN k b USING (vec_id) GROUP BY ALL)

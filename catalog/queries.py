@@ -42,7 +42,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def two_features(spark, sf):
     """Two correlated features from both numbers of every part; everything about them has a closed form."""
-    size, price = F.col("p_size") / 50.0, F.col("p_retailprice") / 2000.0
+    size, price = F.col("p_size") / 50.0, F.col("p_retailprice") / 100.0
     return read(spark, sf, "part").select(F.col("p_partkey").alias("vec_id"), size.alias("f0"), (size + price).alias("f1"))
 
 
@@ -321,7 +321,7 @@ def ridge_by_kind(spark, sf):
 def ridge_if_not_psd(spark, sf):
     # taking more than the smallest variance off the diagonal makes the matrix indefinite
     df = two_features(spark, sf)
-    indefinite = moments.ridge(moments.covariance(df, ["f0", "f1"]), -0.02)
+    indefinite = moments.ridge(moments.covariance(df, ["f0", "f1"]), -0.05)
     return rounded(moments.ridge_if_not_psd(indefinite, 0.5), 9, "v")
 
 
@@ -512,8 +512,14 @@ def knockoff_plan_pairs(spark, sf):
 
 @query
 def generate_knockoffs_pairs(spark, sf):
-    copies = _paired_copies(spark, sf)[1]
-    return rounded(copies.select("vec_id", F.posexplode("xk").alias("i", "v")), 5, "v")
+    """Moments of every copied feature, with its original and with the next one's copy; the copies one by one are compared in tests/test_copies.py."""
+    return rounded(copy_moments(_paired_copies(spark, sf)[1]), 6, "mean", "second", "original", "neighbour")
+
+
+def copy_moments(copies):
+    cells = copies.select(F.posexplode(F.arrays_zip("x", "xk", F.slice("xk", 2, 64).alias("next"))).alias("i", "c"))
+    x, xk, after = F.col("c.x"), F.col("c.xk"), F.coalesce("c.next", F.lit(0.0))
+    return cells.groupBy("i").agg(F.avg(xk).alias("mean"), F.avg(xk * xk).alias("second"), F.avg(x * xk).alias("original"), F.avg(xk * after).alias("neighbour"))
 
 
 @query
