@@ -288,16 +288,20 @@ def _short(c):
     return f"regexp_replace(CAST(round_even({c}, 4)::DECIMAL(20,4) AS VARCHAR), '(\\.\\d*?[1-9]|\\.0)0*$', '\\1')"
 
 
-_RUN_PARAMS = f"""WITH {HIGH.strip()},
+def _run_params(model, t_df, test_n, first_id):
+    return f"""WITH {HIGH.strip()},
 hr AS (SELECT *, least(1.0, 2 * (1 - abs(b / sqrt(a * d)) - 0.001)) AS sc FROM hc),
-gr AS (SELECT (li * 5 + di)::INTEGER AS run_id,
+gr AS (SELECT (li * 5 + di + {first_id})::INTEGER AS run_id,
          CASE WHEN li = 4 THEN 0.001 ELSE 0.01 + li * ((0.001::DOUBLE - 0.01::DOUBLE) / 4) END AS lam,
          CASE WHEN di = 4 THEN 0.001 ELSE 0.01 + di * ((0.001::DOUBLE - 0.01::DOUBLE) / 4) END AS del
        FROM range(5) x(li), range(5) y(di))
-SELECT run_id, 'mstudent_' || {_short('lam')} || '_' || {_short('del')} AS run_label, 'mstudent' AS model,
-  round(lam, 7) AS lambda, round(del, 7) AS delta, 1.0::DOUBLE AS gamma, 10 AS t_df, 200 AS test_n, 2 AS p, n, n // 2 AS batch_size,
+SELECT run_id, '{model}_' || {_short('lam')} || '_' || {_short('del')} AS run_label, '{model}' AS model,
+  round(lam, 7) AS lambda, round(del, 7) AS delta, 1.0::DOUBLE AS gamma, {t_df} AS t_df, {test_n} AS test_n, 2 AS p, n, n // 2 AS batch_size,
   20 AS dim_h, round(1 - sc, 7) AS target_first, 8 AS n_alphas FROM gr, hr"""
 
+
+_RUN_PARAMS = _run_params("mstudent", "10", "200", 0)
+
 _LINE_SCORE = "0.0 + l_quantity * 0.1::DOUBLE + l_discount * (-20.0)::DOUBLE + l_tax * (-25.0)::DOUBLE"
 
 _LINES4 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -431,6 +435,18 @@ SELECT round(avg(2 * {_kernel('same')} - 2 * {_kernel('fully')}), 6) + 0.0 AS fu
         for c in ("l_quantity", "l_extendedprice")),
     "run_params": _RUN_PARAMS,
     "write_run_params": _RUN_PARAMS,
+    "accumulate_run_params": f"SELECT * FROM ({_RUN_PARAMS}) UNION ALL SELECT * FROM ({_run_params('gaussian', 'NULL::INTEGER', '150', 25)})",
+    "sweep_dimension": f"""WITH {CORR64},
+gr AS (SELECT (li * 2 + di) AS g, CASE WHEN li = 1 THEN 0.001 ELSE 0.01 END::DOUBLE AS lam, CASE WHEN di = 1 THEN 0.001 ELSE 0.01 END::DOUBLE AS del FROM range(2) x(li), range(2) y(di)),
+ps AS (SELECT k, p::INTEGER AS p, (SELECT max(abs(v - (i = j)::INTEGER)) FROM corr WHERE i < p AND j < p) AS m FROM (VALUES (0, 2), (1, 16), (2, 64)) t(k, p))
+SELECT (g * 3 + k)::INTEGER AS run_id, lam AS lambda, del AS delta, p, round(m, 8) AS max_offdiag FROM gr, ps""",
+    "read_csv_features": f"""WITH t AS (SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::BIGINT AS row_id, p_partkey, p_size, p_retailprice, count(*) OVER () AS n FROM part),
+rk AS (SELECT *, row_number() OVER (ORDER BY {uniform(SEED, 'row_id')}, row_id) AS rn FROM t)
+SELECT row_id, p_partkey, p_size, p_retailprice, rn <= round_even(0.8 * n, 0) AS is_train FROM rk""",
+    "read_feature_lists": """WITH c AS (SELECT DISTINCT 0 AS chunk_id, 'p_brand' AS factor, p_brand AS v FROM part UNION SELECT DISTINCT 1, 'p_type', p_type FROM part),
+r AS (SELECT *, row_number() OVER (ORDER BY chunk_id, v) + 1 AS pos, row_number() OVER (PARTITION BY chunk_id ORDER BY v) - 1 AS level FROM c)
+SELECT pos::INTEGER AS pos, factor || '_' || v AS feature, 'cat' AS kind, chunk_id::INTEGER AS chunk_id, level::VARCHAR AS category, CASE WHEN factor = 'p_brand' THEN 2 END AS group_id FROM r
+UNION ALL SELECT 0, 'p_size', 'cont', NULL, NULL, 1 UNION ALL SELECT 1, 'p_retailprice', 'cont', NULL, NULL, NULL""",
     "two_part_plan": "WITH t AS (SELECT (l_extendedprice >= 30000)::INTEGER::DOUBLE AS mid, (l_extendedprice >= 60000)::INTEGER::DOUBLE AS top, l_extendedprice AS gross, l_extendedprice * (1.0::DOUBLE - 3.0::DOUBLE * l_discount) AS net FROM lineitem) "
     + _equi_part("discrete", ("mid", "top"), "mid", "top", 0.0001) + " UNION ALL " + _equi_part("continuous", ("gross", "net"), "gross", "net", 0.0001),
     "estimator_sweep": f"WITH {PAIR.strip()}, gr AS (SELECT * FROM (VALUES (0, 0.0), (1, 0.001), (2, 0.01)) x(run_id, reg)) SELECT run_id, i, round(1 - least(1.0, 2 * (1 - abs(b / sqrt((a + reg) * (d + reg)))) - 0.001), 5) AS v FROM c, gr, (VALUES (0), (1)) y(i)",

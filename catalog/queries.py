@@ -78,6 +78,40 @@ def read_features(spark, sf):
     return tables.read_features(spark, f"{sf}/part.parquet", id_col="p_partkey", columns=["p_size", "p_retailprice"])
 
 
+@query
+def read_csv_features(spark, sf):
+    """A CSV without a key is numbered by place; a saved training index finds its rows again in a second reading."""
+    path = tables.shared_folder(spark, "features") + ".csv"
+    part = read(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    part.orderBy("p_partkey").write.option("header", True).csv(path)
+    schema = "p_partkey LONG, p_size INT, p_retailprice DOUBLE"
+    index = tables.shared_folder(spark, "train-index")
+    tables.write_train_index(sample.sample_exact(tables.read_features(spark, path, schema), 0.8, "row_id", SEED), index)
+    train = spark.read.parquet(index).withColumn("is_train", F.lit(True))
+    again = tables.read_features(spark, path, schema).join(train, "row_id", "left")
+    return again.withColumn("is_train", F.coalesce("is_train", F.lit(False)))
+
+
+@query
+def read_feature_lists(spark, sf):
+    """The side lists of a table of two factors and two numbers, written, read again and made into the catalog."""
+    part = read(spark, sf, "part")
+    categories, cont = encode.category_table(part, ["p_brand", "p_type"], max_categories=1000), ["p_size", "p_retailprice"]
+    lists = {
+        "factors": ("variable STRING", list(categories)), "chunks": ("X1 INT", [len(v) for v in categories.values()]),
+        # positions in the files start at 1
+        "index": ("X1 INT", [f.pos + 1 for f in encode.derive_catalog(categories, cont, cat_first=False) if f.kind == "cat"]), "cont": ("variable STRING", cont),
+    }
+    folder = tables.shared_folder(spark, "feature-lists")
+    paths = {name: f"{folder}/{name}.csv" for name in [*lists, "groups"]}
+    for name, (schema, values) in lists.items():
+        spark.createDataFrame([(v,) for v in values], schema).coalesce(1).write.option("header", True).csv(paths[name])
+    spark.createDataFrame([("p_size", 1), ("p_brand", 2)], "var_names STRING, groups INT").coalesce(1).write.option("header", True).csv(paths["groups"])
+    names = cont + [f"{c}_{v}" for c, values in categories.items() for v in values]
+    catalog = tables.read_feature_lists(spark, paths["factors"], paths["chunks"], paths["index"], paths["cont"], groups=paths["groups"], columns=names)
+    return encode.catalog_table(spark, catalog)
+
+
 @query
 def write_train_index(spark, sf):
     orders = tables.read_features(spark, f"{sf}/orders.parquet", id_col="o_orderkey", columns=["o_totalprice"])
@@ -710,11 +744,11 @@ def feature_histogram_array(spark, sf):
 # -- runs ---------------------------------------------------------------------------------------------------
 
 
-def _params(spark, sf):
+def _params(spark, sf, model="mstudent", first_id=0):
     df = price_pair(spark, sf)
     cov = moments.covariance(df, ["l_extendedprice", "high"])
     target = geometry.target_correlation(cov, geometry.s_equi(cov))
-    grid = runs.param_grid(spark, (0.01, 0.001, 5), (0.01, 0.001, 5)).withColumn("model", F.lit("mstudent"))
+    grid = runs.param_grid(spark, (0.01, 0.001, 5), (0.01, 0.001, 5)).withColumn("model", F.lit(model)).withColumn("run_id", F.col("run_id") + first_id)
     grid = runs.run_label(runs.override_params(runs.lookup_params(grid)))
     return runs.assemble_run_config(df, grid, target, chunk_list=[2], cat_var_idx=[0, 1])
 
@@ -739,6 +773,29 @@ def write_run_params(spark, sf):
     return _flat_params(spark.read.schema(params.schema).json(path))
 
 
+@query
+def accumulate_run_params(spark, sf):
+    """Records of two models, written one after the other, and the first once more: all stay, none comes twice."""
+    first, second = _params(spark, sf), _params(spark, sf, "gaussian", 25)
+    path = tables.shared_folder(spark, "run-params")
+    for params in (first, second, first):
+        tables.write_run_params(params, path)
+    return _flat_params(spark.read.schema(first.schema).json(path))
+
+
+@query
+def sweep_dimension(spark, sf):
+    """Runs over the first p features, for several p: equal s and mean target of each."""
+    cov = moments.covariance(read(spark, sf, "embeddings"), "embedding")
+    grid = runs.sweep_dimension(runs.param_grid(spark, (0.01, 0.001, 2), (0.01, 0.001, 2)), [2, 16, 64])
+    means = {}
+    for p in (2, 16, 64):
+        own = cov.where((F.col("i") < p) & (F.col("j") < p))
+        means[p] = grouping.max_offdiag(moments.cov_to_corr(own)).withColumn("p", F.lit(p))
+    facts = means[2].unionByName(means[16]).unionByName(means[64])
+    return rounded(grid.join(F.broadcast(facts), "p"), 8, "lambda", "delta", "max_offdiag")
+
+
 @query
 def two_part_plan(spark, sf):
     """Two indicators and two continuous features, so both parts have a closed form."""

@@ -87,6 +87,8 @@ def local_s(sigma: np.ndarray, method: str, block_size: int, tol: float, reg: fl
         return np.full(len(corr), min(1.0, max(0.0, 2.0 * (smallmat.lambda_min(corr) - tol))))
     if method == "sdp":
         return smallmat.max_sum_s(smallmat.correlation(_ridged(sigma, reg)), tol)
+    if method not in ("asdp", "cluster"):
+        raise ValueError(f"unknown method: {method}")
     block = _blocks(sigma, block_size, "cluster" if method == "cluster" else "selfblocks")
     s = np.empty(len(corr))
     for b in np.unique(block):

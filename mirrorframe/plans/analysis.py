@@ -16,6 +16,7 @@ from mirrorframe.functions.vectors import Features
 from mirrorframe.operators import geometry, moments, robust
 
 BLOCK_SIZE = 50
+METHODS = ("equi", "sdp", "asdp", "cluster")
 
 
 @dataclass(frozen=True)
@@ -128,17 +129,28 @@ def estimator_sweep(df: DataFrame, features: Features, grid: Sequence[tuple[int,
 
     Each estimator is fitted once for the whole grid.  The grid alone is then
     distributed, one run per task; the p x p matrices travel with the function.
+    Features without variance are left out, as in ``second_order``; the others keep their
+    positions.  Run ids that occur twice, and a method that isn't known, are errors.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown method: {method}")
     spark = df.sparkSession
     if not isinstance(grid, DataFrame):
         grid = spark.createDataFrame(list(grid), "run_id INT, robust_cov BOOLEAN, reg_val DOUBLE")
-    flags = sorted(r["robust_cov"] for r in grid.select("robust_cov").distinct().collect())
-    sigmas = {flag: estimate(df, features, "mcd" if flag else "plain")[2] for flag in flags}
+    facts = grid.groupBy("robust_cov").agg(F.count("*").alias("n")).collect()
+    ids = grid.select("run_id").distinct().count()
+    if ids < sum(r["n"] for r in facts):
+        raise ValueError("a run_id occurs more than once")
+    sigmas = {r["robust_cov"]: estimate(df, features, "mcd" if r["robust_cov"] else "plain")[2] for r in facts}
+    varies = np.flatnonzero(np.all([np.diag(s) > 0 for s in sigmas.values()], axis=0)) if sigmas else np.zeros(0, int)
+    constant = sorted(set(range(len(next(iter(sigmas.values()), [])))) - set(varies.tolist()))
+    if constant:
+        warnings.warn(f"features without variance are left out: positions {constant}", stacklevel=2)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sigma = sigmas[bool(pdf["robust_cov"].iloc[0])]
+        sigma = sigmas[bool(pdf["robust_cov"].iloc[0])][np.ix_(varies, varies)]
         sigma = sigma + float(pdf["reg_val"].iloc[0]) * np.eye(sigma.shape[0])
         s = geometry.local_s(sigma, method, block_size, tol)
-        return pd.DataFrame({"run_id": int(pdf["run_id"].iloc[0]), "i": np.arange(s.size, dtype=np.int32), "v": 1.0 - s})
+        return pd.DataFrame({"run_id": int(pdf["run_id"].iloc[0]), "i": varies.astype(np.int32), "v": 1.0 - s})
 
     return grid.groupBy("run_id").applyInPandas(run, "run_id INT, i INT, v DOUBLE")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mirrorframe.operators.encode import Feature
 
@@ -15,9 +19,9 @@ def read_features(spark: SparkSession, path: str, schema: str | None = None, id_
     """A wide feature table from CSV (with header) or Parquet, with a ``row_id``.
 
     ``id_col`` names an existing unique key.  Without one, the id of a Parquet row is
-    a hash of its file's path and its position there: the same whatever the split size or the order of
-    the files.  A CSV row has no such position, so CSV needs ``id_col``.  Give
-    ``schema`` for large CSV files, since inferring it reads them once more.
+    a hash of its file's path and its position there, and that of a CSV row its number
+    over all files (see ``number_rows``): the same whatever the split size.  Give ``schema``
+    for large CSV files, since inferring it reads them once more.
     """
     if fmt is None:
         fmt = "csv" if path.rstrip("/").endswith((".csv", ".csv.gz")) else "parquet"
@@ -27,13 +31,54 @@ def read_features(spark: SparkSession, path: str, schema: str | None = None, id_
     else:
         reader = spark.read.format(fmt)
         df = (reader.schema(schema) if schema else reader).load(path)
+    features = [c for c in (columns or df.columns) if c != id_col]
+    if id_col is None and fmt == "csv":
+        return number_rows(df, features)
     if id_col is None and fmt != "parquet":
-        raise ValueError("only Parquet rows can be told apart by their place; name an id_col")
+        raise ValueError("only rows of Parquet and CSV can be told apart by their place; name an id_col")
     row_id = F.xxhash64("_metadata.file_path", "_metadata.row_index") if id_col is None else F.col(id_col)
-    features = [c for c in (columns or df.columns) if c != id_col]
     return df.select(row_id.alias("row_id"), *features)
 
 
+def number_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(row_id, *columns)`` of a table of text files: rows are numbered from 0 in each file's order, files by their path.
+
+    A first pass counts the rows of every split; these counts, a number for each split
+    that the driver plans anyway, say where the rows of a split begin.  In the second
+    pass a task numbers the rows of its splits as they come.  A split is known by its
+    file and its first byte, so the numbers hold for any split size and any grouping of
+    splits into tasks, and a task that runs again gives the same ones.  Adding files
+    whose path sorts last leaves the numbers of the others as they are.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    splits = sorted((r["_file"], r["_start"], r["count"]) for r in df.select(*place).groupBy("_file", "_start").count().collect())
+    begins, at = {}, 0
+    for file, start, n in splits:
+        begins[file, start] = at
+        at += n
+    rows = df.select(*place, *[F.col(f"`{c}`") for c in columns]).toDF("_file", "_start", *[f"c{k}" for k in range(len(columns))])
+    out = T.StructType([T.StructField("row_id", T.LongType()), *rows.schema.fields[2:]])
+
+    def number(batches):
+        split, used = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, starts = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            codes = files.indices.to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero((codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])) + 1, [len(codes)]])
+            ids = np.empty(len(codes), np.int64)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                here = files.dictionary[int(codes[a])].as_py(), int(starts[a])
+                if here != split:
+                    split, used = here, 0
+                ids[a:b] = np.arange(begins[here] + used, begins[here] + used + b - a)
+                used += b - a
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *batch.columns[2:]], names=out.names)
+
+    return rows.mapInArrow(number, out).toDF("row_id", *columns)
+
+
 def _read_list(spark, path, schema):
     """A one-column CSV in file order; these lists have one row per feature."""
     df = spark.read.option("header", True).schema(schema).csv(path).coalesce(1)
@@ -82,9 +127,23 @@ def write_train_index(train: DataFrame, path: str, key: str = "row_id", fmt: str
     train.select(key).write.mode("overwrite").format(fmt).save(path)
 
 
-def write_run_params(params: DataFrame, path: str, fmt: str = "json") -> None:
-    """Persist one parameter record per run, partitioned by run label."""
-    params.write.mode("overwrite").partitionBy("run_label").format(fmt).save(path)
+def write_run_params(params: DataFrame, path: str, fmt: str = "json", replace: bool = False) -> None:
+    """Add one parameter record for each run, in a folder of its own below ``path``; records of earlier calls stay.
+
+    A run whose folder is there is complete, since a folder only takes its place
+    when all its files are written: it is left as it is, so a repeated call changes
+    nothing, or with ``replace`` written anew.  Other runs' folders are never touched.
+    """
+    spark = params.sparkSession
+    if not replace:
+        try:
+            done = spark.read.format(fmt).schema(params.schema).load(path).select("run_label").distinct()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            params = params.join(F.broadcast(done), "run_label", "left_anti")  # one short row for each run
+    params.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_label").format(fmt).save(path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -110,3 +110,21 @@ def test_string_keys(spark):
     a = {r["k"]: r["xk"] for r in generate.generate_knockoffs(df, ["a", "b"], plan, "k").collect()}
     b = {r["k"]: r["xk"] for r in generate.generate_knockoffs(df.repartition(7), ["a", "b"], plan, "k").collect()}
     assert a == b
+
+
+def test_sweep_leaves_out_constants_and_refuses_what_it_cannot_tell_apart(vectors, rng):
+    x = np.column_stack([rng.normal(size=300), np.full(300, 2.0), rng.normal(size=300)])
+    x[:, 2] += 0.5 * x[:, 0]
+    df = vectors(x)
+    with pytest.warns(UserWarning, match="positions \\[1\\]"):
+        swept = analysis.estimator_sweep(df, "x", [(0, False, 0.0), (1, False, 0.1)], method="sdp").orderBy("run_id", "i").collect()
+    with pytest.warns(UserWarning, match="positions \\[1\\]"):
+        alone = analysis.second_order(df, "x", method="sdp").target_corr.orderBy("i").collect()
+    assert [(r["run_id"], r["i"]) for r in swept] == [(0, 0), (0, 2), (1, 0), (1, 2)]
+    assert np.allclose([r["v"] for r in swept[:2]], [r["v"] for r in alone], atol=1e-6)
+    with pytest.raises(ValueError, match="more than once"):
+        analysis.estimator_sweep(df, "x", [(0, False, 0.0), (0, False, 0.1)], method="sdp")
+    with pytest.raises(ValueError, match="unknown method"):
+        analysis.estimator_sweep(df, "x", [(0, False, 0.0)], method="spd")
+    with pytest.raises(ValueError, match="unknown method"):
+        geometry.local_s(np.eye(2), "selfblocks", 1, 1e-3)

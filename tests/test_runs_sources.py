@@ -41,7 +41,7 @@ def test_inconsistent_lists(spark, tmp_path):
 def test_csv_features_and_train_index(spark, tmp_path):
     path = _csv(tmp_path, "t.csv", "id,a,b,Y,W", [f"{k},{k},{k * 2.5},0,1" for k in range(30)])
     with pytest.raises(ValueError, match="id_col"):
-        tables.read_features(spark, path)
+        tables.read_features(spark, path, "value STRING", fmt="text")
     for schema in (None, "id LONG, a DOUBLE, b DOUBLE, Y INT, W INT"):
         df = tables.read_features(spark, path, schema, id_col="id")
         assert df.columns == ["row_id", "a", "b", "Y", "W"]
@@ -100,3 +100,60 @@ def test_parquet_ids_survive_another_split_size(spark, tmp_path):
         assert {r["row_id"]: r["a"] for r in tables.read_features(spark, path).collect()} == before
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def _with_split_size(spark, size, work):
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        return work()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+def test_csv_rows_are_numbered_by_place(spark, tmp_path):
+    """The same numbers under four split sizes, over files of different lengths, with blank lines and an empty file; the order is that of the files."""
+    folder = tmp_path / "t.csv"
+    folder.mkdir()
+    lines = iter(range(3000))
+    for name, n in (("a.csv", 1700), ("b.csv", 0), ("c.csv", 1), ("d.csv", 1299)):
+        rows = [f"{k},{k / 8}" for k in (next(lines) for _ in range(n))]
+        (folder / name).write_text("k,x\n" + "\n\n".join(rows[:3]) + ("\n" if rows else "") + "".join(r + "\n" for r in rows[3:]))
+    def read():
+        df = tables.read_features(spark, str(folder), "k LONG, x DOUBLE")
+        return df.rdd.getNumPartitions(), sorted(map(tuple, df.collect()))
+    partitions = set()
+    for size in ("700", "2500", "9000", "128m"):
+        parts, rows = _with_split_size(spark, size, read)
+        partitions.add(parts)
+        assert rows == [(k, k, k / 8) for k in range(3000)]
+    assert len(partitions) > 2
+
+
+def test_a_saved_index_finds_its_rows_again(spark, tmp_path):
+    path = _csv(tmp_path, "t.csv", "a,b.c,Y,W", [f"{k * 3},{k * 2.5},0,1" for k in range(500)])
+    schema = "a LONG, `b.c` DOUBLE, Y INT, W INT"
+    out = str(tmp_path / "train")
+    df = tables.read_features(spark, path, schema)
+    assert df.columns == ["row_id", "a", "b.c", "Y", "W"]
+    tables.write_train_index(sample.sample_exact(df, 0.8, "row_id"), out)
+    want = {r["a"] for r in sample.sample_exact(df, 0.8, "row_id").collect()}
+    again = _with_split_size(spark, "600", lambda: {r["a"] for r in tables.read_features(spark, path, schema).join(spark.read.parquet(out), "row_id").collect()})
+    assert again == want and len(want) == 400
+
+
+def test_run_records_accumulate(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    def record(label, value):
+        return spark.createDataFrame([(label, value)], "run_label STRING, value INT")
+    def stored():
+        return sorted((r["run_label"], r["value"]) for r in spark.read.schema("run_label STRING, value INT").json(path).collect())
+    tables.write_run_params(record("a", 1), path)
+    tables.write_run_params(record("b", 2), path)
+    assert stored() == [("a", 1), ("b", 2)]
+    tables.write_run_params(record("a", 3).unionByName(record("c", 4)), path)  # a is complete
+    assert stored() == [("a", 1), ("b", 2), ("c", 4)]
+    tables.write_run_params(record("a", 3), path, replace=True)
+    assert stored() == [("a", 3), ("b", 2), ("c", 4)]
