@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from mirrorframe.functions.vectors import matrices
 
 CELLS = 256
+#: Rows of state that the driver reads of one aggregate, at most.
+DRIVER_STATES = 64
 Values = Callable[[np.ndarray], np.ndarray]
 
 
@@ -26,70 +28,103 @@ def to_merge_tasks(partials: DataFrame) -> DataFrame:
     return partials.withColumn("part", F.spark_partition_id()).repartition("part").drop("part")
 
 
-def _cell_table(blocks: DataFrame, values: Values, low: np.ndarray, high: np.ndarray, cells: int):
-    """Counts, minima and maxima of the cells below, within and above [low, high] for each column."""
+def merge_in_levels(partials: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Merge the states of all tasks in two levels: as widely as Spark shuffles, then to a few for the driver."""
+    first = merge(to_merge_tasks(partials))
+    return merge(first.withColumn("part", F.spark_partition_id() % DRIVER_STATES).repartition("part").drop("part"))
+
+
+def _count_cells(v: np.ndarray, low: np.ndarray, high: np.ndarray, cells: int):
+    """Numbers, minima and maxima of the cells below, within and above [low, high] of each column, all columns at once."""
     q = len(low)
     step = np.where(high > low, (high - low) / cells, 1.0)
+    n, a, b = np.zeros((q, cells + 2), np.int64), np.full((q, cells + 2), np.inf), np.full((q, cells + 2), -np.inf)
+    s = np.sort(v, axis=0).T
+    at = np.clip(np.floor((s - low[:, None]) / step[:, None]), -1, cells).astype(np.int64) + 1
+    at = np.where((s >= low[:, None]) & (s <= high[:, None]), np.clip(at, 1, cells), at)
+    key, flat = (at + np.arange(q)[:, None] * (cells + 2)).ravel(), np.ascontiguousarray(s).ravel()
+    if len(key):
+        first = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        last = np.append(first[1:], len(key)) - 1
+        n.ravel()[key[first]], a.ravel()[key[first]], b.ravel()[key[first]] = last - first + 1, flat[first], flat[last]
+    return n, a, b
+
+
+def _cell_table(blocks: DataFrame, values: Values, low: np.ndarray, high: np.ndarray, cells: int):
+    """The cells of all rows for each column of ``values(x)``."""
+    q = len(low)
+
+    def empty():
+        return np.zeros((q, cells + 2), np.int64), np.full((q, cells + 2), np.inf), np.full((q, cells + 2), -np.inf)
+
+    def add(x, y):
+        return x[0] + y[0], np.minimum(x[1], y[1]), np.maximum(x[2], y[2])
+
+    def packed(state):
+        return pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()) for t in state], names=["n", "a", "b"])
 
     def fold(batches):
-        n, a, b = np.zeros((q, cells + 2), np.int64), np.full((q, cells + 2), np.inf), np.full((q, cells + 2), -np.inf)
+        state = empty()
         for batch in batches:
             for x in matrices(batch):
-                v = values(x)
-                for j in range(q):
-                    c = v[:, j]
-                    at = np.clip(np.floor((c - low[j]) / step[j]), -1, cells).astype(np.int64) + 1
-                    at[(c >= low[j]) & (c <= high[j])] = np.clip(at[(c >= low[j]) & (c <= high[j])], 1, cells)
-                    n[j] += np.bincount(at, minlength=cells + 2)
-                    np.minimum.at(a[j], at, c)
-                    np.maximum.at(b[j], at, c)
-        yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()) for t in (n, a, b)], names=["n", "a", "b"])
-
-    def table(row, name, kind):
-        return np.frombuffer(row[name], kind).reshape(q, cells + 2)
+                state = add(state, _count_cells(values(x), low, high, cells))
+        yield packed(state)
 
     def join(rows):
-        n, a, b = np.zeros((q, cells + 2), np.int64), np.full((q, cells + 2), np.inf), np.full((q, cells + 2), -np.inf)
+        state = empty()
         for row in rows:
-            n, a, b = n + table(row, "n", np.int64), np.minimum(a, table(row, "a", float)), np.maximum(b, table(row, "b", float))
-        return n, a, b
+            state = add(state, [np.frombuffer(row[c], t).reshape(q, cells + 2) for c, t in (("n", np.int64), ("a", float), ("b", float))])
+        return state
 
     def merge(batches):
-        rows = [row for batch in batches for row in batch.to_pylist()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()) for t in join(rows)], names=["n", "a", "b"])
+        state = None
+        for batch in batches:
+            state = join(batch.to_pylist()) if state is None else add(state, join(batch.to_pylist()))
+        if state is not None:
+            yield packed(state)
 
     ddl = "n BINARY, a BINARY, b BINARY"
-    return join(to_merge_tasks(blocks.mapInArrow(fold, ddl)).mapInArrow(merge, ddl).collect())
+    return join(merge_in_levels(blocks.mapInArrow(fold, ddl), lambda df: df.mapInArrow(merge, ddl)).collect())
 
 
-def exact_ranks(blocks: DataFrame, values: Values, ranks, low, high, cells: int = CELLS) -> np.ndarray:
-    """The value at a 0-based rank of each column of ``values(x)``; ``low`` and ``high`` guess where it is."""
-    ranks, low, high = (np.asarray(v, t).copy() for v, t in ((ranks, np.int64), (low, float), (high, float)))
-    out, todo = np.empty(len(ranks)), np.arange(len(ranks))
+def _rank_pairs(blocks: DataFrame, values: Values, first, last, low, high, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """The values at two equal or neighbouring 0-based ranks of each column of ``values(x)``; ``low`` and ``high`` guess where they are.
+
+    Both are in one cell, which is looked at again, or they are the last value of a cell
+    and the first of the next one, which are known.
+    """
+    first, last, low, high = (np.asarray(v, t).copy() for v, t in ((first, np.int64), (last, np.int64), (low, float), (high, float)))
+    left, right, todo = np.empty(len(first)), np.empty(len(first)), np.arange(len(first))
     while todo.size:
         at = todo
         n, a, b = _cell_table(blocks, lambda x: values(x)[:, at], low[at], high[at], cells)
-        left = []
+        again = []
         for k, j in enumerate(at):
-            cell = int(np.searchsorted(np.cumsum(n[k]), ranks[j], side="right"))
-            if cell > cells + 1:
-                raise ValueError(f"rank {ranks[j]} of {int(n[k].sum())} values")
-            low[j], high[j] = a[k, cell], b[k, cell]
-            out[j] = low[j]
+            passed = np.cumsum(n[k])
+            c, d = (int(np.searchsorted(passed, r, side="right")) for r in (first[j], last[j]))
+            if d > cells + 1:
+                raise ValueError(f"rank {last[j]} of {int(passed[-1])} values")
+            if c < d:
+                left[j], right[j] = b[k, c], a[k, d]
+                continue
+            low[j], high[j] = a[k, c], b[k, c]
+            left[j] = right[j] = low[j]
             if low[j] < high[j]:
-                left.append(j)
-        todo = np.array(left, np.int64)
-    return out
+                again.append(j)
+        todo = np.array(again, np.int64)
+    return left, right
+
+
+def exact_ranks(blocks: DataFrame, values: Values, ranks, low, high, cells: int = CELLS) -> np.ndarray:
+    """The value at a 0-based rank of each column of ``values(x)``; ``low`` and ``high`` guess where it is."""
+    return _rank_pairs(blocks, values, ranks, ranks, low, high, cells)[0]
 
 
 def medians(blocks: DataFrame, values: Values, n: int, low, high) -> np.ndarray:
     """The median of each column; the mean of the two middle values of an even number."""
-    low, high = np.asarray(low, float), np.asarray(high, float)
-    if n % 2:
-        return exact_ranks(blocks, values, np.full(len(low), n // 2), low, high)
-    both = exact_ranks(blocks, lambda x: np.tile(values(x), 2), np.repeat([n // 2 - 1, n // 2], len(low)), np.tile(low, 2), np.tile(high, 2))
-    return 0.5 * (both[: len(low)] + both[len(low) :])
+    middle = np.full(len(low), n // 2)
+    left, right = _rank_pairs(blocks, values, middle - (n % 2 == 0), middle, low, high)
+    return 0.5 * (left + right) if n % 2 == 0 else left
 
 
 def cell_counts(blocks: DataFrame, values: Values, q: int, low: float, high: float, cells: int) -> np.ndarray:
@@ -107,6 +142,7 @@ def cell_counts(blocks: DataFrame, values: Values, q: int, low: float, high: flo
         return sum((np.frombuffer(r["n"], np.int64) for r in rows), np.zeros(q * cells, np.int64))
 
     def merge(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([join(r for batch in batches for r in batch.to_pylist()).tobytes()], pa.binary())], names=["n"])
+        total = sum((join(batch.to_pylist()) for batch in batches), np.zeros(q * cells, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["n"])
 
-    return join(to_merge_tasks(blocks.mapInArrow(fold, "n BINARY")).mapInArrow(merge, "n BINARY").collect()).reshape(q, cells)
+    return join(merge_in_levels(blocks.mapInArrow(fold, "n BINARY"), lambda df: df.mapInArrow(merge, "n BINARY")).collect()).reshape(q, cells)

@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mirrorframe.functions import smallmat
-from mirrorframe.functions.rankscan import to_merge_tasks
+from mirrorframe.functions.rankscan import merge_in_levels
 from mirrorframe.functions.vectors import Features, checked, matrices, vectorize
 
 EXPRESSION_WIDTH = 8
-#: Rows of state that the driver reads of one aggregate, at most.
-DRIVER_STATES = 64
 
 
 # -- conversions -----------------------------------------------------------------
@@ -110,7 +108,7 @@ def _emit(states, second):
 
 def moment_partials(vectors: DataFrame, weigh: Callable[[np.ndarray], list[np.ndarray]] | None = None,
                     centred: bool = True, second: bool = True) -> DataFrame:
-    """At most ``DRIVER_STATES`` rows per state (k, n, mean, m2) of merged moments of ``x`` (vectors or packed blocks).
+    """A bounded number of rows per state (k, n, mean, m2) of merged moments of ``x`` (vectors or packed blocks).
 
     One scan: each task folds its Arrow batches into one state of size p x p per
     weight set, so what is shuffled does not grow with the rows.  ``weigh`` maps
@@ -149,12 +147,6 @@ def moment_partials(vectors: DataFrame, weigh: Callable[[np.ndarray], list[np.nd
     return merge_in_levels(partials, lambda df: merge_partials(df, second))
 
 
-def merge_in_levels(partials: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Merge the states of all tasks in two levels: as widely as Spark shuffles, then to a few for the driver."""
-    first = merge(to_merge_tasks(partials))
-    return merge(first.withColumn("part", F.spark_partition_id() % DRIVER_STATES).repartition("part").drop("part"))
-
-
 def merge_partials(partials: DataFrame, second: bool = True) -> DataFrame:
     def fold(batches):
         states: dict[int, tuple | None] = {}
@@ -170,7 +162,7 @@ def merge_partials(partials: DataFrame, second: bool = True) -> DataFrame:
 
 
 def collect_moments(partials: DataFrame, second: bool = True) -> dict[int, tuple[float, np.ndarray, np.ndarray | None]]:
-    """(n, mean, m2) per weight set on the driver; reads at most ``DRIVER_STATES`` small rows per set."""
+    """(n, mean, m2) per weight set on the driver; reads a bounded number of small rows per set."""
     states: dict[int, tuple | None] = {}
     for row in partials.collect():
         mean, m2 = _unpack(np.array(row["mean"]), np.array(row["m2"]))

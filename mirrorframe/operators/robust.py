@@ -18,18 +18,19 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from mirrorframe.functions import smallmat
-from mirrorframe.functions.rankscan import cell_counts, exact_ranks, medians
+from mirrorframe.functions.rankscan import cell_counts, medians
+from mirrorframe.functions.trimscan import closest_moments
 from mirrorframe.functions.vectors import Features, pack_blocks, vectorize, width
 from mirrorframe.operators.moments import collect_moments, matrix_table, moment_partials
 
 #: The deterministic starts, each a scatter of all rows that outliers move little.
-STARTS = ("tanh", "rank", "score", "sign", "half")
+STARTS = ("tanh", "rank", "score", "sign", "half", "pairs")
 #: Cells of the distribution functions behind the rank and score starts, over this range of scaled values.
 CDF_CELLS, CDF_RANGE = 1024, 16.0
+#: Cells of the sums and differences behind the pairwise start, and how many counts a task keeps in one scan.
+PAIR_CELLS, PAIR_COUNTS = 512, 1 << 21
 #: Reciprocal condition at which the scatter of a subset counts as singular, and to which it is then raised.
 SINGULAR, RAISED = 1e-9, 1e-3
-#: Relative width of a tie: distances this close to the cut count as equal to it.
-TIE = 1e-12
 
 
 @dataclass(frozen=True)
@@ -137,41 +138,20 @@ def _frame(blocks: DataFrame, n: int, mean: np.ndarray, cov: np.ndarray) -> _Fra
 
 
 def _c_step(blocks: DataFrame, frame: _Frame, states, h: int, cuts):
-    """One C-step for several (mean, scatter, ridge) at once.
+    """One C-step for several (mean, scatter) at once; ``cuts`` guess the cuts of squared distance.
 
     The h closest rows get weight 1.  Rows tied at the cut share what is left of h
     evenly, so the result depends on no order of the rows and the weights always
-    add up to h.  ``cuts`` guess the cuts of squared distance.
+    add up to h.
     """
     fixed = [(mu, _inverse_root(s)) for mu, s in states]
-    q = states[0][1].shape[0]
 
     def distances(x):
         y = frame.rows(x)
-        return np.column_stack([_squared_distance(y, mu, root) for mu, root in fixed])
+        return y, np.column_stack([_squared_distance(y, mu, root) for mu, root in fixed])
 
-    low, high = zip(*[(0.0, 4.0 * q) if c is None else (0.9 * c, 1.1 * c) for c in cuts], strict=True)
-    cut = exact_ranks(blocks, distances, [h - 1] * len(states), low, high)
-
-    def split(x):
-        y, d = frame.rows(x), distances(x)
-        out = []
-        for k, c in enumerate(cut):
-            below = d[:, k] < c * (1 - TIE)
-            out += [(y, below), (y, ~below & (d[:, k] <= c * (1 + TIE)))]
-        return out
-
-    found = collect_moments(moment_partials(blocks, split))
-    none = (0.0, np.zeros(q), np.zeros((q, q)))
-    moved = []
-    for k in range(len(states)):
-        (n0, m0, s0), (n1, m1, s1) = (found.get(2 * k + e, none) for e in (0, 1))
-        part = (h - n0) / n1 if n1 else 0.0
-        w, gap = h - n0, m1 - m0
-        mu = m0 + gap * (w / h) if n0 else m1
-        s = (s0 + part * s1 + (np.outer(gap, gap) * (n0 * w / h) if n0 else 0.0)) / h
-        moved.append((mu, s))
-    return moved, cut.tolist()
+    moved, cut, _ = closest_moments(blocks, distances, states[0][1].shape[0], h, cuts)
+    return moved, cut
 
 
 def _cdf_tables(blocks: DataFrame, frame: _Frame, n: int) -> np.ndarray:
@@ -180,6 +160,45 @@ def _cdf_tables(blocks: DataFrame, frame: _Frame, n: int) -> np.ndarray:
     return (np.cumsum(counts, axis=1) - 0.5 * counts) / n
 
 
+def _cell_spread(counts: np.ndarray, width: float) -> np.ndarray:
+    """The MAD of each column from its cells, as a standard deviation; values are spread evenly within a cell."""
+    passed = np.concatenate([np.zeros((len(counts), 1)), np.cumsum(counts, axis=1)], axis=1) / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    edges = np.arange(counts.shape[1] + 1) * width
+    out = np.empty(len(counts))
+    for k, share in enumerate(passed):
+        middle = np.interp(0.5, share, edges)
+        low, high = 0.0, edges[-1]
+        for _ in range(50):
+            r = 0.5 * (low + high)
+            inside = np.interp(middle + r, edges, share) - np.interp(middle - r, edges, share)
+            low, high = (low, r) if inside >= 0.5 else (r, high)
+        out[k] = 1.4826 * high
+    return out
+
+
+def _pairwise_scatter(blocks: DataFrame, frame: _Frame) -> np.ndarray:
+    """Robust covariance of every pair of features: a quarter of the squared MAD of their sum, less that of their difference.
+
+    The MADs come from ``PAIR_CELLS`` cells of sums and differences, for as many pairs in a scan as
+    ``PAIR_COUNTS`` counts allow.
+    """
+    p = len(frame.scale)
+    i, j = np.triu_indices(p, 1)
+    step = max(1, PAIR_COUNTS // (2 * PAIR_CELLS))
+    out = np.eye(p)
+    for at in range(0, len(i), step):
+        a, b = i[at : at + step], j[at : at + step]
+
+        def both(x, a=a, b=b):
+            z = frame.scaled(x)
+            return np.concatenate([z[:, a] + z[:, b], z[:, a] - z[:, b]], axis=1)
+
+        counts = cell_counts(blocks, both, 2 * len(a), -CDF_RANGE, CDF_RANGE, PAIR_CELLS)
+        spread = _cell_spread(counts, 2 * CDF_RANGE / PAIR_CELLS) ** 2
+        out[a, b] = out[b, a] = 0.25 * (spread[: len(a)] - spread[len(a) :])
+    return out
+
+
 def _start_scatters(blocks: DataFrame, frame: _Frame, n: int, starts: Sequence[str]):
     """The scatter of every start, in the frame's directions."""
     unknown = set(starts) - set(STARTS)
@@ -201,12 +220,18 @@ def _start_scatters(blocks: DataFrame, frame: _Frame, n: int, starts: Sequence[s
             "sign": lambda: (np.vstack([z / np.where(norm > 0, norm, 1.0), -z / np.where(norm > 0, norm, 1.0)]), None),  # with its mirror image: centred at 0
             "half": lambda: (z, norm[:, 0] <= half),
         }
-        return [made[s]() for s in starts]
+        return [made[s]() for s in one_scan]
 
-    found = collect_moments(moment_partials(blocks, rows))
+    one_scan = [name for name in starts if name != "pairs"]
+    found = collect_moments(moment_partials(blocks, rows)) if one_scan else {}
     out = []
-    for k, name in enumerate(starts):
-        s = found[k][2] / found[k][0]
+    for name in starts:
+        if name == "pairs":
+            s = _pairwise_scatter(blocks, frame)
+            out.append(frame.turn.T @ s @ frame.turn)
+            continue
+        n_rows, _, m2 = found[one_scan.index(name)]
+        s = m2 / n_rows
         if name in ("tanh", "rank", "score"):
             d = np.sqrt(np.maximum(np.diag(s), 1e-300))
             s = s / np.outer(d, d)
@@ -288,11 +313,11 @@ def mcd_fit(df: DataFrame, features: Features, support: float | None = None, sta
     """Minimum covariance determinant from deterministic starts (Hubert, Rousseeuw and Verdonck, 2012).
 
     Nothing is drawn, so the fit is the same for any key, order or layout of the rows;
-    it changes with the units of the features as a covariance does.  Five of the six
-    published starts are built: correlations of tanh values, of ranks and of normal
-    scores, the spatial sign covariance, and the covariance of the half closest to the
-    medians; the sixth asks for medians of all pairs of features.  Ranks come from
-    ``CDF_CELLS`` cells.
+    it changes with the units of the features as a covariance does.  The starts are the
+    published six: correlations of tanh values, of ranks and of normal scores, the
+    spatial sign covariance, the covariance of the half closest to the medians, and
+    the pairwise covariances of Gnanadesikan and Kettenring.  Ranks come from
+    ``CDF_CELLS`` cells, the scales of sums and differences from ``PAIR_CELLS``.
 
     Linear relations that hold in all rows, as among the indicators of a factor, stay
     relations of the result.  If more than half of the rows fulfil another one (rare
