@@ -1,16 +1,18 @@
 """Byte-level BPE by replaying the merges over a whole corpus of words.
 
-All distinct words of a block are laid out side by side, and an inverted index
-says for each mergeable pair of neighbouring tokens at which positions it stands.
-The pairs are then merged in the order of their ranks, each at all its positions at
-once; only the two neighbours of a merged pair change, and only they are looked up
-again.  Words that a task has met before are not encoded again.
+All words of a batch that the task hasn't met before are laid out side by side, each
+once, and an inverted index says for each mergeable pair of neighbouring tokens at which
+positions it stands.  The pairs are then merged in the order of their ranks, each at all
+its positions at once; only the two neighbours of a merged pair change, and only they are
+looked up again.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,9 @@ from pyspark.sql import types as T
 from mirrorframe.llm.frames import append_columns
 
 #: Words that a task remembers; beyond it the memory starts anew.  Results don't depend on it.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+#: Bytes of text encoded together: the larger, the more positions share one step of the replay.
+ENCODE_BYTES = 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,102 +38,90 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.token = {r: t for t, r in ranks.items()}
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary has no token for the bytes {missing[:5]}")
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.first = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
-        self.known: dict[int, int] = {}  # by left << 32 | right
-
-    def look_up(self, left: int, right: int) -> int:
-        """Rank of the joined token, or -1; remembered."""
-        rank = self.ranks.get(self.token[left] + self.token[right], -1)
-        if len(self.known) > 200_000:
-            self.known.clear()
-        self.known[left << 32 | right] = rank
-        return rank
-
-
-def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
-    """Token ids of each non-empty word: the lowest rank first and, within a word, the leftmost of equal ones."""
-    known, look_up, whole = merges.known, merges.look_up, merges.ranks
-    out: list = [[whole[w]] if w in whole else None for w in words]
-    open_words = [k for k, ids in enumerate(out) if ids is None]
-    if not open_words:
-        return out
-    # all words side by side, each followed by an end mark; at[k]: the rank that place k and the next one make
-    sizes = np.array([len(words[k]) + 1 for k in open_words])
-    starts = np.cumsum(sizes) - sizes
-    letters = np.frombuffer(b"\0".join(words[k] for k in open_words) + b"\0", np.uint8)
-    ends = starts + sizes - 1
-    places = merges.single[letters]
-    places[ends] = -1
-    made = np.append(merges.first[letters[:-1], letters[1:]], -1)
-    made[ends] = -1
-    made[ends - 1] = -1
-    by_rank = np.argsort(made, kind="stable")
-    by_rank = by_rank[np.searchsorted(made[by_rank], 0) :]
-    cut = np.flatnonzero(np.diff(made[by_rank])) + 1
-    index = {int(made[g[0]]): g.tolist() for g in np.split(by_rank, cut) if len(g)}
+        made = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    made[left << 32 | right] = rank
+        pairs = np.array(sorted(made.items()), np.int64).reshape(-1, 2)
+        self.pairs, self.made = np.append(pairs[:, 0], np.iinfo(np.int64).max), np.append(pairs[:, 1], -1)
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the joined tokens, or -1; also where either is no token but -1."""
+        pair = left << 32 | right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where((self.pairs[at] == pair) & (left >= 0) & (right >= 0), self.made[at], -1)
+
+
+def replay_flat(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """All token ids of non-empty words, one after another, and how many each word has.
+
+    In every word the lowest rank goes first and the leftmost of equal ones.
+    """
+    # all words side by side, each followed by an end mark; pair[k]: the rank that place k and the next one make
+    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    letters = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+    ends = np.cumsum(sizes) - 1
+    word = np.repeat(np.arange(len(words)), sizes)
+    token = merges.single[letters]
+    token[ends] = -1
+    pair = np.append(merges.look_up(token[:-1], token[1:]), -1)
+    by_rank = np.argsort(pair, kind="stable")
+    by_rank = by_rank[np.searchsorted(pair[by_rank], 0) :]
+    cut = np.flatnonzero(np.diff(pair[by_rank])) + 1
+    index = {int(pair[g[0]]): g.tolist() for g in np.split(by_rank, cut) if len(g)}
     order = list(index)
     heapq.heapify(order)
-    token, pair = places.tolist(), made.tolist()
-    after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
+    after, before = np.arange(1, len(token) + 1), np.arange(-1, len(token) - 1)
+
+    def file(ranks: np.ndarray, places: np.ndarray) -> None:
+        for rank, at in zip(ranks.tolist(), places.tolist(), strict=True):
+            if rank >= 0:
+                if rank in index:
+                    index[rank].append(at)
+                else:
+                    index[rank] = [at]
+                    heapq.heappush(order, rank)
 
     while order:
         rank = heapq.heappop(order)
-        waiting = index.pop(rank, ())
-        if len(waiting) > 1:
-            waiting.sort()
-        for k, at in enumerate(waiting):
-            if pair[at] != rank:
-                continue  # merged away, or with another neighbour since
-            right = after[at]
-            beyond = after[right]
-            token[at], pair[right], after[at], before[beyond] = rank, -1, beyond, at
-            again = False
-            other = token[beyond]
-            new = -1
-            if other >= 0:
-                new = known.get(rank << 32 | other)
-                if new is None:
-                    new = look_up(rank, other)
-                if new >= 0:
-                    if new in index:
-                        index[new].append(at)
-                    else:
-                        index[new] = [at]
-                        heapq.heappush(order, new)
-                    again = new <= rank
-            pair[at] = new
-            left = before[at]
-            if left >= 0 and token[left] >= 0:
-                new = known.get(token[left] << 32 | rank)
-                if new is None:
-                    new = look_up(token[left], rank)
-                if new >= 0:
-                    if new in index:
-                        index[new].append(left)
-                    else:
-                        index[new] = [left]
-                        heapq.heappush(order, new)
-                    again = again or new <= rank
-                pair[left] = new
-            if again:  # a pair that comes earlier has arisen: it goes first, the other places follow
-                if rank not in index:
-                    index[rank] = []
-                    heapq.heappush(order, rank)
-                index[rank].extend(waiting[k + 1 :])
-                break
+        at = np.array(index.pop(rank), np.int64)
+        at = at[pair[at] == rank]  # not merged away, nor with another neighbour since
+        if not at.size:
+            continue
+        at.sort()
+        # one merge a word: its next place of this rank may come after a lower rank that arises here
+        first = np.ones(len(at), bool)
+        first[1:] = word[at[1:]] != word[at[:-1]]
+        if not first.all():
+            index[rank] = at[~first].tolist()
+            heapq.heappush(order, rank)
+            at = at[first]
+        right = after[at]
+        beyond = after[right]
+        token[at], token[right], pair[right], after[at], before[beyond] = rank, -2, -1, beyond, at
+        made = merges.look_up(token[at], token[beyond])
+        pair[at] = made
+        file(made, at)
+        left = before[at]
+        at, left = at[left >= 0], left[left >= 0]
+        made = merges.look_up(token[left], token[at])
+        pair[left] = made
+        file(made, left)
+
+    whole = np.flatnonzero(token >= 0)
+    return token[whole], np.bincount(word[whole], minlength=len(words))
 
-    for k, at in zip(open_words, starts.tolist(), strict=True):
-        ids = []
-        while token[at] != -1:
-            ids.append(token[at])
-            at = after[at]
-        out[k] = ids
-    return out
+
+def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
+    """Token ids of each non-empty word."""
+    ids, sizes = replay_flat(words, merges)
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if words else []
 
 
 class Encoder:
@@ -142,32 +134,47 @@ class Encoder:
         self.forget()
 
     def forget(self):
-        self.place: dict[str, int] = {}
-        self.ids, self.start, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
-
-    def learn(self, words: list[str]):
-        new = [w for w in set(words) if w not in self.place]
-        coded = replay([w.encode() for w in new], self.merges)
-        have, ends = len(self.place), self.used + np.cumsum([len(c) for c in coded], dtype=np.int64)
-        self.place.update(zip(new, range(have, have + len(new)), strict=True))
-        flat = np.fromiter((i for c in coded for i in c), np.int32)
+        # a word met for the first time gets the next place
+        self.place: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.start, self.used, self.learned = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0, 0
+
+    def learn(self):
+        """Replay the merges of the words that have a place, but no ids yet."""
+        new = list(islice(self.place, self.learned, None))
+        if not new:
+            return
+        whole = self.merges.ranks
+        ids = [whole.get(w, -1) for w in (w.encode() for w in new)]
+        sizes, flat = np.ones(len(new), np.int64), np.array(ids, np.int64)
+        open_words = np.flatnonzero(flat < 0)
+        if len(open_words):
+            coded, counts = replay_flat([new[k].encode() for k in open_words.tolist()], self.merges)
+            sizes[open_words] = counts
+            out = np.empty(sizes.sum(), np.int64)
+            inside = np.zeros(len(new), bool)
+            inside[open_words] = True
+            inside = np.repeat(inside, sizes)
+            out[inside], out[~inside] = coded, flat[flat >= 0]
+            flat = out
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.place) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.start[have + 1 : have + 1 + len(new)] = ends
+        self.start[self.learned + 1 : len(self.place) + 1] = self.used + np.cumsum(sizes)
         self.used += len(flat)
+        self.learned = len(self.place)
 
-    def encode(self, texts: list[str]) -> pa.ListArray:
+    def encode(self, texts: list[str] | pa.Array) -> pa.ListArray:
         if len(self.place) > self.remembered:
             self.forget()
-        words, bounds = [], [0]
+        parts, bounds = [np.zeros(0, np.int64)], [0]
         for t in texts:
-            words += self.find(t)
-            bounds.append(len(words))
-        self.learn(words)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            words = self.find(t.as_py() if isinstance(t, pa.Scalar) else t)
+            parts.append(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)))
+            bounds.append(bounds[-1] + len(words))
+        self.learn()
+        at = np.concatenate(parts)
         start = self.start[at]
         sizes = self.start[at + 1] - start
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -186,9 +193,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
     def make():
         encoder = Encoder(*shared.value)
-        return lambda block: [encoder.encode(block.column(text).fill_null("").to_pylist())]
+        return lambda block: [encoder.encode(block.column(text).fill_null(""))]
 
-    return append_columns(docs, [T.StructField(out, T.ArrayType(T.IntegerType()))], text, make)
+    return append_columns(docs, [T.StructField(out, T.ArrayType(T.IntegerType()))], text, make, ENCODE_BYTES)
 
 
 class Decoder:
@@ -233,9 +240,9 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
         encoder, decoder = Encoder(*shared.value), Decoder(shared.value[0])
 
         def work(block):
-            coded = encoder.encode(block.column(text).fill_null("").to_pylist())
+            coded = encoder.encode(block.column(text).fill_null(""))
             return [coded, decoder.decode(coded)]
 
         return work
 
-    return append_columns(docs, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.BinaryType())], text, make)
+    return append_columns(docs, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.BinaryType())], text, make, ENCODE_BYTES)
