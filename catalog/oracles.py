@@ -407,6 +407,13 @@ nn AS (SELECT max(pos) + 1 AS n FROM rw),
 tw AS (SELECT a.pos AS pos, (a.x - b.x) ** 2 + (a.xk - b.xk) ** 2 AS same, (a.x - b.xk) ** 2 + (a.xk - b.x) ** 2 AS swap, {uniform(SEED, 'a.i')} < 0.5 AS chosen
        FROM rw a JOIN rw b ON a.i = b.i AND b.pos = a.pos + 1, nn WHERE a.pos % 2 = 0 OR (n % 2 = 1 AND a.pos = n - 2)),
 dd AS (SELECT sum(same) AS same, sum(swap) AS fully, sum(CASE WHEN chosen THEN swap ELSE same END) AS part FROM tw GROUP BY pos)
+SELECT round(avg(2 * {_kernel('same')} - 2 * {_kernel('fully')}), 6) + 0.0 AS full_swap,
+       round(avg(2 * {_kernel('same')} - 2 * {_kernel('part')}), 6) + 0.0 AS partial_swap, count(*) AS n_pairs FROM dd""",
+    "quality_kernel": f"""WITH RECURSIVE {PAIRS_COPIES.strip()},
+rw AS (SELECT *, dense_rank() OVER (ORDER BY vec_id) - 1 AS pos FROM k),
+tw AS (SELECT a.pos AS pos, b.pos AS other, (a.x - b.x) ** 2 + (a.xk - b.xk) ** 2 AS same, (a.x - b.xk) ** 2 + (a.xk - b.x) ** 2 AS swap, {uniform(SEED, '(a.pos // 16)', 'a.i')} < 0.5 AS chosen
+       FROM rw a JOIN rw b ON a.i = b.i AND b.pos // 16 = a.pos // 16 AND b.pos > a.pos),
+dd AS (SELECT sum(same) AS same, sum(swap) AS fully, sum(CASE WHEN chosen THEN swap ELSE same END) AS part FROM tw GROUP BY pos, other)
 SELECT round(avg(2 * {_kernel('same')} - 2 * {_kernel('fully')}), 6) + 0.0 AS full_swap,
        round(avg(2 * {_kernel('same')} - 2 * {_kernel('part')}), 6) + 0.0 AS partial_swap, count(*) AS n_pairs FROM dd""",
     "group_features": f"WITH RECURSIVE {CORR64.replace('corr AS (', 'corr AS MATERIALIZED (')}, {_merges('corr', 'complete').strip()} SELECT i::INTEGER AS i, group_id FROM gp",
@@ -463,3 +470,5 @@ dd AS (SELECT same0 + same1 AS same, swap0 + swap1 AS fully, CASE WHEN s0 THEN s
 SELECT round(avg(2 * {_kernel('same')} - 2 * {_kernel('fully')}), 8) + 0.0 AS full_swap,
        round(avg(2 * {_kernel('same')} - 2 * {_kernel('part')}), 8) + 0.0 AS partial_swap, count(*) AS n_pairs FROM dd""",
 }
+ORACLES["quality_second_order"] = ORACLES["second_order_gap_pairs"]
+ORACLES["quality_decorrelation"] = ORACLES["decorrelation_gap_pairs"]

@@ -573,6 +573,27 @@ def mmd_pairs(spark, sf):
     return rounded(diagnostics.mmd(copies, "vec_id", seed=SEED, keys=df), 6, "full_swap", "partial_swap")
 
 
+def _quality(spark, sf):
+    """All three criteria of the copies in one pass; the kernel distance over blocks of 16 rows."""
+    df, copies, result = _paired_copies(spark, sf)
+    return diagnostics.quality(copies, "vec_id", result.target_corr, block_rows=16, seed=SEED, keys=df.select("vec_id"))
+
+
+@query
+def quality_second_order(spark, sf):
+    return rounded(_quality(spark, sf).second_order, 5, "mean_gap", "cov_gap", "cross_gap")
+
+
+@query
+def quality_decorrelation(spark, sf):
+    return rounded(_quality(spark, sf).decorrelation, 5, "corr", "target", "gap")
+
+
+@query
+def quality_kernel(spark, sf):
+    return rounded(_quality(spark, sf).kernel, 6, "full_swap", "partial_swap")
+
+
 # -- groups -----------------------------------------------------------------------------------------
 
 

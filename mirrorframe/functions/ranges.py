@@ -73,3 +73,27 @@ def with_position(df: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE,
     # a left join keeps the optimizer from adding a null test that finds every range twice
     numbered = placed.withColumn("_rank", rank).join(F.broadcast(offsets), "_range", "left")
     return numbered.withColumn(out, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_range", "_rank", "_before")
+
+
+def aligned_edges(keys: DataFrame, key: str, block: int, rows_per_range: int = ROWS_PER_RANGE) -> list:
+    """Edges of ranges that begin at every position that is a multiple of ``block``, in the order of a unique numeric key.
+
+    Borders from ``range_edges`` are moved up by less than a block; the keys they move
+    to are found by rank within their range, one for each range.
+    """
+    edges = range_edges(keys, key, rows_per_range)
+    if not edges:
+        return edges
+    placed = keys.select(F.col(key).alias("k"), range_of(key, edges).alias("r"))
+    counts = dict(placed.groupBy("r").count().collect())
+    moves, before = {}, 0
+    for r in range(len(edges) + 1):
+        moves[r] = -before % block
+        before += counts.get(r, 0)
+    wanted = [(r, m) for r, m in moves.items() if r and 0 < m <= counts.get(r, 0)]
+    table = keys.sparkSession.createDataFrame(wanted, "r INT, at INT")  # one row for each range
+    rank = F.row_number().over(Window.partitionBy("r").orderBy("k"))
+    near = placed.withColumn("at", rank).filter(F.col("at") < block)
+    last = {row["r"]: row["k"] for row in near.join(F.broadcast(table), ["r", "at"]).select("r", "k").collect()}
+    # a range with fewer rows than its border would move by has none of its own
+    return sorted({edges[r - 1] if moves[r] == 0 else last[r] for r in range(1, len(edges) + 1) if moves[r] == 0 or r in last})

@@ -105,35 +105,54 @@ def agglomerate(dist: np.ndarray, method: str, n_groups: int | None = None, cut:
 
     Stops at ``n_groups`` groups or before the first merge above ``cut``.
     Distances of complete and Ward linkage never decrease, so the early stop is
-    the same as cutting the finished tree.
+    the same as cutting the finished tree.  Of equally near pairs the first merges, by its
+    first member and then by its second.
+
+    Every group keeps its nearest later group, so a merge looks at one number for each
+    group; only groups whose nearest was one of the two merged are searched anew, as
+    neither linkage brings a merged group nearer than its parts were.
     """
+    if method not in ("complete", "ward"):
+        raise ValueError(f"unknown linkage: {method}")
     p = dist.shape[0]
     d = dist.astype(float).copy()
     if method == "ward":
         d = d**2
     np.fill_diagonal(d, np.inf)
-    size = np.ones(p)
-    member = np.arange(p)
+    size, member = np.ones(p), np.arange(p)
+    near, far = np.full(p, p, dtype=np.int64), np.full(p, np.inf)  # nearest later group, and how far it is
+
+    def search(i: int) -> None:
+        if i + 1 < p:
+            j = i + 1 + int(np.argmin(d[i, i + 1 :]))
+            near[i], far[i] = j, d[i, j]
+
+    for i in range(p):
+        search(i)
     for _ in range(p - (n_groups or 1)):
-        a, b = np.unravel_index(np.argmin(d), d.shape)
-        a, b = (a, b) if a < b else (b, a)
-        height = math.sqrt(d[a, b]) if method == "ward" else d[a, b]
+        a = int(np.argmin(far))
+        b = int(near[a])
+        height = math.sqrt(far[a]) if method == "ward" else far[a]
         if not np.isfinite(height) or (cut is not None and height > cut):
             break
         if method == "complete":
             row = np.maximum(d[a], d[b])
-        elif method == "ward":
-            total = size[a] + size[b] + size
-            row = ((size[a] + size) * d[a] + (size[b] + size) * d[b] - size * d[a, b]) / total
         else:
-            raise ValueError(f"unknown linkage: {method}")
-        d[a, :] = row
-        d[:, a] = row
-        d[a, a] = np.inf
-        d[b, :] = np.inf
-        d[:, b] = np.inf
+            row = ((size[a] + size) * d[a] + (size[b] + size) * d[b] - size * d[a, b]) / (size[a] + size[b] + size)
+        row[[a, b]] = np.inf
+        d[a, :], d[:, a] = row, row
+        d[b, :], d[:, b] = np.inf, np.inf
         size[a] += size[b]
         member[member == b] = a
+        near[b], far[b] = p, np.inf
+        stale = (near == a) | (near == b)
+        stale[a] = True
+        stale[b] = False
+        for i in np.flatnonzero(stale).tolist():
+            search(i)
+        # rounding may bring the merged group nearer by a last digit
+        nearer = np.flatnonzero(row[:a] < far[:a])
+        near[nearer], far[nearer] = a, row[nearer]
     _, first = np.unique(member, return_index=True)
     order = {member[f]: k + 1 for k, f in enumerate(sorted(first))}
     return np.array([order[m] for m in member], dtype=int)

@@ -34,17 +34,23 @@ def _label_table(spark: SparkSession, labels: np.ndarray) -> DataFrame:
     return vector_table(spark, labels.astype(np.int32), "group_id")
 
 
-def group_features(corr: DataFrame, cut: float = 0.5) -> DataFrame:
-    """Complete-linkage groups cut at ``cut`` times the largest distance; ``(i, group_id)``.
-
-    The distances come from Spark; only the merge order is worked out on the driver.
-    """
-    t = feature_distance(corr).toArrow()
+def _distances(matrix: DataFrame) -> np.ndarray:
+    """All distances between the rows of a matrix table, found by the executors, as an array."""
+    t = feature_distance(matrix).toArrow()
     i, j, d = (t[c].to_numpy() for c in ("i", "j", "d"))
     p = int(j.max()) + 1 if j.size else 1
     dist = np.zeros((p, p))
     dist[i, j] = d
     dist[j, i] = d
+    return dist
+
+
+def group_features(corr: DataFrame, cut: float = 0.5) -> DataFrame:
+    """Complete-linkage groups cut at ``cut`` times the largest distance; ``(i, group_id)``.
+
+    The distances come from Spark; only the merge order is worked out on the driver.
+    """
+    dist = _distances(corr)
     return _label_table(corr.sparkSession, smallmat.agglomerate(dist, "complete", cut=cut * dist.max()))
 
 
@@ -54,7 +60,7 @@ def group_labels_ward(sigma: np.ndarray, n_clusters: int) -> np.ndarray:
 
 def group_features_ward(cov: DataFrame, n_clusters: int) -> DataFrame:
     """A fixed number of Ward groups of the rows of the matrix; ``(i, group_id)``."""
-    return _label_table(cov.sparkSession, group_labels_ward(collect_matrix(cov), n_clusters))
+    return _label_table(cov.sparkSession, smallmat.agglomerate(_distances(cov), "ward", n_groups=n_clusters))
 
 
 def group_sizes(groups: DataFrame) -> DataFrame:

@@ -159,3 +159,55 @@ def test_grouping_chain(spark, rng):
     assert len(grouping.group_first_pc(df, by_name, keep=["id"]).columns) == 4
     with pytest.raises(ValueError, match="without a group"):
         grouping.groups_by_name(groups, [*names, "f"])
+
+
+def _plain_block_kernel(x, xk, block, alphas, seed):
+    """All pairs of every block, one by one."""
+    from mirrorframe.functions import draws
+
+    start = draws.hash_long_np(np.array([seed]), np.array([42], dtype=np.uint64))
+    full, part = [], []
+    k = lambda d2: np.mean([np.exp(-d2 / (2 * a * a)) for a in alphas])
+    for at in range(0, len(x), block):
+        h = draws.hash_long_np(np.array([at // block]), start)
+        chosen = (draws.hash_long_np(np.arange(x.shape[1]), h) >> np.uint64(11)).astype(float) / 2**53 < 0.5
+        for i in range(at, min(at + block, len(x))):
+            for j in range(i + 1, min(at + block, len(x))):
+                same = (x[i] - x[j]) ** 2 + (xk[i] - xk[j]) ** 2
+                swap = (x[i] - xk[j]) ** 2 + (xk[i] - x[j]) ** 2
+                full.append(2 * k(same.sum()) - 2 * k(swap.sum()))
+                part.append(2 * k(same.sum()) - 2 * k(np.where(chosen, swap, same).sum()))
+    return np.mean(full), np.mean(part), len(full)
+
+
+@pytest.mark.parametrize("rows_per_range", [10**6, 37])
+def test_quality_in_one_pass(spark, rng, rows_per_range):
+    x = rng.normal(size=(203, 3)) + 5.0
+    xk = x * [0.5, 1.0, -1.0] + rng.normal(size=(203, 3))
+    ids = rng.permutation(1000)[:203]
+    rows = [(int(i), [float(v) for v in a], [float(v) for v in b]) for i, a, b in zip(ids, x, xk, strict=True)]
+    pairs = spark.createDataFrame(rows, "id LONG, x ARRAY<DOUBLE>, xk ARRAY<DOUBLE>").repartition(5)
+    target = spark.createDataFrame([(k, 0.1 * k) for k in range(3)], "i INT, v DOUBLE")
+    found = diagnostics.quality(pairs, "id", target, block_rows=10, seed=3, alphas=(1.0, 2.0), rows_per_range=rows_per_range)
+    order = np.argsort(ids)
+    want = _plain_block_kernel(x[order], xk[order], 10, (1.0, 2.0), 3)
+    kernel = found.kernel.head()
+    assert np.allclose([kernel["full_swap"], kernel["partial_swap"]], want[:2], atol=1e-10) and kernel["n_pairs"] == want[2]
+    assert np.allclose(found.second_order.head(), diagnostics.second_order_gap(pairs).head())
+    other = {r["i"]: r["gap"] for r in diagnostics.decorrelation_gap(pairs, target).collect()}
+    assert all(abs(r["gap"] - other[r["i"]]) < 1e-10 for r in found.decorrelation.collect())
+
+
+def test_blocks_vary_less_than_pairs(spark, rng):
+    """The same rows in many orders: the block estimate moves far less than the one of two rows each."""
+    x = rng.normal(size=(400, 2))
+    xk = np.column_stack([x[:, 0] * 0.3 + rng.normal(size=400), x[:, 1] * 1.5])
+    target = spark.createDataFrame([(0, 0.0), (1, 0.0)], "i INT, v DOUBLE")
+    one, many = [], []
+    for _ in range(6):
+        ids = rng.permutation(400)
+        rows = [(int(i), [float(v) for v in a], [float(v) for v in b]) for i, a, b in zip(ids, x, xk, strict=True)]
+        pairs = spark.createDataFrame(rows, "id LONG, x ARRAY<DOUBLE>, xk ARRAY<DOUBLE>")
+        one.append(diagnostics.mmd(pairs, "id", alphas=(1.0, 2.0)).head()["full_swap"])
+        many.append(diagnostics.quality(pairs, "id", target, block_rows=64, alphas=(1.0, 2.0)).kernel.head()["full_swap"])
+    assert np.var(many) < 0.25 * np.var(one)

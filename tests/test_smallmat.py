@@ -93,3 +93,44 @@ def test_ward_linkage(rng):
     x = rng.normal(size=(15, 3))
     labels = smallmat.agglomerate(smallmat.pairwise_distance(x), "ward", n_groups=4)
     assert _as_sets(labels) == _brute_ward(x, 4)
+
+
+def _full_search(dist, method, n_groups=None, cut=None):
+    """The textbook loop: the smallest of all distances in every step."""
+    p = len(dist)
+    d = dist**2 if method == "ward" else dist.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    size, member = np.ones(p), np.arange(p)
+    for _ in range(p - (n_groups or 1)):
+        a, b = sorted(np.unravel_index(np.argmin(d), d.shape))
+        height = np.sqrt(d[a, b]) if method == "ward" else d[a, b]
+        if not np.isfinite(height) or (cut is not None and height > cut):
+            break
+        row = np.maximum(d[a], d[b]) if method == "complete" else ((size[a] + size) * d[a] + (size[b] + size) * d[b] - size * d[a, b]) / (size[a] + size[b] + size)
+        d[a], d[:, a] = row, row
+        d[a, a], d[b], d[:, b] = np.inf, np.inf, np.inf
+        size[a] += size[b]
+        member[member == b] = a
+    return [frozenset(np.flatnonzero(member == m).tolist()) for m in dict.fromkeys(member.tolist())]
+
+
+@pytest.mark.parametrize("method", ["complete", "ward"])
+def test_grouping_equals_the_full_search_also_with_ties(rng, method):
+    for trial in range(40):
+        p = int(rng.integers(1, 60))
+        x = rng.integers(0, 4, size=(p, 2)).astype(float) if trial % 2 else rng.normal(size=(p, 4))
+        dist = smallmat.pairwise_distance(x)
+        for options in ({"n_groups": int(rng.integers(1, p + 1))}, {"cut": 0.4 * dist.max()}):
+            labels = smallmat.agglomerate(dist, method, **options)
+            assert [frozenset(np.flatnonzero(labels == g).tolist()) for g in range(1, labels.max() + 1)] == _full_search(dist, method, **options)
+
+
+def test_five_thousand_features_group_in_seconds(rng):
+    import time
+
+    x = rng.normal(size=(5000, 8)) + 6 * rng.integers(0, 40, size=(5000, 1))
+    sums = (x**2).sum(axis=1)
+    dist = np.sqrt(np.maximum(sums[:, None] + sums - 2 * x @ x.T, 0))
+    started = time.process_time()
+    labels = smallmat.agglomerate(dist, "ward", n_groups=40)
+    assert labels.max() == 40 and time.process_time() - started < 60
