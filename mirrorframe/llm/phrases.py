@@ -14,7 +14,9 @@
 The proposal travels to the tasks as a table of ``PROPOSAL_BITS`` bits, whatever its size;
 phrases that share a bit with a proposed one are counted as well, which costs a row and
 changes no result.  Phrases are known by 128 bits of (language, words); counts combine in
-blocks and in tasks before they are shuffled by these bits.  The number of a language's
+blocks and in tasks before they are shuffled by these bits.  As most of the border is rare,
+a pass first counts 32 bits of each name, exactly: a phrase whose 32 bits stay below the
+threshold does so itself, and only the others are counted by their whole name.  The number of a language's
 words is counted as that of its empty phrase, so it comes with the rest.
 """
 
@@ -37,7 +39,7 @@ SAMPLED, DEVIATIONS = 8, 2.0
 #: Bits of the proposal: 4 MB in a task.
 PROPOSAL_BITS = 1 << 25
 #: Bytes of text counted together.
-COUNT_BYTES = 2 << 20
+COUNT_BYTES = 1 << 20
 
 _BREAKS = [0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, *range(0x0A, 0x0E)]
 #: Words ``[^\\x20\\x09]+`` of pieces between ``[.,;:!?\\x0A-\\x0D]``.
@@ -139,6 +141,22 @@ def count_phrases(docs: DataFrame, wanted: Callable[[PieceWords], list[tuple[int
     return docs.mapInArrow(run, "a LONG, b LONG, n LONG").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def count_cells(docs: DataFrame, wanted: Callable[[PieceWords], list[tuple[int, np.ndarray]]], block: int) -> DataFrame:
+    """(a, n): as ``count_phrases``, but by the last 32 bits of the name, which several phrases may share."""
+
+    def run(batches):
+        for batch in batches:
+            for rows in text_blocks(batch, "text", block):
+                words = PieceWords(rows.column("text"), rows.column("lang"))
+                cells = [words.names(size)[0][at].astype(np.uint32).view(np.int32) for size, at in wanted(words)]
+                cells, n = np.unique(np.concatenate([np.zeros(0, np.int32), *cells]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int32))], names=["a", "n"])
+        release_memory()
+
+    counts = docs.mapInArrow(run, "a INT, n INT").groupBy("a").agg(F.sum("n").alias("n"))
+    return counts.select(F.col("a").cast("long").alias("a"), "n")
+
+
 def _both_parts(words: PieceWords, size: int, held: np.ndarray) -> np.ndarray:
     """Places of phrases whose two parts of ``size - 1`` words are held."""
     at = np.flatnonzero(words.left >= size)
@@ -163,17 +181,16 @@ def proposed(docs: DataFrame, threshold: float, longest: int = LONGEST, bits: in
     return proposal
 
 
-def count_with_border(docs: DataFrame, proposal: Proposal, before: Proposal | None, longest: int, block: int) -> DataFrame:
-    """Counts of the proposal and its border over all documents.
+def count_with_border(docs: DataFrame, proposal: Proposal, before: Proposal | None, threshold: int, longest: int, block: int) -> DataFrame:
+    """(a, b, n) of the phrases of the proposal and its border that occur ``threshold`` times in all documents.
 
     With ``before``, an earlier proposal whose counts are known, only what is new is
     counted: phrases with a part that is not in it, where parts that are new
     themselves count like proposed ones.
     """
 
-    def wanted(words):
-        out = [] if before is not None else _always(words)
-        new = np.zeros(len(words.left), bool)
+    def border(words):
+        out, new = [], np.zeros(len(words.left), bool)
         for size in range(2, longest + 1):
             names = words.names(size - 1)[0]
             at = _both_parts(words, size, proposal.holds(names) | new)
@@ -185,7 +202,14 @@ def count_with_border(docs: DataFrame, proposal: Proposal, before: Proposal | No
             out.append((size, at))
         return out
 
-    return count_phrases(docs, wanted, block)
+    common = Proposal(64 * len(proposal.cells))
+    common.add(count_cells(docs, border, block).filter(F.col("n") >= threshold))
+
+    def wanted(words):
+        out = [] if before is not None else _always(words)
+        return out + [(size, at[common.holds(words.names(size)[0][at])]) for size, at in border(words)]
+
+    return count_phrases(docs, wanted, block).filter(F.col("n") >= threshold)
 
 
 def name_phrases(docs: DataFrame, frequent: DataFrame, longest: int, bits: int, block: int) -> DataFrame:
@@ -240,13 +264,13 @@ def frequent_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     sample = written(rows.filter(F.pmod("_h", F.lit(sampled)) == 0).select("text", "lang"), "phrase-sample")
     share = threshold / sampled
     proposal = proposed(sample, max(1.0, share - DEVIATIONS * share**0.5) if sampled > 1 else threshold, longest, bits, block)
-    counted = written(count_with_border(texts, proposal, None, longest, block).filter(F.col("n") >= threshold), "phrase-counts")
+    counted = written(count_with_border(texts, proposal, None, threshold, longest, block), "phrase-counts")
     missed = _missed(counted, proposal)
     closed = missed.isEmpty()
     if not closed:
         larger = proposal.copy()
         larger.add(missed)
-        more = written(count_with_border(texts, larger, proposal, longest, block).filter(F.col("n") >= threshold), "phrase-counts")
+        more = written(count_with_border(texts, larger, proposal, threshold, longest, block), "phrase-counts")
         counted = counted.unionByName(more)
     # nearly all frequent phrases occur in the sample; the corpus is searched for the others alone
     names = written(name_phrases(sample, counted, longest, bits, block), "phrase-names")
