@@ -472,3 +472,8 @@ SELECT round(avg(2 * {_kernel('same')} - 2 * {_kernel('fully')}), 8) + 0.0 AS fu
 }
 ORACLES["quality_second_order"] = ORACLES["second_order_gap_pairs"]
 ORACLES["quality_decorrelation"] = ORACLES["decorrelation_gap_pairs"]
+ORACLES["sparse_covariance"] = """WITH c AS (SELECT DISTINCT 0 AS chunk, p_brand AS v FROM part UNION SELECT DISTINCT 1, p_size::VARCHAR FROM part),
+ps AS (SELECT *, (row_number() OVER (ORDER BY chunk, v) - 1)::INTEGER AS pos FROM c),
+f AS (SELECT p_partkey, pos, ((chunk = 0 AND p_brand = v) OR (chunk = 1 AND p_size::VARCHAR = v))::INTEGER::DOUBLE AS x FROM part, ps
+  UNION ALL SELECT p_partkey, (SELECT max(pos) + 1 FROM ps), p_retailprice FROM part)
+SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.x, b.x), 7) + 0.0 AS v FROM f a JOIN f b USING (p_partkey) GROUP BY ALL"""

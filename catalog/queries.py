@@ -309,6 +309,13 @@ def rebin_like(spark, sf):
     return encode.rebin_like(copies.select("vec_id", F.col("xk")[0].alias("f0"), F.col("xk")[1].alias("f1")), edges)
 
 
+@query
+def sparse_covariance(spark, sf):
+    """Indicators of 25 brands and 50 sizes beside a price, three entries in a row of 76 features."""
+    rows, catalog = encode.one_hot_sparse(read(spark, sf, "part"), ["p_brand", "p_size"], ["p_retailprice"])
+    return rounded(encode.sparse_covariance(rows, catalog), 7, "v")
+
+
 # -- moments ------------------------------------------------------------------------------------
 
 

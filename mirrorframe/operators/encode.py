@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from mirrorframe.functions.orderstats import exact_quantiles
 from mirrorframe.functions.rankscan import exact_ranks
-from mirrorframe.functions.vectors import pack_blocks, vectorize
-from mirrorframe.operators.moments import mean_and_cov
+from mirrorframe.functions.vectors import checked, pack_blocks, vectorize
+from mirrorframe.operators.moments import matrix_table, mean_and_cov
 
 
 class Feature(NamedTuple):
@@ -168,3 +168,64 @@ def chunk_positions(df: DataFrame, factors: Sequence[str]) -> DataFrame:
     before = Window.orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
     # one row per factor
     return sizes.withColumn("first_pos", F.coalesce(F.sum("chunk_size").over(before), F.lit(0)).cast("int"))
+
+
+# -- sparse rows -------------------------------------------------------------------------
+
+
+def one_hot_sparse(df: DataFrame, factors: Sequence[str], cont: Sequence[str] = (), keep: Sequence[str] = (),
+                   categories: dict[str, list[str]] | None = None) -> tuple[DataFrame, list[Feature]]:
+    """(*keep, codes) and the catalog: each row as the (pos, v) of its features that aren't zero.
+
+    A row holds one entry for each factor, however many categories the factor has, and one
+    for each continuous column; positions are those of ``derive_catalog`` with the
+    indicators first.  A null category has no entry, as its indicators are all zero;
+    a category that ``categories`` doesn't list is an error.
+    """
+    categories = categories or category_table(df, factors)
+    catalog = derive_catalog(categories, cont)
+    entries = []
+    for chunk, c in enumerate(categories):
+        at = F.create_map(*[F.lit(x) for f in catalog if f.chunk_id == chunk for x in (f.category, f.pos)]).cast("map<string,int>")
+        text = F.col(c).cast("string")
+        pos = F.coalesce(F.try_element_at(at, text), F.raise_error(F.concat(F.lit(f"unknown category of {c}: "), text)).cast("int"))
+        entries.append(F.when(text.isNotNull(), F.struct(pos.alias("pos"), F.lit(1.0).alias("v"))))
+    entries += [F.struct(F.lit(f.pos).alias("pos"), checked(F.col(f.feature)).alias("v")) for f in catalog if f.kind == "cont"]
+    return df.select(*keep, F.array_compact(F.array(*entries)).alias("codes")), catalog
+
+
+def sparse_covariance(rows: DataFrame, catalog: Sequence[Feature], codes: str = "codes") -> DataFrame:
+    """Sample covariance ``(i, j, v)`` of sparse rows, by counting which entries occur together.
+
+    A row of k entries gives k (k + 1) / 2 products, where a dense one gives p (p + 1) / 2.  The products are
+    summed by cell before they are shuffled; no more than the cells that occur reach the driver.  Values
+    are taken about the mean of their feature's entries, which a first scan finds for continuous features,
+    so large means cost no digits.
+    """
+    cont = [f.pos for f in catalog if f.kind == "cont"]
+    means = {}
+    if cont:
+        entry = rows.select(F.explode(codes).alias("e")).where(F.col("e.pos").isin(cont))
+        means = {r["pos"]: r["m"] for r in entry.groupBy("e.pos").agg(F.avg("e.v").alias("m")).collect()}
+    centred = F.col(codes)
+    if means:
+        centred = F.transform(codes, lambda e: F.struct(e["pos"].alias("pos"), (e["v"] - _shift(e["pos"], means)).alias("v")))
+    # a constant entry beside the others: its products are the sums and the number of rows
+    with_one = F.concat(centred, F.array(F.struct(F.lit(len(catalog)).alias("pos"), F.lit(1.0).alias("v"))))
+    pairs = F.expr("flatten(transform(c, (a, k) -> transform(slice(c, k + 1, size(c)), b -> struct(least(a.pos, b.pos) AS i, greatest(a.pos, b.pos) AS j, a.v * b.v AS v))))")
+    cells = rows.select(with_one.alias("c")).select(F.explode(pairs).alias("x")).groupBy("x.i", "x.j").agg(F.sum("x.v").alias("v")).toArrow()
+    p = len(catalog)
+    gram = np.zeros((p + 1, p + 1))
+    i, j = cells["i"].to_numpy(), cells["j"].to_numpy()
+    gram[i, j] = gram[j, i] = cells["v"].to_numpy()
+    n, sums = gram[p, p], gram[p, :p]
+    if n < 2:
+        raise ValueError("not enough rows for a covariance")
+    return matrix_table(rows.sparkSession, (gram[:p, :p] - np.outer(sums, sums) / n) / (n - 1))
+
+
+def _shift(pos, means: dict[int, float]):
+    out = F.lit(0.0)
+    for p, m in means.items():
+        out = F.when(pos == p, F.lit(m)).otherwise(out)
+    return out

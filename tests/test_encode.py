@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from mirrorframe.operators import encode, project
+from mirrorframe.operators import encode, moments, project
 
 
 def _codes(spark, values, q, **options):
@@ -104,3 +104,21 @@ def test_array_forms_equal_the_named_ones(spark, rng):
         project.linear_score_array(arrays, "x", [1.0, 2.0]).collect()
     with pytest.raises(ValueError, match="not distinct"):
         encode.quantile_bin_array(df.selectExpr("array(a, 1.0D) AS x"), "x", 4)
+
+
+def test_sparse_rows_and_their_covariance(spark, rng):
+    n = 400
+    rows = [(int(i), None if rng.uniform() < 0.1 else str(rng.choice(["a", "b_c", "c"])), int(rng.integers(0, 30)), float(1e6 + rng.normal())) for i in range(n)]
+    df = spark.createDataFrame(rows, "id LONG, f STRING, g INT, x DOUBLE").repartition(3)
+    sparse, catalog = encode.one_hot_sparse(df, ["f", "g"], ["x"], keep=["id"])
+    names = [f.feature for f in catalog]
+    dense = encode.one_hot(df, ["f", "g"], keep=["id", "x"]).select("id", *names)
+    want = {r["id"]: {k: float(v) for k, v in enumerate(r[1:]) if v} for r in dense.collect()}
+    assert {r["id"]: {e["pos"]: e["v"] for e in r["codes"]} for r in sparse.collect()} == want
+    table = np.array([r[1:] for r in dense.collect()], float)
+    got = moments.collect_matrix(encode.sparse_covariance(sparse, catalog))
+    assert np.allclose(got, np.cov(table, rowvar=False), atol=1e-9)
+    with pytest.raises(Exception, match="unknown category of f: b_c"):
+        encode.one_hot_sparse(df, ["f"], categories={"f": ["a", "c"]})[0].collect()
+    with pytest.raises(ValueError, match="not enough rows"):
+        encode.sparse_covariance(sparse.limit(1), catalog)
