@@ -177,7 +177,7 @@ ny AS (SELECT vec_id, i, CASE WHEN i < 4 THEN 0 WHEN i < 7 THEN 1 WHEN i < 9 THE
          (v + -ln(-ln({uniform(SEED, 'vec_id', 'i')} + 1e-20) + 1e-20)) / 0.5 AS y FROM lg)"""
 
 
-def _merges(matrix, linkage):
+def _merges(matrix, linkage, last=59):
     """Agglomeration of the rows of a matrix: ``me`` has the lowest member of each feature's group."""
     out = f"""
 ds AS MATERIALIZED (SELECT a.i AS i, b.i AS j, {'sqrt' if linkage == 'complete' else ''}(sum((a.v - b.v) ** 2)) AS d FROM {matrix} a JOIN {matrix} b ON a.j = b.j AND a.i < b.i GROUP BY ALL),
@@ -195,7 +195,7 @@ mg AS MATERIALIZED (SELECT st, arg_min(i, (d, i, j)) AS a, arg_min(j, (d, i, j))
   SELECT DISTINCT st + 1, least(x, y), greatest(x, y),
     CASE WHEN x = ma OR y = ma THEN (sum((np + no) * d) OVER p - no * md) / (na + nb + no) ELSE d END,
     CASE WHEN least(x, y) = ma THEN na + nb WHEN x < y THEN ni ELSE nj END, CASE WHEN greatest(x, y) = ma THEN na + nb WHEN x < y THEN nj ELSE ni END
-  FROM ({nearest}) WHERE x <> y AND st < 59 WINDOW p AS (PARTITION BY least(x, y), greatest(x, y))),
+  FROM ({nearest}) WHERE x <> y AND st < {last} WINDOW p AS (PARTITION BY least(x, y), greatest(x, y))),
 mg AS MATERIALIZED (SELECT st, arg_min(i, (d, i, j)) AS a, arg_min(j, (d, i, j)) AS b FROM ag GROUP BY st),"""
     return out + """
 me AS (SELECT 0 AS st, i, i AS g FROM (SELECT DISTINCT i FROM cov) UNION ALL SELECT st + 1, i, CASE WHEN g = b THEN a ELSE g END FROM me JOIN mg USING (st)),
@@ -477,3 +477,12 @@ ps AS (SELECT *, (row_number() OVER (ORDER BY chunk, v) - 1)::INTEGER AS pos FRO
 f AS (SELECT p_partkey, pos, ((chunk = 0 AND p_brand = v) OR (chunk = 1 AND p_size::VARCHAR = v))::INTEGER::DOUBLE AS x FROM part, ps
   UNION ALL SELECT p_partkey, (SELECT max(pos) + 1 FROM ps), p_retailprice FROM part)
 SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.x, b.x), 7) + 0.0 AS v FROM f a JOIN f b USING (p_partkey) GROUP BY ALL"""
+
+# every feature of the first half mixed into one of the second: Ward blocks join features that aren't neighbours
+_FAR = PAIRS.replace("CASE WHEN i % 2 = 0 THEN embedding[i + 1]::DOUBLE ELSE embedding[i]::DOUBLE +", "CASE WHEN i < 32 THEN embedding[i + 1]::DOUBLE ELSE embedding[i - 31]::DOUBLE +")
+_FAR = _FAR[: _FAR.index("bl AS MATERIALIZED")] + _merges("cov", "ward", 31).strip() + """,
+bl AS MATERIALIZED (SELECT a.i AS i, coalesce(min(least(1.0::DOUBLE, 2 * (1 - abs(v)))), 1.0::DOUBLE) AS s
+  FROM gp a LEFT JOIN (SELECT corr.i AS i, corr.v AS v FROM corr JOIN gp x ON x.i = corr.i JOIN gp y ON y.i = corr.j AND y.g = x.g WHERE corr.i <> corr.j) m ON m.i = a.i GROUP BY a.i)"""
+ORACLES["s_asdp_cluster_pairs"] = f"WITH RECURSIVE {_FAR.strip()}{PAIRS_S[len(PAIRS):]} SELECT i::INTEGER AS i, round(sc, 7) AS s_corr, round(s, 7) AS s FROM s"
+# the sign start has the lowest determinant, so the fit from all starts is its fit
+ORACLES["mcd_all_starts"] = ORACLES["mcd_sign_start"]

@@ -378,6 +378,13 @@ def mcd_sign_start(spark, sf):
     return rounded(moments.matrix_table(spark, fit.covariance), 3, "v")
 
 
+@query
+def mcd_all_starts(spark, sf):
+    """The fit from all six starts, of which the best goes on; the SQL has as many steps."""
+    fit = robust.mcd_fit(read(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], max_steps=6, tol=-1.0)
+    return rounded(moments.matrix_table(spark, fit.covariance), 3, "v")
+
+
 @query
 def robust_covariance_indicators(spark, sf):
     """The main use: indicators of two factors beside two continuous features."""
@@ -533,6 +540,14 @@ def s_asdp_pairs(spark, sf):
     return rounded(_paired_result(spark, sf)[1].s, 7, "s_corr", "s")
 
 
+@query
+def s_asdp_cluster_pairs(spark, sf):
+    """Blocks by Ward grouping, which finds the two features that are mixed, 32 places apart."""
+    e = read(spark, sf, "embeddings")
+    mixed = F.transform("embedding", lambda v, i: F.when(i < 32, v.cast("double")).otherwise(F.get("embedding", i - 32).cast("double") + (0.25 + (i + 1) / 64.0) * v.cast("double")))
+    return rounded(geometry.s_asdp(moments.covariance(e.select(mixed.alias("x")), "x"), 2, "cluster"), 7, "s_corr", "s")
+
+
 @query
 def target_correlation_pairs(spark, sf):
     return rounded(_paired_result(spark, sf)[1].target_corr, 7, "v")
