@@ -28,6 +28,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: What joins a key to its neighbours in paths and names, and the pieces between; the last one keeps its padding.
+SEPARATOR, PIECE = re.compile(r"[+/_-]"), re.compile(r"[A-Za-z0-9]{20,}(?:=+\Z)?")
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets in the order in which they are tried; an inferred encoding is the first that holds all characters.
 ENCODINGS = {
@@ -146,11 +148,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]):
-    """Runs that an encoding could have made and that no base span holds: (start, end, string, encoding)."""
-    for m in CANDIDATE.finditer(text):
-        encoding = encoding_of(m[0])
-        if encoding and not any(a <= m.start() and m.end() <= b for a, _, b in base):
-            yield m.start(), m.end(), m[0], encoding
+    """Runs that an encoding could have made and that no base span holds: (start, end, string, encoding, place of the run).
+
+    A run is one candidate if some alphabet holds it.  Where it has separators, each of its
+    pieces of 20 characters or more is another: a key may stand in a path or behind a name.
+    """
+    for place, m in enumerate(CANDIDATE.finditer(text)):
+        found = [(m.start(), m.end())]
+        if SEPARATOR.search(m[0]):
+            found += [(m.start() + x.start(), m.start() + x.end()) for x in PIECE.finditer(m[0])]
+        for a, b in found:
+            encoding = encoding_of(text[a:b])
+            if encoding and not any(x <= a and b <= y for x, _, y in base):
+                yield a, b, text[a:b], encoding, place
 
 
 def letter_pairs(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -160,9 +170,11 @@ def letter_pairs(docs: DataFrame, text: str = "text") -> np.ndarray:
         total = np.zeros(1 << 14, np.int64)
         for batch in batches:
             for block in text_blocks(batch, text):
-                data, _ = buffers(block.column(0))
+                data, offsets = buffers(block.column(0))
                 if len(data) > 1:
                     ascii_pair = (data[:-1] < 128) & (data[1:] < 128)
+                    border = offsets[1:-1]
+                    ascii_pair[border[(border > 0) & (border < len(data))] - 1] = False  # two texts, not two neighbours
                     total += np.bincount((data[:-1].astype(np.int64) << 7 | data[1:])[ascii_pair], minlength=1 << 14)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["pair", "n"])
@@ -184,7 +196,7 @@ def cuts(docs: DataFrame, pairs: np.ndarray, text: str = "text", false_share: fl
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    for _, _, s, encoding in candidates(t, base_spans(t)):
+                    for _, _, s, encoding, _ in candidates(t, base_spans(t)):
                         total[_class_of(len(s)), _step_of(battery.test(s, encoding)[1])] += 1
         c, k = np.nonzero(total)
         yield pa.record_batch([pa.array(c, pa.int32()), pa.array(k, pa.int32()), pa.array(total[c, k], pa.int64())], names=["c", "k", "n"])
@@ -208,7 +220,7 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", fals
     The base kinds are ``assign``, ``access`` and ``hex``; ``random`` are the spans
     that the battery adds outside of them.  Null and empty texts have none; a column
     of the name ``out`` is replaced; repeated rows are scanned one by one and count
-    each in the corpus's statistics.  Three passes over the texts, and no shuffle but of counts.
+    each in the corpus's statistics, which don't depend on how the table is split.  Three passes over the texts, and no shuffle but of counts.
     """
     pairs = letter_pairs(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast((pairs, cuts(docs, pairs, text, false_share)))
@@ -219,11 +231,14 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", fals
 
         def scan(t):
             found = base_spans(t)
-            added = []
-            for a, b, s, encoding in candidates(t, found):
+            added, whole = [], -1
+            for a, b, s, encoding, place in candidates(t, found):
+                if place == whole:
+                    continue  # a piece of a run that is reported
                 random, ordinary = battery.test(s, encoding)
                 if random >= PLAUSIBLE and _step_of(ordinary) >= least[_class_of(len(s))]:
                     added.append((a, 3, b))
+                    whole = place if SEPARATOR.search(s) else -1
             return [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found + added)]
 
         return lambda block: [[scan(t) if t else [] for t in block.column(text).to_pylist()]]

@@ -61,3 +61,62 @@ def test_encodings():
     assert secrets.encoding_of("deadbeef01") == "hex" and secrets.encoding_of("ABCDEF12==") == "HEX" and secrets.encoding_of("MZXW6YTB") == "base32"
     assert secrets.encoding_of("aB3/") == "base64" and secrets.encoding_of("aB3-") == "base64url" and secrets.encoding_of("aB3") == "base62"
     assert secrets.encoding_of("1234") is None and secrets.encoding_of("abc-def") is None and secrets.encoding_of("aB-/1") is None
+
+
+def test_glued_keys_are_found(spark, corpus):
+    """A key in a path or behind a name is found, by itself or with the run that one alphabet holds; prose around it is not."""
+    keys = ["".join(RNG.choice(ALNUM) for _ in range(44)) for _ in range(30)]
+    frames = ["https://hooks.example.com/services/T00-x/{}", "see my_app/{} now", "a-b+c/{}/x_y", "the_{}-end"]
+    rows = [(40_000 + i, frames[i % 4].format(k)) for i, k in enumerate(keys)]
+    both = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id LONG, text STRING"))
+    found = {r["doc_id"]: r for r in secrets.find_secrets(both).filter("doc_id >= 40000").collect()}
+    spans = [[found[40_000 + i]["text"][s["start"] : s["end"]] for s in found[40_000 + i]["secrets"]] for i in range(len(keys))]
+    assert np.mean([any(k in s for s in own) for k, own in zip(keys, spans, strict=True)]) >= 0.95
+    assert np.mean([k in own for i, (k, own) in enumerate(zip(keys, spans, strict=True)) if i % 4 != 3]) >= 0.95
+    assert not any(" " in s or "example" in s for own in spans for s in own)
+
+
+def plain_random_spans(texts):
+    """The battery and the false-discovery step, one candidate after the other."""
+    pairs = np.zeros((128, 128), np.int64)
+    for t in texts:
+        data = (t or "").encode()
+        for a, b in zip(data, data[1:], strict=False):
+            if a < 128 and b < 128:
+                pairs[a, b] += 1
+    battery = secrets.Battery(pairs)
+    tested = []
+    for k, t in enumerate(texts):
+        for a, b, s, encoding, place in secrets.candidates(t or "", secrets.base_spans(t or "")):
+            random, ordinary = battery.test(s, encoding)
+            tested.append((k, place, a, b, random, 10.0 ** (-secrets.STEP * secrets._step_of(ordinary)), max(c for c, n in enumerate(secrets.LENGTHS) if len(s) >= n)))
+    cut = {}
+    for c in range(len(secrets.LENGTHS)):
+        p = sorted(x[5] for x in tested if x[6] == c)
+        good = [q for n, q in enumerate(p, 1) if q * len(p) <= secrets.FALSE_SHARE * n]
+        cut[c] = max(good, default=-1.0)
+    out, whole = [[] for _ in texts], set()
+    for k, place, a, b, random, p, c in tested:
+        if (k, place) not in whole and random >= secrets.PLAUSIBLE and p <= cut[c] * (1 + 1e-9):
+            out[k].append((a, b))
+            if secrets.SEPARATOR.search(texts[k][a:b]):
+                whole.add((k, place))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 20])
+def test_spans_equal_the_plain_battery_in_any_layout(spark, small, partitions):
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").limit(60).collect()]
+    texts += [f"x {s} y" for s in RANDOM[:60]] + [f"see {s}" for s in ORDINARY] + [f"a/b-{s}" for s in RANDOM[40:50]] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(partitions)
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"] if s["kind"] == "random"] for r in secrets.find_secrets(df).collect()}
+    assert [found[k] for k in range(len(texts))] == [sorted(x) for x in plain_random_spans(texts)]
+    assert sum(map(len, found.values())) > 50
+
+
+def test_very_long_text(spark):
+    key = "".join(RNG.choice(ALNUM) for _ in range(64))
+    text = "plain words and more of them " * 60_000 + f"token={'ab12' * 5} {key} " + "the end " * 1000
+    df = spark.createDataFrame([(1, text), (2, "words")], "doc_id LONG, text STRING")
+    (found,) = [r["secrets"] for r in secrets.find_secrets(df).filter("doc_id = 1").collect()]
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in found] == [("assign", f"token={'ab12' * 5}"), ("random", key)]
