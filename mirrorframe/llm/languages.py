@@ -26,8 +26,10 @@ CELLS = 1 << 15
 SMOOTHING, STEPS, PENALTY = 0.5, 12, 4.0
 #: Bytes of text whose mixtures are inferred together.
 INFERRED_BYTES = 1 << 19
-#: Least share of the chief language of a document that is kept: none, as documents shared by many languages are as clean.
-LEAST_SHARE = 0.0
+#: More than the rounding of the stored log-probabilities.
+ROUNDING = 1e-3
+#: Labels whose counts the driver may hold, 256 KB for each.
+MOST_LABELS = 256
 UNKNOWN = "und"
 
 
@@ -62,10 +64,21 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Learned languages (sorted) and the log-probability of each cell in each of them.
+    """Learned languages (sorted) and the log-probability of each cell in each of them; see ``count_cells``."""
+    return model_of(*count_cells(docs, labelled, text, lang))
+
+
+def model_of(names: list[str], counts: np.ndarray) -> tuple[list[str], np.ndarray]:
+    smooth = counts + SMOOTHING
+    return names, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def count_cells(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+    """Languages (sorted) and how often each cell stands in the texts of each.
 
     Counts all labelled rows with a non-null label; a label none of whose texts has a
-    letter is not learned.  The result has ``CELLS`` numbers for each label, whatever the rows.
+    letter is not learned.  The result has ``CELLS`` numbers for each label, whatever the
+    rows; more than ``MOST_LABELS`` labels are an error.
     """
     rows = docs.filter(labelled & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
@@ -84,14 +97,34 @@ def learn(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "la
         release_memory()
 
     counts = rows.mapInArrow(count, "lang STRING, cell INT, n LONG").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    labels = counts.select("lang").distinct().limit(MOST_LABELS + 1).count()
+    if labels > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     table: dict[str, np.ndarray] = {}
     for lang_, cell, n in counts.select("lang", "cell", "n").toLocalIterator():
         table.setdefault(lang_, np.zeros(CELLS))[cell] = n
     names = sorted(table)
-    if not names:
-        return [], np.zeros((0, CELLS), np.float32)
-    smooth = np.array([table[n] for n in names]) + SMOOTHING
-    return names, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+    return names, np.array([table[n] for n in names]).reshape(len(names), CELLS)
+
+
+def least_likelihoods(counts: np.ndarray) -> np.ndarray:
+    """For each language the mean log-likelihood of a trigram below which it doesn't explain a text.
+
+    Halfway between what a training trigram has when it is left out itself and what one has that never
+    occurs.  With few training rows the two are close, and hardly a text is turned down.
+    """
+    total = counts.sum(axis=1) + SMOOTHING * counts.shape[1]
+    left_out = np.log(np.maximum(counts - 1, 0) + SMOOTHING) - np.log(total - 1)[:, None]
+    usual = (counts * left_out).sum(axis=1) / np.maximum(counts.sum(axis=1), 1)
+    return 0.5 * (usual + np.log(SMOOTHING / total)) - ROUNDING
+
+
+def likelihood(cell: np.ndarray, row: np.ndarray, share: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Mean log-likelihood of the trigrams of each row under its mixture; -inf for rows without any."""
+    p = (np.exp(log_p[:, cell].T.astype(np.float64)) * share[row]).sum(axis=1)
+    n = np.bincount(row, minlength=len(share))
+    total = np.bincount(row, np.log(np.maximum(p, 1e-300)), minlength=len(share))
+    return np.where(n > 0, total / np.maximum(n, 1), -np.inf)
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -213,13 +246,33 @@ def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
     return restore(append_columns(plain, [T.StructField("lettered", T.BooleanType())], text, make).filter("lettered"))
 
 
-def keep_known(docs: DataFrame, model, text: str = "text", least: float = LEAST_SHARE) -> DataFrame:
-    """The rows, as they are, whose text has a language, and a chief one of that share at least.
+def keep_explained(docs: DataFrame, names: list[str], counts: np.ndarray, text: str = "text") -> DataFrame:
+    """The rows, as they are, whose text the learned languages explain (``names`` and ``counts`` from ``count_cells``).
 
-    Every text with a letter has one, also where several share it evenly.  When
-    nothing was learned no text can be told apart, and all with a letter stay.
+    A text stays when it has a letter and the mean log-likelihood of its trigrams, under the
+    mixture inferred for it, reaches the bound of its languages (``least_likelihoods``, by their
+    shares).  So a text that several languages share stays; keyboard noise, encoded
+    bytes and scripts that were never learned go.  When nothing was learned no text
+    can be told apart, and all with a letter stay.
     """
-    if not model[0]:
+    import regex
+
+    if not names:
         return with_letters(docs, text)
+    shared = docs.sparkSession.sparkContext.broadcast((model_of(names, counts)[1], least_likelihoods(counts)))
+
+    def make() -> Callable:
+        log_p, least = shared.value
+        letter = regex.compile(r"\p{L}").search
+
+        def work(block: pa.RecordBatch):
+            column = block.column(text)
+            cell, row = trigrams(column)
+            share = infer(cell, row, block.num_rows, log_p)
+            fits = likelihood(cell, row, share, log_p) >= share @ least
+            return [[bool(ok) and t is not None and letter(t) is not None for t, ok in zip(column.to_pylist(), fits, strict=True)]]
+
+        return work
+
     plain, restore = set_aside(docs, text)
-    return restore(predict(plain, model, text).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))
+    return restore(append_columns(plain, [T.StructField("explained", T.BooleanType())], text, make, INFERRED_BYTES).filter("explained"))

@@ -1,3 +1,5 @@
+import math
+
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
@@ -23,9 +25,17 @@ def test_run_equals_brute_force(spark, small):
 
     table = spark.read.parquet(f"{small}/documents.parquet")
     docs = [(r["doc_id"], r["text"]) for r in table.collect()]
-    names, log_p = languages.learn(table, ~languages.held_out())
-    share = languages.infer(*languages.trigrams(pa.array([t for _, t in docs])), len(docs), log_p)
-    docs = [d for d, s in zip(docs, share, strict=True) if s.max() >= languages.LEAST_SHARE and any(c.isalpha() for c in d[1])]
+    names, counts = languages.count_cells(table, ~languages.held_out())
+    log_p, least = languages.model_of(names, counts)[1], languages.least_likelihoods(counts)
+
+    def explained(text):
+        cells, rows = languages.trigrams(pa.array([text]))
+        (share,) = languages.infer(cells, rows, 1, log_p)
+        each = [math.log(sum(s * math.exp(p) for s, p in zip(share, log_p[:, c], strict=True))) for c in cells.tolist()]
+        return any(c.isalpha() for c in text) and sum(each) / max(1, len(each)) >= share @ least
+
+    before, docs = len(docs), [d for d in docs if explained(d[1])]
+    assert 0.9 * before < len(docs)
     lead = brute.classes(docs)
     docs = [d for d in docs if lead[d[0]][1] == d[0]]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
