@@ -17,8 +17,8 @@ from mirrorframe.llm.queries import token_digests
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, whatever languages the others share; languages are learned from four fifths of the labelled rows."""
-    return languages.keep_known(docs, languages.learn(docs, ~languages.held_out()))
+    """Documents that no mixture of learned languages explains go; languages are learned from four fifths of the labelled rows."""
+    return languages.keep_explained(docs, *languages.count_cells(docs, ~languages.held_out()))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
