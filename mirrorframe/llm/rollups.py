@@ -3,8 +3,9 @@
 Totals by source, language and tokenizer version are additive, so a batch of
 changes needs no recount: an insert adds its counts, a delete subtracts them, a
 revision subtracts the old and adds the new.  A batch is committed as the small
-table of its signed totals in a folder named by its id.  Committing a batch again
-replaces that folder by the same rows, so a repeated or restarted commit counts once.
+table of its signed totals in a folder named by its id.  A folder counts once it has
+the mark that Spark leaves when all files are written; a batch that has one is not
+written again, so a repeated or restarted commit counts once, and no reader sees half of it.
 """
 
 from __future__ import annotations
@@ -69,14 +70,27 @@ def totals(deltas: DataFrame) -> DataFrame:
     return summed.filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0) | (F.col("n_bytes") != 0))
 
 
+def _complete(spark: SparkSession, folder: str) -> list[str]:
+    """The folders of the batches that are written to the end; none where there is no folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    found = [f.getPath() for f in files.listStatus(path) if f.isDirectory()]
+    return [p.toString() for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
 def commit(deltas: DataFrame, folder: str, batch: str) -> None:
-    """Write a batch's signed totals to its own folder; the same batch may be committed any number of times."""
+    """Write a batch's signed totals to its own folder; a batch that is complete is left as it is, and its rows aren't read."""
     if not batch.replace("-", "").isalnum():
         raise ValueError(f"a batch id has letters, digits and '-': {batch!r}")
+    if any(done.endswith(f"/batch={batch}") for done in _complete(deltas.sparkSession, folder)):
+        return
     summed = deltas.groupBy(*KEYS).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
     summed.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
 
 def read_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals over all committed batches."""
-    return totals(spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", "true").parquet(folder))
+    """Totals over all complete batches; without any, no rows."""
+    done = _complete(spark, folder)
+    return totals(spark.read.schema(COMMIT_SCHEMA).parquet(*done) if done else spark.createDataFrame([], COMMIT_SCHEMA))

@@ -59,3 +59,19 @@ def test_empty_and_bad_batches(spark, folder):
     assert rollups.read_totals(spark, folder).count() == 0
     with pytest.raises(ValueError, match="batch id"):
         rollups.commit(rollups.inserts(rollups.counted(table(spark), "words-1")), folder, "a/b")
+
+
+def test_only_complete_batches_count_and_they_stay(spark, folder):
+    import os
+
+    assert rollups.read_totals(spark, folder).collect() == []
+    counted = rollups.counted(table(spark), "words-1")
+    rollups.commit(rollups.inserts(counted), folder, "a")
+    rollups.commit(rollups.inserts(counted), folder, "b")
+    os.remove(f"{folder}/batch=b/_SUCCESS")  # as after a crash
+    want = brute(ROWS, r"[^\x20\x09-\x0D]+")
+    assert read(rollups.read_totals(spark, folder)) == want
+    rollups.commit(rollups.deletes(counted), folder, "a")  # complete: not written again
+    assert read(rollups.read_totals(spark, folder)) == want
+    rollups.commit(rollups.deletes(counted), folder, "b")
+    assert rollups.read_totals(spark, folder).collect() == []
