@@ -4,6 +4,7 @@ import tempfile
 
 import numpy as np
 import pytest
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -13,8 +14,11 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark():
+    builder = SparkSession.builder.master("local[8]")
+    if not SparkConf().get("spark.checkpoint.dir", None):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ckpt-"))
     session = (
-        SparkSession.builder.master("local[8]")
+        builder
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
@@ -22,8 +26,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ckpt-"))
     yield session
     session.stop()
 
