@@ -486,3 +486,12 @@ bl AS MATERIALIZED (SELECT a.i AS i, coalesce(min(least(1.0::DOUBLE, 2 * (1 - ab
 ORACLES["s_asdp_cluster_pairs"] = f"WITH RECURSIVE {_FAR.strip()}{PAIRS_S[len(PAIRS):]} SELECT i::INTEGER AS i, round(sc, 7) AS s_corr, round(s, 7) AS s FROM s"
 # the sign start has the lowest determinant, so the fit from all starts is its fit
 ORACLES["mcd_all_starts"] = ORACLES["mcd_sign_start"]
+
+
+def _ridged_pairs(run_id, reg):
+    plain = "cov AS MATERIALIZED (SELECT x.i AS i, y.i AS j, covar_samp(x.v, y.v) AS v FROM l x JOIN l y USING (vec_id) GROUP BY ALL),"
+    ridged = PAIRS_S.replace(plain, plain.replace("cov AS", "plain AS") + f" cov AS MATERIALIZED (SELECT i, j, v + CASE WHEN i = j THEN {reg}::DOUBLE ELSE 0 END AS v FROM plain),")
+    return f"SELECT * FROM (WITH RECURSIVE {ridged.strip()} SELECT {run_id} AS run_id, i::INTEGER AS i, round(target, 6) + 0.0 AS v FROM s)"
+
+
+ORACLES["estimator_sweep_pairs"] = " UNION ALL ".join(_ridged_pairs(k, reg) for k, reg in enumerate((0.0, 0.001, 0.01)))

@@ -864,6 +864,13 @@ def estimator_sweep(spark, sf):
     return rounded(analysis.estimator_sweep(two_features(spark, sf), ["f0", "f1"], grid, method="sdp"), 5, "v")
 
 
+@query
+def estimator_sweep_pairs(spark, sf):
+    """All 64 features under three ridges, blocks of two."""
+    grid = [(0, False, 0.0), (1, False, 0.001), (2, False, 0.01)]
+    return rounded(analysis.estimator_sweep(paired64(spark, sf), "x", grid, method="asdp", block_size=2), 6, "v")
+
+
 @query
 def estimator_sweep_robust(spark, sf):
     grid = [(0, False, 0.0), (1, True, 0.0), (2, True, 0.001)]

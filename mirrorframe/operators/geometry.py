@@ -80,20 +80,23 @@ def s_asdp(cov: DataFrame, block_size: int = 50, method: str = "selfblocks") ->
     return _s_table(cov.sparkSession, np.clip(smallmat.feasible_scale(corr, s) * s, 0.0, 1.0), sigma)
 
 
-def local_s(sigma: np.ndarray, method: str, block_size: int, tol: float, reg: float = 1e-4) -> np.ndarray:
-    """``s_corr`` by one of the programs inside a single task, with the same steps as the tables' operators."""
+def local_s(sigma: np.ndarray, method: str, block_size: int, tol: float, reg: float = 1e-4, start: np.ndarray | None = None, count: list[int] | None = None) -> np.ndarray:
+    """``s_corr`` by one of the programs inside a single task, with the same steps as the tables' operators.
+
+    ``start`` may be what a similar matrix gave; ``count`` is given the Newton steps of each program.
+    """
     corr = smallmat.correlation(sigma)
     if method == "equi":
         return np.full(len(corr), min(1.0, max(0.0, 2.0 * (smallmat.lambda_min(corr) - tol))))
     if method == "sdp":
-        return smallmat.max_sum_s(smallmat.correlation(_ridged(sigma, reg)), tol)
+        return smallmat.max_sum_s(smallmat.correlation(_ridged(sigma, reg)), tol, start, count)
     if method not in ("asdp", "cluster"):
         raise ValueError(f"unknown method: {method}")
     block = _blocks(sigma, block_size, "cluster" if method == "cluster" else "selfblocks")
     s = np.empty(len(corr))
     for b in np.unique(block):
         at = np.flatnonzero(block == b)
-        s[at] = smallmat.max_sum_s(corr[np.ix_(at, at)], 0.0)
+        s[at] = smallmat.max_sum_s(corr[np.ix_(at, at)], 0.0, None if start is None else start[at], count)
     return np.clip(smallmat.feasible_scale(corr, s) * s, 0.0, 1.0)
 
 

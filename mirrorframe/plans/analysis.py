@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mirrorframe.functions import smallmat
@@ -16,6 +16,8 @@ from mirrorframe.functions.vectors import Features
 from mirrorframe.operators import geometry, moments, robust
 
 BLOCK_SIZE = 50
+#: Runs of one estimator that one task solves, one from the other.
+RUNS_PER_TASK = 8
 METHODS = ("equi", "sdp", "asdp", "cluster")
 
 
@@ -128,7 +130,8 @@ def estimator_sweep(df: DataFrame, features: Features, grid: Sequence[tuple[int,
     """Target correlations for every (run_id, robust_cov, reg_val); ``(run_id, i, v)``.
 
     Each estimator is fitted once for the whole grid.  The grid alone is then
-    distributed, one run per task; the p x p matrices travel with the function.
+    distributed, ``RUNS_PER_TASK`` neighbouring ridges of one estimator together: from the
+    largest on, each solution starts the search for the next one.  The p x p matrices travel with the function.
     Features without variance are left out, as in ``second_order``; the others keep their
     positions.  Run ids that occur twice, and a method that isn't known, are errors.
     """
@@ -148,9 +151,13 @@ def estimator_sweep(df: DataFrame, features: Features, grid: Sequence[tuple[int,
         warnings.warn(f"features without variance are left out: positions {constant}", stacklevel=2)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sigma = sigmas[bool(pdf["robust_cov"].iloc[0])][np.ix_(varies, varies)]
-        sigma = sigma + float(pdf["reg_val"].iloc[0]) * np.eye(sigma.shape[0])
-        s = geometry.local_s(sigma, method, block_size, tol)
-        return pd.DataFrame({"run_id": int(pdf["run_id"].iloc[0]), "i": varies.astype(np.int32), "v": 1.0 - s})
-
-    return grid.groupBy("run_id").applyInPandas(run, "run_id INT, i INT, v DOUBLE")
+        out, s = [], None
+        for row in pdf.sort_values(["reg_val", "run_id"], ascending=[False, True]).itertuples():
+            sigma = sigmas[bool(row.robust_cov)][np.ix_(varies, varies)]
+            s = geometry.local_s(sigma + float(row.reg_val) * np.eye(sigma.shape[0]), method, block_size, tol, start=s)
+            out.append(pd.DataFrame({"run_id": int(row.run_id), "i": varies.astype(np.int32), "v": 1.0 - s}))
+        return pd.concat(out)
+
+    place = F.row_number().over(Window.partitionBy("robust_cov").orderBy(F.desc("reg_val"), "run_id"))
+    chained = grid.withColumn("chain", F.floor((place - 1) / RUNS_PER_TASK))
+    return chained.groupBy("robust_cov", "chain").applyInPandas(run, "run_id INT, i INT, v DOUBLE")

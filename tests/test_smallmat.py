@@ -134,3 +134,21 @@ def test_five_thousand_features_group_in_seconds(rng):
     started = time.process_time()
     labels = smallmat.agglomerate(dist, "ward", n_groups=40)
     assert labels.max() == 40 and time.process_time() - started < 60
+
+
+def test_a_solution_nearby_saves_steps(rng):
+    x = rng.normal(size=(300, 40)) @ (np.eye(40) + 0.3 * rng.normal(size=(40, 40)))
+    sigma = np.cov(x, rowvar=False)
+    start, cold, warm = None, [], []
+    for reg in (1.0, 0.9, 0.8, 0.5, 0.2, 0.18, 0.16):
+        corr = smallmat.correlation(sigma + reg * np.eye(40))
+        alone = smallmat.max_sum_s(corr, 1e-3, count=cold)
+        start = smallmat.max_sum_s(corr, 1e-3, start, warm)
+        assert np.allclose(start, alone, atol=1e-6)
+    assert warm[0] == cold[0] and sum(warm[1:]) < 0.75 * sum(cold[1:])
+
+
+def test_a_useless_start_does_no_harm():
+    corr = np.array([[1, 0.8, 0.1], [0.8, 1, 0.5], [0.1, 0.5, 1]])
+    for start in (np.zeros(3), np.ones(3), np.array([1.0, 0.0, 1.0])):
+        assert np.allclose(smallmat.max_sum_s(corr, start=start), smallmat.max_sum_s(corr), atol=1e-6)
