@@ -1,24 +1,25 @@
 """Jaccard join of word n-gram sets over a token-group matrix.
 
 1. Every text becomes its set of shingles; texts with equal sets are one node.
-2. A node can only be linked with one that shares a token of its prefix: the few tokens
-   that come first in an order of rising frequency, one more than may be missing in a
-   partner.  Nodes without such a token in common with another are done.
+2. A node publishes the first tokens of its set in the order of their hashes: as many as a
+   partner may lack, and some more.  Two linked nodes have at least that surplus of
+   published tokens in common, so a node that shares fewer with all others together is done.
+   A passage or a line that many texts have doesn't keep them here.
 3. The other nodes are partitioned into groups of similar ones: those that share their
-   most common prefix token and have about one size.  A group is stored as one block: the
-   sets of its members and the union of their tokens.  The token-group matrix names the
-   groups in which a token is a prefix token.
+   most common published token and have about one size.  A group is stored as one block, the
+   sets of its members.  The token-group matrix names the groups that publish a token.
 4. A query is a node with a group in whose column of the matrix it has a token.  The
-   number of its tokens in the group's union bounds what it can have in common with any member.
-   Only groups whose bound reaches what a link needs are opened, and the query is
-   compared with their members on the full sets.
-5. Every group is a query to itself, first.  Then every node asks one group for each
-   of its tokens, the same for all nodes, which joins families of copies along a star.  Last,
-   for each token, the nodes outside its largest component ask all its groups, so every pair of
-   nodes that may be linked and isn't in one component by then has been looked at.
-
-No pair is lost: the prefix and the bound leave out nothing that reaches the threshold.
-The order of tokens comes from counts in ``CELLS`` cells; any order gives the same links.
+   number of its tokens in the union of the group's sets bounds what it can have in common with
+   any member.  Only groups whose bound reaches what a link needs are opened, and the
+   query is compared with their members on the full sets.
+5. Every group is a query to itself, first.  Then every node asks one group, that of the
+   smallest name for most of its tokens, which joins families of copies along a star.
+   Last come the nodes of which enough tokens stand in a node of another component: for
+   the rarest published tokens of each, of which a partner has one, those outside the
+   largest component of a token ask all its groups; so every pair of nodes that may be
+   linked and isn't in one component by then has been looked at.
+
+No pair is lost: published tokens and bounds leave out nothing that reaches the threshold.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +39,10 @@ from mirrorframe.llm.near import Shingles
 from mirrorframe.llm.texts import U64
 
 SHINGLE, PERCENT = 3, 90
-#: Cells of the counts that order tokens, and how they are cut up to be added.
-CELLS, SLICE = 1 << 20, 1 << 14
+#: A set publishes one token for so many of its own beyond those that a partner may lack.
+SURPLUS = 20
+#: Rounds of leaving out nodes that share too few tokens with those still there.
+ROUNDS = 2
 #: Members and tokens of a group; one set of more tokens is a group of its own.
 MEMBERS, TOKENS = 64, 1 << 17
 #: Ratio of the largest to the smallest set of a group.
@@ -57,75 +60,73 @@ def smallest_partner(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    """Tokens of which a linked partner has at least one among its own first ones."""
-    return n - needed(n, smallest_partner(n, percent), percent) + 1
+def surplus(n: int) -> int:
+    return max(1, n // SURPLUS)
 
 
-def _node(values: np.ndarray) -> bytes:
-    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+def published(n: int, percent: int = PERCENT) -> int:
+    """How many tokens a set of ``n`` publishes."""
+    return min(n, n - needed(n, smallest_partner(n, percent), percent) + surplus(n))
 
 
-def token_classes(docs: DataFrame, size: int) -> np.ndarray:
-    """How common tokens are: a class for each of ``CELLS`` cells of their hashes, four classes to a doubling of the count.
-
-    Tasks count whole cells; slices of cells are added by as many tasks as there are.
-    """
+def least_shared(n: int, percent: int = PERCENT) -> int:
+    """How many published tokens a set of ``n`` has in common with any set it is linked with, at least."""
+    return surplus(smallest_partner(n, percent))
 
-    def count(batches):
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for block in text_blocks(batch, "text"):
-                cells += np.bincount((Shingles(block.column("text"), size).hashes & U64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        for k in range(CELLS // SLICE):
-            own = cells[k * SLICE : (k + 1) * SLICE]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["slice", "cells"])
-        release_memory()
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, cells in zip(batch.column("slice").to_pylist(), batch.column("cells"), strict=True):
-                own = np.frombuffer(cells.as_buffer(), np.int64)
-                total[k] = total[k] + own if k in total else own
-        for k, own in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["slice", "cells"])
+def _least_shared(percent: int) -> Column:
+    """``least_shared`` of a column ``n``."""
+    return F.expr(f"greatest(1, (({percent} * n + 99) div 100) div {SURPLUS})")
 
-    cells = np.zeros(CELLS, np.int64)
-    for r in docs.mapInArrow(count, "slice INT, cells BINARY").repartition("slice").mapInArrow(add, "slice INT, cells BINARY").collect():
-        cells[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["cells"], np.int64)
-    return (4 * np.log2(np.maximum(cells, 1))).astype(np.uint8)
 
+def _node(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
-def prefix(values: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first tokens of a set in the common order: by class, then by hash."""
-    order = np.lexsort((values, classes[(values & U64(CELLS - 1)).astype(np.int64)]))
-    return values[order[: prefix_length(len(values), percent)]]
 
+def shingle_sets(docs: DataFrame, key_type: T.DataType, size: int, percent: int) -> DataFrame:
+    """(key, n, node, alias, tokens) of every row of (key, text); the last three are null without words.
 
-def shingle_sets(docs: DataFrame, key_type: T.DataType, classes: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(key, n, node, prefix) of every row of (key, text); the last two are null without words.  ``node`` is 128 bits of the set's digest."""
+    ``node`` is 128 bits of the set's digest, ``alias`` half of them, ``tokens`` those published.
+    """
     schema = T.StructType([
-        T.StructField("key", key_type), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
+        T.StructField("key", key_type), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("alias", T.LongType()),
+        T.StructField("tokens", T.ArrayType(T.LongType())),
     ])
 
     def run(batches):
         for batch in batches:
             for block in text_blocks(batch, "text"):
                 sets = list(Shingles(block.column("text"), size).sets())
-                firsts = [prefix(s, classes, percent).view(np.int64) if len(s) else None for s in sets]
+                nodes = [_node(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    block.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array(firsts, pa.list_(pa.int64())),
+                    block.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()),
+                    pa.array([None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in nodes], pa.int64()),
+                    pa.array([s[: published(len(s), percent)].view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ], names=schema.names)
         release_memory()
 
     return docs.mapInArrow(run, schema)
 
 
+def shared_tokens(features: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(token, alias, n, df) of the published tokens that several nodes have, for nodes that share enough of them.
+
+    Halves of names stand for nodes: where two nodes have one half, both stay and have the tokens of both.
+    """
+    sizes = nodes.groupBy("alias").agg(F.min("n").alias("n"))
+    rows = features.filter("node is not null").select("alias", F.explode("tokens").alias("token"))
+    for k in range(ROUNDS):
+        # copies count in df, which only orders tokens, but don't make a token shared
+        counts = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("alias").alias("_a"), F.max("alias").alias("_b")).filter("_a <> _b").select("token", "df")
+        found = written(rows.join(counts, "token").dropDuplicates(["token", "alias"]).select("token", "alias", "df"), "shared-tokens")
+        enough = found.groupBy("alias").count().join(sizes, "alias").filter(F.col("count") >= _least_shared(percent)).select("alias", "n")
+        enough = broadcast_if_small(written(enough, "sharing"))
+        rows = found.select("alias", "token").join(enough.select("alias"), "alias", "left_semi")
+    return written(found.join(enough, "alias"), "shared-tokens")
+
+
 def full_sets(docs: DataFrame, live: DataFrame, size: int) -> DataFrame:
-    """(node, n, g, tokens) for the nodes of ``live`` (node, n, g, key): the texts of their keys are read again."""
+    """(node, g, tokens) for the nodes of ``live`` (node, g, key): the texts of their keys are read again."""
 
     def run(batches):
         for batch in batches:
@@ -136,23 +137,23 @@ def full_sets(docs: DataFrame, live: DataFrame, size: int) -> DataFrame:
 
     keys = broadcast_if_small(written(live.select(F.col("key").alias("_key")).distinct(), "live-keys"))
     texts = docs.join(keys, F.col("key").eqNullSafe(F.col("_key")), "left_semi").select("text")
-    return texts.mapInArrow(run, "node BINARY, tokens BINARY").join(live.select("node", "n", "g"), "node").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node BINARY, tokens BINARY").join(broadcast_if_small(live.select("node", "g")), "node")
 
 
 # -- groups ------------------------------------------------------------------------------
 
 
 def assign_groups(shared: DataFrame) -> DataFrame:
-    """(node, n, g) from the shared prefix tokens (token, node, n, df): nodes of one most common token and about one size.
+    """(alias, g) from the shared tokens (token, alias, n, df): nodes of one most common token and about one size.
 
     A set of nodes with more members or tokens than a group holds is cut by a hash of the node.
     """
-    top = shared.groupBy("node").agg(F.max(F.struct("df", "token"))["token"].alias("token"), F.first("n").alias("n"))
+    top = shared.groupBy("alias").agg(F.max(F.struct("df", "token"))["token"].alias("token"), F.first("n").alias("n"))
     top = top.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)))
     sizes = top.groupBy("token", "step").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / TOKENS)).alias("parts")).filter("parts > 1")
     dealt = top.join(sizes, ["token", "step"], "left")
-    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
-    return dealt.select("node", "n", F.xxhash64("token", "step", part).alias("g"))
+    part = F.pmod(F.xxhash64("alias"), F.coalesce("parts", F.lit(1)))
+    return dealt.select("alias", F.xxhash64("token", "step", part).alias("g"))
 
 
 class Block:
@@ -194,24 +195,24 @@ class Block:
         return label, links
 
 
-BLOCK = "g LONG, low LONG, high LONG, nodes ARRAY<BINARY>, labels ARRAY<INT>, sizes ARRAY<LONG>, tokens BINARY, union BINARY, links ARRAY<STRUCT<u: BINARY, v: BINARY>>"
+BLOCK = "g LONG, nodes ARRAY<BINARY>, labels ARRAY<INT>, sizes ARRAY<LONG>, tokens BINARY, links ARRAY<STRUCT<u: BINARY, v: BINARY>>"
 
 
 def group_blocks(sets: DataFrame, percent: int) -> DataFrame:
-    """One row for each group: its members' sets, the union of their tokens, and the links among them."""
+    """One row for each group: its members' sets and the links among them; a node that comes several times counts once."""
 
     def block(g: int, members: list) -> pa.RecordBatch:
         own = Block([m[0] for m in members], [np.frombuffer(m[1], U64) for m in members])
         label, links = own.components(percent)
         row = {
-            "g": g, "low": int(own.sizes.min()), "high": int(own.sizes.max()), "nodes": own.nodes, "labels": label.tolist(), "sizes": own.sizes.tolist(),
-            "tokens": own.tokens.tobytes(), "union": np.unique(own.tokens).tobytes(), "links": [{"u": own.nodes[a], "v": own.nodes[b]} for a, b in links],
+            "g": g, "nodes": own.nodes, "labels": label.tolist(), "sizes": own.sizes.tolist(), "tokens": own.tokens.tobytes(),
+            "links": [{"u": own.nodes[a], "v": own.nodes[b]} for a, b in links],
         }
         return pa.RecordBatch.from_pylist([row], schema=arrow)
 
     arrow = pa.schema([
-        ("g", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("nodes", pa.list_(pa.binary())), ("labels", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())),
-        ("tokens", pa.binary()), ("union", pa.binary()), ("links", pa.list_(pa.struct([("u", pa.binary()), ("v", pa.binary())]))),
+        ("g", pa.int64()), ("nodes", pa.list_(pa.binary())), ("labels", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()),
+        ("links", pa.list_(pa.struct([("u", pa.binary()), ("v", pa.binary())]))),
     ])
 
     def run(batches):
@@ -222,7 +223,8 @@ def group_blocks(sets: DataFrame, percent: int) -> DataFrame:
                     yield block(at, members)
                     members = []
                 at = g
-                members.append((node, tokens))
+                if not members or members[-1][0] != node:
+                    members.append((node, tokens))
         if members:
             yield block(at, members)
         release_memory()
@@ -240,15 +242,28 @@ def qualifies(query: np.ndarray, union: np.ndarray, low: int, percent: int = PER
     return overlap >= needed(len(query), max(low, smallest_partner(len(query), percent)), percent)
 
 
-def ask(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+def _members(blocks: DataFrame) -> DataFrame:
+    """(node, tokens) of all members of all blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sizes = np.array(batch.column("sizes")[k].as_py())
+                sets = np.split(np.frombuffer(batch.column("tokens")[k].as_buffer(), U64), np.cumsum(sizes)[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column("nodes")[k].values, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+
+    return blocks.select("nodes", "sizes", "tokens").mapInArrow(run, "node BINARY, tokens BINARY")
+
+
+def ask(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """The links (u, v) that queries (node, g) find: one for each component of the group's members that they are linked with.
 
     Queries travel to their group's block, or to one of its copies where there are many.
     """
     asked = pairs.groupBy("g").agg(F.floor(F.count("*") / QUERIES).alias("_more"))
     asked = broadcast_if_small(written(asked, "asked"))
-    empty = {"nodes": "array<binary>", "labels": "array<int>", "sizes": "array<bigint>", "union": "binary", "low": "bigint"}
-    queries = pairs.join(asked, "g").join(sets.select("node", "tokens"), "node")
+    empty = {"nodes": "array<binary>", "labels": "array<int>", "sizes": "array<bigint>"}
+    queries = _members(blocks).join(broadcast_if_small(pairs), "node").join(asked, "g")
     queries = queries.select("g", F.pmod(F.xxhash64("node"), F.col("_more") + 1).alias("copy"), F.lit(1).alias("kind"), "node", "tokens", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
     held = blocks.join(asked, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), "_more")).alias("copy"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("node"), "tokens", *empty)
 
@@ -262,8 +277,7 @@ def ask(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int) -> D
                 if kind == 0:
                     sizes = batch.column("sizes")[k].as_py()
                     block = Block(batch.column("nodes")[k].as_py(), np.split(values, np.cumsum(sizes)[:-1]))
-                    labels, low = np.array(batch.column("labels")[k].as_py()), batch.column("low")[k].as_py()
-                    union = np.frombuffer(batch.column("union")[k].as_buffer(), U64)
+                    labels, low, union = np.array(batch.column("labels")[k].as_py()), min(sizes), np.unique(values)
                 elif qualifies(values, union, low, percent):
                     found = block.linked(values, percent)
                     for j in found[np.unique(labels[found], return_index=True)[1]].tolist():
@@ -281,34 +295,73 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return written(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
 
 
-def link_nodes(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, component) of all nodes (node, n, key, prefix) that share a prefix token with another."""
-    postings = nodes.select("node", "n", F.explode("prefix").alias("token"))
-    counts = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = written(postings.join(counts, "token"), "shared-tokens")
-    live = written(assign_groups(shared).join(nodes.select("node", "key"), "node"), "live")
-    sets = written(full_sets(docs, live, size), "sets")
-    blocks = written(group_blocks(sets, percent), "blocks")
+def _top(rows: DataFrame, by: str, value: str, size: str) -> DataFrame:
+    """For each ``by`` the ``value`` with the most rows, of equal ones the largest."""
+    counts = rows.groupBy(by, value).agg(F.count("*").alias(size))
+    return counts.groupBy(by).agg(F.max(F.struct(size, value))[value].alias(f"_{value}"), F.count("*").alias("_several"))
+
+
+def _mixed(rare: DataFrame) -> DataFrame:
+    """The rows (token, node, component, ...) of tokens in several components, with the largest one of the token."""
+    tops = _top(rare, "token", "component", "_size").filter("_several > 1").select("token", "_component")
+    return rare.join(tops, "token")
+
+
+def _able(mixed: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """The nodes of ``mixed`` that may still be linked: enough tokens of their whole set stand in a node of another component.
+
+    A link across components needs so many common tokens with the smallest possible
+    partner; only nodes of ``mixed`` can be partners.
+    """
+    low = mixed.groupBy("token").agg(F.min("n").alias("_low"))
+    seen = mixed.join(low, "token").groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("_low").alias("_low"))
+    seen = written(seen, "mixed-nodes")
+
+    def spread(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                tokens = np.frombuffer(batch.column("tokens")[k].as_buffer(), np.int64)
+                same = [pa.array([batch.column(c)[k].as_py()], pa.binary()).take(pa.array(np.zeros(len(tokens), np.int32))) for c in ("node", "component")]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), *same], names=["h", "node", "component"])
+
+    spread_tokens = _members(blocks).join(broadcast_if_small(seen.select("node", "component")), "node").mapInArrow(spread, "h LONG, node BINARY, component BINARY")
+    several = spread_tokens.groupBy("h").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("h")
+    across = spread_tokens.select("h", "node").join(several, "h").groupBy("node").agg(F.count("*").alias("across"))
+    partner = F.greatest(F.col("_low"), F.expr(f"({percent} * n + 99) div 100"))
+    return seen.join(across, "node").filter((100 + percent) * F.col("across") >= percent * (F.col("n") + partner)).select("node")
+
+
+def link_nodes(features: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of all nodes (node, alias, n, key) that share enough published tokens with others."""
+    shared = shared_tokens(features, nodes, percent)
+    live = written(nodes.join(assign_groups(shared), "alias"), "live")
+    blocks = written(group_blocks(full_sets(docs, live, size), percent), "blocks")
     inside = blocks.select(F.explode("links").alias("l")).select("l.u", "l.v")
 
-    placed = shared.select("token", "node", "n").join(live.select("node", "g"), "node")
-    # the token-group matrix, with the sizes of the sets that have the token
-    matrix = written(placed.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")), "matrix")
+    # the token-group matrix, with the nodes that have the token
+    placed = written(shared.select("token", "alias", "df").join(live.select("alias", "node", "n", "g"), "alias").drop("alias"), "placed")
+    hubs = placed.groupBy("token").agg(F.min("g").alias("hub"), F.max("g").alias("_g")).filter("hub <> _g").select("token", "hub")
+    own = live.select("node", "g")
+    first = _top(placed.join(hubs, "token").select("node", "hub"), "node", "hub", "_size").join(own, "node").filter("g <> _hub")
+    first = written(first.select("node", F.col("_hub").alias("g")), "asked-first")
+    labels = _labels(live, written(inside.unionByName(ask(first, blocks, percent)), "links"))
+
+    # two linked nodes lack so few of each other's published tokens that they share one of the rarest of both;
+    # those that no other node has are the rarest of all
+    all_shared = F.count("*").over(Window.partitionBy("node"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
+    rare = placed.withColumns({"_rank": rank, "_all": all_shared}).filter(F.col("_rank") <= F.col("_all") - _least_shared(percent) + 1)
+    rare = written(rare.join(labels, "node").select("token", "node", "n", "g", "component"), "rare-tokens")
+    mixed = written(_mixed(rare), "mixed-tokens")
+    mixed = _mixed(mixed.select(*rare.columns).join(_able(mixed, blocks, percent), "node", "left_semi"))
+    matrix = mixed.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     fits = (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
-    hubs = matrix.groupBy("token").agg(F.min("g").alias("_hub"), F.count("*").alias("_groups")).filter("_groups > 1").select("token", F.col("_hub").alias("_g"))
-    # the other sizes in a hub count as well: it is asked for its family, not for one token
-    first = written(placed.join(hubs, "token").filter("g <> _g").select("node", F.col("_g").alias("g")).distinct(), "asked-first")
-    labels = _labels(live, written(inside.unionByName(ask(first, sets, blocks, percent)), "links"))
-
-    seen = placed.join(labels, "node")
-    by_component = seen.groupBy("token", "component").agg(F.count("*").alias("_size"))
-    mixed = by_component.groupBy("token").agg(F.max(F.struct("_size", "component"))["component"].alias("_top"), F.count("*").alias("_components")).filter("_components > 1")
-    minor = seen.join(mixed.select("token", "_top"), "token").filter("component <> _top").select("token", "node", "n", F.col("g").alias("_own"))
+    minor = mixed.filter("component <> _component").select("token", "node", "n", F.col("g").alias("_own"))
     rest = minor.join(matrix, "token").filter(fits & (F.col("g") != F.col("_own"))).select("node", "g").distinct()
     rest = written(rest.join(first, ["node", "g"], "left_anti"), "asked-last")
     if rest.isEmpty():
         return labels
-    links = written(ask(rest, sets, blocks, percent), "links")
+    links = written(ask(rest, blocks, percent), "links")
     u, v = (labels.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in "uv")
     merged = components(links.join(u, "u").join(v, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")))
     merged = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
@@ -326,10 +379,9 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Other columns are not read.
     """
     rows = docs.select(named(key).alias("key"), named(text).alias("text"))
-    classes = token_classes(rows.select("text"), size)
-    found = written(shingle_sets(rows, docs.schema[key].dataType, classes, size, percent), "features")
-    nodes = written(found.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
-    labels = link_nodes(nodes, rows, size, percent)
+    found = written(shingle_sets(rows, docs.schema[key].dataType, size, percent), "features")
+    nodes = written(found.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("alias").alias("alias")), "nodes")
+    labels = link_nodes(found, nodes, rows, size, percent)
     lead = nodes.select("node", "key").join(labels, "node").groupBy("component").agg(F.min("key").alias("_lead"))
     leads = labels.join(lead, "component").select("node", "_lead")
     named_ = nodes.select("node", "key").join(leads, "node", "left").select("node", F.coalesce("_lead", "key").alias("_component"))

@@ -97,10 +97,10 @@ def test_very_long_text(spark, rng):
     assert found(spark.createDataFrame(docs, "doc_id LONG, text STRING")) == plain(docs)
 
 
-def test_prefixes_meet_where_sets_are_linked(rng):
-    """The smallest overlaps that link: the prefixes of both share a token, whatever the order."""
-    for _ in range(400):
-        n = int(rng.integers(1, 60))
+def test_linked_sets_share_enough_of_what_they_publish(rng):
+    """The smallest overlaps that link, in any order of the tokens."""
+    for _ in range(600):
+        n = int(rng.integers(1, 150))
         m = int(rng.integers(groups.smallest_partner(n), n + 1))
         c = max(groups.needed(n, m), 1)
         if c > m:
@@ -108,8 +108,13 @@ def test_prefixes_meet_where_sets_are_linked(rng):
         tokens = rng.permutation(n + m - c)
         a, b = set(tokens[:n].tolist()), set(tokens[n - c :].tolist())
         assert len(a & b) == c and 100 * c >= 90 * (n + m - c) > 100 * c - 190
-        first_a, first_b = sorted(a)[: groups.prefix_length(n)], sorted(b)[: groups.prefix_length(m)]
-        assert set(first_a) & set(first_b)
+        shared = set(sorted(a)[: groups.published(n)]) & set(sorted(b)[: groups.published(m)])
+        assert len(shared) >= max(groups.least_shared(n), groups.least_shared(m))
+
+
+def test_least_shared_as_a_column(spark):
+    rows = spark.range(1, 700).selectExpr("id AS n").select("n", groups._least_shared(90).alias("s")).collect()
+    assert all(r["s"] == groups.least_shared(r["n"]) for r in rows)
 
 
 def test_bound_keeps_partners_and_closes_other_groups(rng):
