@@ -77,15 +77,24 @@ class PieceWords:
         self.code = code[self.rows]
         halves = np.array([_halves(x) for x in self.langs], U64).reshape(-1, 2)
         self.low, self.high = halves[self.code, 0], halves[self.code, 1]
-        self.first = words.hashes
-        self.second = spans_hash(PIECE_WORDS.value[self.data], self.starts, self.ends, BYTE_POWERS_2)
+        self.first, self.known = words.hashes, {}
 
-    def names(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The two halves of the name of the ``size`` words from each word on; only those with ``left >= size`` are phrases."""
-        n = len(self.starts)
-        at = np.arange(n)
-        end = np.minimum(at + size, n)
-        return mix(spans_hash(self.first, at, end, WORD_POWERS) + self.low), mix(spans_hash(self.second, at, end, WORD_POWERS_2) + self.high)
+    def name(self, size: int) -> np.ndarray:
+        """The first half of the name of the ``size`` words from each word on; only those with ``left >= size`` are phrases."""
+        if size not in self.known:
+            self.known[size] = mix(spans_hash(self.first, *self._spans(size), WORD_POWERS) + self.low)
+        return self.known[size]
+
+    def other_half(self, size: int, at: np.ndarray) -> np.ndarray:
+        """The second half of these names, at some places."""
+        if "second" not in self.known:
+            self.known["second"] = spans_hash(PIECE_WORDS.value[self.data], self.starts, self.ends, BYTE_POWERS_2)
+        starts, ends = self._spans(size)
+        return mix(spans_hash(self.known["second"], starts[at], ends[at], WORD_POWERS_2) + self.high[at])
+
+    def _spans(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(len(self.starts))
+        return at, np.minimum(at + size, len(at))
 
     def text(self, at: int, size: int) -> tuple[str, str]:
         """(language, phrase) of the words from one on."""
@@ -133,8 +142,7 @@ def count_phrases(docs: DataFrame, wanted: Callable[[PieceWords], list[tuple[int
             for rows in text_blocks(batch, "text", block):
                 words = PieceWords(rows.column("text"), rows.column("lang"))
                 for size, at in wanted(words):
-                    a, b = words.names(size)
-                    a, b, n = _rows_of(a[at], b[at])
+                    a, b, n = _rows_of(words.name(size)[at], words.other_half(size, at))
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], names=["a", "b", "n"])
         release_memory()
 
@@ -148,7 +156,7 @@ def count_cells(docs: DataFrame, wanted: Callable[[PieceWords], list[tuple[int,
         for batch in batches:
             for rows in text_blocks(batch, "text", block):
                 words = PieceWords(rows.column("text"), rows.column("lang"))
-                cells = [words.names(size)[0][at].astype(np.uint32).view(np.int32) for size, at in wanted(words)]
+                cells = [words.name(size)[at].astype(np.uint32).view(np.int32) for size, at in wanted(words)]
                 cells, n = np.unique(np.concatenate([np.zeros(0, np.int32), *cells]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int32))], names=["a", "n"])
         release_memory()
@@ -175,7 +183,7 @@ def proposed(docs: DataFrame, threshold: float, longest: int = LONGEST, bits: in
     for size in range(1, longest + 1):
 
         def wanted(words, size=size, known=proposal.copy()):
-            return _always(words) if size == 1 else [(size, _both_parts(words, size, known.holds(words.names(size - 1)[0])))]
+            return _always(words) if size == 1 else [(size, _both_parts(words, size, known.holds(words.name(size - 1))))]
 
         proposal.add(count_phrases(docs, wanted, block).filter(F.col("n") >= threshold))
     return proposal
@@ -192,7 +200,7 @@ def count_with_border(docs: DataFrame, proposal: Proposal, before: Proposal | No
     def border(words):
         out, new = [], np.zeros(len(words.left), bool)
         for size in range(2, longest + 1):
-            names = words.names(size - 1)[0]
+            names = words.name(size - 1)
             at = _both_parts(words, size, proposal.holds(names) | new)
             if before is not None:
                 held = before.holds(names)
@@ -207,7 +215,7 @@ def count_with_border(docs: DataFrame, proposal: Proposal, before: Proposal | No
 
     def wanted(words):
         out = [] if before is not None else _always(words)
-        return out + [(size, at[common.holds(words.names(size)[0][at])]) for size, at in border(words)]
+        return out + [(size, at[common.holds(words.name(size)[at])]) for size, at in border(words)]
 
     return count_phrases(docs, wanted, block).filter(F.col("n") >= threshold)
 
@@ -223,15 +231,15 @@ def name_phrases(docs: DataFrame, frequent: DataFrame, longest: int, bits: int,
             for rows in text_blocks(batch, "text", block):
                 words = PieceWords(rows.column("text"), rows.column("lang"))
                 for size in range(longest + 1):
-                    a, b = words.names(size)
+                    a = words.name(size)
                     at = np.flatnonzero(words.left >= size)
                     at = at[looked_for.holds(a[at])]
-                    both, first = np.unique(a[at] ^ (b[at] << U64(1)), return_index=True)
+                    both, first = np.unique(a[at] ^ (words.other_half(size, at) << U64(1)), return_index=True)
                     new = ~np.isin(both, seen, assume_unique=True)
                     at, seen = at[first[new]], np.union1d(seen, both[new])
                     texts = [words.text(i, size) for i in at.tolist()]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(np.full(len(at), size, np.int32)),
+                        pa.array(a[at].view(np.int64)), pa.array(words.other_half(size, at).view(np.int64)), pa.array(np.full(len(at), size, np.int32)),
                         pa.array([t[0] for t in texts], pa.string()), pa.array([t[1] for t in texts], pa.string()),
                     ], names=["a", "b", "size", "lang", "phrase"])
         release_memory()
