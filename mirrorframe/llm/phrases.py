@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirrorframe.llm.frames import broadcast_if_small, named, release_memory, text_blocks, written
-from mirrorframe.llm.texts import BYTE_POWERS, U64, WORD_POWERS, Alphabet, Powers, Words, mix, spans_hash
+from mirrorframe.llm.texts import U64, WORD_POWERS, Alphabet, Powers, Words, mix, spans_hash
 
 LONGEST, THRESHOLD, REPORTED = 5, 100, 2000
 #: One in so many documents is in the sample; its threshold is its share of the whole one, less so many deviations.
