@@ -36,11 +36,14 @@ from pyspark.sql import types as T
 from mirrorframe.llm.components import components
 from mirrorframe.llm.frames import broadcast_if_small, named, release_memory, text_blocks, written
 from mirrorframe.llm.near import Shingles
+from mirrorframe.llm.phrases import Proposal
 from mirrorframe.llm.texts import U64
 
 SHINGLE, PERCENT = 3, 90
 #: A set publishes one token for so many of its own beyond those that a partner may lack.
 SURPLUS = 20
+#: Bits of the filter that keeps tokens of one node from being sent to the others: 4 MB in a task.
+BITS = 1 << 25
 #: Rounds of leaving out nodes that share too few tokens with those still there.
 ROUNDS = 2
 #: Members and tokens of a group; one set of more tokens is a group of its own.
@@ -108,16 +111,36 @@ def shingle_sets(docs: DataFrame, key_type: T.DataType, size: int, percent: int)
     return docs.mapInArrow(run, schema)
 
 
+def _maybe_shared(filled: DataFrame, counts: DataFrame) -> DataFrame:
+    """(alias, token) of the published tokens, without most of those that aren't in ``counts``: what ``BITS`` bits can tell apart stays at home."""
+    bits = Proposal(BITS)
+    bits.add(counts.select(F.col("token").alias("a")))
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column("tokens")
+            flat = tokens.flatten().to_numpy(zero_copy_only=False)
+            held = np.flatnonzero(bits.holds(flat.view(U64)))
+            owner = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column("alias").take(pa.array(owner[held])), pa.array(flat[held])], names=["alias", "token"])
+
+    return filled.mapInArrow(run, "alias LONG, token LONG")
+
+
 def shared_tokens(features: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(token, alias, n, df) of the published tokens that several nodes have, for nodes that share enough of them.
 
     Halves of names stand for nodes: where two nodes have one half, both stay and have the tokens of both.
     """
     sizes = nodes.groupBy("alias").agg(F.min("n").alias("n"))
-    rows = features.filter("node is not null").select("alias", F.explode("tokens").alias("token"))
+    filled = features.filter("node is not null").select("alias", "tokens")
+    rows = filled.select("alias", F.explode("tokens").alias("token"))
     for k in range(ROUNDS):
         # copies count in df, which only orders tokens, but don't make a token shared
         counts = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("alias").alias("_a"), F.max("alias").alias("_b")).filter("_a <> _b").select("token", "df")
+        if k == 0:
+            counts = written(counts, "token-counts")
+            rows = _maybe_shared(filled, counts)
         found = written(rows.join(counts, "token").dropDuplicates(["token", "alias"]).select("token", "alias", "df"), "shared-tokens")
         enough = found.groupBy("alias").count().join(sizes, "alias").filter(F.col("count") >= _least_shared(percent)).select("alias", "n")
         enough = broadcast_if_small(written(enough, "sharing"))
@@ -144,16 +167,16 @@ def full_sets(docs: DataFrame, live: DataFrame, size: int) -> DataFrame:
 
 
 def assign_groups(shared: DataFrame) -> DataFrame:
-    """(alias, g) from the shared tokens (token, alias, n, df): nodes of one most common token and about one size.
+    """(alias, family, g) from the shared tokens (token, alias, n, df): nodes of one most common token and about one size.
 
-    A set of nodes with more members or tokens than a group holds is cut by a hash of the node.
+    These are a family; one with more members or tokens than a group holds is cut into groups by a hash of the node.
     """
     top = shared.groupBy("alias").agg(F.max(F.struct("df", "token"))["token"].alias("token"), F.first("n").alias("n"))
     top = top.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)))
     sizes = top.groupBy("token", "step").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / TOKENS)).alias("parts")).filter("parts > 1")
     dealt = top.join(sizes, ["token", "step"], "left")
     part = F.pmod(F.xxhash64("alias"), F.coalesce("parts", F.lit(1)))
-    return dealt.select("alias", F.xxhash64("token", "step", part).alias("g"))
+    return dealt.select("alias", F.xxhash64("token", "step").alias("family"), F.xxhash64("token", "step", part).alias("g"))
 
 
 class Block:
@@ -317,18 +340,26 @@ def _able(mixed: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     seen = mixed.join(low, "token").groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("_low").alias("_low"))
     seen = written(seen, "mixed-nodes")
 
-    def spread(batches):
+    def spread(batches, bits=None):
         for batch in batches:
             for k in range(batch.num_rows):
                 tokens = np.frombuffer(batch.column("tokens")[k].as_buffer(), np.int64)
-                same = [pa.array([batch.column(c)[k].as_py()], pa.binary()).take(pa.array(np.zeros(len(tokens), np.int32))) for c in ("node", "component")]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), *same], names=["h", "node", "component"])
+                tokens = tokens if bits is None else tokens[bits.holds(tokens.view(U64))]
+                at, of = np.full(len(tokens), batch.column("at")[k].as_py(), np.int32), np.full(len(tokens), batch.column("of")[k].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(at), pa.array(of)], names=["h", "at", "of"])
+        release_memory()
 
-    spread_tokens = _members(blocks).join(broadcast_if_small(seen.select("node", "component")), "node").mapInArrow(spread, "h LONG, node BINARY, component BINARY")
-    several = spread_tokens.groupBy("h").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("h")
-    across = spread_tokens.select("h", "node").join(several, "h").groupBy("node").agg(F.count("*").alias("across"))
+    # short names: nodes that share one count as one with the tokens of both, components are told apart by 64 bits
+    seen = seen.select("node", "n", "_low", F.hash("node").alias("at"), F.xxhash64("component").alias("of"))
+    sets = _members(blocks).join(broadcast_if_small(seen.select("node", "at", "of")), "node").select("tokens", "at", "of")
+    several = sets.mapInArrow(spread, "h LONG, at INT, of LONG").groupBy("h").agg(F.min("of").alias("_a"), F.max("of").alias("_b"))
+    several = written(several.filter("_a <> _b").select("h"), "mixed-hashes")
+    bits = Proposal(BITS)
+    bits.add(several.select(F.col("h").alias("a")))
+    tokens = sets.mapInArrow(lambda batches: spread(batches, bits), "h LONG, at INT, of LONG").select("h", "at")
+    across = tokens.join(several, "h").groupBy("at").agg(F.count("*").alias("across"))
     partner = F.greatest(F.col("_low"), F.expr(f"({percent} * n + 99) div 100"))
-    return seen.join(across, "node").filter((100 + percent) * F.col("across") >= percent * (F.col("n") + partner)).select("node")
+    return seen.join(across, "at").filter((100 + percent) * F.col("across") >= percent * (F.col("n") + partner)).select("node")
 
 
 def link_nodes(features: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -339,7 +370,7 @@ def link_nodes(features: DataFrame, nodes: DataFrame, docs: DataFrame, size: int
     inside = blocks.select(F.explode("links").alias("l")).select("l.u", "l.v")
 
     # the token-group matrix, with the nodes that have the token
-    placed = written(shared.select("token", "alias", "df").join(live.select("alias", "node", "n", "g"), "alias").drop("alias"), "placed")
+    placed = written(shared.select("token", "alias", "df").join(live.select("alias", "node", "n", "family", "g"), "alias").drop("alias"), "placed")
     hubs = placed.groupBy("token").agg(F.min("g").alias("hub"), F.max("g").alias("_g")).filter("hub <> _g").select("token", "hub")
     own = live.select("node", "g")
     first = _top(placed.join(hubs, "token").select("node", "hub"), "node", "hub", "_size").join(own, "node").filter("g <> _hub")
@@ -351,13 +382,17 @@ def link_nodes(features: DataFrame, nodes: DataFrame, docs: DataFrame, size: int
     all_shared = F.count("*").over(Window.partitionBy("node"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
     rare = placed.withColumns({"_rank": rank, "_all": all_shared}).filter(F.col("_rank") <= F.col("_all") - _least_shared(percent) + 1)
-    rare = written(rare.join(labels, "node").select("token", "node", "n", "g", "component"), "rare-tokens")
+    rare = written(rare.join(labels, "node").select("token", "node", "n", "family", "g", "component"), "rare-tokens")
     mixed = written(_mixed(rare), "mixed-tokens")
     mixed = _mixed(mixed.select(*rare.columns).join(_able(mixed, blocks, percent), "node", "left_semi"))
-    matrix = mixed.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # first the families that a token names, each once for a node, then the groups they were cut into
+    sizes = (F.min("n").alias("low"), F.max("n").alias("high"))
     fits = (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
+    families = mixed.groupBy("token", "family").agg(*sizes)
     minor = mixed.filter("component <> _component").select("token", "node", "n", F.col("g").alias("_own"))
-    rest = minor.join(matrix, "token").filter(fits & (F.col("g") != F.col("_own"))).select("node", "g").distinct()
+    asked = minor.join(families, "token").filter(fits).select("node", "n", "_own", "family").distinct()
+    groups = live.groupBy("family", "g").agg(*sizes)
+    rest = asked.join(groups, "family").filter(fits & (F.col("g") != F.col("_own"))).select("node", "g")
     rest = written(rest.join(first, ["node", "g"], "left_anti"), "asked-last")
     if rest.isEmpty():
         return labels
