@@ -25,6 +25,8 @@ from mirrorframe.llm.frames import append_columns
 REMEMBERED = 600_000
 #: Bytes of text encoded together: the larger, the more positions share one step of the replay.
 ENCODE_BYTES = 8 << 20
+#: Spans or places worked on at a time, so that what is needed on the way stays small beside the text.
+AT_ONCE = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,11 +35,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
 
 
+def join_spans(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``values[start:start + size]`` of many spans, one after another."""
+    out, done = np.empty(int(sizes.sum()), values.dtype), 0
+    for k in range(0, len(sizes), AT_ONCE):
+        n = sizes[k : k + AT_ONCE]
+        ends = np.cumsum(n)
+        shift = starts[k : k + AT_ONCE] - (ends - n)
+        out[done : done + ends[-1]] = values[np.arange(ends[-1]) + np.repeat(shift, n)]
+        done += int(ends[-1])
+    return out
+
+
 class Merges:
     """Which two neighbouring tokens make which token."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.narrow = max(ranks.values(), default=0) < 1 << 31
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary has no token for the bytes {missing[:5]}")
@@ -53,7 +68,7 @@ class Merges:
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the joined tokens, or -1; also where either is no token but -1."""
-        pair = left << 32 | right
+        pair = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.pairs, pair)
         return np.where((self.pairs[at] == pair) & (left >= 0) & (right >= 0), self.made[at], -1)
 
@@ -66,18 +81,24 @@ def replay_flat(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndar
     # all words side by side, each followed by an end mark; pair[k]: the rank that place k and the next one make
     sizes = np.array([len(w) + 1 for w in words], np.int64)
     letters = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
-    ends = np.cumsum(sizes) - 1
-    word = np.repeat(np.arange(len(words)), sizes)
-    token = merges.single[letters]
-    token[ends] = -1
-    pair = np.append(merges.look_up(token[:-1], token[1:]), -1)
-    by_rank = np.argsort(pair, kind="stable")
-    by_rank = by_rank[np.searchsorted(pair[by_rank], 0) :]
+    # ranks and places of the usual block take 32 bits
+    kind = np.int32 if len(letters) < 1 << 31 and merges.narrow else np.int64
+    word = np.repeat(np.arange(len(words), dtype=kind), sizes)
+    token = merges.single.astype(kind)[letters]
+    token[np.cumsum(sizes) - 1] = -1
+    pair = np.full(len(token), -1, kind)
+    for k in range(0, len(token) - 1, AT_ONCE):
+        end = min(k + AT_ONCE, len(token) - 1)
+        pair[k:end] = merges.look_up(token[k:end], token[k + 1 : end + 1])
+    by_rank = np.flatnonzero(pair >= 0).astype(kind)
+    by_rank = by_rank[np.argsort(pair[by_rank], kind="stable")]
     cut = np.flatnonzero(np.diff(pair[by_rank])) + 1
-    index = {int(pair[g[0]]): g.tolist() for g in np.split(by_rank, cut) if len(g)}
+    # places known from the start, and those that arise
+    begun = {int(pair[g[0]]): g for g in np.split(by_rank, cut) if len(g)}
+    index: dict[int, list[int]] = {rank: [] for rank in begun}
     order = list(index)
     heapq.heapify(order)
-    after, before = np.arange(1, len(token) + 1), np.arange(-1, len(token) - 1)
+    after, before = np.arange(1, len(token) + 1, dtype=kind), np.arange(-1, len(token) - 1, dtype=kind)
 
     def file(ranks: np.ndarray, places: np.ndarray) -> None:
         for rank, at in zip(ranks.tolist(), places.tolist(), strict=True):
@@ -90,7 +111,7 @@ def replay_flat(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndar
 
     while order:
         rank = heapq.heappop(order)
-        at = np.array(index.pop(rank), np.int64)
+        at = np.concatenate([begun.pop(rank, word[:0]), np.array(index.pop(rank), kind)])
         at = at[pair[at] == rank]  # not merged away, nor with another neighbour since
         if not at.size:
             continue
@@ -178,7 +199,7 @@ class Encoder:
         start = self.start[at]
         sizes = self.start[at + 1] - start
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.ids[np.arange(ends[-1]) + np.repeat(start - ends[:-1], sizes)]
+        flat = join_spans(self.ids, start, sizes)
         return pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(flat, pa.int32()))
 
 
@@ -216,7 +237,7 @@ class Decoder:
             raise ValueError("a token id is not in the vocabulary")
         sizes = self.lengths[flat]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        data = self.letters[np.arange(ends[-1]) + np.repeat(self.starts[flat] - ends[:-1], sizes)]
+        data = join_spans(self.letters, self.starts[flat], sizes)
         offsets = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
 

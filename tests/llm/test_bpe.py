@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -34,6 +37,34 @@ def test_a_pair_of_lower_rank_goes_first():
     assert bpe.replay([w.encode() for w in words], bpe.Merges(ranks)) == [encoding.encode_ordinary(w) for w in words]
 
 
+def test_memory_beside_the_text_is_bounded():
+    """What decoding and replaying need on the way is a few times the text, not tens of times."""
+    text = " interesting" * 400_000
+    encoder, decoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN), bpe.Decoder(RANKS)
+    coded = encoder.encode(pa.array([text]))
+    words = [("%030x" % RNG.getrandbits(120)).encode() for _ in range(40_000)]
+    tracemalloc.start()
+    decoded = decoder.decode(coded)
+    decoding = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    ids, counts = bpe.replay_flat(words, encoder.merges)
+    replaying = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert decoded[0].as_py() == text.encode()
+    assert len(ids) == counts.sum() and len(counts) == len(words)
+    assert decoding < 10 * len(text), decoding / len(text)
+    assert replaying < 60 * sum(map(len, words)), replaying / sum(map(len, words))
+
+
+def test_spans_longer_than_a_step_are_joined():
+    values = np.arange(10, dtype=np.int32)
+    sizes = np.array([3, 0, 10, 1] * (bpe.AT_ONCE // 2))
+    starts = np.array([2, 9, 0, 7] * (bpe.AT_ONCE // 2))
+    got = bpe.join_spans(values, starts, sizes)
+    assert got.tolist() == [2, 3, 4, *range(10), 7] * (bpe.AT_ONCE // 2)
+    assert bpe.join_spans(values, starts[:0], sizes[:0]).tolist() == []
+
+
 def test_round_trip_on_rows(spark):
     rows = [(1, None, "x"), (2, "", "y"), (3, "héllo wörld", "z"), (3, "héllo wörld", "z"), (4, "word " * 20000, None)]
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, n_tokens STRING").repartition(2)
