@@ -58,6 +58,32 @@ def test_what_the_sample_misses_is_found_by_expansion(spark, rng):
     assert set(map(tuple, whole.collect())) == set(map(tuple, missed.collect()))
 
 
+@pytest.mark.parametrize("few", [0, phrases.FEW_PLACES])
+def test_missed_phrases_are_expanded_and_named_whatever_their_number(spark, rng, few):
+    """Of a sample of one document each hundred most is missed; both ways to go on give what plain counting gives."""
+    docs = corpus(rng)
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id LONG, text STRING, lang STRING").repartition(3)
+    whole, _ = phrases.frequent_phrases(df, threshold=6, sampled=1)
+    got, passes = phrases.frequent_phrases(df, threshold=6, sampled=100, few=few)
+    assert passes == 2
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_few_missed_phrases_take_one_scan(spark, rng, monkeypatch):
+    """The whole corpus is read twice, for the cells and the counts, and once more for all that the sample missed."""
+    docs = corpus(rng)
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id LONG, text STRING, lang STRING")
+    scans, wanted = [], {"count_phrases", "count_cells", "name_phrases", "expand_and_name"}
+    for name in sorted(wanted & set(vars(phrases))):
+        def counted(table, *args, _name=name, _real=getattr(phrases, name)):
+            scans.append((_name, table.count() == len(docs)))
+            return _real(table, *args)
+
+        monkeypatch.setattr(phrases, name, counted)
+    _, passes = phrases.frequent_phrases(df, threshold=6, sampled=100)
+    assert passes == 2 and sum(whole for _, whole in scans) == 3, scans
+
+
 def test_few_bits_only_count_more(spark, rng):
     docs = corpus(rng, 60)
     df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(docs)], "doc_id LONG, text STRING, lang STRING")
