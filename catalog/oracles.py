@@ -393,7 +393,8 @@ ORACLES = {
     "target_correlation_pairs": f"WITH RECURSIVE {PAIRS_S.strip()} SELECT i::INTEGER AS i, round(target, 7) + 0.0 AS v FROM s",
     "correlation_summary_pairs": f"WITH RECURSIVE {PAIRS_S.strip()}, kd AS (SELECT *, CASE WHEN i < 20 THEN 'cat' ELSE 'cont' END AS kind FROM s) SELECT coalesce(kind, 'all') AS kind, round(avg(target), 7) AS mean_corr, count(*) AS n_features FROM kd GROUP BY ROLLUP (kind)",
     "knockoff_plan_pairs": f"WITH RECURSIVE {PAIRS_PLAN.strip()} SELECT i::INTEGER AS i, j::INTEGER AS j, round(p, 6) + 0.0 AS p, round(v, 6) + 0.0 AS v FROM pr JOIN vv USING (i, j)",
-    "generate_knockoffs_pairs": f"""WITH RECURSIVE {PAIRS_COPIES.strip()}
+    "generate_knockoffs_pairs": f"WITH RECURSIVE {PAIRS_COPIES.strip()} SELECT vec_id, i::INTEGER AS i, round(xk, 4) + 0.0 AS v FROM k",
+    "copy_moments_pairs": f"""WITH RECURSIVE {PAIRS_COPIES.strip()}
 SELECT a.i::INTEGER AS i, round(avg(a.xk), 6) + 0.0 AS mean, round(avg(a.xk * a.xk), 6) AS second, round(avg(a.x * a.xk), 6) + 0.0 AS original, round(avg(a.xk * coalesce(b.xk, 0.0)), 6) + 0.0 AS neighbour
 FROM k a LEFT JOIN k b ON b.vec_id = a.vec_id AND b.i = a.i + 1 GROUP BY a.i""",
     "second_order_gap_pairs": f"""WITH RECURSIVE {PAIRS_COPIES.strip()},
