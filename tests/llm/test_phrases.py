@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mirrorframe.llm import phrases
@@ -84,6 +85,56 @@ def test_few_missed_phrases_take_one_scan(spark, rng, monkeypatch):
     assert passes == 2 and sum(whole for _, whole in scans) == 3, scans
 
 
+def test_phrases_that_the_sample_does_not_name_take_no_scan_of_their_own(spark, rng, monkeypatch):
+    """Of few bits some hold frequent phrases that the sample has not: they are named in the scan that expands."""
+    docs = corpus(rng)
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id LONG, text STRING, lang STRING")
+    whole, _ = phrases.frequent_phrases(df, threshold=6, sampled=1)
+    scans = []
+    for name in ("count_phrases", "count_cells", "name_phrases", "expand_and_name"):
+        def counted(table, *args, _name=name, _real=getattr(phrases, name)):
+            scans.append((_name, table.count() == len(docs)))
+            return _real(table, *args)
+
+        monkeypatch.setattr(phrases, name, counted)
+    got, passes = phrases.frequent_phrases(df, threshold=6, sampled=100, bits=512)
+    assert passes == 2 and sum(whole for _, whole in scans) == 3, scans
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
+@pytest.mark.parametrize("few", [0, phrases.FEW_CELLS])
+def test_cells_are_counted_exactly(spark, rng, monkeypatch, few):
+    """Many small batches of cells, added up by the cells seen or over the whole bucket."""
+    monkeypatch.setattr(phrases, "FEW_CELLS", few)
+    monkeypatch.setattr(phrases, "HELD_CELLS", 40)
+    docs = corpus(rng)
+    df = spark.createDataFrame(docs, "text STRING, lang STRING").repartition(5)
+
+    def wanted(words):
+        return [(size, at, words.name(size, at)) for size in (1, 2) for at in [words.places(size)]]
+
+    words = phrases.PieceWords(pa.array([t for t, _ in docs]), pa.array([x for _, x in docs]))
+    cells, n = np.unique(np.concatenate([a.astype(np.uint32) for _, _, a in wanted(words)]), return_counts=True)
+    for threshold in (1, 6, 6.5):
+        found = phrases.count_cells(df, wanted, 200, threshold).collect()
+        assert sorted(r["a"] for r in found) == cells[n >= threshold].tolist()
+
+
+def test_names_tell_phrases_apart(rng):
+    """Equal up to the case of A-Z, else different: also words of any length, with zero bytes, and in other languages."""
+    words = ["a", "a\0", "\0a", "A", "b" * 8, "b" * 9, "b" * 16, "b" * 17, "b" * 7 + "c" + "b" * 7 + "d", "b" * 7 + "d" + "b" * 7 + "c", "é", "É"]
+    words += ["".join(rng.choice(list("xyZ"), size=int(k))) for k in rng.integers(1, 40, 300)]
+    texts = [" ".join(words), " ".join(words[::-1]), "", None, words[3]]
+    langs = ["en", "de", "en", "en", None]
+    block = phrases.PieceWords(pa.array(texts), pa.array(langs))
+    for size in range(4):
+        at = np.flatnonzero(block.left >= max(size, 1))
+        found = list(zip(block.name(size, at).tolist(), block.other_half(size, at).tolist(), strict=True))
+        want = [block.text(i, size) for i in at.tolist()]
+        assert len(set(found)) == len(set(want)) == len(set(zip(found, want, strict=True)))
+        assert len({a for a, _ in found}) == len({b for _, b in found}) == len(set(found))
+
+
 def test_few_bits_only_count_more(spark, rng):
     docs = corpus(rng, 60)
     df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(docs)], "doc_id LONG, text STRING, lang STRING")
